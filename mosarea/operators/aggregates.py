@@ -157,6 +157,27 @@ def running_totals(
     )
 
 
+def global_quantiles(counted: DataFrame, value: str, freq: str, probabilities: Sequence[float]) -> DataFrame:
+    """One row with the exact linear-interpolation quantiles ``q`` of a large column.
+
+    ``counted`` has one row per distinct value. Each quantile lies between two
+    order statistics, found as the smallest value whose running count passes
+    the position, so no task holds all values.
+    """
+    ranked = running_totals(counted, [], value, {freq: "__before"})
+    n = counted.agg(F.sum(freq)).scalar()
+    ranked = ranked.withColumns({"__upto": F.col("__before") + F.col(freq), "__n": n})
+    picks = []
+    for p in probabilities:
+        position = (F.col("__n") - 1) * F.lit(float(p))
+        low = F.floor(position)
+        at = lambda index: F.min(F.when(F.col("__upto") > index, F.col(value)))
+        lower, upper = at(low), at(F.least(low + 1, F.col("__n") - 1))
+        fraction = F.max(position - low)
+        picks.append(lower + fraction * (upper - lower))
+    return ranked.agg(F.array(*picks).alias("q"))
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, buckets: int = 64) -> DataFrame:
     """``df`` with the average-tie rank of ``value`` inside ``keys`` (nulls keep a null rank)."""
     present = df.where(F.col(value).isNotNull())

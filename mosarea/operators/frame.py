@@ -18,6 +18,7 @@ from mosarea.functions.recode import (
 )
 from mosarea.operators.aggregates import share_of_total, stacked_groups
 from mosarea.operators.joins import level_grid
+from mosarea.sources.tables import local_table
 
 # ---------------------------------------------------------------------------
 # Cell keys, weight scale, census margins.
@@ -97,7 +98,7 @@ DERIVED_MARGINS: tuple[tuple[str, Recode], ...] = (
 def census_margins(spark: SparkSession) -> DataFrame:
     """Published margins as ``(margin, var, level, freq)``, raw and regrouped."""
     rows = [(m, m, level, float(freq)) for m, levels in CENSUS_COUNTS.items() for level, freq in levels.items()]
-    raw = spark.createDataFrame(rows, "margin string, var string, level string, freq double")
+    raw = local_table(spark, rows, "margin string, var string, level string, freq double")
     out = raw
     for source, rule in DERIVED_MARGINS:
         grouped = (

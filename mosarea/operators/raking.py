@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mosarea.operators.aggregates import share_of_total, stacked_groups
 from mosarea.session import cut_lineage
+from mosarea.sources.tables import local_table
 
 # Tolerance relative to the weight total, and allowed sweeps.
 TOLERANCE = 1e-9
@@ -50,35 +51,33 @@ class RakeResult:
     solver: str
 
 
-def _level_key(variables: Sequence[str]) -> Column:
-    return F.struct(*[F.col(v).alias(v) for v in variables])
-
-
 class _CrossTab:
     """Cross-tab with integer level codes and the target total of every code."""
 
     def __init__(self, frame: DataFrame, margins: Sequence[Margin], weight: str):
         self.margins = list(margins)
-        variables = sorted({v for m in margins for v in m.variables})
-        self.variables = variables
-        table = frame.groupBy(*variables).agg(F.sum(weight).alias("w0"))
-        self.targets: list[np.ndarray] = []
-        self.codes: list[DataFrame] = []
-        for k, margin in enumerate(self.margins):
-            rows = _target_rows(table, margin)
-            self.targets.append(np.array([r["freq"] for r in rows], dtype=float))
-            schema = table.select(*margin.variables).schema
-            levels = frame.sparkSession.createDataFrame(
-                [tuple(r[v] for v in margin.variables) + (i,) for i, r in enumerate(rows)],
-                schema.add(f"c{k}", "int"),
+        self.variables = sorted({v for m in margins for v in m.variables})
+        # the one pass over the frame; everything below reads the written cells
+        plain = cut_lineage(
+            frame.groupBy(*self.variables).agg(F.sum(weight).alias("w0"), F.count(F.lit(1)).alias("rows"))
+        )
+        levels = _levels(plain, self.margins)
+        coded = plain
+        for k, (margin, rows) in enumerate(zip(self.margins, levels)):
+            names = list(margin.variables)
+            codes = local_table(
+                frame.sparkSession,
+                [(*key, i) for i, (key, _) in enumerate(rows)],
+                ", ".join(f"`__{n}` string" for n in names) + f", c{k} int",
             )
-            self.codes.append(levels)
-            table = table.join(levels, list(margin.variables))
-        self.table = cut_lineage(table.select(*variables, "w0", *[f"c{k}" for k in range(len(margins))]))
-        self.total = self.table.agg(F.sum("w0")).first()[0]
+            match = [F.col(n).cast("string") == F.col(f"__{n}") for n in names]
+            coded = coded.join(codes, match).drop(*[f"__{n}" for n in names])
+        self.table = cut_lineage(coded)
+        self.total, self.rows = self.table.agg(F.sum("w0"), F.sum("rows")).first()
         if not self.total or self.total <= 0:
             raise ValueError("the frame has no weight")
-        self.targets = [t / t.sum() * self.total for t in self.targets]
+        shares = [np.array([freq for _, freq in rows], dtype=float) for rows in levels]
+        self.targets = [t / t.sum() * self.total for t in shares]
 
     def start(self) -> list[np.ndarray]:
         return [np.ones(len(t)) for t in self.targets]
@@ -103,20 +102,29 @@ def _lookup(values: np.ndarray, code: Column) -> Column:
     return F.get(F.split(text, ",").cast("array<double>"), code)
 
 
-def _target_rows(table: DataFrame, margin: Margin) -> list:
-    """Level list of a margin; a level on one side only is an error.
+def _levels(table: DataFrame, margins: Sequence[Margin]) -> list[list[tuple]]:
+    """Sorted ``(level key, target)`` list of each margin; a one-sided level is an error.
 
-    Rows are the levels of a published margin (districts or answer options).
+    Rows are the levels of published margins (districts or answer options).
     """
-    names = list(margin.variables)
-    target = margin.target.select(*names, F.col("freq").cast("double").alias("freq"))
-    sampled = table.select(*names).distinct().withColumn("__in_frame", F.lit(True))
-    both = target.join(sampled, names, "full").orderBy(*names)
-    rows = both.collect()
-    lonely = [tuple(r[v] for v in names) for r in rows if r["freq"] is None or r["__in_frame"] is None]
-    if lonely:
-        raise ValueError(f"margin {names}: levels only in frame or only in target: {lonely[:5]}")
-    return rows
+    stacked = None
+    for k, margin in enumerate(margins):
+        key = F.array(*[F.col(v).cast("string") for v in margin.variables]).alias("key")
+        target = margin.target.groupBy(key).agg(F.sum("freq").cast("double").alias("freq"))
+        sampled = table.select(key).distinct().withColumn("freq", F.lit(None).cast("double"))
+        for side, part in (("target", target), ("frame", sampled)):
+            one = part.select(F.lit(k).alias("k"), F.lit(side).alias("side"), "key", "freq")
+            stacked = one if stacked is None else stacked.unionByName(one)
+    found = stacked.collect()
+    out = []
+    for k, margin in enumerate(margins):
+        target = {tuple(r["key"]): r["freq"] for r in found if r["k"] == k and r["side"] == "target"}
+        sampled = {tuple(r["key"]) for r in found if r["k"] == k and r["side"] == "frame"}
+        lonely = sorted(set(target) ^ sampled, key=str)
+        if lonely:
+            raise ValueError(f"margin {margin.variables}: levels only in frame or only in target: {lonely[:5]}")
+        out.append(sorted(target.items()))
+    return out
 
 
 def rake(
@@ -208,16 +216,21 @@ def _newton(tab: _CrossTab, tolerance: float, max_steps: int = 50):
 
 
 def _weighted_rows(frame: DataFrame, tab: _CrossTab, factors: Sequence[np.ndarray], weight: str) -> DataFrame:
-    """Start weight times factors on the frame's own rows, divided by the mean."""
-    coded = frame
-    for k, (margin, levels) in enumerate(zip(tab.margins, tab.codes)):
-        coded = coded.join(levels, list(margin.variables))
-    product = F.col(weight)
+    """Start weight times the factor of its cross-tab cell, divided by the mean.
+
+    The mean needs no pass over the frame: both its total and its row count are
+    sums over the cross-tab.
+    """
+    total = tab.table.agg(F.sum(tab.weight(factors))).first()[0]
+    product = F.lit(1.0)
     for k, factor in enumerate(factors):
         product = product * _lookup(factor, F.col(f"c{k}"))
-    raw = coded.withColumn("__w", product)
-    mean = raw.agg(F.avg("__w")).scalar()
-    return raw.withColumn(weight, F.col("__w") / mean).select(*frame.columns)
+    cells = tab.table.select(*tab.variables, (product / (total / tab.rows)).alias("__factor"))
+    return (
+        frame.join(cells, tab.variables)
+        .withColumn(weight, F.col(weight) * F.col("__factor"))
+        .select(*frame.columns)
+    )
 
 
 def raking_check(

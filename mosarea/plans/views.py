@@ -10,12 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from mosarea.functions.expressions import (
-    UNIFORM_MULTIPLIERS,
-    UNIFORM_PRIME,
-    UNIFORM_ROUNDS,
-    keyed_uniform,
-)
+from mosarea.functions.expressions import UNIFORM_MULTIPLIERS, UNIFORM_PRIME, UNIFORM_ROUNDS
+from mosarea.sources.tables import local_table
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -248,7 +244,8 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
     region = table(spark, sf, "region").select(
         F.lit("adm1_name").alias("variable"), F.col("r_regionkey").alias("code"), F.col("r_name").alias("label")
     )
-    answers = spark.createDataFrame(
+    answers = local_table(
+        spark,
         [
             ("urbanicity", 1, "Urban"),
             ("urbanicity", 2, "Rural"),

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from mosarea.sources.tables import local_table
+
 # Fixed pattern: a column is name, name.i or name.i.j
 DRAW_COLUMN = r"^([A-Za-z_0-9]+?)(?:\.(\d+))?(?:\.(\d+))?$"
 
@@ -16,9 +18,7 @@ def read_chain_csv(
     """Long draws of one chain file with ``#`` comment lines.
 
     ``columns`` is the header of the file. Iterations are numbered by the
-    position of the line in the file: the file is read as text with its row
-    offsets through ``zipWithIndex``-free means, that is ``monotonically_increasing_id``
-    ranks within the split order, so a large file is still read in parallel.
+    position of the line in the file, see :func:`number_in_file_order`.
     """
     schema = T.StructType([T.StructField(name, T.DoubleType()) for name in columns])
     rows = spark.read.schema(schema).option("header", True).option("comment", "#").csv(path)
@@ -27,7 +27,8 @@ def read_chain_csv(
     safe = {name: f"c{k}" for k, name in enumerate(names)}
     rows = rows.select("iteration", *[F.col(f"`{n}`").alias(s) for n, s in safe.items()])
     long = rows.where(F.col("iteration") > warmup).unpivot(["iteration"], list(safe.values()), "column", "value")
-    described = spark.createDataFrame(
+    described = local_table(
+        spark,
         [(s, *parse_draw_column(n)) for n, s in safe.items()], "column string, param string, i int, j int"
     )
     return (

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def read_csv(
@@ -87,3 +89,15 @@ def prevalence_long(df: DataFrame, value: str = "prev") -> DataFrame:
     return df.unpivot(["adm2_index", "month_idx"], names, "column", value).select(
         "adm2_index", "month_idx", F.expr("cast(substring(column, 2) as int)").alias("draw"), value
     )
+
+
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Small constant table (answer lists, margin levels) as a local relation.
+
+    Going through Arrow keeps the rows in the plan with a known size, so joins
+    with it broadcast without a hint and no Python worker is started.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = [pa.array(list(values), type=to_arrow_type(f.dataType)) for f, values in zip(fields, columns)]
+    return spark.createDataFrame(pa.table(arrays, names=[f.name for f in fields]))
