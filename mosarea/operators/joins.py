@@ -35,8 +35,11 @@ def natural_left_join(left: DataFrame, right: DataFrame, null_safe: Sequence[str
 
 
 def keep_members(df: DataFrame, reference: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs in ``reference``."""
-    return df.join(reference.select(key), key, "left_semi")
+    """Rows whose key occurs in ``reference``.
+
+    The reference shrinks to its distinct keys map-side before it moves.
+    """
+    return df.join(reference.select(key).distinct(), key, "left_semi")
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: str, left_tag: str, right_tag: str) -> DataFrame:

@@ -11,6 +11,7 @@ from mosarea.plans.catalog_basic import CENSUS_GROUPED_SQL, CENSUS_SQL, FRAME_RO
 from mosarea.plans.registry import R, query, r, rounded
 from mosarea.plans.views import with_views
 from mosarea.session import cut_lineage
+from mosarea.sources.tables import settle_dimension
 
 
 # -------------------------------------------------- weights, direct estimates
@@ -23,7 +24,8 @@ def analysis_rows(spark, sf):
 def survey_weights(spark, sf):
     h = V.households(spark, sf).withColumn("adm1_name", F.initcap("adm1_name"))
     phone = h.where(F.col("modality") == "rtm")
-    return Wt.demographic_weights(phone, Wt.population_shares(V.population_sheet(spark, sf)))
+    # months x provinces x education levels: settled so that interviews are not shuffled to meet it
+    return settle_dimension(Wt.demographic_weights(phone, Wt.population_shares(V.population_sheet(spark, sf))))
 
 
 WEIGHTS_SQL = f"""
@@ -176,7 +178,8 @@ FROM frame_rows GROUP BY {', '.join(Fr.CELL_KEYS)}
 
 
 def cells(spark, sf):
-    return Fr.frame_cells(frame_rows(spark, sf))
+    """Frame cells, written once for the steps that read them again."""
+    return cut_lineage(Fr.frame_cells(frame_rows(spark, sf)))
 
 
 @query(
@@ -184,7 +187,7 @@ def cells(spark, sf):
     with_views(f"SELECT {', '.join(Fr.CELL_KEYS)}, {R('pop_weight')} AS pop_weight FROM cells", "v_frame_src", frame_rows=FRAME_ROWS_SQL, cells=CELLS_SQL),
 )
 def f1(spark, sf):
-    return rounded(cells(spark, sf))
+    return rounded(Fr.frame_cells(frame_rows(spark, sf)))
 
 
 MARGIN_KEYS = ("h_toilet_type_2way", "h_water_source_2way", "h_cell", "h_cooking_fuel", "hhh_sex")
@@ -299,7 +302,7 @@ def a13(spark, sf):
 # --------------------------------------------------------------------- raking
 def rake_margins(spark, sf) -> list[Rk.Margin]:
     census = Fr.census_margins(spark)
-    area = Fr.district_margin(V.matched_names(spark, sf))
+    area = settle_dimension(Fr.district_margin(V.matched_names(spark, sf)))
     out = [Rk.Margin(("adm1_name", "adm2_name"), area)]
     for variables in Rk.RAKE_VARIABLES[1:]:
         name = variables[0]
@@ -430,7 +433,7 @@ FRAME_CTE = {
 
 def model_frame(spark, sf):
     counted = face_frame(spark, sf).withColumn("pop_weight", F.col("n").cast("double"))
-    return Fr.model_cells(("dhs", cells(spark, sf)), ("f2f", counted))
+    return Fr.model_cells(("dhs", Fr.frame_cells(frame_rows(spark, sf))), ("f2f", counted))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from mosarea.functions import recode as Rc
@@ -28,92 +30,127 @@ from mosarea.plans.catalog_frame import (
 from mosarea.plans.registry import R, query, r, rounded
 from mosarea.plans.views import UNIFORM_SQL, with_views
 from mosarea.session import cut_lineage
+from mosarea.sources.tables import settle_dimension
 
 N_JOINT, N_PHONE = 20, 10
 KEYS = ("adm2_index", "adm1_index", "month_idx")
 
 
 # -------------------------------------------------------------------- tables
-def surveys(spark, sf):
-    h = V.households(spark, sf)
-    h = Rc.recode(h, Rc.WATER_TWO_WAY).withColumn("hh_size_bucket", Rc.size_bucket(F.col("hh_size")))
-    return h.where(F.col("modality") == "rtm"), h.where(F.col("modality") == "f2f")
-
-
-def regions(spark, sf):
-    return G.region_index(V.districts(spark, sf), surveys(spark, sf)[1])
-
+CELL_TEXT_KEYS = ("adm2_name", "hhh_edu", "hhh_sex", "h_toilet_type_2way", "h_water_source_2way", "hh_size_bucket", "h_cell")
 
-def interviews(spark, sf, mode="joint"):
-    phone, face = surveys(spark, sf)
-    table = De.phone_table(phone, V.cell_scores(spark, sf), mode, face)
-    if mode == "joint":
-        table = De.stack_surveys(table, De.face_table(face, table))
-    return De.observation_design(table, regions(spark, sf))
+# Parameter blocks of the keyed test draws: number, spread and offset of each.
+BLOCKS = {
+    "b0": (1, 0.5, -1.2),
+    "betas": (2, 0.6, 0.0),
+    "phi": (3, 0.8, 0.0),
+    "theta": (4, 0.4, 0.0),
+    "nu": (5, 0.6, 0.0),
+    "xi": (6, 0.3, 0.0),
+    "psi": (7, 0.4, 0.0),
+}
+SIGMA_BLOCKS = {name: k for k, name in enumerate(Lp.SIGMAS, 8)}
 
 
 def numbered(design, mode, *keep):
     return De.numbered_covariates(design, De.covariates(mode), list(keep))
 
 
-def scoring_rows(spark, sf, mode="joint"):
-    phone = Wt.phone_interviews(interviews(spark, sf, mode))
-    return numbered(phone, mode, *KEYS, F.col("household_id").alias("unit_key"))
-
-
-def frame_rows(spark, sf, source, mode="joint"):
-    cells = cut_lineage(model_frame(spark, sf).where(F.col("popframe_source") == source))
-    cells = cells.withColumn("unit_key", text_key(*[F.col(c) for c in CELL_TEXT_KEYS]))
-    design = De.frame_design(cells, regions(spark, sf))
-    return numbered(design, mode, "adm2_index", "unit_key", "pop_weight")
-
-
-CELL_TEXT_KEYS = ("adm2_name", "hhh_edu", "hhh_sex", "h_toilet_type_2way", "h_water_source_2way", "hh_size_bucket", "h_cell")
-
-# Parameter blocks of the keyed test draws: number, spread and offset of each.
-BLOCKS = {"b0": (1, 0.5, -1.2), "betas": (2, 0.6, 0.0), "phi": (3, 0.8, 0.0), "theta": (4, 0.4, 0.0), "nu": (5, 0.6, 0.0), "xi": (6, 0.3, 0.0), "psi": (7, 0.4, 0.0)}
-SIGMA_BLOCKS = {name: k for k, name in enumerate(Lp.SIGMAS, 8)}
-
-
-def posterior(spark, sf, interaction="adm1_index"):
-    """One posterior draw per supplier with keyed values for every parameter."""
-    places = regions(spark, sf)
-    phone, face = surveys(spark, sf)
-    months = dense_index(phone.unionByName(face).where(F.col("fcs").isNotNull()), "obs_month", "month_idx")
-    place_count = places.agg(F.max("adm2_index").alias("ns"), F.max("adm1_index").alias("nr")).select(F.struct("ns", "nr")).scalar()
-    month_count = months.agg(F.max("month_idx")).scalar()
-    base = V.table(spark, sf, "supplier").select(
-        (F.col("s_suppkey") + 1).cast("int").alias("draw"), place_count.alias("p"), month_count.alias("nt")
-    )
-    ns, nt = F.col("p.ns"), F.col("nt")
-    nr = F.col("p.nr") if interaction == "adm1_index" else ns
-    size = {"betas": F.lit(N_JOINT), "phi": ns, "theta": ns, "nu": nt, "xi": nt, "psi": nt * nr}
-    null = F.lit(None).cast("int")
-    parts = []
-    for name, (block, _, _) in BLOCKS.items():
-        if name == "b0":
-            rows = base.select("draw", null.alias("i"), null.alias("j"))
-        else:
-            rows = base.select("draw", "nt", F.explode(F.sequence(F.lit(1), size[name])).alias("k"))
-            if name == "psi":
-                i, j = (F.col("k") - 1) % F.col("nt") + 1, F.floor((F.col("k") - 1) / F.col("nt")).cast("int") + 1
-                rows = rows.select("draw", i.cast("int").alias("i"), j.alias("j"))
-            else:
-                rows = rows.select("draw", F.col("k").cast("int").alias("i"), null.alias("j"))
-        parts.append(rows.select("draw", F.lit(name).alias("param"), "i", "j", F.lit(block).alias("pid")))
-    for name, block in SIGMA_BLOCKS.items():
-        parts.append(base.select("draw", F.lit(name).alias("param"), null.alias("i"), null.alias("j"), F.lit(block).alias("pid")))
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    u = keyed_uniform([F.col("draw"), zero("i"), zero("j"), F.col("pid")])
-    value = 0.2 + u
-    for name, (_, spread, offset) in BLOCKS.items():
-        value = F.when(F.col("param") == name, (u - 0.5) * spread + offset).otherwise(value)
-    out = stacked.select("draw", "param", "i", "j", value.alias("value"))
-    # the draws are read from several sides of every scoring plan
-    return cut_lineage(out)
+class Study:
+    """Inputs of the modelling queries; index tables are settled once."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+        h = V.households(spark, sf)
+        h = Rc.recode(h, Rc.WATER_TWO_WAY).withColumn("hh_size_bucket", Rc.size_bucket(F.col("hh_size")))
+        self.phone = h.where(F.col("modality") == "rtm")
+        self.face = h.where(F.col("modality") == "f2f")
+
+    @cached_property
+    def surveyed(self):
+        return settle_dimension(self.face.select("adm2_name").distinct())
+
+    @cached_property
+    def regions(self):
+        return settle_dimension(G.region_index(V.districts(self.spark, self.sf), self.surveyed))
+
+    @cached_property
+    def months(self):
+        """Months of all interviews with a score."""
+        scored = self.phone.unionByName(self.face).where(F.col("fcs").isNotNull())
+        return settle_dimension(dense_index(scored, "obs_month", "month_idx"))
+
+    def interviews(self, mode="joint"):
+        table = De.phone_table(self.phone, V.cell_scores(self.spark, self.sf), mode, self.surveyed)
+        if mode == "joint":
+            table = De.stack_surveys(table, De.face_table(self.face, table))
+        return De.observation_design(table, self.regions, self.months)
+
+    def scoring_rows(self, mode="joint"):
+        phone = Wt.phone_interviews(self.interviews(mode))
+        return numbered(phone, mode, *KEYS, F.col("household_id").alias("unit_key"))
+
+    def counterfactual_rows(self):
+        phone = Wt.phone_interviews(self.interviews())
+        switched = Pr.as_face_to_face(phone, De.SWITCH, De.MAIN_COVARIATES)
+        return numbered(switched, "joint", *KEYS, F.col("household_id").alias("unit_key"))
+
+    def frame_rows(self, source, mode="joint"):
+        """Scoring cells of one frame, written once: small next to the survey files behind it."""
+        cells = model_frame(self.spark, self.sf).where(F.col("popframe_source") == source)
+        cells = cells.withColumn("unit_key", text_key(*[F.col(c) for c in CELL_TEXT_KEYS]))
+        design = De.frame_design(cells, self.regions)
+        return cut_lineage(numbered(design, mode, "adm2_index", "unit_key", "pop_weight"))
+
+    def patterns(self, mode="joint"):
+        return De.patterns(self.interviews(mode), De.covariates(mode), KEYS)
+
+    def neighbour_edges(self):
+        """Undirected neighbour list in model indices."""
+        d = V.districts(self.spark, self.sf)
+        index = d.select(F.col("adm2_index").alias("k"), "adm2_name").join(self.regions, "adm2_name")
+        pairs = G.contiguity(G.ring_edges(d))
+        named = pairs.join(index.select(F.col("k").alias("node1"), F.col("adm2_index").alias("a")), "node1").join(
+            index.select(F.col("k").alias("node2"), F.col("adm2_index").alias("b")), "node2"
+        )
+        return settle_dimension(G.undirected_edges(named.select(F.col("a").alias("node1"), F.col("b").alias("node2"))))
+
+    def posterior(self, interaction="adm1_index"):
+        """One posterior draw per supplier with keyed values for every parameter."""
+        ns, nr = self.regions.agg(F.max("adm2_index"), F.max("adm1_index")).first()
+        nt = self.months.agg(F.max("month_idx")).first()[0]
+        np_ = nr if interaction == "adm1_index" else ns
+        size = {"b0": 0, "betas": N_JOINT, "phi": ns, "theta": ns, "nu": nt, "xi": nt, "psi": nt * np_}
+        blocks = [(name, block, size[name]) for name, (block, _, _) in BLOCKS.items()]
+        blocks += [(name, block, 0) for name, block in SIGMA_BLOCKS.items()]
+        sizes = F.array(
+            *[
+                F.struct(F.lit(name).alias("param"), F.lit(block).alias("pid"), F.lit(n).alias("n"))
+                for name, block, n in blocks
+            ]
+        )
+        rows = V.table(self.spark, self.sf, "supplier").select(
+            (F.col("s_suppkey") + 1).cast("int").alias("draw"), F.explode(sizes).alias("s")
+        )
+        # positions 1..n of a block; a scalar has the single position 0
+        rows = rows.withColumn("k", F.explode(F.sequence(F.least(F.col("s.n"), F.lit(1)), F.col("s.n"))))
+        k, param = F.col("k"), F.col("s.param")
+        psi = param == "psi"
+        rows = rows.select(
+            "draw",
+            param.alias("param"),
+            F.col("s.pid").alias("pid"),
+            F.when(psi, (k - 1) % nt + 1).when(k > 0, k).cast("int").alias("i"),
+            F.when(psi, F.floor((k - 1) / nt) + 1).cast("int").alias("j"),
+        )
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        u = keyed_uniform([F.col("draw"), zero("i"), zero("j"), F.col("pid")])
+        value = 0.2 + F.col("u")
+        for name, (_, spread, offset) in BLOCKS.items():
+            value = F.when(F.col("param") == name, (F.col("u") - 0.5) * spread + offset).otherwise(value)
+        out = rows.withColumn("u", u).select("draw", "param", "i", "j", value.alias("value"))
+        # the draws are read from several sides of every scoring plan
+        return cut_lineage(out)
 
 
 # ----------------------------------------------------------------- SQL views
@@ -188,7 +225,8 @@ MODEL_CTE = {**DESIGN_CTE, **posterior_sql()}
     with_views(f"SELECT household_id, adm2_index, adm1_index, month_idx, poor, {R('fcs_scaled')} AS fcs_scaled, {XJ} FROM joint", *D_VIEWS, **DESIGN_CTE),
 )
 def m1(spark, sf):
-    design = interviews(spark, sf)
+    st = Study(spark, sf)
+    design = st.interviews()
     keep = ["household_id", *KEYS, F.col("poor").cast("int").alias("poor"), r("fcs_scaled").alias("fcs_scaled")]
     return numbered(design, "joint", *keep)
 
@@ -198,20 +236,17 @@ def m1(spark, sf):
     with_views(f"SELECT household_id, adm2_index, month_idx, poor, {', '.join(f'x{k}' for k in range(1, 11))} FROM phone_only", *D_VIEWS, **DESIGN_CTE),
 )
 def m1_phone(spark, sf):
-    design = interviews(spark, sf, "phone_only")
+    st = Study(spark, sf)
+    design = st.interviews("phone_only")
     return numbered(design, "phone_only", "household_id", "adm2_index", "month_idx", F.col("poor").cast("int").alias("poor"))
 
 
-def likelihood_patterns(spark, sf, mode="joint"):
-    return De.patterns(interviews(spark, sf, mode), De.covariates(mode), KEYS)
-
-
 PATTERNS_SQL = f"SELECT adm2_index, adm1_index, month_idx, {XJ}, CAST(count(*) AS BIGINT) AS n, CAST(sum(poor) AS BIGINT) AS y FROM joint GROUP BY ALL"
 
 
 @query("m4_patterns", with_views("SELECT * FROM patterns", *D_VIEWS, **DESIGN_CTE, patterns=PATTERNS_SQL))
 def m4(spark, sf):
-    return likelihood_patterns(spark, sf)
+    return Study(spark, sf).patterns()
 
 
 def _prior_sql(hyper: str) -> str:
@@ -251,24 +286,14 @@ def log_posterior_oracle(hyper: str, interaction: str) -> str:
     )
 
 
-def neighbour_edges(spark, sf):
-    """Undirected neighbour list in model indices."""
-    d = V.districts(spark, sf)
-    index = d.select(F.col("adm2_index").alias("k"), "adm2_name").join(regions(spark, sf), "adm2_name")
-    pairs = G.contiguity(G.ring_edges(d))
-    named = pairs.join(index.select(F.col("k").alias("node1"), F.col("adm2_index").alias("a")), "node1").join(
-        index.select(F.col("k").alias("node2"), F.col("adm2_index").alias("b")), "node2"
-    )
-    return G.undirected_edges(named.select(F.col("a").alias("node1"), F.col("b").alias("node2")))
-
-
 def _log_posterior(spark, sf, hyper, interaction):
+    st = Study(spark, sf)
     table = Lp.log_posterior(
-        likelihood_patterns(spark, sf),
-        posterior(spark, sf, interaction),
-        neighbour_edges(spark, sf),
+        st.patterns(),
+        st.posterior(interaction),
+        st.neighbour_edges(),
         N_JOINT,
-        regions(spark, sf),
+        st.regions,
         hyper,
         interaction,
     )
@@ -306,7 +331,8 @@ SHOWN_SQL = "', '".join(SHOWN_PARAMS)
     ),
 )
 def m7(spark, sf):
-    return Dr.parameter_summary(Dr.named_parameters(posterior(spark, sf), SHOWN_PARAMS, De.covariates("joint")))
+    st = Study(spark, sf)
+    return Dr.parameter_summary(Dr.named_parameters(st.posterior(), SHOWN_PARAMS, De.covariates("joint")))
 
 
 @query(
@@ -318,7 +344,8 @@ def m7(spark, sf):
     ),
 )
 def m8(spark, sf):
-    chained = posterior(spark, sf).withColumns(
+    st = Study(spark, sf)
+    chained = st.posterior().withColumns(
         {
             "chain": ((F.col("draw") - 1) % 4 + 1).cast("int"),
             "iteration": (F.floor((F.col("draw") - 1) / 4) + 1).cast("int"),
@@ -337,11 +364,12 @@ def m8(spark, sf):
     ),
 )
 def c14(spark, sf):
-    draws = posterior(spark, sf)
+    st = Study(spark, sf)
+    draws = st.posterior()
     arrays = Dr.interaction_arrays(draws)
     months = draws.where(F.col("param") == "nu").agg(F.max("i")).scalar()
     # one lookup per (month, province, draw), then interviews join the means
-    cells = interviews(spark, sf).select("household_id", "adm1_index", "month_idx")
+    cells = st.interviews().select("household_id", "adm1_index", "month_idx")
     slots = arrays.select(F.posexplode("psi").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("mean_psi"))
     placed = cells.withColumn("pos", ((F.col("adm1_index") - 1) * months + F.col("month_idx") - 1).cast("int"))
     return rounded(placed.join(slots, "pos", "left").select("household_id", "mean_psi"))
@@ -358,8 +386,9 @@ def c14(spark, sf):
     ),
 )
 def d1(spark, sf):
-    rows = numbered(interviews(spark, sf), "joint", *KEYS, "household_id")
-    units = Pr.predict_units(rows, posterior(spark, sf), N_JOINT, regions(spark, sf))
+    st = Study(spark, sf)
+    rows = numbered(st.interviews(), "joint", *KEYS, "household_id")
+    units = Pr.predict_units(rows, st.posterior(), N_JOINT, st.regions)
     return rounded(units.groupBy("household_id").agg(F.avg("p").alias("p_mean"), F.min("p").alias("p_min"), F.max("p").alias("p_max")))
 
 
@@ -373,7 +402,8 @@ PHONE_INTERVIEWS = "(SELECT * FROM {0} WHERE sample_source IN ('RDD', 'GeoPoll')
     ),
 )
 def d2(spark, sf):
-    return rounded(Pr.mr_estimate(scoring_rows(spark, sf, "phone_only"), posterior(spark, sf), N_PHONE, regions(spark, sf)))
+    st = Study(spark, sf)
+    return rounded(Pr.mr_estimate(st.scoring_rows("phone_only"), st.posterior(), N_PHONE, st.regions))
 
 
 @query(
@@ -392,8 +422,9 @@ def d2(spark, sf):
     ),
 )
 def d4(spark, sf):
-    cells = frame_rows(spark, sf, "f2f", "phone_only")
-    return rounded(Pr.mrp_estimate(cells, posterior(spark, sf), N_PHONE, regions(spark, sf), response="binomial"))
+    st = Study(spark, sf)
+    cells = st.frame_rows("f2f", "phone_only")
+    return rounded(Pr.mrp_estimate(cells, st.posterior(), N_PHONE, st.regions, response="binomial"))
 
 
 WEIGHTED_ROWS = "(SELECT d.*, w.dmg_weight_ust AS w FROM joint d LEFT JOIN weights w ON w.obs_month = d.obs_month AND lower(w.adm1_name) = lower(d.adm1_name) AND w.hhh_edu = d.hhh_edu WHERE d.sample_source IN ('RDD', 'GeoPoll'))"
@@ -412,19 +443,14 @@ WEIGHTED_ROWS = "(SELECT d.*, w.dmg_weight_ust AS w FROM joint d LEFT JOIN weigh
     ),
 )
 def d6(spark, sf):
-    phone = Wt.phone_interviews(interviews(spark, sf)).withColumn("adm1_name", F.initcap("adm1_name"))
+    st = Study(spark, sf)
+    phone = Wt.phone_interviews(st.interviews()).withColumn("adm1_name", F.initcap("adm1_name"))
     phone = Wt.attach_weights(phone, survey_weights(spark, sf))
     rows = numbered(phone, "joint", *KEYS, F.col("household_id").alias("unit_key"), "dmg_weight_ust")
-    estimate = Pr.mr_estimate(rows, posterior(spark, sf), N_JOINT, regions(spark, sf), weight="dmg_weight_ust")
+    estimate = Pr.mr_estimate(rows, st.posterior(), N_JOINT, st.regions, weight="dmg_weight_ust")
     return rounded(estimate)
 
 
-def counterfactual_rows(spark, sf):
-    phone = Wt.phone_interviews(interviews(spark, sf))
-    switched = Pr.as_face_to_face(phone, De.SWITCH, De.MAIN_COVARIATES)
-    return numbered(switched, "joint", *KEYS, F.col("household_id").alias("unit_key"))
-
-
 SWITCHED_SQL = f"(SELECT * EXCLUDE (x2, {', '.join(f'x{k}' for k in range(12, 21))}), CAST(1 AS DOUBLE) AS x2, {', '.join(f'CAST(c{k} AS DOUBLE) AS x{k + 11}' for k in range(1, 10))} FROM joint WHERE sample_source IN ('RDD', 'GeoPoll'))"
 
 
@@ -433,7 +459,8 @@ SWITCHED_SQL = f"(SELECT * EXCLUDE (x2, {', '.join(f'x{k}' for k in range(12, 21
     with_views(f"{SHOW} ({prevalence_sql('units')})", *D_VIEWS, **MODEL_CTE, units=units_sql(SWITCHED_SQL, N_JOINT)),
 )
 def d7(spark, sf):
-    return rounded(Pr.mr_estimate(counterfactual_rows(spark, sf), posterior(spark, sf), N_JOINT, regions(spark, sf)))
+    st = Study(spark, sf)
+    return rounded(Pr.mr_estimate(st.counterfactual_rows(), st.posterior(), N_JOINT, st.regions))
 
 
 def cell_design_sql(source: str, mode: str) -> str:
@@ -469,22 +496,26 @@ def mrp_oracle(source: str, mode: str, show: str = SHOW) -> str:
 
 @query("d5_mrp_relational", mrp_oracle("dhs", "phone_only"))
 def d5(spark, sf):
-    return rounded(Pr.mrp_estimate(frame_rows(spark, sf, "dhs", "phone_only"), posterior(spark, sf), N_PHONE, regions(spark, sf)))
+    st = Study(spark, sf)
+    return rounded(Pr.mrp_estimate(st.frame_rows("dhs", "phone_only"), st.posterior(), N_PHONE, st.regions))
 
 
 @query("d8_mrp_dhs_phone_only", mrp_oracle("dhs", "phone_only"))
 def d8(spark, sf):
-    return rounded(Pr.mrp_estimate_blocks(frame_rows(spark, sf, "dhs", "phone_only"), posterior(spark, sf), N_PHONE, regions(spark, sf)))
+    st = Study(spark, sf)
+    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("dhs", "phone_only"), st.posterior(), N_PHONE, st.regions))
 
 
 @query("d8_mrp_dhs_joint", mrp_oracle("dhs", "joint"))
 def d8_joint(spark, sf):
-    return rounded(Pr.mrp_estimate_blocks(frame_rows(spark, sf, "dhs"), posterior(spark, sf), N_JOINT, regions(spark, sf)))
+    st = Study(spark, sf)
+    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("dhs"), st.posterior(), N_JOINT, st.regions))
 
 
 @query("d8_mrp_f2f_joint", mrp_oracle("f2f", "joint"))
 def d8_face(spark, sf):
-    return rounded(Pr.mrp_estimate_blocks(frame_rows(spark, sf, "f2f"), posterior(spark, sf), N_JOINT, regions(spark, sf)))
+    st = Study(spark, sf)
+    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("f2f"), st.posterior(), N_JOINT, st.regions))
 
 
 from mosarea.plans.registry import ORACLES  # noqa: E402

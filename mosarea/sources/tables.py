@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from mosarea.session import cut_lineage
+
 
 def read_csv(
     spark: SparkSession,
@@ -101,3 +103,19 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     columns = list(zip(*rows)) if rows else [[] for _ in fields]
     arrays = [pa.array(list(values), type=to_arrow_type(f.dataType)) for f, values in zip(fields, columns)]
     return spark.createDataFrame(pa.table(arrays, names=[f.name for f in fields]))
+
+
+DIMENSION_ROWS = 20000
+
+
+def settle_dimension(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
+    """Evaluate a dimension once so that later joins know its real size.
+
+    Up to ``max_rows`` rows it becomes a local relation, which Spark broadcasts
+    by size without shuffling the large side. A longer table is written to the
+    checkpoint folder instead and joined by shuffle.
+    """
+    found = df.limit(max_rows + 1).toArrow()
+    if found.num_rows > max_rows:
+        return cut_lineage(df)
+    return df.sparkSession.createDataFrame(found, schema=df.schema)
