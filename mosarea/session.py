@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings a cluster job should run with; nothing here depends on data size.
 RECOMMENDED_CONF = {
@@ -51,4 +51,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     executor then costs a file read, not the whole upstream job.
     """
     _ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    # fresh column identities: the result may be joined with its own inputs
+    return written.select(*[F.col(f"`{name}`").alias(name) for name in written.columns])
