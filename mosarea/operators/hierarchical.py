@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mosarea.functions.expressions import logistic
-from mosarea.session import cut_lineage
+from mosarea.session import cut_lineage, ship_package
 from mosarea.sources.tables import local_table
 
 # Prior scales and the order of the effect blocks.
@@ -55,6 +55,7 @@ def derivatives(patterns: DataFrame, n_months: int, beta: np.ndarray, offset: np
     ``offset`` is the areas x months matrix of everything in the predictor that
     does not multiply a covariate.
     """
+    ship_package(patterns.sparkSession)
     n_cov = len(beta)
     width = 4 + 2 * n_cov
     names = ["slot", *[f"v{k}" for k in range(width)]]
@@ -372,6 +373,7 @@ def draw_posterior(
     """
     if n_draws % components:
         raise ValueError("n_draws must be a multiple of components")
+    ship_package(spark)
     shared = spark.sparkContext.broadcast(fit)
     per_component = n_draws // components
 

@@ -21,6 +21,8 @@ from mosarea.functions.expressions import (
     logistic,
 )
 from mosarea.functions.recode import interactions
+from mosarea.session import ship_package
+from mosarea.sources.tables import settle_dimension
 
 RESPONSES = ("pr", "binary", "binomial")
 INTERACTIONS = ("adm1_index", "adm2_index")
@@ -43,6 +45,11 @@ def coefficient_table(draws: DataFrame, n_covariates: int) -> DataFrame:
     )
 
 
+def coefficient_dimension(draws: DataFrame, n_covariates: int) -> DataFrame:
+    """Coefficients settled as a dimension: one row per draw, joined by its measured size."""
+    return settle_dimension(coefficient_table(draws, n_covariates))
+
+
 def effect_table(draws: DataFrame, regions: DataFrame, interaction: str = "adm1_index") -> DataFrame:
     """``(adm2_index, month_idx, draw, effect)``: sum of area, month and interaction effects.
 
@@ -80,7 +87,7 @@ def linear_predictor(
     """Each row with every draw and its ``eta``; covariates and coefficients are dropped."""
     dropped = [f"{s}{k}" for k in range(1, n_covariates + 1) for s in "xb"]
     joined = rows.join(effect_table(draws, regions, interaction), ["adm2_index", "month_idx"]).join(
-        coefficient_table(draws, n_covariates), "draw"
+        coefficient_dimension(draws, n_covariates), "draw"
     )
     return joined.withColumn("eta", fixed_part(n_covariates) + F.col("effect")).drop("b0", "effect", *dropped)
 
@@ -172,7 +179,7 @@ def mrp_estimate(
         .groupBy("adm2_index", "draw")
         .agg(F.map_from_entries(F.collect_list(F.struct("month_idx", "effect"))).alias("effects"))
     )
-    scored = cells.join(monthly, "adm2_index").join(coefficient_table(draws, n_covariates), "draw")
+    scored = cells.join(monthly, "adm2_index").join(coefficient_dimension(draws, n_covariates), "draw")
     base = scored.select("adm2_index", "draw", key, weight, "effects", fixed_part(n_covariates).alias("base"))
     units = base.select(
         "adm2_index", "draw", key, weight, "base", F.explode("effects").alias("month_idx", "effect")
@@ -190,32 +197,79 @@ def mrp_estimate_blocks(
     interaction: str = "adm1_index",
     key: str = "unit_key",
     seed: int = 1234,
-    block_cells: int = 1000,
+    block_rows: int = 1000,
     block_draws: int = 50,
 ) -> DataFrame:
-    """Same numbers as :func:`mrp_estimate` for large frames and many draws.
+    """Same numbers as :func:`mrp_estimate` for large frames and many draws."""
+    effects = effect_table(draws, regions, interaction)
+    return _score_in_blocks(
+        cells, draws, effects, n_covariates, response, F.col(weight), key, None, seed, block_rows, block_draws
+    )
+
 
-    Cells of a district are split into blocks by key and draws into blocks by
+def mr_estimate_blocks(
+    interviews: DataFrame,
+    draws: DataFrame,
+    n_covariates: int,
+    regions: DataFrame,
+    response: str = "binary",
+    weight: str | None = None,
+    interaction: str = "adm1_index",
+    key: str = "unit_key",
+    seed: int = 1234,
+    block_rows: int = 2000,
+    block_draws: int = 100,
+) -> DataFrame:
+    """Same numbers as :func:`mr_estimate` for many interviews and draws."""
+    w = F.lit(1.0) if weight is None else F.col(weight)
+    effects = effect_table(draws, regions, interaction)
+    return _score_in_blocks(
+        interviews, draws, effects, n_covariates, response, w, key, "month_idx", seed, block_rows, block_draws
+    )
+
+
+def _score_in_blocks(
+    rows: DataFrame,
+    draws: DataFrame,
+    effects: DataFrame,
+    n_covariates: int,
+    response: str,
+    weight: Column,
+    key: str,
+    month: str | None,
+    seed: int,
+    block_rows: int,
+    block_draws: int,
+) -> DataFrame:
+    """Score blocks of rows against blocks of draws.
+
+    Rows of a district are split into blocks by key and draws into blocks by
     number; Spark joins the blocks on (district, draw block) and each pair is a
     matrix product in an Arrow batch that emits only weighted sums. The
-    cells x months x draws rows never exist, and a district with a third of all
-    cells is just more blocks.
+    rows x months x draws table never exists, and a district with a third of
+    all rows is just more blocks. With ``month`` each row counts in its own
+    month only, without it in every month.
     """
     if response not in ("pr", "binary"):
         raise ValueError("blocks support the responses 'pr' and 'binary'")
+    ship_package(rows.sparkSession)
     x = [F.col(f"x{k}").cast("double") for k in range(1, n_covariates + 1)]
-    share = cells.groupBy("adm2_index").agg(F.ceil(F.count(F.lit(1)) / block_cells).alias("n_blocks"))
-    packed_cells = (
-        cells.join(share, "adm2_index")
-        .withColumn("cell_block", F.pmod(F.xxhash64(key), F.col("n_blocks")))
-        .groupBy("adm2_index", "cell_block")
-        .agg(
-            F.collect_list(
-                F.struct(F.col(key).cast("bigint").alias("k"), F.col(weight).cast("double").alias("w"), F.array(*x).alias("x"))
-            ).alias("c")
-        )
+    own_month = F.lit(0) if month is None else F.col(month)
+    share = rows.groupBy("adm2_index").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_blocks"))
+    unit = F.struct(
+        own_month.cast("int").alias("t"),
+        F.col(key).cast("bigint").alias("k"),
+        weight.cast("double").alias("w"),
+        F.array(*x).alias("x"),
+    )
+    packed_rows = (
+        rows.join(share, "adm2_index")
+        .withColumn("row_block", F.pmod(F.xxhash64(key), F.col("n_blocks")))
+        .groupBy("adm2_index", "row_block")
+        .agg(F.array_sort(F.collect_list(unit)).alias("c"))
         .select(
             "adm2_index",
+            F.col("c.t").alias("row_months"),
             F.col("c.k").alias("keys"),
             F.col("c.w").alias("weights"),
             F.flatten(F.col("c.x")).alias("x"),
@@ -224,14 +278,14 @@ def mrp_estimate_blocks(
     draw_block = F.floor(F.col("draw") / block_draws).cast("int")
     blocks = draws.select(draw_block.alias("draw_block")).distinct().agg(F.collect_set("draw_block")).scalar()
     beta = F.array(F.col("b0"), *[F.col(f"b{k}") for k in range(1, n_covariates + 1)])
+    one_draw = F.struct("draw", F.col("e.month_idx").alias("m"), F.col("e.effect").alias("e"), beta.alias("b"))
     packed_draws = (
-        effect_table(draws, regions, interaction)
-        .groupBy("adm2_index", "draw")
+        effects.groupBy("adm2_index", "draw")
         .agg(F.array_sort(F.collect_list(F.struct("month_idx", "effect"))).alias("e"))
-        .join(coefficient_table(draws, n_covariates), "draw")
+        .join(coefficient_dimension(draws, n_covariates), "draw")
         .withColumn("draw_block", draw_block)
         .groupBy("adm2_index", "draw_block")
-        .agg(F.collect_list(F.struct("draw", F.col("e.month_idx").alias("m"), F.col("e.effect").alias("e"), beta.alias("b"))).alias("d"))
+        .agg(F.collect_list(one_draw).alias("d"))
         .select(
             "adm2_index",
             "draw_block",
@@ -241,9 +295,11 @@ def mrp_estimate_blocks(
             F.flatten(F.col("d.b")).alias("betas"),
         )
     )
-    pairs = packed_cells.withColumn("draw_block", F.explode(blocks)).join(packed_draws, ["adm2_index", "draw_block"])
-    partial = pairs.select("adm2_index", "keys", "weights", "x", "draws", "months", "effects", "betas").mapInArrow(
-        _block_scorer(n_covariates, response == "binary", seed),
+    pairs = packed_rows.withColumn("draw_block", F.explode(blocks)).join(packed_draws, ["adm2_index", "draw_block"])
+    partial = pairs.select(
+        "adm2_index", "row_months", "keys", "weights", "x", "draws", "months", "effects", "betas"
+    ).mapInArrow(
+        _block_scorer(n_covariates, response == "binary", month is not None, seed),
         "adm2_index int, month_idx int, draw int, wp double, wy double, w double",
     )
     sums = partial.groupBy(*RESULT_KEYS).agg(*[F.sum(c).alias(c) for c in ("wp", "wy", "w")])
@@ -261,8 +317,8 @@ def _mod_prime(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def uniform_matrix(keys: np.ndarray, month: int, draws: np.ndarray, seed: int) -> np.ndarray:
-    """Array form of :func:`keyed_uniform` for the keys (cell, month, draw)."""
+def uniform_matrix(keys: np.ndarray, month: int | np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Array form of :func:`keyed_uniform` for the keys (unit, month, draw)."""
     a, b, c = UNIFORM_MULTIPLIERS[:3]
     rows = (np.abs(keys) % UNIFORM_PRIME) * a + seed + month * b
     state = _mod_prime(rows[:, None] + ((np.abs(draws) % UNIFORM_PRIME) * c)[None, :])
@@ -272,33 +328,52 @@ def uniform_matrix(keys: np.ndarray, month: int, draws: np.ndarray, seed: int) -
     return state / float(UNIFORM_PRIME)
 
 
-def _block_scorer(n_covariates: int, binary: bool, seed: int):
+def _block_scorer(n_covariates: int, binary: bool, own_month: bool, seed: int):
     width = n_covariates + 1
 
+    def every_month(base, effects, keys, w, months, draws):
+        wp = np.empty((len(months), len(draws)))
+        wy = np.zeros_like(wp)
+        for t, month in enumerate(months):
+            p = 1.0 / (1.0 + np.exp(-(base + effects[:, t])))
+            wp[t] = w @ p
+            if binary:
+                wy[t] = w @ (uniform_matrix(keys, int(month), draws, seed) < p)
+        return months, wp, wy, np.full(len(months), w.sum())
+
+    def one_month(base, effects, keys, w, months, draws, row_months):
+        # rows arrive sorted by month
+        found, first = np.unique(row_months, return_index=True)
+        at = np.searchsorted(months, row_months)
+        p = 1.0 / (1.0 + np.exp(-(base + effects.T[at])))
+        wp = np.add.reduceat(w[:, None] * p, first, axis=0)
+        wy = np.zeros_like(wp)
+        if binary:
+            hit = uniform_matrix(keys, row_months.astype(np.int64), draws, seed) < p
+            wy = np.add.reduceat(w[:, None] * hit, first, axis=0)
+        return found, wp, wy, np.add.reduceat(w, first)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 cell = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-                keys, w, draws, months = cell("keys"), cell("weights"), cell("draws"), cell("months")
+                keys, w, months, row_months = cell("keys"), cell("weights"), cell("months"), cell("row_months")
+                draws = cell("draws").astype(np.int64)
                 betas = cell("betas").reshape(len(draws), width)
                 effects = cell("effects").reshape(len(draws), len(months))
                 base = cell("x").reshape(len(keys), n_covariates) @ betas[:, 1:].T + betas[:, 0]
-                wp = np.empty((len(months), len(draws)))
-                wy = np.zeros_like(wp)
-                for t, month in enumerate(months):
-                    p = 1.0 / (1.0 + np.exp(-(base + effects[:, t])))
-                    wp[t] = w @ p
-                    if binary:
-                        wy[t] = w @ (uniform_matrix(keys, int(month), draws.astype(np.int64), seed) < p)
-                size = wp.size
+                if own_month:
+                    found, wp, wy, total = one_month(base, effects, keys, w, months, draws, row_months)
+                else:
+                    found, wp, wy, total = every_month(base, effects, keys, w, months, draws)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(size, batch.column("adm2_index")[i].as_py(), dtype=np.int32)),
-                        pa.array(np.repeat(months, len(draws)).astype(np.int32)),
-                        pa.array(np.tile(draws, len(months)).astype(np.int32)),
+                        pa.array(np.full(wp.size, batch.column("adm2_index")[i].as_py(), dtype=np.int32)),
+                        pa.array(np.repeat(found, len(draws)).astype(np.int32)),
+                        pa.array(np.tile(draws, len(found)).astype(np.int32)),
                         pa.array(wp.ravel()),
                         pa.array(wy.ravel()),
-                        pa.array(np.full(size, w.sum())),
+                        pa.array(np.repeat(total, len(draws))),
                     ],
                     names=["adm2_index", "month_idx", "draw", "wp", "wy", "w"],
                 )

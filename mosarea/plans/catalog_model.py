@@ -447,7 +447,7 @@ def d6(spark, sf):
     phone = Wt.phone_interviews(st.interviews()).withColumn("adm1_name", F.initcap("adm1_name"))
     phone = Wt.attach_weights(phone, survey_weights(spark, sf))
     rows = numbered(phone, "joint", *KEYS, F.col("household_id").alias("unit_key"), "dmg_weight_ust")
-    estimate = Pr.mr_estimate(rows, st.posterior(), N_JOINT, st.regions, weight="dmg_weight_ust")
+    estimate = Pr.mr_estimate_blocks(rows, st.posterior(), N_JOINT, st.regions, weight="dmg_weight_ust")
     return rounded(estimate)
 
 
@@ -460,7 +460,7 @@ SWITCHED_SQL = f"(SELECT * EXCLUDE (x2, {', '.join(f'x{k}' for k in range(12, 21
 )
 def d7(spark, sf):
     st = Study(spark, sf)
-    return rounded(Pr.mr_estimate(st.counterfactual_rows(), st.posterior(), N_JOINT, st.regions))
+    return rounded(Pr.mr_estimate_blocks(st.counterfactual_rows(), st.posterior(), N_JOINT, st.regions))
 
 
 def cell_design_sql(source: str, mode: str) -> str:

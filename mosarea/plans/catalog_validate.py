@@ -53,7 +53,7 @@ def summarise(st: Study, prevalence, value="prev2"):
 
 
 def mr_phone_only(st):
-    return Pr.mr_estimate(st.scoring_rows("phone_only"), st.posterior(), N_PHONE, st.regions)
+    return Pr.mr_estimate_blocks(st.scoring_rows("phone_only"), st.posterior(), N_PHONE, st.regions)
 
 
 MR_UNITS = units_sql(PHONE_INTERVIEWS.format("phone_only"), N_PHONE)
@@ -72,8 +72,8 @@ def i1(spark, sf):
 def three_estimators(st):
     """Direct, regression and counterfactual regression estimates."""
     draws = st.posterior()
-    mr = Pr.mr_estimate(st.scoring_rows("phone_only"), draws, N_PHONE, st.regions)
-    face = Pr.mr_estimate(st.counterfactual_rows(), draws, N_JOINT, st.regions)
+    mr = Pr.mr_estimate_blocks(st.scoring_rows("phone_only"), draws, N_PHONE, st.regions)
+    face = Pr.mr_estimate_blocks(st.counterfactual_rows(), draws, N_JOINT, st.regions)
     return {
         ("Direct (mobile-phone)", ""): phone_wilson(st.spark, st.sf),
         ("MR", "mobile-phone-only"): summarise(st, mr),
@@ -181,7 +181,7 @@ VALIDATION_MONTHS = ("1997-05-01", "1998-05-01")
 def v1(spark, sf):
     st = Study(spark, sf)
     draws = st.posterior()
-    mr = lambda rows, n: summarise(st, Pr.mr_estimate(rows, draws, n, st.regions))
+    mr = lambda rows, n: summarise(st, Pr.mr_estimate_blocks(rows, draws, n, st.regions))
     mrp = lambda source, mode, n: summarise(st, Pr.mrp_estimate_blocks(st.frame_rows(source, mode), draws, n, st.regions))
     stacked = Va.stack_estimators(
         {

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "date": T.DateType()}
+
+
 def _schema(text: str) -> T.StructType:
-    """'name type, ...' with every field nullable; names may hold spaces if back-quoted."""
-    return T.StructType.fromDDL(text)
+    """Nullable fields from 'name type, name type'; a name may hold blanks."""
+    fields = [part.strip().rsplit(" ", 1) for part in text.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 PHONE_SURVEY = _schema(
@@ -28,11 +32,17 @@ POPULATION_SHARES = _schema(
     "HHHEduGrp_primary double, HHHEduGrp_secondary double, HHHEduGrp_higher double"
 )
 CENSUS_SHEET = _schema(
-    "Districts string, Ward string, `Total Households` double, `Total Population` double, "
-    "`Average Household Size` double"
+    "Districts string, Ward string, Total Households double, Total Population double, "
+    "Average Household Size double"
 )
 LABELS = _schema("variable string, code int, label string")
 MARGINS = _schema("margin string, var string, level string, freq double")
 LONG_DRAWS = _schema("chain int, iteration int, draw int, param string, i int, j int, value double")
 PREVALENCE = _schema("adm2_index int, month_idx int, draw int, prev double, prev2 double")
-DISTRICTS = _schema("adm1_name string, adm2_name string, ring array<struct<x: double, y: double>>")
+DISTRICTS = T.StructType(
+    [
+        T.StructField("adm1_name", T.StringType()),
+        T.StructField("adm2_name", T.StringType()),
+        T.StructField("ring", T.ArrayType(_schema("x double, y double"))),
+    ]
+)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -54,3 +56,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     written = df.checkpoint(eager=True)
     # fresh column identities: the result may be joined with its own inputs
     return written.select(*[F.col(f"`{name}`").alias(name) for name in written.columns])
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, once per application.
+
+    Same effect as ``spark-submit --py-files``, for sessions started elsewhere.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="mosarea-py-")) / "mosarea"
+    spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+    _SHIPPED.add(application)
