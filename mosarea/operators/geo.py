@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from mosarea.operators.aggregates import dense_index
 from mosarea.operators.joins import keep_members
+from mosarea.sources.tables import settle_dimension
 
 SNAP = 1e-8
 
@@ -68,7 +69,8 @@ def assign_points(
     equi join that never multiplies points, and the crossing test runs inside
     the row. Borders are half open: a point on a shared border gets one polygon.
     """
-    grid = _grid_candidates(edges, key, cell)
+    # squares of one country: settled so that points are not shuffled to meet them
+    grid = settle_dimension(_grid_candidates(edges, key, cell))
     located = points.withColumns(
         {"gx": F.floor(F.col(x) / cell).cast("bigint"), "gy": F.floor(F.col(y) / cell).cast("bigint")}
     ).join(grid, ["gx", "gy"], "left")

@@ -8,23 +8,27 @@ constrained scale, without a Jacobian for the positive parameters.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from mosarea.functions.expressions import (
+    HALF_LOG_TWO_PI,
     bernoulli_logit_log_mass,
     cauchy_log_density,
     normal_log_density,
     pc_precision_log_density,
 )
-from mosarea.operators.predict import linear_predictor
+from mosarea.operators.predict import block_pairs, effect_table, linear_predictor, read_pairs
 
 # Prior scales.
 FIXED_SD = 5.0
 AREA_SUM_SD = 0.001
 MONTH_SUM_SD = 0.01
 SIGMAS = ("sigma_phi", "sigma_theta", "sigma_nu", "sigma_xi", "sigma_psi")
+INDEPENDENT = ("theta", "xi", "psi")
 HYPER = ("pc_precision", "half_cauchy")
 
 
@@ -37,32 +41,93 @@ def log_likelihood(
     return eta.groupBy("draw").agg(F.sum(mass).alias("log_lik"))
 
 
+def log_likelihood_blocks(
+    patterns: DataFrame,
+    draws: DataFrame,
+    n_covariates: int,
+    regions: DataFrame,
+    interaction: str = "adm1_index",
+    block_rows: int = 2000,
+    block_draws: int = 100,
+) -> DataFrame:
+    """Same numbers as :func:`log_likelihood` for many patterns and draws.
+
+    Blocks of patterns meet blocks of draws as in post-stratification; a pair
+    gives one partial sum per draw.
+    """
+    effects = effect_table(draws, regions, interaction)
+    pairs = block_pairs(
+        patterns, draws, effects, n_covariates, F.col("n"), F.col("y"), "month_idx", block_rows, block_draws
+    )
+    return pairs.mapInArrow(_block_masses(n_covariates), "draw int, mass double").groupBy("draw").agg(
+        F.sum("mass").alias("log_lik")
+    )
+
+
+def _block_masses(n_covariates: int):
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair in read_pairs(batches, n_covariates):
+            eta = pair.base + pair.row_effects()
+            mass = pair.numbers @ eta - pair.weights @ (np.maximum(eta, 0.0) + np.log1p(np.exp(-np.abs(eta))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pair.draws.astype(np.int32)), pa.array(mass)], names=["draw", "mass"]
+            )
+
+    return sums
+
+
 def log_prior(draws: DataFrame, edges: DataFrame, hyper: str = "pc_precision") -> DataFrame:
-    """``(draw, log_prior)``; ``edges`` is the undirected neighbour list ``(node1, node2)``."""
+    """``(draw, log_prior)``; ``edges`` is the undirected neighbour list ``(node1, node2)``.
+
+    One aggregation per draw: sums of squares of the independent blocks, and the
+    two short arrays (areas, months) whose differences the smooth priors need.
+    """
     if hyper not in HYPER:
         raise ValueError(f"hyper must be one of {HYPER}")
-    sigma = _sigmas(draws)
-    u = lambda param: draws.where(F.col("param") == param).join(sigma, "draw").select(
-        "draw", "i", "j", (F.col("value") / F.col(f"sigma_{param}")).alias("u")
+    value = F.col("value")
+    of = lambda *params: F.when(F.col("param").isin(*params), value)
+    squares = lambda param: F.sum(of(param) * of(param)).alias(f"{param}_s2")
+    ordered = lambda param: F.array_sort(
+        F.collect_list(F.when(F.col("param") == param, F.struct("i", "value")))
+    ).alias(f"{param}_a")
+    per_draw = draws.groupBy("draw").agg(
+        *[squares(p) for p in INDEPENDENT],
+        *[F.count(of(p)).alias(f"{p}_n") for p in INDEPENDENT],
+        ordered("phi"),
+        ordered("nu"),
+        F.sum(F.when(F.col("param").isin("b0", "betas"), normal_log_density(value, 0.0, FIXED_SD))).alias("fixed"),
+        F.sum(F.when(F.col("param").isin(*SIGMAS), _hyper_density(value, hyper))).alias("hyper"),
+        *[F.max(of(name)).alias(name) for name in SIGMAS],
     )
-    standard = lambda df: df.groupBy("draw").agg(F.sum(normal_log_density(F.col("u"), 0.0, 1.0)).alias("t"))
-    terms = [
-        _icar(u("phi"), edges),
-        standard(u("theta")),
-        _random_walk(u("nu")),
-        standard(u("xi")),
-        standard(u("psi")),
-        draws.where(F.col("param").isin("b0", "betas"))
-        .groupBy("draw")
-        .agg(F.sum(normal_log_density(F.col("value"), 0.0, FIXED_SD)).alias("t")),
-        draws.where(F.col("param").isin(*SIGMAS))
-        .groupBy("draw")
-        .agg(F.sum(_hyper_density(F.col("value"), hyper)).alias("t")),
-    ]
-    stacked = terms[0].select("draw", "t")
-    for term in terms[1:]:
-        stacked = stacked.unionByName(term.select("draw", "t"))
-    return stacked.groupBy("draw").agg(F.sum("t").alias("log_prior"))
+    per_draw = per_draw.withColumn("edges", edges.agg(F.collect_list(F.struct("node1", "node2"))).scalar())
+    unscaled = lambda param: F.transform(
+        F.col(f"{param}_a"), lambda e: e["value"] / F.col(f"sigma_{param}")
+    )
+    total = F.col("fixed") + F.col("hyper")
+    total = total + icar_log_density(unscaled("phi"), F.col("edges")) + random_walk_log_density(unscaled("nu"))
+    for p in INDEPENDENT:
+        sigma = F.col(f"sigma_{p}")
+        total = total - 0.5 * F.col(f"{p}_s2") / (sigma * sigma) - F.col(f"{p}_n") * HALF_LOG_TWO_PI
+    return per_draw.select("draw", total.alias("log_prior"))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def icar_log_density(u: Column, neighbours: Column) -> Column:
+    """Pairwise differences over the neighbour list plus the soft sum-to-zero term."""
+    differences = F.transform(neighbours, lambda e: F.get(u, e["node1"] - 1) - F.get(u, e["node2"] - 1))
+    smooth = F.aggregate(differences, F.lit(0.0), lambda acc, d: acc + d * d)
+    return -0.5 * smooth + normal_log_density(_total(u), 0.0, AREA_SUM_SD * F.size(u))
+
+
+def random_walk_log_density(u: Column) -> Column:
+    """First month standard normal, then unit steps, with a soft sum-to-zero term."""
+    steps = F.transform(u, lambda x, k: x - F.coalesce(F.get(u, k - 1), F.lit(0.0)))
+    squares = F.aggregate(steps, F.lit(0.0), lambda acc, d: acc + d * d)
+    n = F.size(u)
+    return -0.5 * squares - n * HALF_LOG_TWO_PI + normal_log_density(_total(u), 0.0, MONTH_SUM_SD * n)
 
 
 def log_posterior(
@@ -75,7 +140,7 @@ def log_posterior(
     interaction: str = "adm1_index",
 ) -> DataFrame:
     return (
-        log_likelihood(patterns, draws, n_covariates, regions, interaction)
+        log_likelihood_blocks(patterns, draws, n_covariates, regions, interaction)
         .join(log_prior(draws, edges, hyper), "draw")
         .withColumn("log_post", F.col("log_lik") + F.col("log_prior"))
     )
@@ -85,34 +150,3 @@ def _hyper_density(sigma: Column, hyper: str) -> Column:
     if hyper == "half_cauchy":
         return cauchy_log_density(sigma)
     return pc_precision_log_density(1.0 / (sigma * sigma))
-
-
-def _sigmas(draws: DataFrame, names: Sequence[str] = SIGMAS) -> DataFrame:
-    """One row per draw with the five standard deviations."""
-    picked = draws.where(F.col("param").isin(*names))
-    return picked.groupBy("draw").agg(*[F.max(F.when(F.col("param") == n, F.col("value"))).alias(n) for n in names])
-
-
-def _icar(u: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairwise differences over the edge list plus the soft sum-to-zero term."""
-    left = edges.join(u.select("draw", F.col("i").alias("node1"), F.col("u").alias("u1")), "node1")
-    pairs = left.join(u.select("draw", F.col("i").alias("node2"), F.col("u").alias("u2")), ["draw", "node2"])
-    smooth = pairs.groupBy("draw").agg((-0.5 * F.sum(F.pow(F.col("u1") - F.col("u2"), F.lit(2)))).alias("s"))
-    total = u.groupBy("draw").agg(F.sum("u").alias("sum_u"), F.count(F.lit(1)).alias("n"))
-    return total.join(smooth, "draw", "left").select(
-        "draw",
-        (F.coalesce("s", F.lit(0.0)) + normal_log_density(F.col("sum_u"), 0.0, AREA_SUM_SD * F.col("n"))).alias("t"),
-    )
-
-
-def _random_walk(u: DataFrame) -> DataFrame:
-    """First month standard normal, then unit steps, with a soft sum-to-zero term."""
-    previous = F.lag("u", 1, 0.0).over(Window.partitionBy("draw").orderBy("i"))
-    steps = u.select("draw", "u", previous.alias("p"))
-    return steps.groupBy("draw").agg(
-        F.sum(normal_log_density(F.col("u") - F.col("p"), 0.0, 1.0)).alias("w"),
-        F.sum("u").alias("sum_u"),
-        F.count(F.lit(1)).alias("n"),
-    ).select(
-        "draw", (F.col("w") + normal_log_density(F.col("sum_u"), 0.0, MONTH_SUM_SD * F.col("n"))).alias("t")
-    )

@@ -8,6 +8,7 @@ and covariates ``x1 .. xB``.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from mosarea.functions.expressions import (
     logistic,
 )
 from mosarea.functions.recode import interactions
-from mosarea.session import ship_package
+from mosarea.session import cut_lineage, ship_package
 from mosarea.sources.tables import settle_dimension
 
 RESPONSES = ("pr", "binary", "binomial")
@@ -241,36 +242,66 @@ def _score_in_blocks(
     block_rows: int,
     block_draws: int,
 ) -> DataFrame:
-    """Score blocks of rows against blocks of draws.
-
-    Rows of a district are split into blocks by key and draws into blocks by
-    number; Spark joins the blocks on (district, draw block) and each pair is a
-    matrix product in an Arrow batch that emits only weighted sums. The
-    rows x months x draws table never exists, and a district with a third of
-    all rows is just more blocks. With ``month`` each row counts in its own
-    month only, without it in every month.
+    """Weighted sums of each pair of blocks, added up per district, month and draw.
+
+    With ``month`` each row counts in its own month only, without it in every
+    month.
     """
     if response not in ("pr", "binary"):
         raise ValueError("blocks support the responses 'pr' and 'binary'")
+    pairs = block_pairs(rows, draws, effects, n_covariates, weight, F.col(key), month, block_rows, block_draws)
+    partial = pairs.mapInArrow(
+        _block_scorer(n_covariates, response == "binary", month is not None, seed),
+        "adm2_index int, month_idx int, draw int, wp double, wy double, w double",
+    )
+    sums = partial.groupBy(*RESULT_KEYS).agg(*[F.sum(c).alias(c) for c in ("wp", "wy", "w")])
+    columns = [(F.col("wp") / F.col("w")).alias("prev")]
+    if response == "binary":
+        columns.append((F.col("wy") / F.col("w")).alias("prev2"))
+    return sums.select(*RESULT_KEYS, *columns)
+
+
+def block_pairs(
+    rows: DataFrame,
+    draws: DataFrame,
+    effects: DataFrame,
+    n_covariates: int,
+    weight: Column,
+    number: Column,
+    month: str | None,
+    block_rows: int,
+    block_draws: int,
+) -> DataFrame:
+    """Every block of rows beside every block of draws of its district.
+
+    Rows of a district are split into blocks by hash and draws into blocks by
+    number; Spark joins the blocks on (district, draw block), and a task then
+    works on one pair as matrices. The rows x months x draws table never
+    exists, and a district with a third of all rows is just more blocks.
+    ``number`` is a whole number carried with each row.
+    """
     ship_package(rows.sparkSession)
+    # read twice, for counts and for packing: written once instead of derived twice
+    rows = cut_lineage(rows)
     x = [F.col(f"x{k}").cast("double") for k in range(1, n_covariates + 1)]
     own_month = F.lit(0) if month is None else F.col(month)
-    share = rows.groupBy("adm2_index").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_blocks"))
+    # one row per district, settled so that the rows are not shuffled to meet it
+    counts = rows.groupBy("adm2_index").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_blocks"))
     unit = F.struct(
         own_month.cast("int").alias("t"),
-        F.col(key).cast("bigint").alias("k"),
+        number.cast("bigint").alias("k"),
         weight.cast("double").alias("w"),
         F.array(*x).alias("x"),
     )
     packed_rows = (
-        rows.join(share, "adm2_index")
-        .withColumn("row_block", F.pmod(F.xxhash64(key), F.col("n_blocks")))
+        rows.join(settle_dimension(counts), "adm2_index")
+        .withColumn("row_block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("n_blocks")))
         .groupBy("adm2_index", "row_block")
         .agg(F.array_sort(F.collect_list(unit)).alias("c"))
         .select(
             "adm2_index",
             F.col("c.t").alias("row_months"),
-            F.col("c.k").alias("keys"),
+            F.col("c.k").alias("numbers"),
             F.col("c.w").alias("weights"),
             F.flatten(F.col("c.x")).alias("x"),
         )
@@ -296,17 +327,45 @@ def _score_in_blocks(
         )
     )
     pairs = packed_rows.withColumn("draw_block", F.explode(blocks)).join(packed_draws, ["adm2_index", "draw_block"])
-    partial = pairs.select(
-        "adm2_index", "row_months", "keys", "weights", "x", "draws", "months", "effects", "betas"
-    ).mapInArrow(
-        _block_scorer(n_covariates, response == "binary", month is not None, seed),
-        "adm2_index int, month_idx int, draw int, wp double, wy double, w double",
+    return pairs.select(
+        "adm2_index", "row_months", "numbers", "weights", "x", "draws", "months", "effects", "betas"
     )
-    sums = partial.groupBy(*RESULT_KEYS).agg(*[F.sum(c).alias(c) for c in ("wp", "wy", "w")])
-    columns = [(F.col("wp") / F.col("w")).alias("prev")]
-    if response == "binary":
-        columns.append((F.col("wy") / F.col("w")).alias("prev2"))
-    return sums.select(*RESULT_KEYS, *columns)
+
+
+@dataclass
+class BlockPair:
+    """Arrays of one pair: rows sorted by month, draws, effects draws x months."""
+
+    area: int
+    row_months: np.ndarray
+    numbers: np.ndarray
+    weights: np.ndarray
+    draws: np.ndarray
+    months: np.ndarray
+    effects: np.ndarray
+    base: np.ndarray
+
+    def row_effects(self) -> np.ndarray:
+        """Effects rows x draws of each row's own month."""
+        return self.effects.T[np.searchsorted(self.months, self.row_months)]
+
+
+def read_pairs(batches: Iterator[pa.RecordBatch], n_covariates: int) -> Iterator[BlockPair]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            cell = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
+            numbers, months, draws = cell("numbers"), cell("months"), cell("draws").astype(np.int64)
+            betas = cell("betas").reshape(len(draws), n_covariates + 1)
+            yield BlockPair(
+                area=batch.column("adm2_index")[i].as_py(),
+                row_months=cell("row_months").astype(np.int64),
+                numbers=numbers,
+                weights=cell("weights"),
+                draws=draws,
+                months=months,
+                effects=cell("effects").reshape(len(draws), len(months)),
+                base=cell("x").reshape(len(numbers), n_covariates) @ betas[:, 1:].T + betas[:, 0],
+            )
 
 
 def _mod_prime(x: np.ndarray) -> np.ndarray:
@@ -329,54 +388,41 @@ def uniform_matrix(keys: np.ndarray, month: int | np.ndarray, draws: np.ndarray,
 
 
 def _block_scorer(n_covariates: int, binary: bool, own_month: bool, seed: int):
-    width = n_covariates + 1
-
-    def every_month(base, effects, keys, w, months, draws):
-        wp = np.empty((len(months), len(draws)))
+    def every_month(pair: BlockPair):
+        wp = np.empty((len(pair.months), len(pair.draws)))
         wy = np.zeros_like(wp)
-        for t, month in enumerate(months):
-            p = 1.0 / (1.0 + np.exp(-(base + effects[:, t])))
-            wp[t] = w @ p
+        for t, month in enumerate(pair.months):
+            p = 1.0 / (1.0 + np.exp(-(pair.base + pair.effects[:, t])))
+            wp[t] = pair.weights @ p
             if binary:
-                wy[t] = w @ (uniform_matrix(keys, int(month), draws, seed) < p)
-        return months, wp, wy, np.full(len(months), w.sum())
-
-    def one_month(base, effects, keys, w, months, draws, row_months):
-        # rows arrive sorted by month
-        found, first = np.unique(row_months, return_index=True)
-        at = np.searchsorted(months, row_months)
-        p = 1.0 / (1.0 + np.exp(-(base + effects.T[at])))
-        wp = np.add.reduceat(w[:, None] * p, first, axis=0)
+                wy[t] = pair.weights @ (uniform_matrix(pair.numbers, int(month), pair.draws, seed) < p)
+        return pair.months, wp, wy, np.full(len(pair.months), pair.weights.sum())
+
+    def one_month(pair: BlockPair):
+        found, first = np.unique(pair.row_months, return_index=True)
+        p = 1.0 / (1.0 + np.exp(-(pair.base + pair.row_effects())))
+        w = pair.weights[:, None]
+        wp = np.add.reduceat(w * p, first, axis=0)
         wy = np.zeros_like(wp)
         if binary:
-            hit = uniform_matrix(keys, row_months.astype(np.int64), draws, seed) < p
-            wy = np.add.reduceat(w[:, None] * hit, first, axis=0)
-        return found, wp, wy, np.add.reduceat(w, first)
+            hit = uniform_matrix(pair.numbers, pair.row_months, pair.draws, seed) < p
+            wy = np.add.reduceat(w * hit, first, axis=0)
+        return found, wp, wy, np.add.reduceat(pair.weights, first)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                cell = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-                keys, w, months, row_months = cell("keys"), cell("weights"), cell("months"), cell("row_months")
-                draws = cell("draws").astype(np.int64)
-                betas = cell("betas").reshape(len(draws), width)
-                effects = cell("effects").reshape(len(draws), len(months))
-                base = cell("x").reshape(len(keys), n_covariates) @ betas[:, 1:].T + betas[:, 0]
-                if own_month:
-                    found, wp, wy, total = one_month(base, effects, keys, w, months, draws, row_months)
-                else:
-                    found, wp, wy, total = every_month(base, effects, keys, w, months, draws)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(wp.size, batch.column("adm2_index")[i].as_py(), dtype=np.int32)),
-                        pa.array(np.repeat(found, len(draws)).astype(np.int32)),
-                        pa.array(np.tile(draws, len(found)).astype(np.int32)),
-                        pa.array(wp.ravel()),
-                        pa.array(wy.ravel()),
-                        pa.array(np.repeat(total, len(draws))),
-                    ],
-                    names=["adm2_index", "month_idx", "draw", "wp", "wy", "w"],
-                )
+        for pair in read_pairs(batches, n_covariates):
+            found, wp, wy, total = one_month(pair) if own_month else every_month(pair)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(wp.size, pair.area, dtype=np.int32)),
+                    pa.array(np.repeat(found, len(pair.draws)).astype(np.int32)),
+                    pa.array(np.tile(pair.draws, len(found)).astype(np.int32)),
+                    pa.array(wp.ravel()),
+                    pa.array(wy.ravel()),
+                    pa.array(np.repeat(total, len(pair.draws))),
+                ],
+                names=["adm2_index", "month_idx", "draw", "wp", "wy", "w"],
+            )
 
     return score
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from mosarea.operators.aggregates import share_of_total, stacked_groups
 from mosarea.session import cut_lineage
-from mosarea.sources.tables import local_table
+from mosarea.sources.tables import local_table, settle_dimension
 
 # Tolerance relative to the weight total, and allowed sweeps.
 TOLERANCE = 1e-9
@@ -227,7 +227,7 @@ def _weighted_rows(frame: DataFrame, tab: _CrossTab, factors: Sequence[np.ndarra
         product = product * _lookup(factor, F.col(f"c{k}"))
     cells = tab.table.select(*tab.variables, (product / (total / tab.rows)).alias("__factor"))
     return (
-        frame.join(cells, tab.variables)
+        frame.join(settle_dimension(cells), tab.variables)
         .withColumn(weight, F.col(weight) * F.col("__factor"))
         .select(*frame.columns)
     )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from mosarea.functions.expressions import title_case
 from mosarea.functions.nulls import member, weighted_mean
 from mosarea.functions.recode import EDUCATION_LEVELS, in_domain, poor_flag
+from mosarea.sources.tables import settle_dimension
 
 # Share columns of the population sheet -> education level
 SHARE_COLUMNS = {
@@ -68,15 +69,16 @@ def attach_weights(interviews: DataFrame, weights: DataFrame) -> DataFrame:
 def normalised_weights(weighted: DataFrame) -> DataFrame:
     """Interviews with ``dmg_weight_norm`` adding to 1 in every district and month.
 
-    The totals come from a partial aggregate joined back: a window would sort
-    all interviews of a busy district-month in one task.
+    The totals come from a partial aggregate, one row per district and month,
+    settled and joined back: a window would sort all interviews of a busy
+    district-month in one task.
     """
     w = F.col("dmg_weight_ust")
     totals = weighted.groupBy("adm2_name", "obs_month").agg(
         F.when(F.count(w) == F.count(F.lit(1)), F.sum(w)).alias("__total")
     )
     return (
-        weighted.join(totals, ["adm2_name", "obs_month"], "left")
+        weighted.join(settle_dimension(totals), ["adm2_name", "obs_month"], "left")
         .withColumn("dmg_weight_norm", w / F.col("__total"))
         .drop("__total")
     )

@@ -96,11 +96,11 @@ class Study:
         return numbered(switched, "joint", *KEYS, F.col("household_id").alias("unit_key"))
 
     def frame_rows(self, source, mode="joint"):
-        """Scoring cells of one frame, written once: small next to the survey files behind it."""
+        """Scoring cells of one frame."""
         cells = model_frame(self.spark, self.sf).where(F.col("popframe_source") == source)
         cells = cells.withColumn("unit_key", text_key(*[F.col(c) for c in CELL_TEXT_KEYS]))
         design = De.frame_design(cells, self.regions)
-        return cut_lineage(numbered(design, mode, "adm2_index", "unit_key", "pop_weight"))
+        return numbered(design, mode, "adm2_index", "unit_key", "pop_weight")
 
     def patterns(self, mode="joint"):
         return De.patterns(self.interviews(mode), De.covariates(mode), KEYS)
@@ -315,6 +315,17 @@ def m5_district(spark, sf):
     return _log_posterior(spark, sf, "pc_precision", "adm2_index")
 
 
+@query(
+    "m5_log_likelihood_relational",
+    with_views(
+        f"SELECT draw, {R('log_lik', 5)} AS log_lik FROM lik", *D_VIEWS, **MODEL_CTE, patterns=PATTERNS_SQL, lik=LIKELIHOOD_SQL
+    ),
+)
+def m5_relational(spark, sf):
+    st = Study(spark, sf)
+    return rounded(Lp.log_likelihood(st.patterns(), st.posterior(), N_JOINT, st.regions), 5)
+
+
 SHOWN_PARAMS = ("b0", "betas", *Lp.SIGMAS)
 NAME_SQL = "CASE param WHEN 'b0' THEN 'Intercept' WHEN 'betas' THEN " + "CASE i " + " ".join(
     f"WHEN {k} THEN '{n}'" for k, n in enumerate(De.covariates("joint"), 1)

@@ -168,9 +168,11 @@ def test_pc_prior_and_icar(spark):
     ).first()
     assert values.a == pytest.approx(-3.77113774074, abs=1e-9)
     assert values.b == pytest.approx(-3.54799418943, abs=1e-9)
-    u = local_table(spark, [(1, 1, 0.5), (1, 2, -0.25), (1, 3, -0.25)], "draw int, i int, u double")
-    edges = local_table(spark, [(1, 2), (2, 3)], "node1 int, node2 int")
-    assert Lp._icar(u, edges).first().t == pytest.approx(4.60895445711, abs=1e-9)
+    path = spark.range(1).select(
+        F.lit([0.5, -0.25, -0.25]).alias("u"),
+        F.array(*[F.struct(F.lit(a).alias("node1"), F.lit(a + 1).alias("node2")) for a in (1, 2)]).alias("e"),
+    )
+    assert one(path.select(Lp.icar_log_density(F.col("u"), F.col("e")))) == pytest.approx(4.60895445711, abs=1e-9)
 
 
 def test_null_rules(spark):
