@@ -109,13 +109,7 @@ def tie_groups(df: DataFrame, keys: Sequence[str], value: str, **counts: Column)
 
 
 def value_buckets(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Increasing cut points that split the distinct values into even ranges.
-
-    ``buckets=1`` asks for no cuts and runs no job: right for groups whose size
-    is bounded, such as the districts of one month.
-    """
-    if buckets <= 1:
-        return []
+    """Increasing cut points that split the distinct values into even ranges."""
     probabilities = [k / buckets for k in range(1, buckets)]
     found = df.agg(F.percentile_approx(value, probabilities, 10000)).first()[0] or []
     return sorted(set(found))
@@ -179,7 +173,17 @@ def global_quantiles(counted: DataFrame, value: str, freq: str, probabilities: S
 
 
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, buckets: int = 64) -> DataFrame:
-    """``df`` with the average-tie rank of ``value`` inside ``keys`` (nulls keep a null rank)."""
+    """``df`` with the average-tie rank of ``value`` inside ``keys`` (nulls keep a null rank).
+
+    ``buckets=1`` ranks each group with a plain window: for groups whose size is
+    bounded, such as the districts of one month. Otherwise counted distinct
+    values are ranked by value ranges and joined back.
+    """
+    if buckets <= 1:
+        order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
+        rank = F.rank().over(order) + (ties - 1) / 2.0
+        return df.withColumn(name, F.when(F.col(value).isNotNull(), rank))
     present = df.where(F.col(value).isNotNull())
     groups = tie_groups(present, keys, value, __ties=F.count(F.lit(1)))
     ranked = running_totals(groups, keys, value, {"__ties": "__below"}, buckets)
