@@ -357,7 +357,10 @@ def f6_two(spark, sf):
 
 
 def raked_frame(spark, sf):
-    return Rk.rake(completed(spark, sf), rake_margins(spark, sf)).weighted
+    """All districts of the census, missing strata completed, raked to convergence."""
+    frame = cells(spark, sf)
+    full = Fr.complete_strata(frame, Fr.missing_strata(frame))
+    return Rk.rake(full, rake_margins(spark, sf)).weighted
 
 
 @query("f6_rake_converged")
