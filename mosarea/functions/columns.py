@@ -65,11 +65,15 @@ def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
 
 def round_numeric(df: DataFrame, digits: int, keep: Sequence[str] = ()) -> DataFrame:
-    """Round every floating column except ``keep``."""
+    """Round every floating column except ``keep``.
+
+    Values are first cut to 9 decimals: a mean that ends in a 5 then rounds the
+    same way in whatever order its terms were added.
+    """
     floating = (T.DoubleType, T.FloatType)
     return df.select(
         *[
-            F.round(F.col(field.name), digits).alias(field.name)
+            F.round(F.round(F.col(field.name), 9), digits).alias(field.name)
             if isinstance(field.dataType, floating) and field.name not in keep
             else F.col(field.name)
             for field in df.schema.fields

@@ -245,8 +245,8 @@ def v4(spark, sf):
 
 
 LABEL_SQL = "CASE type_model " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in Va.TYPE_MODEL_LABELS.items()) + " ELSE type_model END"
-TABLE_SQL = f"""SELECT {LABEL_SQL} AS type_model, strftime(obs_month, '%Y %b') AS month, obs_month, model, type, {', '.join(f'{R(m, 3)} AS {m}' for m in METRIC_NAMES)},
-  {', '.join(f"(SELECT {R(f'avg({m}{t})', 3)} FROM compared c WHERE c.type_model = k.type_model AND c.obs_month = k.obs_month) AS {m}{t}" for t in ('80', '90') for m in ('coverage', 'ci_length'))}
+TABLE_SQL = f"""SELECT {LABEL_SQL} AS type_model, strftime(obs_month, '%Y %b') AS month, obs_month, model, type, {', '.join(f'{R(R(m), 3)} AS {m}' for m in METRIC_NAMES)},
+  {', '.join(f"(SELECT {R(R(f'avg({m}{t})'), 3)} FROM compared c WHERE c.type_model = k.type_model AND c.obs_month = k.obs_month) AS {m}{t}" for t in ('80', '90') for m in ('coverage', 'ci_length'))}
   FROM ({METRICS_SQL}) k"""
 
 
