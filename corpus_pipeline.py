@@ -1,4 +1,8 @@
-"""Documents to packed training sequences."""
+"""From raw documents to packed training sequences.
+
+Quality classifier, near-dedup, benchmark decontamination, personal data, packing: each stage
+works on all rows that the stage before it kept.
+"""
 
 from __future__ import annotations
 
@@ -7,36 +11,71 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mosarea.llm import decontam, packing
+from mosarea.llm import decontam, minhash, packing, pii, quality
 from mosarea.llm.maps import RESULT
-from mosarea.session import _ensure_checkpoint_dir
+from mosarea.llm.queries import site_columns
+from mosarea.session import shared_folder
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier and their site call good; texts without words go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    host, path = site_columns()
+    judged = quality.classify(docs, labels, host, path)
+    return judged.where("__good").select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one with the group's smallest id; of repeated rows one stays.
+
+    Shingles of five words, similarity 0.8 or more.
+    """
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without contamination by the benchmark."""
+    """Documents that are not contaminated by the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.find_contamination(docs, benchmark)
-    return found.where(~decontam.contaminated(F.col(RESULT))).drop(RESULT)
+    return found.where(~decontam.contaminated(F.col(RESULT))).select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; personal data is replaced by its kind in brackets, and ``n_chars`` follows."""
+    found = pii.find_personal_data(docs)
+    spans = F.col(RESULT)["spans"]
+    touched = F.size(spans) > 0
+    masked = F.when(touched, pii.mask(F.col("text"), spans)).otherwise(F.col("text"))
+    return (
+        found.withColumn("__masked", masked)
+        .withColumn("n_chars", F.when(touched, F.length("__masked").cast("long")).otherwise(F.col("n_chars")))
+        .withColumn("text", F.col("__masked"))
+        .select(docs.columns)
+    )
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents in sequences of 4,096 tokens."""
+    """Pieces of the documents in sequences of at most 4,096 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
+    ("quality classifier", quality_classifier),
+    ("near-dedup", near_dedup),
     ("benchmark decontamination", benchmark_decontamination),
+    ("personal data", personal_data),
     ("packing", pack),
 ]
 
-#: several stages cannot be said in SQL
+#: classifier, field and packing cannot be said in SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; each stage's rows are written to the shared folder and read again."""
-    _ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")

@@ -33,7 +33,8 @@ def map_texts(
     """
     ship_package(df.sparkSession)
     keep = list(df.columns if keep is None else keep)
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
+    # plain names inside: those of the columns may hold dots or clash
+    source = df.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(RESULT, fields)])
     width = len(keep)
     result_type = to_arrow_type(fields)
@@ -42,11 +43,13 @@ def map_texts(
         function = make()
         for batch in batches:
             for part, data, offsets in slices(batch, "__text", most):
+                part = part.rename_columns([*keep, "__text"])
                 arrays = [a.cast(result_type.field(k).type) if a.type != result_type.field(k).type else a for k, a in enumerate(function(data, offsets, part))]
                 found = pa.StructArray.from_arrays(arrays, fields=list(result_type))
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], found], names=[*part.schema.names[:width], RESULT])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], found], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    mapped = source.mapInArrow(run, schema)
+    return mapped.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], RESULT)
 
 
 def ragged(values: pa.Array, limits: np.ndarray) -> pa.Array:

@@ -98,7 +98,7 @@ def best_fill(room: int, counts: dict[int, int], order: list[int], placed: int)
     """How many of each length to add to a window that holds ``placed`` and has ``room`` left.
 
     The total is the closest to ``room`` from below. If the window cannot be filled, a total that
-    makes its length a power of two, which needs no padding, is preferred.
+    makes its length a power of two of at least half of it, which needs no padding, is preferred.
     """
     if room <= 0:
         return {}
@@ -117,7 +117,7 @@ def best_fill(room: int, counts: dict[int, int], order: list[int], placed: int)
             break
     total = reach.bit_length() - 1
     if total < room:
-        for k in range((placed + room).bit_length(), -1, -1):
+        for k in ((placed + room).bit_length() - 1, (placed + room).bit_length() - 2):
             if placed <= 1 << k <= placed + room and reach >> ((1 << k) - placed) & 1:
                 total = (1 << k) - placed
                 break

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mosarea.llm import chat, decontam, packing, sharding, tokencount
+from mosarea.llm import bm25, chat, decontam, minhash, packing, pii, quality, secrets, sharding, tokencount
 from mosarea.llm.maps import RESULT
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,69 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _lower_words(pattern: str, text: str = "text") -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{pattern}')"
+
+
+@_query(
+    "op1_near_duplicates",
+    rf"""
+WITH RECURSIVE worded AS (SELECT doc_id, {_lower_words(r"[^\x20\x09-\x0D]+")} AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS p FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+rare AS (
+  SELECT s.doc_id, s.s, z.n, row_number() OVER (PARTITION BY s.doc_id ORDER BY f.n, s.s) AS r
+  FROM shingles s JOIN sizes z USING (doc_id) JOIN (SELECT s, count(*) AS n FROM shingles GROUP BY s) f ON f.s = s.s),
+pairs AS (
+  SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM rare x JOIN rare y ON x.s = y.s AND x.doc_id < y.doc_id
+  WHERE x.r <= x.n - ceil(0.8 * x.n - 1e-9) + 1 AND y.r <= y.n - ceil(0.8 * y.n - 1e-9) + 1 AND least(x.n, y.n) * 100 >= greatest(x.n, y.n) * 80),
+links AS (
+  SELECT a, b FROM pairs p JOIN shingles x ON x.doc_id = a JOIN shingles y ON y.doc_id = b AND y.s = x.s
+    JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b
+  GROUP BY a, b, m.n, n.n HAVING count(*) * 100 >= (m.n + n.n - count(*)) * 80),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON l.a = r.b)
+SELECT d.doc_id, coalesce(z.n, 0) AS n_shingles, c.label AS component_id, d.doc_id = c.label AS kept
+FROM documents d LEFT JOIN sizes z USING (doc_id) JOIN (SELECT a, min(b) AS label FROM reach GROUP BY a) c ON c.a = d.doc_id""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=2)
+
+
 @_query("op2_packing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def site_columns() -> tuple[F.Column, F.Column]:
+    """Host and path of a document: its source, and the source's part in one language."""
+    return F.col("source"), F.concat_ws("/", "source", "lang")
+
+
+@_query("op3_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host, path = site_columns()
+    judged = quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), host, path, keep=["doc_id"])
+    return judged.select(
+        "doc_id",
+        F.round("__evidence", 6).alias("evidence"),
+        F.round("__prior", 6).alias("site_prior"),
+        F.round("__posterior", 6).alias("quality"),
+        F.col("__good").alias("keep"),
+    )
+
+
+@_query("op4_secrets")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owner, repository = site_columns()
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"), owner, repository)
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", secrets.spans_text(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: s["kind"] == "live")).cast("long").alias("n_live"),
+    )
+
+
 @_query("op5_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(
@@ -45,6 +103,39 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", f"{RESULT}.n_bytes", f"{RESULT}.n_tokens", (F.col(f"{RESULT}.n_tokens") > 512).alias("over_limit"))
 
 
+@_query("op6_personal_data")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    result = F.col(RESULT)
+    return found.select(
+        "doc_id",
+        *[result[f"n_{kind}"].alias(f"n_{kind}") for kind in pii.KINDS],
+        result["base_sha256"].alias("base_sha256"),
+        pii.spans_text(result["spans"]).alias("spans"),
+        result["n_added"].alias("n_added"),
+    )
+
+
+@_query(
+    "op7_bm25_top_k",
+    rf"""
+WITH worded AS (SELECT doc_id, {_lower_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} AS w FROM documents),
+totals AS (SELECT count(*) AS n, CAST(sum(len(w)) AS DOUBLE) / count(*) AS average FROM worded),
+tf AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS word FROM worded) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM tf GROUP BY word),
+weights AS (
+  SELECT tf.doc_id, word, CAST(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / average))) * 1000000) AS BIGINT) AS v
+  FROM tf JOIN df USING (word) JOIN worded d ON d.doc_id = tf.doc_id, totals),
+scores AS (
+  SELECT q.doc_id AS query_id, x.doc_id, sum(x.v) AS score FROM weights q JOIN weights x USING (word) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores)
+SELECT query_id, rank, doc_id, CAST(score AS DOUBLE) / 1000000 AS score FROM ranked WHERE rank <= 10""",
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.top_k(documents, documents.where("doc_id % 100 = 0"))
+
+
 @_query(
     "op8_decontamination",
     rf"""
