@@ -13,8 +13,17 @@ from pyspark.sql import DataFrame, functions as F
 from mosarea.session import cut_lineage
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+#: edges that one task reads; small graphs are not spread over more tasks than they need
+TASK_EDGES = 200_000
+
+
+def _settled(edges: DataFrame) -> tuple[DataFrame, bool]:
+    """Edges written once and read by few tasks, and whether they are stars already."""
+    written = cut_lineage(edges)
+    rows, nodes = written.agg(F.count("*"), F.countDistinct("u")).first()
+    written = written.coalesce(max(1, -(-rows // TASK_EDGES)))
+    # a star: every node has one edge, to a smaller node that has none of its own
+    return written, rows == nodes and written.join(written.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()
 
 
 def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,19 +32,13 @@ def star_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Self-loops and repeated edges are allowed; null ends are dropped.
     """
     ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(a).isNotNull() & F.col(b).isNotNull())
-    stars = cut_lineage(ends.where(ends[2]).where("u <> v").select("u", "v").distinct())
-    mark = _fingerprint(stars)
-    while mark[0]:
+    stars, done = _settled(ends.where(ends[2]).where("u <> v").select("u", "v").distinct())
+    while not done:
         both = stars.select(F.col("u").alias("x"), F.col("v").alias("y")).unionAll(stars.select("v", "u"))
         low = both.groupBy("x").agg(F.least("x", F.min("y")).alias("m"))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         pointed = large.join(small, "u")
         turned = pointed.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars_next = cut_lineage(turned.unionAll(pointed.select("u", F.col("m").alias("v"))).distinct())
-        mark_next = _fingerprint(stars_next)
-        stars = stars_next
-        if mark_next == mark:
-            break
-        mark = mark_next
+        stars, done = _settled(turned.unionAll(pointed.select("u", F.col("m").alias("v"))).distinct())
     return stars.select(F.col("u").alias("id"), F.col("v").alias("label"))

@@ -6,11 +6,13 @@ densification), so two sets agree in a bin with probability equal to their
 similarity. ``rows`` bins make a band; equal bands put documents in one bucket. With 40
 bands of 6, a pair at similarity 0.8 shares no bucket with probability 5e-6.
 
-A bucket gives a star of candidate edges from its smallest document, not all pairs.
-Candidates are confirmed on the full sets of 64-bit shingle hashes. Stars alone
-would lose a link between two leaves whose hub resembles neither, so further hubs
-follow, but only in buckets whose members are still in different components, and only
-towards members of another component: most buckets end with the first star.
+A bucket gives a star of candidate edges from its smallest document, not all pairs;
+a document takes the hub that it meets in most buckets. Candidates are confirmed on the
+full sets of 64-bit shingle hashes. Stars alone would lose a link between two leaves whose
+hub resembles neither. So the documents of buckets whose members are still in
+different components are compared once more, exactly and without all pairs: two
+sets above the threshold share one of their rarest shingles near the front of both, and
+only pairs of different components that do are confirmed.
 
 Equal sets are one node throughout, so groups of exact copies cost one row.
 """
@@ -29,8 +31,6 @@ from mosarea.llm.words import NOT_BLANK, U64, find_words, mix, shingle_hashes
 from mosarea.session import cut_lineage
 
 BANDS, ROWS = 40, 6
-#: hubs of an unsettled bucket by rank, round by round; the last round takes all that are left
-HUB_ROUNDS = ((0, 1), (1, 8), (8, 64), (64, None))
 
 SKETCH = T.StructType(
     [
@@ -170,9 +170,7 @@ def _labels(documents: DataFrame, doc_id: str, text: str, shingle: int, percent:
     nodes = usable.join(classes.withColumnRenamed("rep", "id"), ["id", "s1", "s2", "n"], "left_semi")
     placed = nodes.select(F.explode("bands").alias("bucket"), "id", "n")
     buckets = cut_lineage(placed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last"))
-    members = placed.join(buckets.select("bucket", "hub"), "bucket")
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("id", "n")) - 1
-    members = cut_lineage(members.withColumn("rank", rank))
+    members = cut_lineage(placed.join(buckets.select("bucket", "hub"), "bucket"))
 
     candidates = members.select("id").distinct()
     source = documents.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
@@ -184,21 +182,36 @@ def _labels(documents: DataFrame, doc_id: str, text: str, shingle: int, percent:
     edges = best.select(F.col("id").alias("a"), (-F.col("best.hub")).alias("b"))
     labels = star_components(confirm(edges, sets, percent))
 
-    for low, high in HUB_ROUNDS:
-        known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        open_ = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-        unsettled = cut_lineage(known.join(open_.select("bucket"), "bucket"))
-        ranks = F.col("rank") >= low if high is None else F.col("rank").between(low, high - 1)
-        hubs = unsettled.where(ranks).select(
-            "bucket", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), F.col("label").alias("lb")
-        )
-        pairs = (
-            hubs.join(unsettled, "bucket")
-            .where((F.col("rank") > F.col("rb")) & (F.col("label") != F.col("lb")) & _sizes_allow(percent, "n", "nb"))
-            .select(F.col("id").alias("a"), "b")
-            .distinct()
-        )
-        found = cut_lineage(confirm(pairs, sets, percent))
-        if not found.isEmpty():
-            labels = star_components(found.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
-    return labels
+    # buckets whose members are still apart
+    known = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    apart = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    unsettled = cut_lineage(known.join(apart.select("bucket"), "bucket").select("id", "label").distinct())
+    found = cut_lineage(confirm(_rare_pairs(sets.join(unsettled, "id"), percent), sets, percent))
+    if found.isEmpty():
+        return labels
+    return star_components(found.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of different labels that may reach ``percent``; no pair that does is missing.
+
+    Shingles are ordered by how many of these sets hold them. Similar sets share a shingle among
+    the first of both, and what follows their first common one must suffice for the intersection.
+    A shingle whose sets have one label is dropped; of a pair, one side has a label that is not
+    the commonest at that shingle, so large components are not compared with themselves.
+    """
+    own = sets.select("id", "label", F.size("shingles").alias("n"), F.xxhash64("shingles").alias("set"), F.explode("shingles").alias("shingle"))
+    often = own.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    rarest = Window.partitionBy("id", "set").orderBy("often", "shingle")
+    placed = own.join(often, "shingle", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    placed = placed.withColumn("at", F.row_number().over(rarest) - 1)
+    front = placed.where((F.col("often") > 1) & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * percent / 100)))
+    front = cut_lineage(front.select("shingle", "id", "label", "n", "at"))
+    common = front.groupBy("shingle", "label").agg(F.count("*").alias("times")).groupBy("shingle")
+    common = common.agg(F.count("*").alias("labels"), F.max(F.struct("times", "label")).alias("top")).where("labels > 1")
+    mixed = front.join(common.select("shingle", F.col("top.label").alias("top")), "shingle")
+    few = mixed.where("label <> top").select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "at")])
+    need = F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+    left = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    pairs = few.join(mixed, "shingle").where((F.col("label") != F.col("label2")) & _sizes_allow(percent, "n", "n2") & (left >= need))
+    return pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
