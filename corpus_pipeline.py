@@ -17,12 +17,17 @@ from mosarea.llm.queries import site_columns
 from mosarea.session import shared_folder
 
 
+def _columns(docs: DataFrame) -> list:
+    """The columns of a stage's input, whatever their names hold."""
+    return [F.col(f"`{name}`") for name in docs.columns]
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier and their site call good; texts without words go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     host, path = site_columns()
     judged = quality.classify(docs, labels, host, path)
-    return judged.where("__good").select(docs.columns)
+    return judged.where("__good").select(_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +37,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
     named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return named.unionByName(docs.where("doc_id is null")).select(_columns(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontam.find_contamination(docs, benchmark)
-    return found.where(~decontam.contaminated(F.col(RESULT))).select(docs.columns)
+    return found.where(~decontam.contaminated(F.col(RESULT))).select(_columns(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +57,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
         found.withColumn("__masked", masked)
         .withColumn("n_chars", F.when(touched, F.length("__masked").cast("long")).otherwise(F.col("n_chars")))
         .withColumn("text", F.col("__masked"))
-        .select(docs.columns)
+        .select(_columns(docs))
     )
 
 
