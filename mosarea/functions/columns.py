@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def rename_by_map(df: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -58,10 +58,18 @@ def shared_columns(left: DataFrame, right: DataFrame, exclude: Iterable[str] = (
     return [name for name in left.columns if name in other and name not in excluded]
 
 
-def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Rows without a null in ``columns`` (absent names are ignored) or in any column."""
+def is_complete(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
+    """Whether a row has no null in ``columns`` (absent names are ignored) or in any column."""
     subset = list(df.columns) if columns is None else [c for c in columns if c in df.columns]
-    return df.dropna(subset=subset) if subset else df
+    complete = F.lit(True)
+    for name in subset:
+        complete = complete & F.col(f"`{name}`").isNotNull()
+    return complete
+
+
+def complete_cases(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows that are :func:`is_complete`."""
+    return df.where(is_complete(df, columns))
 
 
 def round_numeric(df: DataFrame, digits: int, keep: Sequence[str] = ()) -> DataFrame:

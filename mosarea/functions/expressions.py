@@ -30,10 +30,6 @@ def cell_label(*columns: Column) -> Column:
     return F.concat_ws(" x ", *[text_or_na(c) for c in columns])
 
 
-def month_start(column: Column) -> Column:
-    return F.to_date(F.date_trunc("month", column))
-
-
 def month_label(column: Column) -> Column:
     return F.date_format(column, "MMMM yyyy")
 

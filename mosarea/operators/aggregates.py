@@ -99,10 +99,6 @@ def dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
     return distinct.withColumn(name, F.row_number().over(Window.orderBy(column)))
 
 
-def with_dense_index(df: DataFrame, column: str, name: str) -> DataFrame:
-    return df.join(dense_index(df, column, name), column, "left")
-
-
 def tie_groups(df: DataFrame, keys: Sequence[str], value: str, **counts: Column) -> DataFrame:
     """One row per distinct value with counts: the unit on which ranks are computed."""
     return df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
@@ -124,15 +120,17 @@ def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
 
 
 def running_totals(
-    df: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, str], buckets: int = 64
+    df: DataFrame, keys: Sequence[str], order: str, totals: Mapping[str, str], buckets: int | None = None
 ) -> DataFrame:
     """Sum of each column over all rows of the group with a smaller ``order``.
 
     ``df`` holds one row per distinct ``order`` in a group. A window over a
     large group would run in one task; here the order is cut into value ranges,
     ranges are summed and offset against each other (a few rows), and the
-    window only runs inside a range.
+    window only runs inside a range. There are two ranges per shuffle partition
+    unless ``buckets`` says otherwise.
     """
+    buckets = buckets or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = value_buckets(df, order, buckets)
     parts = df.withColumn("__bucket", bucket_of(F.col(order).cast("double"), cuts))
     sums = parts.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(f"__sum_{c}") for c in totals])
@@ -151,16 +149,19 @@ def running_totals(
     )
 
 
-def global_quantiles(counted: DataFrame, value: str, freq: str, probabilities: Sequence[float]) -> DataFrame:
-    """One row with the exact linear-interpolation quantiles ``q`` of a large column.
+def global_quantiles(
+    counted: DataFrame, value: str, freq: str, probabilities: Sequence[float], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Exact linear-interpolation quantiles ``q`` of a large column, per group of ``keys`` if given.
 
-    ``counted`` has one row per distinct value. Each quantile lies between two
+    ``counted`` has one row per group and distinct value. Each quantile lies between two
     order statistics, found as the smallest value whose running count passes
-    the position, so no task holds all values.
+    the position, so no task holds all values of a group.
     """
-    ranked = running_totals(counted, [], value, {freq: "__before"})
-    n = counted.agg(F.sum(freq)).scalar()
-    ranked = ranked.withColumns({"__upto": F.col("__before") + F.col(freq), "__n": n})
+    ranked = running_totals(counted, list(keys), value, {freq: "__before"})
+    totals = counted.groupBy(*keys).agg(F.sum(freq).alias("__n"))
+    ranked = ranked.withColumn("__upto", F.col("__before") + F.col(freq))
+    ranked = ranked.join(totals, list(keys)) if keys else ranked.withColumn("__n", totals.scalar())
     picks = []
     for p in probabilities:
         position = (F.col("__n") - 1) * F.lit(float(p))
@@ -169,24 +170,23 @@ def global_quantiles(counted: DataFrame, value: str, freq: str, probabilities: S
         lower, upper = at(low), at(F.least(low + 1, F.col("__n") - 1))
         fraction = F.max(position - low)
         picks.append(lower + fraction * (upper - lower))
-    return ranked.agg(F.array(*picks).alias("q"))
+    return ranked.groupBy(*keys).agg(F.array(*picks).alias("q"))
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, buckets: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, bounded: bool = False) -> DataFrame:
     """``df`` with the average-tie rank of ``value`` inside ``keys`` (nulls keep a null rank).
 
-    ``buckets=1`` ranks each group with a plain window: for groups whose size is
-    bounded, such as the districts of one month. Otherwise counted distinct
-    values are ranked by value ranges and joined back.
+    ``bounded`` groups, such as the districts of one month, are ranked with a plain
+    window. Otherwise counted distinct values are ranked by value ranges and joined back.
     """
-    if buckets <= 1:
+    if bounded:
         order = Window.partitionBy(*keys).orderBy(F.col(value).asc_nulls_last())
         ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
         rank = F.rank().over(order) + (ties - 1) / 2.0
         return df.withColumn(name, F.when(F.col(value).isNotNull(), rank))
     present = df.where(F.col(value).isNotNull())
     groups = tie_groups(present, keys, value, __ties=F.count(F.lit(1)))
-    ranked = running_totals(groups, keys, value, {"__ties": "__below"}, buckets)
+    ranked = running_totals(groups, keys, value, {"__ties": "__below"})
     ranked = ranked.select(
         *keys, value, (F.col("__below") + (F.col("__ties") + 1) / 2.0).cast("double").alias(name)
     )

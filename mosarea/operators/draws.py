@@ -44,11 +44,6 @@ def chain_summary(named: DataFrame) -> DataFrame:
     )
 
 
-def column_major(matrix: str, row: str, column: str, n_rows: int):
-    """Entry (row, column) of a matrix stored as one array column after column."""
-    return F.element_at(F.col(matrix), ((F.col(column) - 1) * n_rows + F.col(row)).cast("int"))
-
-
 def interaction_arrays(draws: DataFrame, param: str = "psi") -> DataFrame:
     """``(draw, psi)`` with the matrix of each draw as one column-major array."""
     ordered = F.array_sort(F.collect_list(F.struct("j", "i", "value")))

@@ -200,9 +200,15 @@ def mrp_estimate_blocks(
     seed: int = 1234,
     block_rows: int = 1000,
     block_draws: int = 50,
+    months: DataFrame | None = None,
 ) -> DataFrame:
-    """Same numbers as :func:`mrp_estimate` for large frames and many draws."""
+    """Same numbers as :func:`mrp_estimate` for large frames and many draws.
+
+    With ``months`` (a table of ``month_idx``) only those are scored.
+    """
     effects = effect_table(draws, regions, interaction)
+    if months is not None:
+        effects = effects.join(months.select("month_idx").distinct(), "month_idx", "left_semi")
     return _score_in_blocks(
         cells, draws, effects, n_covariates, response, F.col(weight), key, None, seed, block_rows, block_draws
     )
@@ -276,7 +282,8 @@ def block_pairs(
 
     Rows of a district are split into blocks by hash and draws into blocks by
     number; Spark joins the blocks on (district, draw block), and a task then
-    works on one pair as matrices. The rows x months x draws table never
+    works on one pair as matrices. A row in a month without an effect is an error
+    that names the month. The rows x months x draws table never
     exists, and a district with a third of all rows is just more blocks.
     ``number`` is a whole number carried with each row.
     """
@@ -321,7 +328,9 @@ def block_pairs(
             "adm2_index",
             "draw_block",
             F.col("d.draw").alias("draws"),
-            F.get(F.col("d.m"), 0).alias("months"),
+            F.when(F.size(F.array_distinct("d.m")) == 1, F.get(F.col("d.m"), 0))
+            .otherwise(F.raise_error(F.lit("draws of one district cover different months")))
+            .alias("months"),
             F.flatten(F.col("d.e")).alias("effects"),
             F.flatten(F.col("d.b")).alias("betas"),
         )
@@ -347,7 +356,11 @@ class BlockPair:
 
     def row_effects(self) -> np.ndarray:
         """Effects rows x draws of each row's own month."""
-        return self.effects.T[np.searchsorted(self.months, self.row_months)]
+        at = np.minimum(np.searchsorted(self.months, self.row_months), len(self.months) - 1)
+        unknown = self.row_months[self.months[at] != self.row_months]
+        if len(unknown):
+            raise ValueError(f"the draws of district {self.area} have no effect for month {int(unknown[0])}")
+        return self.effects.T[at]
 
 
 def read_pairs(batches: Iterator[pa.RecordBatch], n_covariates: int) -> Iterator[BlockPair]:

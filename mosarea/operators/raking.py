@@ -30,9 +30,6 @@ RAKE_VARIABLES = (
     ("h_cooking_fuel",),
     ("hhh_sex",),
 )
-# The second-derivative solver keeps a levels x levels matrix on the driver;
-# with more levels the sweeps, which need one number per level, take over.
-NEWTON_LEVELS = 2000
 
 
 @dataclass
@@ -134,26 +131,26 @@ def rake(
     tolerance: float = TOLERANCE,
     max_sweeps: int = MAX_SWEEPS,
     solver: str = "newton",
+    unfinished: bool = False,
 ) -> RakeResult:
     """Frame with weights that reproduce every margin, rescaled to mean 1.
 
     ``solver='sweeps'`` runs iterative proportional fitting in margin order, one
     small aggregate per half sweep. ``solver='newton'`` solves the same
     exponential-tilting equations with second derivatives: one aggregate of
-    two-way margin totals per step, a handful of steps, same fixed point. If
-    it does not settle, sweeps take over from the start weights.
+    two-way margin totals per step, a handful of steps, same fixed point; it
+    keeps a levels x levels matrix on the driver, so very many levels ask for sweeps.
+    A solver that does not reach the tolerance is an error, unless ``unfinished`` accepts
+    the last sweep.
     """
     if solver not in ("newton", "sweeps"):
         raise ValueError(f"unknown solver {solver!r}")
     tab = _CrossTab(frame, margins, weight)
-    small = sum(len(t) for t in tab.targets) <= NEWTON_LEVELS
-    found = _newton(tab, tolerance) if solver == "newton" and small else None
-    used = solver
-    if found is None:
-        used = "sweeps"
-        found = _sweeps(tab, tolerance, max_sweeps)
+    found = _newton(tab, tolerance) if solver == "newton" else _sweeps(tab, tolerance, max_sweeps)
+    if found is None or not (found[2] or unfinished):
+        raise RuntimeError(f"raking by {solver} did not reach {tolerance}")
     factors, steps, converged = found
-    return RakeResult(_weighted_rows(frame, tab, factors, weight), steps, converged, used)
+    return RakeResult(_weighted_rows(frame, tab, factors, weight), steps, converged, solver)
 
 
 def _sweeps(tab: _CrossTab, tolerance: float, max_sweeps: int):

@@ -10,6 +10,7 @@ from mosarea.operators.intervals import interval_columns, keep_interval
 from mosarea.plans import views as V
 from mosarea.plans.registry import R, query, r, rounded
 from mosarea.plans.views import TITLE, UNIFORM_SQL, with_views
+from mosarea.session import cut_lineage
 
 FACE_WATER_TEXTS = [
     "Piped into dwelling",
@@ -205,15 +206,15 @@ def p7(spark, sf):
 @query(
     "p8_membership_filter",
     with_views(
-        """SELECT household_id, adm2_name FROM v_households WHERE modality = 'rtm' AND adm2_name IN
-        (SELECT adm2_name FROM v_households WHERE modality = 'f2f' AND fcs > 100)""",
+        """SELECT household_id, adm2_name FROM v_households WHERE modality = 'rtm' AND respondent_id IN
+        (SELECT respondent_id FROM v_households WHERE modality = 'f2f')""",
         "v_households",
     ),
 )
 def p8(spark, sf):
     h = V.households(spark, sf)
-    surveyed = h.where((F.col("modality") == "f2f") & (F.col("fcs") > 100))
-    return J.keep_members(h.where(F.col("modality") == "rtm"), surveyed, "adm2_name").select("household_id", "adm2_name")
+    visited = h.where(F.col("modality") == "f2f")
+    return J.keep_members(h.where(F.col("modality") == "rtm"), visited, "respondent_id").select("household_id", "adm2_name")
 
 
 @query(
@@ -226,12 +227,11 @@ def p8(spark, sf):
 )
 def p9(spark, sf):
     h = V.households(spark, sf)
-    count = lambda df, name: df.groupBy("adm1_name").agg(F.count(F.lit(1)).alias(name))
-    some = C.complete_cases(h, ["hhh_edu", "fcs", "a_column_that_is_absent"])
-    return (
-        count(h, "n_all")
-        .join(count(some, "n_complete"), "adm1_name")
-        .join(count(C.complete_cases(h), "n_complete_all"), "adm1_name")
+    some = C.is_complete(h, ["hhh_edu", "fcs", "a_column_that_is_absent"])
+    return h.groupBy("adm1_name").agg(
+        F.count(F.lit(1)).alias("n_all"),
+        F.count(F.when(some, 1)).alias("n_complete"),
+        F.count(F.when(C.is_complete(h), 1)).alias("n_complete_all"),
     )
 
 
@@ -499,14 +499,14 @@ def j6(spark, sf):
 @query(
     "j9_unmatched_names",
     with_views(
-        """SELECT adm2_name, 'survey' AS side FROM (SELECT DISTINCT adm2_name FROM v_households WHERE fcs > 110) WHERE adm2_name NOT IN (SELECT adm2 FROM census)
-        UNION ALL SELECT adm2, 'census' FROM census WHERE adm2 NOT IN (SELECT adm2_name FROM v_households WHERE fcs > 110)""",
+        """SELECT adm2_name, 'survey' AS side FROM (SELECT DISTINCT adm2_name FROM v_households) WHERE adm2_name NOT IN (SELECT adm2 FROM census)
+        UNION ALL SELECT adm2, 'census' FROM census WHERE adm2 NOT IN (SELECT adm2_name FROM v_households)""",
         "v_households",
         census="SELECT DISTINCT CASE WHEN n_nationkey % 5 = 0 THEN upper(concat(n_name, ' rural')) ELSE n_name END AS adm2 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey",
     ),
 )
 def j9(spark, sf):
-    survey = V.households(spark, sf).where(F.col("fcs") > 110).select("adm2_name")
+    survey = V.households(spark, sf).select("adm2_name")
     nation = V.table(spark, sf, "nation")
     spelled = F.when(F.col("n_nationkey") % 5 == 0, F.upper(F.concat("n_name", F.lit(" rural")))).otherwise(F.col("n_name"))
     census = V.table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
@@ -652,7 +652,8 @@ def a10(spark, sf):
 def a11(spark, sf):
     o = V.table(spark, sf, "orders").join(V.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     o = o.join(V.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    q = o.groupBy(F.col("n_name").alias("adm2_name")).agg(A.exact_quantiles("o_totalprice", [0.025, 0.5, 0.975]).alias("q"))
+    counted = cut_lineage(o.groupBy(F.col("n_name").alias("adm2_name"), "o_totalprice").agg(F.count(F.lit(1)).alias("n")))
+    q = A.global_quantiles(counted, "o_totalprice", "n", [0.025, 0.5, 0.975], ["adm2_name"])
     return q.select("adm2_name", *[r(F.col("q")[k]).alias(n) for k, n in enumerate(["q025", "q500", "q975"])])
 
 

@@ -278,8 +278,10 @@ def f4(spark, sf):
     ),
 )
 def f5(spark, sf):
-    before = Fr.missing_strata(holes(spark, sf)).groupBy("var").agg(F.count(F.lit(1)).alias("n_before"))
-    after = Fr.missing_strata(completed(spark, sf)).groupBy("var").agg(F.count(F.lit(1)).alias("n_after"))
+    frame = holes(spark, sf)
+    missing = cut_lineage(Fr.missing_strata(frame))
+    before = missing.groupBy("var").agg(F.count(F.lit(1)).alias("n_before"))
+    after = Fr.missing_strata(Fr.complete_strata(frame, missing)).groupBy("var").agg(F.count(F.lit(1)).alias("n_after"))
     return before.join(after, "var", "left").select("var", "n_before", F.coalesce("n_after", F.lit(0)).alias("n_after"))
 
 
@@ -313,11 +315,11 @@ def rake_margins(spark, sf) -> list[Rk.Margin]:
 RAKE_CTE = {"census": CENSUS_SQL, "grouped": CENSUS_GROUPED_SQL}
 
 
-def two_sweeps_sql(sweeps: int = 2) -> dict[str, str]:
+def sweeps_sql(sweeps: int = 2, start: str = "cells") -> dict[str, str]:
     """Sweeps unrolled: each half sweep scales by target share over current share."""
     ctes = {"area": "SELECT adm1_name, adm2_name_svy AS adm2_name, total_households / sum(total_households) OVER () AS t FROM v_matched"}
-    previous, columns = "cells", ", ".join(Fr.CELL_KEYS)
-    total = "(SELECT sum(pop_weight) FROM cells)"
+    previous, columns = start, ", ".join(Fr.CELL_KEYS)
+    total = f"(SELECT sum(pop_weight) FROM {start})"
     step = 0
     for _ in range(sweeps):
         for variables in Rk.RAKE_VARIABLES:
@@ -339,6 +341,39 @@ def two_sweeps_sql(sweeps: int = 2) -> dict[str, str]:
     return ctes
 
 
+def converged_sql(sweeps: int = 150) -> dict[str, str]:
+    """The completed frame raked by recursion until nothing changes in 12 decimals."""
+    columns = ", ".join(Fr.CELL_KEYS)
+    ctes = {k: v for k, v in sweeps_sql(1).items() if k == "area" or k.startswith("t_")}
+    joins, weight = "JOIN area a ON a.adm1_name = c.adm1_name AND a.adm2_name = c.adm2_name", "pop_weight"
+    targets = ["a.t AS t1"]
+    for k, variables in enumerate(Rk.RAKE_VARIABLES[1:], 2):
+        joins += f" JOIN t_{variables[0]} g{k} ON g{k}.level = c.{variables[0]}"
+        targets.append(f"g{k}.t AS t{k}")
+    kept = f"{columns}, total, " + ", ".join(f"t{k}" for k in range(1, len(targets) + 1))
+    ctes["aimed"] = f"SELECT c.*, sum(c.pop_weight) OVER () AS total, {', '.join(targets)} FROM complete c {joins}"
+    inner = "(SELECT * FROM sweep WHERE step < {n})".format(n=sweeps)
+    for k, variables in enumerate(Rk.RAKE_VARIABLES, 1):
+        step = "step + 1 AS step" if k == len(Rk.RAKE_VARIABLES) else "step"
+        inner = f"(SELECT {step}, {kept}, {weight} * t{k} * total / sum({weight}) OVER (PARTITION BY {', '.join(variables)}) AS pop_weight FROM {inner})"
+    ctes["raked"] = f"""SELECT {columns}, pop_weight / avg(pop_weight) OVER () AS pop_weight FROM (
+      WITH RECURSIVE sweep AS (SELECT 0 AS step, {kept}, pop_weight FROM aimed UNION ALL SELECT * FROM {inner})
+      SELECT * FROM sweep) WHERE step = {sweeps}"""
+    return ctes
+
+
+# The completed frame raked to convergence.
+RAKED_CTE = {
+    "frame_rows": FRAME_ROWS_SQL,
+    "cells": CELLS_SQL,
+    "present": PRESENT_SQL,
+    "missing": MISSING_SQL,
+    "complete": COMPLETE_SQL,
+    **RAKE_CTE,
+    **converged_sql(),
+}
+
+
 @query(
     "f6_rake_two_sweeps",
     with_views(
@@ -348,11 +383,11 @@ def two_sweeps_sql(sweeps: int = 2) -> dict[str, str]:
         frame_rows=FRAME_ROWS_SQL,
         cells=CELLS_SQL,
         **RAKE_CTE,
-        **two_sweeps_sql(),
+        **sweeps_sql(),
     ),
 )
 def f6_two(spark, sf):
-    done = Rk.rake(cells(spark, sf), rake_margins(spark, sf), solver="sweeps", max_sweeps=2)
+    done = Rk.rake(cells(spark, sf), rake_margins(spark, sf), solver="sweeps", max_sweeps=2, unfinished=True)
     return rounded(done.weighted, 6)
 
 
@@ -363,9 +398,34 @@ def raked_frame(spark, sf):
     return Rk.rake(full, rake_margins(spark, sf)).weighted
 
 
-@query("f6_rake_converged")
+@query(
+    "f6_rake_converged",
+    with_views(
+        f"SELECT {', '.join(Fr.CELL_KEYS)}, {R('pop_weight', 6)} AS pop_weight FROM raked",
+        "v_frame_src",
+        "v_matched",
+        **RAKED_CTE,
+    ),
+)
 def f6(spark, sf):
-    return rounded(raked_frame(spark, sf), 9)
+    return rounded(raked_frame(spark, sf).select(*Fr.CELL_KEYS, "pop_weight"), 6)
+
+
+RAKED_SHARES_SQL = " UNION ALL ".join(
+    [f"SELECT '{v}' AS var, level, {R('t / sum(t) OVER ()', 7)} AS share FROM t_{v}" for v in MARGIN_KEYS]
+    + [f"SELECT 'adm2_name', adm2_name, {R('t / sum(t) OVER ()', 7)} FROM area", "SELECT 'all', 'mean weight', CAST(1 AS DOUBLE)"]
+)
+
+
+@query("f6_converged_shares", with_views(RAKED_SHARES_SQL, "v_frame_src", "v_matched", frame_rows=FRAME_ROWS_SQL, cells=CELLS_SQL, **RAKE_CTE, **sweeps_sql()))
+def f6_shares(spark, sf):
+    """First-order conditions of raking: the shares that the converged frame reaches are the targets."""
+    frame = cut_lineage(raked_frame(spark, sf).select("adm2_name", "pop_weight", *MARGIN_KEYS))
+    found = A.stacked_groups(frame, ["adm2_name", *MARGIN_KEYS], [], w=F.sum("pop_weight"))
+    total = frame.agg(F.sum("pop_weight")).scalar()
+    shares = found.select("var", "level", r(F.col("w") / total, 7).alias("share"))
+    mean = frame.agg(F.lit("all").alias("var"), F.lit("mean weight").alias("level"), r(F.avg("pop_weight"), 7).alias("share"))
+    return shares.unionByName(mean)
 
 
 CHECK_SQL = f"""
@@ -378,14 +438,10 @@ SELECT a.var, a.level, {R('a.deff', 6)} AS deff, {R('a.avg_weight', 6)} AS avg_w
 
 @query(
     "f7_raking_check",
-    with_views(
-        CHECK_SQL, "v_frame_src", "v_matched", frame_rows=FRAME_ROWS_SQL, cells=CELLS_SQL, **RAKE_CTE, **two_sweeps_sql()
-    ),
+    with_views(CHECK_SQL, "v_frame_src", "v_matched", **RAKED_CTE),
 )
 def f7(spark, sf):
-    margins = rake_margins(spark, sf)
-    done = Rk.rake(cells(spark, sf), margins, solver="sweeps", max_sweeps=2)
-    return rounded(Rk.raking_check(done.weighted, margins), 6)
+    return rounded(Rk.raking_check(cut_lineage(raked_frame(spark, sf)), rake_margins(spark, sf)), 6)
 
 
 FACE_KEYS = ("adm1_name", "adm2_name", "hh_size_bucket", "h_water_source_2way", "h_toilet_type_2way", "hhh_sex", "hhh_edu", "h_cell")
@@ -422,12 +478,11 @@ def f8(spark, sf):
 
 MODEL_CELLS_SQL = f"""
 SELECT {', '.join(Fr.MODEL_CELL_KEYS)}, sum(pop_weight) AS pop_weight, CAST(h_cell = 'yes' AS INT) AS p_cell, 'f2f' AS modality FROM
- (SELECT 'dhs' AS popframe_source, {', '.join(Fr.MODEL_CELL_KEYS[1:])}, pop_weight FROM cells
+ (SELECT 'dhs' AS popframe_source, {', '.join(Fr.MODEL_CELL_KEYS[1:])}, pop_weight FROM raked
   UNION ALL SELECT 'f2f', {', '.join(Fr.MODEL_CELL_KEYS[1:])}, n FROM count_frame) GROUP BY ALL
 """
 FRAME_CTE = {
-    "frame_rows": FRAME_ROWS_SQL,
-    "cells": CELLS_SQL,
+    **RAKED_CTE,
     "face_rows": FACE_ROWS_SQL,
     "count_frame": COUNT_FRAME_SQL,
     "model_cells": MODEL_CELLS_SQL,
@@ -436,13 +491,13 @@ FRAME_CTE = {
 
 def model_frame(spark, sf):
     counted = face_frame(spark, sf).withColumn("pop_weight", F.col("n").cast("double"))
-    return Fr.model_cells(("dhs", Fr.frame_cells(frame_rows(spark, sf))), ("f2f", counted))
+    return Fr.model_cells(("dhs", raked_frame(spark, sf)), ("f2f", counted))
 
 
 @query(
     "f9_combined_frame",
     with_views(
-        f"SELECT {', '.join(Fr.MODEL_CELL_KEYS)}, {R('pop_weight')} AS pop_weight, p_cell, modality FROM model_cells",
+        f"SELECT {', '.join(Fr.MODEL_CELL_KEYS)}, {R('pop_weight', 6)} AS pop_weight, p_cell, modality FROM model_cells",
         "v_frame_src",
         "v_households",
         "v_matched",
@@ -450,7 +505,7 @@ def model_frame(spark, sf):
     ),
 )
 def f9(spark, sf):
-    return rounded(model_frame(spark, sf))
+    return rounded(model_frame(spark, sf), 6)
 
 
 # ----------------------------------------------------------------- microdata
@@ -611,10 +666,10 @@ def g5(spark, sf):
     with_views(
         """SELECT adm1_name, adm2_name, CAST(dense_rank() OVER (ORDER BY adm2_name) AS INT) AS adm2_index, CAST(dense_rank() OVER (ORDER BY adm1_name) AS INT) AS adm1_index
         FROM (SELECT DISTINCT r_name AS adm1_name, n_name AS adm2_name FROM nation JOIN region ON n_regionkey = r_regionkey
-        WHERE n_name IN (SELECT adm2_name FROM v_households WHERE modality = 'f2f' AND fcs > 110))""",
+        WHERE n_name IN (SELECT adm2_name FROM v_households WHERE modality = 'f2f'))""",
         "v_households",
     ),
 )
 def g6(spark, sf):
-    surveyed = V.households(spark, sf).where((F.col("modality") == "f2f") & (F.col("fcs") > 110))
+    surveyed = V.households(spark, sf).where(F.col("modality") == "f2f")
     return G.region_index(V.districts(spark, sf), surveyed).select("adm1_name", "adm2_name", "adm2_index", "adm1_index")

@@ -95,9 +95,14 @@ class Study:
         switched = Pr.as_face_to_face(phone, De.SWITCH, De.MAIN_COVARIATES)
         return numbered(switched, "joint", *KEYS, F.col("household_id").alias("unit_key"))
 
+    @cached_property
+    def model_cells(self):
+        """Completed and raked frame with the count frame, written once."""
+        return cut_lineage(model_frame(self.spark, self.sf))
+
     def frame_rows(self, source, mode="joint"):
         """Scoring cells of one frame."""
-        cells = model_frame(self.spark, self.sf).where(F.col("popframe_source") == source)
+        cells = self.model_cells.where(F.col("popframe_source") == source)
         cells = cells.withColumn("unit_key", text_key(*[F.col(c) for c in CELL_TEXT_KEYS]))
         design = De.frame_design(cells, self.regions)
         return numbered(design, mode, "adm2_index", "unit_key", "pop_weight")
@@ -414,7 +419,7 @@ PHONE_INTERVIEWS = "(SELECT * FROM {0} WHERE sample_source IN ('RDD', 'GeoPoll')
 )
 def d2(spark, sf):
     st = Study(spark, sf)
-    return rounded(Pr.mr_estimate(st.scoring_rows("phone_only"), st.posterior(), N_PHONE, st.regions))
+    return rounded(Pr.mr_estimate_blocks(st.scoring_rows("phone_only"), st.posterior(), N_PHONE, st.regions))
 
 
 @query(

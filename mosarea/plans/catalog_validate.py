@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mosarea.functions import recode as Rc
-from mosarea.operators import design as De, draws as Dr, glm, hierarchical as H, intervals as I, joins as J, logposterior as Lp
+from mosarea.operators import aggregates as A, design as De, draws as Dr, glm, hierarchical as H, intervals as I, joins as J, logposterior as Lp
 from mosarea.operators import plotdata as Pl, predict as Pr, validation as Va
 from mosarea.plans import views as V
 from mosarea.plans.catalog_frame import (
     DIRECT_SQL,
     FACE_SQL,
     FRAME_CTE,
+    MICS_SQL,
     PHONE_ROWS_SQL,
     WEIGHTS_SQL,
     Z,
@@ -32,9 +33,10 @@ from mosarea.plans.catalog_model import (
     prevalence_sql,
     units_sql,
 )
-from mosarea.plans.registry import R, query, rounded
+from mosarea.plans.registry import R, query, r, rounded
 from mosarea.plans.views import TITLE, with_views
 from mosarea.session import cut_lineage
+from mosarea.sources.tables import local_table
 
 QUANTILES = [p for level in I.COVERAGE_LEVELS for p in I.tail_probabilities(level)]
 BOUNDS = [f"{side}{I.level_tag(level)}" for level in I.COVERAGE_LEVELS for side in ("low", "high")]
@@ -69,15 +71,29 @@ def i1(spark, sf):
 
 
 # ------------------------------------------------------ estimators side by side
-def three_estimators(st):
-    """Direct, regression and counterfactual regression estimates."""
+VALIDATION_MONTHS = ("1997-05-01", "1998-05-01")
+
+
+def seven_estimators(st):
+    """Direct, regression and post-stratified estimates of the validation months; no other month is scored."""
     draws = st.posterior()
-    mr = Pr.mr_estimate_blocks(st.scoring_rows("phone_only"), draws, N_PHONE, st.regions)
-    face = Pr.mr_estimate_blocks(st.counterfactual_rows(), draws, N_JOINT, st.regions)
+    months = Va.validation_months(st.months, VALIDATION_MONTHS)
+
+    def mr(rows, n):
+        rows = rows.join(months.select("month_idx"), "month_idx", "left_semi")
+        return summarise(st, Pr.mr_estimate_blocks(rows, draws, n, st.regions))
+
+    def mrp(source, mode, n):
+        return summarise(st, Pr.mrp_estimate_blocks(st.frame_rows(source, mode), draws, n, st.regions, months=months))
+
     return {
-        ("Direct (mobile-phone)", ""): phone_wilson(st.spark, st.sf),
-        ("MR", "mobile-phone-only"): summarise(st, mr),
-        ("MR-modalityF2F", "joint"): summarise(st, face),
+        ("Direct (mobile-phone)", ""): Va.validation_months(phone_wilson(st.spark, st.sf), VALIDATION_MONTHS),
+        ("MR", "mobile-phone-only"): mr(st.scoring_rows("phone_only"), N_PHONE),
+        ("MRP (dhs)", "mobile-phone-only"): mrp("dhs", "phone_only", N_PHONE),
+        ("MR-modalityPhone", "joint"): mr(st.scoring_rows(), N_JOINT),
+        ("MR-modalityF2F", "joint"): mr(st.counterfactual_rows(), N_JOINT),
+        ("MRP (dhs)", "joint"): mrp("dhs", "joint", N_JOINT),
+        ("MRP (f2f)", "joint"): mrp("f2f", "joint", N_JOINT),
     }
 
 
@@ -92,7 +108,36 @@ def _wilson_plain(p: str, n: str, prefix: str) -> str:
 
 
 EST_COLUMNS = f"adm1_name, adm2_name, obs_month, y_est, {', '.join(BOUNDS)}"
-VALID_VIEWS = ("v_households", "v_scores", "v_pop_shares")
+MONTHS_SQL = "(DATE '1997-05-01', DATE '1998-05-01')"
+SEVEN = {
+    ("Direct (mobile-phone)", ""): "est_direct",
+    ("MR", "mobile-phone-only"): "est_mr",
+    ("MRP (dhs)", "mobile-phone-only"): "est_mrp",
+    ("MR-modalityPhone", "joint"): "est_mrj",
+    ("MR-modalityF2F", "joint"): "est_cf",
+    ("MRP (dhs)", "joint"): "est_mrpj",
+    ("MRP (f2f)", "joint"): "est_mrpf",
+}
+STACKED_SQL = " UNION ALL ".join(
+    f"SELECT {EST_COLUMNS}, '{kind}' AS type, '{model}' AS model, '{kind} {model}' AS type_model FROM {table} WHERE obs_month IN {MONTHS_SQL}"
+    for (kind, model), table in SEVEN.items()
+)
+IN_MONTHS = f"WHERE month_idx IN (SELECT month_idx FROM months WHERE obs_month IN {MONTHS_SQL})"
+
+
+def _seven_sql() -> dict[str, str]:
+    """Units and estimates of the models that the first three do not cover."""
+    ctes = {**FRAME_CTE, "mrj_units": units_sql(PHONE_INTERVIEWS.format("joint"), N_JOINT)}
+    ctes["est_mrj"] = summary_sql(prevalence_sql("mrj_units"), rounding=False)
+    for name, source, mode, n in (("mrp", "dhs", "phone_only", N_PHONE), ("mrpj", "dhs", "joint", N_JOINT), ("mrpf", "f2f", "joint", N_JOINT)):
+        ctes[f"{name}_cells"] = f"SELECT * FROM ({cell_design_sql(source, mode)}) {IN_MONTHS}"
+        ctes[f"{name}_units"] = units_sql(f"{name}_cells", n)
+        ctes[f"est_{name}"] = summary_sql(prevalence_sql(f"{name}_units", "pop_weight", "cell_key"), rounding=False)
+    return ctes
+
+
+SEVEN_CTE = _seven_sql()
+VALID_VIEWS = ("v_households", "v_scores", "v_pop_shares", "v_frame_src", "v_matched")
 VALID_CTE = {
     **MODEL_CTE,
     "weights": WEIGHTS_SQL,
@@ -105,9 +150,8 @@ VALID_CTE = {
     "est_direct": f"SELECT adm1_name, adm2_name, obs_month, y_est, {_wilson_plain('y_est', 'n_w', '')} FROM direct",
     "est_mr": summary_sql(prevalence_sql("mr_units"), rounding=False),
     "est_cf": summary_sql(prevalence_sql("cf_units"), rounding=False),
-    "stacked": f"""SELECT {EST_COLUMNS}, 'Direct (mobile-phone)' AS type, '' AS model, 'Direct (mobile-phone) ' AS type_model FROM est_direct
-      UNION ALL SELECT {EST_COLUMNS}, 'MR', 'mobile-phone-only', 'MR mobile-phone-only' FROM est_mr
-      UNION ALL SELECT {EST_COLUMNS}, 'MR-modalityF2F', 'joint', 'MR-modalityF2F joint' FROM est_cf""",
+    **SEVEN_CTE,
+    "stacked": STACKED_SQL,
     "combined": "SELECT s.*, t.* EXCLUDE (adm1_name, adm2_name, obs_month) FROM stacked s LEFT JOIN truth t ON t.adm1_name = s.adm1_name AND t.adm2_name = s.adm2_name AND t.obs_month = s.obs_month",
     "compared": "SELECT *, y_est - f2f_est AS bias, abs(y_est - f2f_est) AS abserror, power(y_est - f2f_est, 2) AS sqerror, "
     + ", ".join(
@@ -124,7 +168,7 @@ VALID_CTE = {
 def combined(spark, sf):
     """Estimators beside the truth, written once: districts x months x estimators rows."""
     st = Study(spark, sf)
-    return cut_lineage(Va.attach_truth(Va.stack_estimators(three_estimators(st)), truth_table(spark, sf)))
+    return cut_lineage(Va.attach_truth(Va.stack_estimators(seven_estimators(st)), truth_table(spark, sf)))
 
 
 def compared(spark, sf):
@@ -135,67 +179,17 @@ def valid(body: str) -> str:
     return with_views(body, *VALID_VIEWS, **VALID_CTE)
 
 
-SEVEN = {
-    ("MR", "mobile-phone-only"): "est_mr",
-    ("MRP (dhs)", "mobile-phone-only"): "est_mrp",
-    ("MR-modalityPhone", "joint"): "est_mrj",
-    ("MR-modalityF2F", "joint"): "est_cf",
-    ("MRP (dhs)", "joint"): "est_mrpj",
-    ("MRP (f2f)", "joint"): "est_mrpf",
-}
-
-
-def seven_oracle() -> str:
-    ctes = {k: v for k, v in VALID_CTE.items() if k not in ("stacked", "combined", "compared", "ranked")}
-    ctes |= FRAME_CTE
-    ctes["mrj_units"] = units_sql(PHONE_INTERVIEWS.format("joint"), N_JOINT)
-    ctes["est_mrj"] = summary_sql(prevalence_sql("mrj_units"), rounding=False)
-    for name, source, mode, n in (
-        ("mrp", "dhs", "phone_only", N_PHONE),
-        ("mrpj", "dhs", "joint", N_JOINT),
-        ("mrpf", "f2f", "joint", N_JOINT),
-    ):
-        ctes[f"{name}_cells"] = cell_design_sql(source, mode)
-        ctes[f"{name}_units"] = units_sql(f"{name}_cells", n)
-        ctes[f"est_{name}"] = summary_sql(prevalence_sql(f"{name}_units", "pop_weight", "cell_key"), rounding=False)
-    stacked = f"SELECT {EST_COLUMNS}, 'Direct (mobile-phone)' AS type, '' AS model FROM est_direct"
-    for (kind, model), table in SEVEN.items():
-        stacked += f" UNION ALL SELECT {EST_COLUMNS}, '{kind}', '{model}' FROM {table}"
-    ctes["stacked"] = stacked
-    shown = ", ".join(f"{R(c, 6)} AS {c}" for c in ("y_est", *BOUNDS, "f2f_est"))
-    return with_views(
-        f"""SELECT s.adm1_name, s.adm2_name, s.obs_month, s.type, s.model, concat(s.type, ' ', s.model) AS type_model, {shown} FROM stacked s
-        LEFT JOIN truth t ON t.adm1_name = s.adm1_name AND t.adm2_name = s.adm2_name AND t.obs_month = s.obs_month
-        WHERE s.obs_month IN (DATE '1997-05-01', DATE '1998-05-01')""",
-        *VALID_VIEWS,
-        "v_frame_src",
-        "v_matched",
-        **ctes,
-    )
-
-
-VALIDATION_MONTHS = ("1997-05-01", "1998-05-01")
-
-
-@query("v1_stack_seven_estimators", seven_oracle())
+@query(
+    "v1_stack_seven_estimators",
+    valid(
+        "SELECT adm1_name, adm2_name, obs_month, type, model, type_model, "
+        + ", ".join(f"{R(c, 6)} AS {c}" for c in ("y_est", *BOUNDS, "f2f_est"))
+        + " FROM combined"
+    ),
+)
 def v1(spark, sf):
-    st = Study(spark, sf)
-    draws = st.posterior()
-    mr = lambda rows, n: summarise(st, Pr.mr_estimate_blocks(rows, draws, n, st.regions))
-    mrp = lambda source, mode, n: summarise(st, Pr.mrp_estimate_blocks(st.frame_rows(source, mode), draws, n, st.regions))
-    stacked = Va.stack_estimators(
-        {
-            ("Direct (mobile-phone)", ""): phone_wilson(spark, sf),
-            ("MR", "mobile-phone-only"): mr(st.scoring_rows("phone_only"), N_PHONE),
-            ("MRP (dhs)", "mobile-phone-only"): mrp("dhs", "phone_only", N_PHONE),
-            ("MR-modalityPhone", "joint"): mr(st.scoring_rows(), N_JOINT),
-            ("MR-modalityF2F", "joint"): mr(st.counterfactual_rows(), N_JOINT),
-            ("MRP (dhs)", "joint"): mrp("dhs", "joint", N_JOINT),
-            ("MRP (f2f)", "joint"): mrp("f2f", "joint", N_JOINT),
-        }
-    )
-    both = Va.attach_truth(stacked, truth_table(spark, sf).select(*Va.PLACE, "f2f_est"))
-    return rounded(Va.validation_months(both, VALIDATION_MONTHS), 6)
+    both = combined(spark, sf).select(*Va.PLACE, "type", "model", "type_model", "y_est", *BOUNDS, "f2f_est")
+    return rounded(both, 6)
 
 
 ROW_SHOWN = ["bias", "abserror", "sqerror"] + [f"{m}{t}" for t in ("80", "90", "95") for m in ("ci_length", "coverage")]
@@ -334,6 +328,26 @@ def m2(spark, sf):
     return rounded(glm.score_logistic(model, phone, OWNERSHIP, ["household_id", "respondent_id"]))
 
 
+ANSWERS = ("hhh_edu", "hhh_sex", "h_water_source", "adm1_name")
+HOMES_SQL = f"SELECT * FROM ({MICS_SQL.strip()}) WHERE h_cell IN ('yes', 'no') AND " + " AND ".join(f"{v} IS NOT NULL" for v in ("hhh_edu", "hhh_sex", "hh_size", "h_water_source", "adm1_name"))
+SCORE_TERMS_SQL = " UNION ALL ".join(f"SELECT DISTINCT '{v}' AS var, {v} AS level, CAST(0 AS DOUBLE) AS score FROM homes" for v in ANSWERS)
+
+
+@query(
+    "m2_score_equations",
+    with_views(f"{SCORE_TERMS_SQL} UNION ALL SELECT 'hh_size', 'all', CAST(0 AS DOUBLE)", "v_mics_persons", "v_mics_households", "v_labels", homes=HOMES_SQL),
+)
+def m2_score(spark, sf):
+    """First-order conditions of the weighted fit: the weighted residual of every answer, and of the size, is 0."""
+    homes, model = ownership_model(spark, sf)
+    scored = model.transform(homes.select("cell", "weight_hh", *OWNERSHIP).dropna().withColumn("cell", F.col("cell").cast("double")))
+    residual = F.col("weight_hh") * (F.col("cell") - F.col("p_cell"))
+    scored = scored.withColumns({"wr": residual, "wrx": residual * F.col("hh_size")}).select("wr", "wrx", "weight_hh", *ANSWERS)
+    terms = A.stacked_groups(scored, ANSWERS, [], s=F.sum("wr"), w=F.sum("weight_hh")).select("var", "level", "s", "w")
+    size = scored.agg(F.lit("hh_size").alias("var"), F.lit("all").alias("level"), F.sum("wrx").alias("s"), F.sum("weight_hh").alias("w"))
+    return terms.unionByName(size).select("var", "level", r(F.col("s") / F.col("w"), 6).alias("score"))
+
+
 @query(
     "m9_null_scores",
     with_views(
@@ -357,7 +371,6 @@ def t1(spark, sf):
 
 
 RING_SQL = "(SELECT DISTINCT n_name AS adm2_name, n_nationkey AS area FROM nation)"
-MONTHS_SQL = "(DATE '1997-05-01', DATE '1998-05-01')"
 
 
 @query(
@@ -369,7 +382,7 @@ MONTHS_SQL = "(DATE '1997-05-01', DATE '1998-05-01')"
     ),
 )
 def t2(spark, sf):
-    stacked = Va.stack_estimators(three_estimators(Study(spark, sf)))
+    stacked = Va.stack_estimators(seven_estimators(Study(spark, sf)))
     table = Pl.map_table(stacked, truth_table(spark, sf), V.districts(spark, sf), VALIDATION_MONTHS)
     return rounded(table.select("type_model", "adm2_name", "month", "y_est", "low90", "adm2_index"), 6)
 
@@ -394,7 +407,6 @@ RI_NAMES = ("hh_size", *[f"hhh_edu_{v}" for v in Rc.EDUCATION_LEVELS if v != "hi
 
 def ownership_design(h):
     """Dummies of the random-intercept model; the first level in the alphabet is the baseline."""
-    h = h.where(F.col("hhh_edu").isNotNull())
     return Rc.one_hot(
         h,
         {
@@ -409,17 +421,49 @@ def ownership_design(h):
 @query("m3_random_intercept_scores")
 def m3(spark, sf):
     h = V.households(spark, sf)
-    face = ownership_design(h.where(F.col("modality") == "f2f")).withColumn("cell", Rc.yes_flag(F.col("h_cell")))
+    _, fit = random_intercept_model(h)
+    phone = h.where(F.col("modality") == "rtm")
+    answered = F.col("hhh_edu").isNotNull()
+    scored = H.score_random_intercept(fit, ownership_design(phone.where(answered)), RI_NAMES, "adm2_name")
+    # an interview without education keeps its row, without a score
+    unscored = phone.where(~answered).withColumn("p_cell", F.lit(None).cast("double"))
+    columns = ["household_id", "respondent_id", "p_cell"]
+    return rounded(scored.select(columns).unionByName(unscored.select(columns)), 5)
+
+
+def random_intercept_model(h):
+    """Face-to-face interviews with education, and the model of phone ownership fitted on them."""
+    face = h.where((F.col("modality") == "f2f") & F.col("hhh_edu").isNotNull())
+    face = ownership_design(face).withColumn("cell", Rc.yes_flag(F.col("h_cell")))
     fit = H.fit_random_intercept(face, RI_NAMES, "cell", "adm2_name")
-    phone = ownership_design(h.where(F.col("modality") == "rtm"))
-    scored = H.score_random_intercept(fit, phone, RI_NAMES, "adm2_name")
-    return rounded(scored.select("household_id", "respondent_id", "p_cell"), 5)
+    if not fit.converged:
+        raise RuntimeError("the random-intercept model did not converge")
+    return face, fit
+
+
+@query(
+    "m3_area_score_equations",
+    with_views(
+        "SELECT DISTINCT adm2_name, CAST(0 AS DOUBLE) AS score FROM v_households WHERE modality = 'f2f' AND hhh_edu IS NOT NULL AND h_cell IS NOT NULL",
+        "v_households",
+    ),
+)
+def m3_score(spark, sf):
+    """First-order condition of every area effect at the fit: residual sum less effect over variance."""
+    face, fit = random_intercept_model(V.households(spark, sf))
+    scored = H.score_random_intercept(fit, face, RI_NAMES, "adm2_name")
+    pull = local_table(spark, [(a, float(u / fit.sigma**2)) for a, u in zip(fit.areas, fit.effects)], "adm2_name string, pull double")
+    sums = scored.groupBy("adm2_name").agg(F.sum(F.col("cell") - F.col("p_cell")).alias("residual")).join(pull, "adm2_name")
+    return sums.select("adm2_name", r(F.col("residual") - F.col("pull"), 4).alias("score"))
 
 
 def fitted(spark, sf, mode="phone_only"):
     st = Study(spark, sf)
     n = len(De.covariates(mode))
-    return st, H.fit_hierarchical(st.patterns(mode), st.regions, st.neighbour_edges(), n, st.months.count())
+    fit = H.fit_hierarchical(st.patterns(mode), st.regions, st.neighbour_edges(), n, st.months.count())
+    if not fit.converged:
+        raise RuntimeError("the hierarchical model did not converge")
+    return st, fit
 
 
 @query("m6_hierarchical_posterior_summary")
@@ -435,6 +479,6 @@ def m6(spark, sf):
 def m6_mrp(spark, sf):
     """Whole chain: fit, draw, post-stratify the frame, summarise."""
     st, fit = fitted(spark, sf)
-    draws = cut_lineage(H.draw_posterior(spark, fit, n_draws=200, components=20))
+    draws = cut_lineage(H.draw_posterior(spark, fit))
     cells = st.frame_rows("dhs", "phone_only")
     return rounded(summarise(st, Pr.mrp_estimate_blocks(cells, draws, N_PHONE, st.regions)), 6)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from mosarea.sources.tables import local_table
 
@@ -55,17 +55,15 @@ def parse_draw_column(name: str) -> tuple[str, int | None, int | None]:
 def number_in_file_order(df: DataFrame, name: str) -> DataFrame:
     """1-based row number in file order: split offset plus position in the split.
 
-    Splits are numbered by a count per split (a handful of rows), so no single
+    Counts per split (one row per file split) are summed in order, so no single
     task sees all lines.
     """
     marked = df.withColumn("__id", F.monotonically_increasing_id()).withColumn(
         "__split", F.shiftright("__id", 33).cast("int")
     )
     sizes = marked.groupBy("__split").agg(F.count(F.lit(1)).alias("n"))
-    offsets = sizes.alias("a").join(sizes.alias("b"), F.col("b.__split") < F.col("a.__split"), "left")
-    offsets = offsets.groupBy(F.col("a.__split").alias("__split")).agg(
-        F.coalesce(F.sum("b.n"), F.lit(0)).alias("__offset")
-    )
+    earlier = Window.orderBy("__split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__split", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__offset"))
     position = F.col("__id") - F.shiftleft(F.col("__split").cast("bigint"), 33)
     return (
         marked.join(offsets, "__split")

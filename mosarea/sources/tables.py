@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mosarea.session import cut_lineage
@@ -34,6 +34,19 @@ def read_csv(
     return raw.select(*columns)
 
 
+def unparsable_cells(
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, null_values: Sequence[str] = ("NA",)
+) -> DataFrame:
+    """One row with, per column, the number of cells that are not missing and do not parse."""
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = read_csv(spark, path, as_text, null_values)
+    counts = [
+        F.count(F.when(F.col(f"`{f.name}`").isNotNull() & F.col(f"`{f.name}`").try_cast(f.dataType).isNull(), 1)).alias(f.name)
+        for f in schema.fields
+    ]
+    return raw.agg(*counts)
+
+
 def cast_dates(df: DataFrame, formats: Mapping[str, str]) -> DataFrame:
     """Turn text columns into DATE by a pattern per column; unparsable text becomes null."""
     return df.withColumns(
@@ -105,17 +118,14 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Data
     return spark.createDataFrame(pa.table(arrays, names=[f.name for f in fields]))
 
 
-DIMENSION_ROWS = 20000
-
-
-def settle_dimension(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
-    """Evaluate a dimension once so that later joins know its real size.
+def settle_dimension(df: DataFrame) -> DataFrame:
+    """Write a table that is read again to the shared folder, and measure it on the way.
 
-    Up to ``max_rows`` rows it becomes a local relation, which Spark broadcasts
-    by size without shuffling the large side. A longer table is written to the
-    checkpoint folder instead and joined by shuffle.
+    Within the session's broadcast limit the written table is sent to the joins that
+    use it; a larger one meets them by shuffle. Nothing passes the driver.
     """
-    found = df.limit(max_rows + 1).toArrow()
-    if found.num_rows > max_rows:
-        return cut_lineage(df)
-    return df.sparkSession.createDataFrame(found, schema=df.schema)
+    measure = Observation()
+    size = F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    written = cut_lineage(df.observe(measure, F.coalesce(size, F.lit(0)).alias("bytes")))
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return F.broadcast(written) if measure.get["bytes"] <= limit else written

@@ -336,3 +336,20 @@ def test_weighted_logistic_score_equations(spark, simulation):
         model, local_table(spark, [(1, None, "g1"), (2, 1.0, "g1")], "k int, x1 double, g string"), ["x1", "g"], ["k"]
     )
     assert {r.k: r.p_cell is None for r in missing.collect()} == {1: True, 2: False}
+
+
+def test_district_inside_another(spark):
+    """Rings of one district are pooled: a second ring inside the first is a hole, a far one another part."""
+    square = lambda x, y, size: [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
+    rings = [(1, square(0.0, 0.0, 4.0)), (1, square(1.0, 1.0, 2.0)), (2, square(1.0, 1.0, 2.0)), (1, square(6.0, 0.0, 1.0))]
+    districts = spark.createDataFrame(rings, "adm2_index int, ring array<struct<x: double, y: double>>")
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 3.5, 3.5), (4, 6.5, 0.5), (5, 5.0, 0.5)], "pt int, x double, y double")
+    found = G.assign_points(points, G.ring_edges(districts), "x", "y").collect()
+    assert {r["pt"]: r["adm2_index"] for r in found} == {1: 1, 2: 2, 3: 1, 4: 1, 5: None}
+
+
+def test_block_scoring_names_a_month_without_effect(spark):
+    pair = Pr.BlockPair(7, np.array([1, 3]), None, None, None, np.array([1, 2, 4]), np.ones((2, 3)), None)
+    with pytest.raises(ValueError, match="district 7 .* month 3"):
+        pair.row_effects()
+    assert Pr.BlockPair(7, np.array([1, 4]), None, None, None, np.array([1, 2, 4]), np.ones((2, 3)), None).row_effects().shape == (2, 2)

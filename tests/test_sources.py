@@ -132,7 +132,16 @@ def test_score_join_fans_out(spark):
 
 
 def test_settled_dimension_keeps_rows_and_types(spark):
-    df = spark.range(50).select("id", F.col("id").cast("string").alias("s"), F.current_date().alias("d"))
-    small, large = St.settle_dimension(df), St.settle_dimension(df, max_rows=10)
-    assert small.schema.simpleString() == df.schema.simpleString()
-    assert sorted(small.collect()) == sorted(large.collect()) == sorted(df.collect())
+    """Sent to joins within the session's broadcast limit, joined by shuffle beyond it; the same rows either way."""
+    df = spark.range(50).selectExpr("id", "cast(id as string) as name", "cast(null as date) as day")
+    other = spark.range(20).selectExpr("id", "id + 1 as more")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (limit, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            settled = settle_dimension(df)
+            assert settled.schema == df.schema and sorted(settled.collect()) == sorted(df.collect())
+            plan = other.join(settled, "id")._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (threshold != "-1")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
