@@ -139,7 +139,7 @@ def test_settled_dimension_keeps_rows_and_types(spark):
     for threshold in (limit, "-1"):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         try:
-            settled = settle_dimension(df)
+            settled = St.settle_dimension(df)
             assert settled.schema == df.schema and sorted(settled.collect()) == sorted(df.collect())
             plan = other.join(settled, "id")._jdf.queryExecution().executedPlan().toString()
             assert ("BroadcastHashJoin" in plan) == (threshold != "-1")
