@@ -14,7 +14,7 @@ import numpy as np
 from mosarea.llm.words import U64
 
 #: pieces kept by one worker; when full it starts again
-MOST_PIECES = 3_000_000
+MOST_PIECES = 1_500_000
 
 
 class PieceMemo:
