@@ -221,6 +221,8 @@ def prevalence_sql(units: str, weight: str = "1", key: str = "household_id", see
 
 
 SHOW = f"SELECT adm2_index, month_idx, draw, {R('prev')} AS prev, {R('prev2')} AS prev2 FROM"
+# Raking stops at 1e-9 of the total, so post-stratified values are compared at 6 decimals.
+SHOW_RAKED = SHOW.replace(R("prev"), R("prev", 6)).replace(R("prev2"), R("prev2", 6))
 MODEL_CTE = {**DESIGN_CTE, **posterior_sql()}
 
 
@@ -495,7 +497,7 @@ def cell_design_sql(source: str, mode: str) -> str:
       FROM model_cells c JOIN places ON places.adm2_name = c.adm2_name CROSS JOIN months m WHERE popframe_source = '{source}' AND hhh_edu IS NOT NULL"""
 
 
-def mrp_oracle(source: str, mode: str, show: str = SHOW) -> str:
+def mrp_oracle(source: str, mode: str, show: str = SHOW_RAKED) -> str:
     n = N_JOINT if mode == "joint" else N_PHONE
     return with_views(
         f"{show} ({prevalence_sql('units', 'pop_weight', 'cell_key')})",
@@ -513,25 +515,25 @@ def mrp_oracle(source: str, mode: str, show: str = SHOW) -> str:
 @query("d5_mrp_relational", mrp_oracle("dhs", "phone_only"))
 def d5(spark, sf):
     st = Study(spark, sf)
-    return rounded(Pr.mrp_estimate(st.frame_rows("dhs", "phone_only"), st.posterior(), N_PHONE, st.regions))
+    return rounded(Pr.mrp_estimate(st.frame_rows("dhs", "phone_only"), st.posterior(), N_PHONE, st.regions), 6)
 
 
 @query("d8_mrp_dhs_phone_only", mrp_oracle("dhs", "phone_only"))
 def d8(spark, sf):
     st = Study(spark, sf)
-    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("dhs", "phone_only"), st.posterior(), N_PHONE, st.regions))
+    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("dhs", "phone_only"), st.posterior(), N_PHONE, st.regions), 6)
 
 
 @query("d8_mrp_dhs_joint", mrp_oracle("dhs", "joint"))
 def d8_joint(spark, sf):
     st = Study(spark, sf)
-    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("dhs"), st.posterior(), N_JOINT, st.regions))
+    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("dhs"), st.posterior(), N_JOINT, st.regions), 6)
 
 
 @query("d8_mrp_f2f_joint", mrp_oracle("f2f", "joint"))
 def d8_face(spark, sf):
     st = Study(spark, sf)
-    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("f2f"), st.posterior(), N_JOINT, st.regions))
+    return rounded(Pr.mrp_estimate_blocks(st.frame_rows("f2f"), st.posterior(), N_JOINT, st.regions), 6)
 
 
 from mosarea.plans.registry import ORACLES  # noqa: E402
