@@ -62,8 +62,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4,096 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Sequences of at most 4,096 tokens, one row per piece of a document; the row at offset 0 has the sequence."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_sequences=True)
 
 
 STAGES = [

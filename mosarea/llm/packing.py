@@ -1,8 +1,9 @@
 """Packing token sequences with minimum bin slack.
 
 A document's ids are cut into windows of ``capacity``; only the last piece can be
-shorter. Pieces are dealt by hash to groups of about ``group_pieces``, which bounds
-what one task holds, and each group is packed alone.
+shorter. Pieces are dealt by hash to groups of about ``group_pieces`` pieces and at most about
+``GROUP_TOKENS`` tokens, which bounds what one task holds, and each group is packed alone. The ids
+move with their pieces, and a group's task puts them together into its sequences.
 
 For one window the longest remaining piece is placed first. A subset-sum dynamic
 program over the remaining lengths, kept as the bits of one integer, then finds the
@@ -14,11 +15,13 @@ used again while the lengths last.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mosarea.llm.maps import RESULT, map_texts, ragged
 from mosarea.llm.memo import PieceMemo
@@ -29,13 +32,15 @@ from mosarea.session import cut_lineage, ship_package
 CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
+GROUP_TOKENS = 16 << 20
+#: sequences put together at a time
+BLOCK_SEQUENCES = 256
 
 PIECE = T.StructType(
     [
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
-        T.StructField("ids_crc32", T.LongType()),
-        T.StructField("ids", T.ArrayType(T.IntegerType())),
+        T.StructField("ids", T.BinaryType()),
     ]
 )
 PIECES = T.StructType([T.StructField("doc_tokens", T.LongType()), T.StructField("pieces", T.ArrayType(PIECE))])
@@ -59,8 +64,15 @@ def tokenize(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return ids, np.concatenate(([0], np.cumsum(n)))[words.first]
 
 
-def cut_documents(documents: DataFrame, path: str, text: str, keep: list[str], capacity: int, end_id: int, with_ids: bool) -> DataFrame:
-    """One row per piece: ``keep``, ``doc_tokens``, ``start``, ``length``, ``ids_crc32``, ``ids``."""
+@lru_cache(maxsize=4)
+def id_type(path: str, end_id: int) -> str:
+    """Little-endian integers that hold every id of the tokenizer, two bytes wide if they can be."""
+    most = max([end_id, *load_tokenizer(path).get_vocab(with_added_tokens=True).values()])
+    return "<u2" if most < 1 << 16 else "<u4"
+
+
+def cut_documents(documents: DataFrame, path: str, text: str, keep: list[str], capacity: int, end_id: int) -> DataFrame:
+    """One row per piece: ``keep``, ``doc_tokens``, ``start``, ``length``, ``ids`` (bytes of :func:`id_type`)."""
 
     def make():
         def run(data: np.ndarray, offsets: np.ndarray, part: pa.RecordBatch) -> list[pa.Array]:
@@ -68,23 +80,16 @@ def cut_documents(documents: DataFrame, path: str, text: str, keep: list[str], c
             sizes = np.diff(limits) + 1
             n = -(-sizes // capacity)
             piece_limits = np.concatenate(([0], np.cumsum(n)))
-            start, length, crc, all_ids = [], [], [], []
+            start, length, held = [], [], []
             for row, size in enumerate(sizes.tolist()):
-                own = np.append(ids[limits[row] : limits[row + 1]], end_id).astype("<u4")
+                own = np.append(ids[limits[row] : limits[row + 1]], end_id).astype(id_type(path, end_id))
                 for s in range(0, size, capacity):
                     piece = own[s : s + capacity]
                     start.append(s)
                     length.append(len(piece))
-                    crc.append(zlib.crc32(piece.tobytes()))
-                    if with_ids:
-                        all_ids.append(piece)
-            held = (
-                ragged(pa.array(np.concatenate(all_ids).astype(np.int32)), np.concatenate(([0], np.cumsum(length))))
-                if all_ids
-                else pa.nulls(len(start), pa.list_(pa.int32()))
-            )
+                    held.append(piece.tobytes())
             pieces = pa.StructArray.from_arrays(
-                [pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), held], names=PIECE.names
+                [pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(held, pa.binary())], names=PIECE.names
             )
             return [pa.array(sizes.astype(np.int64)), ragged(pieces, piece_limits)]
 
@@ -158,17 +163,26 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return sequence, offset
 
 
-def pack_documents(
+def padded_length(n: np.ndarray, capacity: int) -> np.ndarray:
+    """Sequences are padded to ``capacity`` unless their length is a power of two."""
+    return np.where((n & (n - 1) == 0) | (n >= capacity), n, capacity)
+
+
+def pack_sequences(
     documents: DataFrame,
     path: str,
     doc_id: str = "doc_id",
     text: str = "text",
     capacity: int = CAPACITY,
     end_id: int = END_ID,
+    pad_id: int = 0,
     group_pieces: int = GROUP_PIECES,
-    with_ids: bool = False,
+    group_tokens: int = GROUP_TOKENS,
 ) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, and ``ids`` if asked.
+    """One row per training sequence: ``sequence_id, n_tokens, ids, pieces``.
+
+    ``ids`` are the tokens, padded with ``pad_id``; the first ``n_tokens`` are those of ``pieces``
+    (``doc_id, start, doc_tokens, offset``) one after the other.
 
     ``path`` is a tokenizer file that drops white space, present on every executor. A document
     is its ids and ``end_id``; null and empty texts are that id alone. Rows are packed each,
@@ -178,27 +192,112 @@ def pack_documents(
     ship_package(documents.sparkSession)
     one = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     # written once: tokenizing is the costly step, and the number of groups follows the count
-    pieces = cut_lineage(cut_documents(one, path, "text", ["doc_id"], capacity, end_id, with_ids))
-    groups = max(1, -(-pieces.count() // group_pieces))
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])]
-    dealt = pieces.select(
-        F.pmod(F.xxhash64("ids_crc32", "doc_id", "start"), F.lit(groups)).alias("group"), *columns
-    )
+    pieces = cut_lineage(cut_documents(one, path, "text", ["doc_id"], capacity, end_id))
+    n_pieces, n_tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, -(-n_pieces // group_pieces), -(-n_tokens // group_tokens))
+    dealt = pieces.select(F.pmod(F.xxhash64("ids", "doc_id", "start"), F.lit(groups)).alias("group"), *pieces.columns)
+    part = T.StructType([*dealt.select("doc_id", "start", "doc_tokens").schema.fields, T.StructField("offset", T.LongType())])
     schema = T.StructType(
-        [*dealt.select(*columns).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+        [
+            T.StructField("sequence_id", T.LongType()),
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("pieces", T.ArrayType(part)),
+        ]
     )
+    kind, part_type, arrow_schema = id_type(path, end_id), to_arrow_type(part), pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
     def pack(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
         # the same order after a retry, and with it the same sequences
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        sequence, offset = pack_lengths(table.column("length").to_numpy(), capacity)
-        packed = table.select(columns)
-        packed = packed.append_column("sequence_id", pa.array((key[0].as_py() << 32) + sequence))
-        return packed.append_column("offset", pa.array(offset))
+        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+        length = table.column("length").to_numpy()
+        sequence, offset = pack_lengths(length, capacity)
+        order = np.lexsort((offset, sequence))
+        first = np.searchsorted(sequence[order], np.arange(sequence.max() + 2))
+        batches = []
+        for low in range(0, len(first) - 1, BLOCK_SEQUENCES):
+            limits = first[low : low + BLOCK_SEQUENCES + 1]
+            rows = order[limits[0] : limits[-1]]
+            own = table.take(pa.array(rows))
+            flat = np.frombuffer(b"".join(own.column("ids").to_pylist()), kind)
+            n = np.add.reduceat(length[rows], limits[:-1] - limits[0])
+            ends = np.concatenate(([0], np.cumsum(padded_length(n, capacity))))
+            ids = np.full(ends[-1], pad_id, np.int32)
+            ids[np.repeat(ends[:-1] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(len(flat))] = flat
+            columns = [own.column(c).combine_chunks().cast(part_type.field(c).type) for c in ("doc_id", "start", "doc_tokens")]
+            parts = pa.StructArray.from_arrays([*columns, pa.array(offset[rows])], fields=list(part_type))
+            arrays = [
+                pa.array((key[0].as_py() << 32) + np.arange(low, low + len(n))),
+                pa.array(n),
+                ragged(pa.array(ids), ends),
+                ragged(parts, limits - limits[0]),
+            ]
+            batches.append(pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema)], schema=arrow_schema))
+        return pa.Table.from_batches(batches, arrow_schema)
 
     return dealt.groupBy("group").applyInArrow(pack, schema)
 
 
+def sequence_pieces(packed: DataFrame, with_ids: bool = False, with_sequences: bool = False) -> DataFrame:
+    """One row per piece of :func:`pack_sequences`: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+
+    Length and CRC are those of the slice of the sequence at ``offset``. ``ids`` is that slice, if asked;
+    ``sequence`` the whole padded sequence, on its row at offset 0 and null on the others, if asked.
+    """
+    ship_package(packed.sparkSession)
+    part = packed.schema["pieces"].dataType.elementType
+    number, ids_type = T.LongType(), T.ArrayType(T.IntegerType())
+    schema = T.StructType(
+        [
+            part["doc_id"],
+            part["start"],
+            T.StructField("length", number),
+            T.StructField("ids_crc32", number),
+            part["doc_tokens"],
+            T.StructField("sequence_id", number),
+            part["offset"],
+            *([T.StructField("ids", ids_type)] if with_ids else []),
+            *([T.StructField("sequence", ids_type)] if with_sequences else []),
+        ]
+    )
+    arrow_schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, BLOCK_SEQUENCES):
+                batch = whole.slice(low, BLOCK_SEQUENCES)
+                ids, parts = batch.column("ids"), batch.column("pieces")
+                flat = ids.flatten().to_numpy()
+                begins = ids.offsets.to_numpy() - ids.offsets[0].as_py()
+                counts = np.diff(parts.offsets.to_numpy())
+                of, rows = np.repeat(np.arange(len(counts)), counts), parts.flatten()
+                offset = rows.field("offset").to_numpy()
+                lead = np.concatenate(([0], np.cumsum(counts)[:-1]))
+                stop = np.append(offset[1:], 0)
+                stop[np.cumsum(counts) - 1] = batch.column("n_tokens").to_numpy()
+                start, end = begins[of] + offset, begins[of] + stop
+                crc = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(start.tolist(), end.tolist())]
+                arrays = [
+                    rows.field("doc_id"), rows.field("start"), pa.array(end - start), pa.array(crc, pa.int64()),
+                    rows.field("doc_tokens"), batch.column("sequence_id").take(pa.array(of)), rows.field("offset"),
+                ]
+                if with_ids:
+                    own = np.concatenate([flat[a:b] for a, b in zip(start.tolist(), end.tolist())])
+                    arrays.append(ragged(pa.array(own), np.concatenate(([0], np.cumsum(end - start)))))
+                if with_sequences:
+                    index = np.full(len(of), -1)
+                    index[lead] = np.arange(len(counts))
+                    arrays.append(ids.take(pa.array(index, mask=index < 0)))
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema)], schema=arrow_schema)
+
+    return packed.select("sequence_id", "n_tokens", "ids", "pieces").mapInArrow(run, schema)
+
+
+def pack_documents(documents: DataFrame, path: str, *args, with_ids: bool = False, with_sequences: bool = False, **settings) -> DataFrame:
+    """The pieces (:func:`sequence_pieces`) of the sequences that :func:`pack_sequences` makes of the documents."""
+    return sequence_pieces(pack_sequences(documents, path, *args, **settings), with_ids, with_sequences)
+
+
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:
     """Token sequences from :func:`pack_documents` with ids: padded to ``capacity`` unless the length is a power of two."""
     rows = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("parts"))

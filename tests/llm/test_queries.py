@@ -1,8 +1,10 @@
 """Registered queries against their SQL checks, and the pipeline against its parts."""
 
 import sys
+import zlib
 from pathlib import Path
 
+import numpy as np
 import pytest
 from oracle_check import connect, differences
 from pyspark.sql import functions as F
@@ -53,6 +55,15 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == kept - dirty
 
 
+def test_pack_stage_holds_the_tokens(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    rows = corpus_pipeline.pack(spark, documents, SF).collect()
+    whole = {r.sequence_id: r.sequence for r in rows if r.offset == 0}
+    for r in rows:
+        ids = whole[r.sequence_id][r.offset : r.offset + r.length]
+        assert zlib.crc32(np.array(ids, "<u4").tobytes()) == r.ids_crc32
+
+
 def test_dedup_stage_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13)] * 3 + [(2, "a b c d e f g", "en", "s", 13), (None, "x", "en", "s", 1), (3, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")

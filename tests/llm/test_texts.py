@@ -83,6 +83,28 @@ def test_sequences_hold_the_ids(spark):
     assert [r.n_tokens for r in made] == [7] and len(made[0].ids) == 4096 and made[0].ids.count(2) == 2
 
 
+def test_pieces_are_slices_of_the_sequences(spark):
+    """Padded sequences with every token of every document, null ids and repeated rows too."""
+    rows = [*enumerate([*fuzz(200, 60), None, "", "word " * 9000]), (5, "again and again"), (5, "again and again"), (None, "no id"), (None, "no id")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    library = tokencount.load_tokenizer(WORD_BPE)
+    texts = sorted((str(i), [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows)
+    for group in ({"group_pieces": 60}, {"group_tokens": 5000}):
+        packed = packing.pack_documents(table, WORD_BPE, with_ids=True, with_sequences=True, **group).collect()
+        whole = {r.sequence_id: r.sequence for r in packed if r.offset == 0}
+        assert all((r.sequence is None) == (r.offset > 0) for r in packed) and {r.sequence_id for r in packed} == set(whole)
+        used = dict.fromkeys(whole, 0)
+        for r in packed:
+            assert whole[r.sequence_id][r.offset : r.offset + r.length] == r.ids and len(r.ids) == r.length
+            used[r.sequence_id] += r.length
+        for k, ids in whole.items():
+            assert len(ids) == (used[k] if used[k].bit_count() == 1 else 4096) and not any(ids[used[k] :])
+        assert sum(used.values()) == sum(len(ids) for _, ids in texts)
+        assert sorted((str(r.doc_id), r.ids) for r in packed if r.length == r.doc_tokens) == [t for t in texts if len(t[1]) <= 4096]
+        long = sorted((r.start, r.ids) for r in packed if r.doc_tokens > 4096)
+        assert [sum((ids for _, ids in long), [])] == [ids for _, ids in texts if len(ids) > 4096]
+
+
 def test_best_fill_is_the_subset_sum_optimum():
     rnd = random.Random(1)
     for _ in range(200):
