@@ -33,11 +33,19 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the group's smallest id; of repeated rows one stays.
 
-    Shingles of five words, similarity 0.8 or more.
+    Shingles of five words, similarity 0.8 or more. Different texts with one id are documents of their own.
     """
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(_columns(docs))
+    text = F.coalesce(F.md5("text"), F.lit(""))
+    named = docs.where("doc_id is not null")
+    node = F.col("doc_id")
+    if not named.groupBy("doc_id").agg(F.min(text).alias("x"), F.max(text).alias("y")).where("x <> y").isEmpty():
+        # ordered by id, then by 56 bits of the text's digest
+        digest = F.coalesce(F.conv(F.substring(F.md5("text"), 1, 14), 16, 10), F.lit("0")).cast("decimal(18,0)")
+        node = (node.cast("decimal(20,0)") * F.lit(1 << 56).cast("decimal(17,0)") + digest).cast("decimal(38,0)")
+    named = named.withColumn("__node", node)
+    kept = minhash.near_duplicates(named, doc_id="__node").where("kept").select("__node").distinct()
+    named = named.join(kept, "__node", "left_semi").dropDuplicates(["__node"]).select(_columns(docs))
+    return named.unionByName(docs.where("doc_id is null").select(_columns(docs)))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,3 +68,12 @@ def test_dedup_stage_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e f g", "en", "s", 13)] * 3 + [(2, "a b c d e f g", "en", "s", 13), (None, "x", "en", "s", 1), (3, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(str(r.doc_id) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == ["1", "3", "None"]
+
+
+def test_dedup_stage_keeps_different_texts_of_one_id(spark):
+    first = " ".join(f"w{k}" for k in range(60))
+    own, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "uv")
+    rows = [(1, first), (5, first), (5, own), (6, first + " more"), (6, other), (7, "x y z"), (7, "p q r"), (7, "p q r"), (7, None), (-3, own + " end")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = [(1, first), (6, other), (7, "x y z"), (7, "p q r"), (7, None), (-3, own + " end")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()))) == sorted(map(str, expected))
