@@ -1,7 +1,7 @@
 """Packing token sequences with minimum bin slack.
 
 A document's ids are cut into windows of ``capacity``; only the last piece can be
-shorter. Pieces are dealt by hash to groups of about ``group_pieces`` pieces and at most about
+shorter. Pieces are dealt by the hash of their row number to groups of about ``group_pieces`` pieces and at most about
 ``GROUP_TOKENS`` tokens, which bounds what one task holds, and each group is packed alone. The ids
 move with their pieces, and a group's task puts them together into its sequences.
 
@@ -15,7 +15,7 @@ used again while the lengths last.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +29,12 @@ from mosarea.llm.tokencount import load_tokenizer
 from mosarea.llm.words import NOT_BLANK, find_words
 from mosarea.session import cut_lineage, ship_package
 
+BatchFunction = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
-GROUP_TOKENS = 16 << 20
+GROUP_TOKENS = 8 << 20
 #: sequences put together at a time
 BLOCK_SEQUENCES = 256
 
@@ -178,6 +180,7 @@ def pack_sequences(
     pad_id: int = 0,
     group_pieces: int = GROUP_PIECES,
     group_tokens: int = GROUP_TOKENS,
+    then: Callable[[T.StructType], tuple[T.StructType, BatchFunction]] | None = None,
 ) -> DataFrame:
     """One row per training sequence: ``sequence_id, n_tokens, ids, pieces``.
 
@@ -187,7 +190,8 @@ def pack_sequences(
     ``path`` is a tokenizer file that drops white space, present on every executor. A document
     is its ids and ``end_id``; null and empty texts are that id alone. Rows are packed each,
     repeated or with a null id alike. Other columns are not read. An empty table
-    gives an empty table. Sequence ids are distinct but not gapless.
+    gives an empty table. Sequence ids are distinct but not gapless. ``then`` makes other rows of
+    the sequences, in the same task.
     """
     ship_package(documents.sparkSession)
     one = documents.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -195,7 +199,9 @@ def pack_sequences(
     pieces = cut_lineage(cut_documents(one, path, "text", ["doc_id"], capacity, end_id))
     n_pieces, n_tokens = pieces.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     groups = max(1, -(-n_pieces // group_pieces), -(-n_tokens // group_tokens))
-    dealt = pieces.select(F.pmod(F.xxhash64("ids", "doc_id", "start"), F.lit(groups)).alias("group"), *pieces.columns)
+    # row numbers over the written pieces stay the same after a retry, and spread repeated rows and null ids too
+    dealt = pieces.select(F.monotonically_increasing_id().alias("row"), *pieces.columns)
+    dealt = dealt.select(F.pmod(F.xxhash64("row"), F.lit(groups)).alias("group"), *dealt.columns)
     part = T.StructType([*dealt.select("doc_id", "start", "doc_tokens").schema.fields, T.StructField("offset", T.LongType())])
     schema = T.StructType(
         [
@@ -209,7 +215,7 @@ def pack_sequences(
 
     def pack(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
         # the same order after a retry, and with it the same sequences
-        table = table.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids", "ascending")])
+        table = table.sort_by("row")
         length = table.column("length").to_numpy()
         sequence, offset = pack_lengths(length, capacity)
         order = np.lexsort((offset, sequence))
@@ -235,17 +241,24 @@ def pack_sequences(
             batches.append(pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema)], schema=arrow_schema))
         return pa.Table.from_batches(batches, arrow_schema)
 
-    return dealt.groupBy("group").applyInArrow(pack, schema)
+    if then is None:
+        return dealt.groupBy("group").applyInArrow(pack, schema)
+    made, function = then(schema)
+    made_arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in made])
+
+    def pack_then(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(function(pack(key, table).to_batches())), made_arrow)
+
+    return dealt.groupBy("group").applyInArrow(pack_then, made)
 
 
-def sequence_pieces(packed: DataFrame, with_ids: bool = False, with_sequences: bool = False) -> DataFrame:
+def piece_rows(packed: T.StructType, with_ids: bool = False, with_sequences: bool = False) -> tuple[T.StructType, BatchFunction]:
     """One row per piece of :func:`pack_sequences`: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
     Length and CRC are those of the slice of the sequence at ``offset``. ``ids`` is that slice, if asked;
     ``sequence`` the whole padded sequence, on its row at offset 0 and null on the others, if asked.
     """
-    ship_package(packed.sparkSession)
-    part = packed.schema["pieces"].dataType.elementType
+    part = packed["pieces"].dataType.elementType
     number, ids_type = T.LongType(), T.ArrayType(T.IntegerType())
     schema = T.StructType(
         [
@@ -262,7 +275,7 @@ def sequence_pieces(packed: DataFrame, with_ids: bool = False, with_sequences: b
     )
     arrow_schema = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for low in range(0, whole.num_rows, BLOCK_SEQUENCES):
                 batch = whole.slice(low, BLOCK_SEQUENCES)
@@ -290,12 +303,12 @@ def sequence_pieces(packed: DataFrame, with_ids: bool = False, with_sequences: b
                     arrays.append(ids.take(pa.array(index, mask=index < 0)))
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema)], schema=arrow_schema)
 
-    return packed.select("sequence_id", "n_tokens", "ids", "pieces").mapInArrow(run, schema)
+    return schema, run
 
 
 def pack_documents(documents: DataFrame, path: str, *args, with_ids: bool = False, with_sequences: bool = False, **settings) -> DataFrame:
-    """The pieces (:func:`sequence_pieces`) of the sequences that :func:`pack_sequences` makes of the documents."""
-    return sequence_pieces(pack_sequences(documents, path, *args, **settings), with_ids, with_sequences)
+    """The pieces (:func:`piece_rows`) of the sequences that :func:`pack_sequences` makes of the documents."""
+    return pack_sequences(documents, path, *args, **settings, then=lambda packed: piece_rows(packed, with_ids, with_sequences))
 
 
 def sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = 0) -> DataFrame:

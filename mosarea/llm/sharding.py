@@ -21,6 +21,8 @@ from mosarea.session import cut_lineage
 
 KEY_BITS = 60
 STEP_BITS = 6
+#: rows of one key that a task orders
+BLOCK_ROWS = 10_000
 
 
 def row_key(*columns: Column) -> Column:
@@ -54,6 +56,30 @@ def _leaves(cells: DataFrame, low: int, high: int, limit: int) -> DataFrame:
     )
 
 
+def _chains(copies: DataFrame, limit: int, key: str, size: str) -> DataFrame:
+    """Overflow links of rows that share all bits: ``depth``, ``bucket``, ``chain`` by size and running size of the key.
+
+    Rows of one key and size are dealt to blocks of about ``BLOCK_ROWS``; only the blocks of a key are ordered together.
+    """
+    # row numbers over the written rows stay the same after a retry
+    numbered = copies.withColumn("row", F.monotonically_increasing_id())
+    many = numbered.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("blocks"))
+    dealt = cut_lineage(numbered.join(many, key).withColumn("block", F.pmod(F.xxhash64("row"), "blocks")).drop("blocks"))
+    before = Window.partitionBy(key).orderBy(size, "block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = dealt.groupBy(key, size, "block").agg(F.count("*").alias("n")).select(
+        key, size, "block",
+        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"),
+        F.coalesce(F.sum(F.col("n") * F.col(size)).over(before), F.lit(0)).alias("bytes_before"),
+    )
+    within = F.row_number().over(Window.partitionBy(key, size, "block").orderBy("row"))
+    ranked = dealt.withColumn("at", within).join(blocks, [key, size, "block"])
+    number, running = F.col("rows_before") + F.col("at"), F.col("bytes_before") + (F.col("at") - 1) * F.col(size)
+    # each copy is at most half a limit, or alone, so a chain link of half the limit never overflows
+    link = F.when(F.col(size) * 2 > limit, number + 2 * F.floor(running / F.lit(limit))).otherwise(F.floor(running * 2 / F.lit(limit)))
+    chained = ranked.withColumns({"depth": F.lit(KEY_BITS), "bucket": F.col(key), "chain": link.cast("long") + 1})
+    return chained.select(*copies.columns, "depth", "bucket", "chain")
+
+
 def shard_rows(keyed: DataFrame, limit: int, key: str = "key", size: str = "bytes") -> DataFrame:
     """Adds ``depth``, ``bucket`` (the first ``depth`` bits of the key), ``chain``.
 
@@ -74,14 +100,8 @@ def shard_rows(keyed: DataFrame, limit: int, key: str = "key", size: str = "byte
             break
         if high == KEY_BITS:
             # every bit is used: copies of one key, dealt by running size; no order among equals matters
-            same = Window.partitionBy(key).orderBy(size)
-            running = F.sum(size).over(same.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(size)
-            chained = found.where("depth is null").withColumns({"depth": F.lit(KEY_BITS), "bucket": F.col(key)})
-            # each copy is at most half a limit, or alone, so a chain link of half the limit never overflows
-            link = F.when(F.col(size) * 2 > limit, F.row_number().over(same) + 2 * F.floor(running / F.lit(limit))).otherwise(
-                F.floor(running * 2 / F.lit(limit))
-            )
-            placed.append(chained.drop("cell").withColumn("chain", link.cast("long") + 1))
+            chained = cut_lineage(found.where("depth is null").drop("cell", "depth", "bucket"))
+            placed.append(_chains(chained, limit, key, size))
             break
         rest = found.where("depth is null").drop("cell", "depth", "bucket")
         low, high = high + 1, min(KEY_BITS, high + STEP_BITS)

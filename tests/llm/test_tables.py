@@ -189,3 +189,16 @@ def test_repeated_rows_overflow(spark):
         total[r.shard_id] = total.get(r.shard_id, 0) + r.bytes
         count[r.shard_id] = count.get(r.shard_id, 0) + 1
     assert len(found) == len(rows) and all(t <= 1000 or count[s] == 1 for s, t in total.items())
+
+
+def test_copies_of_one_key_are_ordered_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 20)
+    sizes = [10] * 500 + [600] * 70
+    keyed = spark.createDataFrame([(7, n) for n in sizes], "key long, bytes long")
+    rows = sharding._chains(keyed, 1000, "key", "bytes").collect()
+    assert sorted(r.bytes for r in rows) == sizes
+    links = {}
+    for r in rows:
+        links.setdefault(r.chain, []).append(r.bytes)
+    assert max(map(sum, links.values())) <= 1000 and len(links) <= 2 * sum(sizes) // 1000 + 2
+    assert all(len(x) == 1 for x in links.values() if 600 in x)

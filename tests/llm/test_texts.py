@@ -77,6 +77,14 @@ def test_packing_keeps_repeated_and_null_ids(edge_documents):
     assert sum(r.start == 0 for r in packed) == edge_documents.count()
 
 
+def test_repeated_rows_and_null_ids_are_dealt_out(spark):
+    table = spark.createDataFrame([(None, "a b c")] * 300 + [(7, "d e")] * 300, "doc_id long, text string")
+    sizes = {}
+    for r in packing.pack_documents(table, WORD_BPE, group_pieces=60).collect():
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert sum(sizes.values()) == 600 and max(sizes.values()) <= 150
+
+
 def test_sequences_hold_the_ids(spark):
     table = spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")
     made = packing.sequences(packing.pack_documents(table, WORD_BPE, with_ids=True)).collect()
