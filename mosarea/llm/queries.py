@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from mosarea.llm import bm25, chat, decontam, minhash, packing, pii, quality, secrets, sharding, tokencount
+from mosarea.llm import bm25, chat, decontam, exact, merkle, minhash, packing, pii, quality, secrets, sharding, tokencount, trie
 from mosarea.llm.maps import RESULT
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,3 +220,118 @@ FROM placed p JOIN sums s ON s.depth = p.depth AND s.bucket = p.key >> (60 - p.d
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+#: unsigned CRC-32 in SQL, from its polynomial
+CRC_TABLE = """SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+  FROM (SELECT unnest(range(256)) AS i))"""
+
+
+def crc32_sql(number: str) -> str:
+    """CRC-32 of a number's decimal digits."""
+    codes = f"list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"
+
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars")
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in (*LEAF_COLUMNS, text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """All nodes of the trees over ``tree, i, h, n``, and left and right siblings of each."""
+    return f"""{name}(tree, level, i, h, n) AS (
+  SELECT tree, 0, i, h, n FROM ({leaves})
+  UNION ALL SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, level, i // 3, n),
+{name}_steps AS (
+  SELECT x.tree, x.level, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS l, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS r
+  FROM {name} x JOIN {name} y ON y.tree = x.tree AND y.level = x.level AND y.i // 3 = x.i // 3 WHERE x.n > 1 GROUP BY ALL)"""
+
+
+@_query(
+    "op11_merkle_manifest",
+    f"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+tampered AS (SELECT *, CASE WHEN {crc32_sql("doc_id")} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM documents, crc),
+hashed AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("changed")} AS claimed FROM tampered),
+leaves AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY source) AS n FROM hashed),
+{_tree_sql("nodes", "SELECT tree, i, leaf AS h, n FROM leaves")},
+subroots AS (SELECT tree, level, h FROM nodes WHERE n = 1),
+{_tree_sql("tops", "SELECT 0 AS tree, tree AS i, h, count(*) OVER () AS n FROM subroots")},
+paths AS (
+  SELECT p.tree, p.i, s.level AS step, s.l, s.r FROM leaves p JOIN nodes_steps s ON s.tree = p.tree AND s.i = p.i // CAST(power(3, s.level) AS BIGINT)
+  UNION ALL SELECT p.tree, p.i, u.level + s.level, s.l, s.r FROM leaves p JOIN subroots u ON u.tree = p.tree JOIN tops_steps s ON s.i = p.tree // CAST(power(3, s.level) AS BIGINT)),
+proofs AS (SELECT tree, i, string_agg(l || r, '' ORDER BY step) AS proof, list(l || '|' || r ORDER BY step) AS steps FROM paths GROUP BY ALL),
+folded AS (
+  SELECT x.*, coalesce(proof, '') AS proof, list_reduce(list_concat([claimed], coalesce(steps, [])), lambda a, b: sha256(split_part(b, '|', 1) || a || split_part(b, '|', 2))) AS folded_root
+  FROM leaves x LEFT JOIN proofs p ON p.tree = x.tree AND p.i = x.i)
+SELECT doc_id, leaf, u.h AS subroot, o.h AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = o.h AS verified
+FROM folded f JOIN subroots u ON u.tree = f.tree, (SELECT h FROM tops WHERE n = 1) o""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in LEAF_COLUMNS]
+    odd = F.crc32(F.col("doc_id").cast("string")) % 2 != 0
+    changed = F.when(F.coalesce(odd, F.lit(True)), F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("")))
+    leaves = documents.select(
+        "doc_id", "source", merkle.leaf_digest([*columns, F.col("text")]).alias("digest"), merkle.leaf_digest([*columns, changed]).alias("claimed")
+    )
+    return merkle.build_manifest(leaves, "source", "doc_id").verify("doc_id", "claimed")
+
+
+def shared_heads(sequences: DataFrame) -> DataFrame:
+    """Every conversation with its first turns taken from the first one of its hundred; CRC-32 of its number says how many."""
+    heads = sequences.where("conv % 100 = 0").select(F.col("conv").alias("base"), *[F.slice(c, 1, 5 * k).alias(f"base_{c}") for c, k in (("ids", 2), ("lens", 1))])
+    taken = (F.crc32(F.col("conv").cast("string")) % 6).cast("int")
+    joined = sequences.withColumn("base", F.col("conv") - F.col("conv") % 100).join(heads, "base", "left").withColumn("h", taken)
+
+    def spliced(column: str, width: int) -> F.Column:
+        head = F.coalesce(F.slice(f"base_{column}", F.lit(1), F.col("h") * width), F.array().cast("array<long>"))
+        own = F.slice(column, F.col("h") * width + 1, F.greatest(F.size(column) - F.col("h") * width, F.lit(0)))
+        return F.concat(head, own)
+
+    return joined.select("conv", spliced("ids", 2).alias("ids"), spliced("lens", 1).alias("lens"))
+
+
+@_query(
+    "op12_prefix_trie",
+    f"""
+WITH crc AS ({CRC_TABLE}),
+own AS (
+  SELECT conv_id, list(md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) ORDER BY turn NULLS FIRST, role, text) AS keys,
+    list(length(coalesce(text, '')) ORDER BY turn NULLS FIRST, role, text) AS lens FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+counted AS (SELECT conv_id, keys, lens, {crc32_sql("conv_id")} % 6 AS h FROM own, crc),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.keys[1:h], []), c.keys[h + 1:]) AS keys, list_concat(coalesce(b.lens[1:h], []), c.lens[h + 1:]) AS lens
+  FROM counted c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 100),
+prefixes AS (SELECT conv_id, d, array_to_string(keys[1:d], '') AS node, len(keys) = d AS ends, CASE WHEN d = 0 THEN 0 ELSE lens[d] END AS chars
+  FROM (SELECT *, unnest(range(0, len(keys) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT node, d, min(conv_id) AS conv_id, count(*) AS n, min(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, d),
+children AS (SELECT left(node, 32 * (d - 1)::INT) AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT left(x.node, 32 * a) AS node, count(*) FILTER (c.n IS NULL) AS leaves, sum((x.n - 1) * x.chars) AS saved
+  FROM (SELECT *, CAST(unnest(range(0, d + 1)) AS INT) AS a FROM nodes) x LEFT JOIN children c ON c.node = x.node GROUP BY 1)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(c.n, 0) AS n_children, b.leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, x.ends_sha256
+FROM nodes x JOIN below b ON b.node = x.node LEFT JOIN children c ON c.node = x.node LEFT JOIN nodes p ON x.d > 0 AND p.node = left(x.node, 32 * (x.d - 1)::INT)""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(shared_heads(trie.sequences(_table(spark, sf_dir, "conversations"))))
+
+
+@_query(
+    "op13_exact_dedup",
+    r"""
+WITH bare AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content FROM documents),
+ranked AS (
+  SELECT doc_id, content, first_value(doc_id) OVER (PARTITION BY content ORDER BY n DESC, doc_id NULLS LAST) AS keep_id, count(*) OVER (PARTITION BY content) AS group_size FROM bare)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM ranked""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_duplicates(_table(spark, sf_dir, "documents"))
