@@ -3,8 +3,8 @@
 The data enter as likelihood patterns. One pass is a Spark aggregate: tasks
 reduce their rows to sums per (area, month), Spark adds the sums up, and at
 most areas x months rows of first and second derivatives come back, however
-many interviews there are. The driver only solves the dense system over the
-parameters, whose number is set by geography and calendar.
+many interviews there are. The driver solves by block elimination, dense only in
+covariates, areas and months.
 
 The posterior is approximate: Gaussian at the mode (Laplace), mixed over the
 standard deviations of the effects (Rue, Martino and Chopin 2009). It is not a
@@ -21,16 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mosarea.functions.expressions import logistic
+from mosarea.operators.blocksolve import EFFECTS, BlockSystem, Cells, Design, Layout, shares
 from mosarea.session import cut_lineage, ship_package
 from mosarea.sources.tables import local_table
 
-# Prior scales and the order of the effect blocks.
-FIXED_PRECISION = 1.0 / 25.0
-AREA_SUM_SD = 0.001
-MONTH_SUM_SD = 0.01
-PC_RATE = -np.log(0.01)
-EFFECTS = ("phi", "theta", "nu", "xi", "psi")
-HYPER = ("pc_precision", "half_cauchy")
+#: bounds of the log standard deviations; a fit that ends at one is an error
+LOG_SIGMA = (-8.0, 3.0)
 
 
 # ------------------------------------------------------------ distributed pass
@@ -49,27 +45,29 @@ class Derivatives:
     log_lik_cell: np.ndarray = field(repr=False)
 
 
-def derivatives(patterns: DataFrame, n_months: int, beta: np.ndarray, offset: np.ndarray) -> Derivatives:
-    """One pass over ``(adm2_index, month_idx, x1..xB, n, y)``.
+def derivative_table(patterns: DataFrame, n_months: int, beta: np.ndarray, offset: np.ndarray) -> DataFrame:
+    """``slot, v0, v1, ..`` at one parameter value; slots are cells, negative ones covariates.
 
-    ``offset`` is the areas x months matrix of everything in the predictor that
-    does not multiply a covariate.
+    ``patterns`` is ``(adm2_index, month_idx, x1..xB, n, y)``, ``offset`` the areas x months matrix of
+    everything in the predictor that does not multiply a covariate.
     """
     ship_package(patterns.sparkSession)
     n_cov = len(beta)
     width = 4 + 2 * n_cov
-    names = ["slot", *[f"v{k}" for k in range(width)]]
-    summed = (
+    return (
         patterns.select("adm2_index", "month_idx", "n", "y", *[f"x{k}" for k in range(1, n_cov + 1)])
         .mapInArrow(_partial_sums(beta, offset, n_months), "slot int, " + ", ".join(f"v{k} double" for k in range(width)))
         .groupBy("slot")
         .agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(width)])
-        .select(*names)
-        .toArrow()
+        .select("slot", *[f"v{k}" for k in range(width)])
     )
+
+
+def read_derivatives(summed: pa.Table, n_cells: int, n_cov: int) -> Derivatives:
+    width = 4 + 2 * n_cov
     slot = summed.column("slot").to_numpy()
     values = np.column_stack([summed.column(f"v{k}").to_numpy() for k in range(width)])
-    cells = np.zeros((offset.size, width))
+    cells = np.zeros((n_cells, width))
     cells[slot[slot >= 0]] = values[slot >= 0]
     cross = np.zeros((n_cov, width))
     cross[-slot[slot < 0] - 1] = values[slot < 0]
@@ -86,6 +84,11 @@ def derivatives(patterns: DataFrame, n_months: int, beta: np.ndarray, offset: np
     )
 
 
+def derivatives(patterns: DataFrame, n_months: int, beta: np.ndarray, offset: np.ndarray) -> Derivatives:
+    """One pass over the patterns, see :func:`derivative_table`."""
+    return read_derivatives(derivative_table(patterns, n_months, beta, offset).toArrow(), offset.size, len(beta))
+
+
 def _partial_sums(beta: np.ndarray, offset: np.ndarray, n_months: int):
     n_cov = len(beta)
     width = 4 + 2 * n_cov
@@ -127,82 +130,19 @@ def _partial_sums(beta: np.ndarray, offset: np.ndarray, n_months: int):
 
 
 # ------------------------------------------------------------ full model (M6)
-@dataclass
-class Layout:
-    """Positions of the parameter blocks in one vector."""
-
-    n_cov: int
-    n_areas: int
-    n_months: int
-    place: np.ndarray  # interaction place (0-based) of each area
-
-    @property
-    def n_places(self) -> int:
-        return int(self.place.max()) + 1
-
-    def sizes(self) -> dict[str, int]:
-        return {
-            "fixed": 1 + self.n_cov,
-            "phi": self.n_areas,
-            "theta": self.n_areas,
-            "nu": self.n_months,
-            "xi": self.n_months,
-            "psi": self.n_months * self.n_places,
-        }
-
-    def slices(self) -> dict[str, slice]:
-        out, start = {}, 0
-        for name, size in self.sizes().items():
-            out[name] = slice(start, start + size)
-            start += size
-        return out
-
-    @property
-    def size(self) -> int:
-        return sum(self.sizes().values())
-
-    def effect_index(self) -> np.ndarray:
-        """Cells x 6 positions: intercept, phi, theta, nu, xi, psi (column-major in month)."""
-        s = self.slices()
-        area, month = np.divmod(np.arange(self.n_areas * self.n_months), self.n_months)
-        return np.column_stack(
-            [
-                np.zeros_like(area),
-                s["phi"].start + area,
-                s["theta"].start + area,
-                s["nu"].start + month,
-                s["xi"].start + month,
-                s["psi"].start + self.place[area] * self.n_months + month,
-            ]
-        )
-
-
-def effect_structures(layout: Layout, edges: Sequence[tuple[int, int]]) -> dict[str, np.ndarray]:
-    """Prior precision of each unscaled effect block (1-based neighbour pairs)."""
-    ns, nt = layout.n_areas, layout.n_months
-    icar = np.full((ns, ns), 1.0 / (AREA_SUM_SD * ns) ** 2)
-    for a, b in edges:
-        icar[a - 1, a - 1] += 1.0
-        icar[b - 1, b - 1] += 1.0
-        icar[a - 1, b - 1] -= 1.0
-        icar[b - 1, a - 1] -= 1.0
-    step = np.eye(nt) - np.eye(nt, k=-1)
-    walk = step.T @ step + 1.0 / (MONTH_SUM_SD * nt) ** 2
-    sizes = layout.sizes()
-    return {"phi": icar, "nu": walk, **{k: np.eye(sizes[k]) for k in ("theta", "xi", "psi")}}
-
-
 @dataclass
 class HierarchicalFit:
+    """Mode and marginal of the standard deviations; ``cells`` is the table of derivatives at the mode."""
+
     layout: Layout
-    structures: dict[str, np.ndarray]
+    edges: list[tuple[int, int]]
     hyper: str
     mode: np.ndarray
     log_sigma: np.ndarray
-    log_sigma_cov: np.ndarray
-    information: np.ndarray
-    linear: np.ndarray
+    design: Design
+    cells: DataFrame = field(repr=False)
     log_lik: float
+    log_prior: float
     passes: int
     converged: bool
 
@@ -214,34 +154,11 @@ class HierarchicalFit:
     def coefficients(self) -> np.ndarray:
         return self.mode[: 1 + self.layout.n_cov]
 
-
-def _prior_precision(layout: Layout, structures: dict[str, np.ndarray], log_sigma: np.ndarray) -> np.ndarray:
-    out = np.zeros((layout.size, layout.size))
-    slices = layout.slices()
-    fixed = slices["fixed"]
-    out[fixed, fixed] = FIXED_PRECISION * np.eye(1 + layout.n_cov)
-    for name, value in zip(EFFECTS, log_sigma):
-        out[slices[name], slices[name]] = structures[name] * np.exp(-2.0 * value)
-    return out
-
-
-def _log_hyper(log_sigma: np.ndarray, hyper: str) -> float:
-    """Log prior of the log standard deviations, Jacobian included."""
-    sigma = np.exp(log_sigma)
-    if hyper == "half_cauchy":
-        return float(np.sum(-np.log1p(sigma**2) + log_sigma))
-    return float(np.sum(-PC_RATE * sigma + log_sigma))
-
-
-def _marginal(layout, structures, hyper, information, linear, log_sigma):
-    """Laplace marginal of the log standard deviations, and the conditional mode."""
-    precision = information + _prior_precision(layout, structures, log_sigma)
-    factor = np.linalg.cholesky(precision)
-    half = np.linalg.solve(factor, linear)
-    sizes = layout.sizes()
-    value = 0.5 * half @ half - np.sum(np.log(np.diag(factor))) + _log_hyper(log_sigma, hyper)
-    value -= sum(sizes[name] * s for name, s in zip(EFFECTS, log_sigma))
-    return float(value), factor, half
+    def mode_draws(self, spark: SparkSession) -> DataFrame:
+        """The mode as one long draw ``(draw, param, i, j, value)``."""
+        labels = _parameter_labels(self.layout)
+        values = [*map(float, self.mode), *map(float, np.exp(self.log_sigma))]
+        return local_table(spark, [(1, *row) for row in zip(*labels, values)], "draw int, param string, i int, j int, value double")
 
 
 def _search(function, start: np.ndarray, step: float, smallest: float) -> np.ndarray:
@@ -252,7 +169,7 @@ def _search(function, start: np.ndarray, step: float, smallest: float) -> np.nda
         for k in range(len(point)):
             for sign in (1.0, -1.0):
                 trial = point.copy()
-                trial[k] = np.clip(trial[k] + sign * step, -8.0, 3.0)
+                trial[k] = np.clip(trial[k] + sign * step, *LOG_SIGMA)
                 value = function(trial)
                 if value > best + 1e-10:
                     best, point, moved = value, trial, True
@@ -262,28 +179,9 @@ def _search(function, start: np.ndarray, step: float, smallest: float) -> np.nda
     return point
 
 
-def _assemble(layout: Layout, d: Derivatives) -> tuple[np.ndarray, np.ndarray]:
-    """Negative Hessian and gradient of the log likelihood in the full vector."""
-    n_cov = layout.n_cov
-    index = layout.effect_index()
-    hessian = np.zeros((layout.size, layout.size))
-    gradient = np.zeros(layout.size)
-    beta = slice(1, 1 + n_cov)
-    for a in range(index.shape[1]):
-        np.add.at(gradient, index[:, a], d.residual)
-        block = np.zeros((layout.size, n_cov))
-        np.add.at(block, index[:, a], d.weight_x)
-        hessian[:, beta] += block
-        hessian[beta, :] += block.T
-        for b in range(index.shape[1]):
-            np.add.at(hessian, (index[:, a], index[:, b]), d.weight)
-    hessian[beta, beta] += d.weight_xx
-    gradient[beta] += d.residual_x
-    return hessian, gradient
-
-
-def _offset(layout: Layout, theta: np.ndarray) -> np.ndarray:
-    return theta[layout.effect_index()].sum(axis=1).reshape(layout.n_areas, layout.n_months)
+def _at_bound(log_sigma: np.ndarray) -> list[str]:
+    low, high = LOG_SIGMA
+    return [name for name, s in zip(EFFECTS, log_sigma) if s <= low + 1e-9 or s >= high - 1e-9]
 
 
 def fit_hierarchical(
@@ -300,112 +198,135 @@ def fit_hierarchical(
     """Mode, curvature and hyperparameter posterior of the hierarchical model.
 
     ``patterns`` as from the design step; ``regions`` holds the dense 1-based
-    ``adm2_index`` and ``adm1_index``; ``edges`` the neighbour pairs.
+    ``adm2_index`` and ``adm1_index``; ``edges`` the neighbour pairs. A standard
+    deviation that ends at the bound of its range is an error.
     """
-    if hyper not in HYPER:
-        raise ValueError(f"hyper must be one of {HYPER}")
     places = regions.select("adm2_index", F.col(interaction).alias("place")).distinct().orderBy("adm2_index").collect()
-    layout = Layout(n_covariates, len(places), n_months, np.array([r["place"] - 1 for r in places]))
-    structures = effect_structures(layout, [tuple(r) for r in edges.select("node1", "node2").collect()])
+    layout = Layout(n_covariates, len(places), n_months, tuple(r["place"] - 1 for r in places))
+    pairs = [tuple(r) for r in edges.select("node1", "node2").collect()]
+    frame = BlockSystem(layout, pairs, hyper)
     rows = cut_lineage(patterns)
     beta = slice(1, 1 + n_covariates)
+
+    def expand(d: Derivatives, at: np.ndarray) -> BlockSystem:
+        return frame.with_cells(Cells.at(d.residual, d.weight, d.weight_x, d.residual_x, d.weight_xx, at[beta], layout.offset(at)))
+
     theta = np.zeros(layout.size)
     log_sigma = np.full(len(EFFECTS), np.log(0.5))
-    penalised = lambda d, t, s: d.log_lik - 0.5 * t @ _prior_precision(layout, structures, s) @ t
-    current = derivatives(rows, n_months, theta[beta], _offset(layout, theta))
+    current = derivatives(rows, n_months, theta[beta], layout.offset(theta))
     passes, step, converged = 1, 0.5, False
     while passes < max_passes:
-        information, gradient = _assemble(layout, current)
-        linear = gradient + information @ theta
-        objective = lambda s: _marginal(layout, structures, hyper, information, linear, s)[0]
-        new_sigma = _search(objective, log_sigma, step, max(step / 8.0, 0.004))
+        system = expand(current, theta)
+        new_sigma = _search(system.log_marginal, log_sigma, step, max(step / 8.0, 0.004))
         step = max(step / 2.0, 0.016)
-        _, factor, half = _marginal(layout, structures, hyper, information, linear, new_sigma)
-        target = np.linalg.solve(factor.T, half)
-        before = penalised(current, theta, new_sigma)
+        target = system.mode(new_sigma)
+        before = current.log_lik - frame.penalty(theta, new_sigma)
         size = 1.0
         while True:
             trial = theta + size * (target - theta)
-            found = derivatives(rows, n_months, trial[beta], _offset(layout, trial))
+            found = derivatives(rows, n_months, trial[beta], layout.offset(trial))
             passes += 1
-            if penalised(found, trial, new_sigma) >= before - 1e-9 or size < 1e-3 or passes >= max_passes:
+            if found.log_lik - frame.penalty(trial, new_sigma) >= before - 1e-9 or size < 1e-3 or passes >= max_passes:
                 break
             size /= 2.0
-        change = np.max(np.abs(_offset(layout, trial) - _offset(layout, theta)))
+        change = np.max(np.abs(layout.offset(trial) - layout.offset(theta)))
         change = max(change, float(np.max(np.abs(trial[beta] - theta[beta]), initial=0.0)))
         moved = float(np.max(np.abs(new_sigma - log_sigma)))
         theta, log_sigma, current = trial, new_sigma, found
         if change < tolerance and moved < 0.005:
             converged = True
             break
-    information, gradient = _assemble(layout, current)
-    linear = gradient + information @ theta
-    objective = lambda s: _marginal(layout, structures, hyper, information, linear, s)[0]
+    if bound := _at_bound(log_sigma):
+        raise ValueError(f"the log standard deviation of {', '.join(bound)} ends at the bound of {list(LOG_SIGMA)}")
+    design = Design.around(expand(current, theta).log_marginal, log_sigma)
+    cells = cut_lineage(derivative_table(rows, n_months, theta[beta], layout.offset(theta)))
     return HierarchicalFit(
-        layout, structures, hyper, theta, log_sigma, _curvature_cov(objective, log_sigma),
-        information, linear, current.log_lik, passes, converged,
+        layout, pairs, hyper, theta, log_sigma, design, cells, current.log_lik, frame.log_prior(theta, log_sigma), passes, converged
     )
 
 
-def _curvature_cov(function, point: np.ndarray, h: float = 0.05) -> np.ndarray:
-    """Inverse negative Hessian by central differences, eigenvalues kept positive."""
-    k = len(point)
-    hessian = np.zeros((k, k))
-    unit = np.eye(k) * h
-    at = function(point)
-    for i in range(k):
-        hessian[i, i] = (function(point + unit[i]) - 2 * at + function(point - unit[i])) / h**2
-        for j in range(i):
-            corner = lambda a, b: function(point + a * unit[i] + b * unit[j])
-            hessian[i, j] = hessian[j, i] = (corner(1, 1) - corner(1, -1) - corner(-1, 1) + corner(-1, -1)) / (4 * h**2)
-    values, vectors = np.linalg.eigh(-hessian)
-    return (vectors / np.maximum(values, 0.25)) @ vectors.T
+def _with_system(fit: HierarchicalFit, tasks: int, points: Sequence[tuple], work, schema: str) -> DataFrame:
+    """``work(system, points of the task)`` in ``tasks`` tasks that read the table of derivatives.
+
+    The table goes to each task once; effects at the mode, bounded by geography and calendar, are in the
+    function's closure.
+    """
+    layout, edges, hyper, mode = fit.layout, fit.edges, fit.hyper, fit.mode
+    n_cells = layout.n_areas * layout.n_months
+    beta, offset = mode[1 : 1 + layout.n_cov], layout.offset(mode)
+    dealt = [list(points[k::tasks]) for k in range(tasks)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frame, task, parts = None, None, []
+
+        def finish():
+            nonlocal frame
+            frame = frame or BlockSystem(layout, edges, hyper)
+            d = read_derivatives(pa.Table.from_batches(parts), n_cells, layout.n_cov)
+            cells = Cells.at(d.residual, d.weight, d.weight_x, d.residual_x, d.weight_xx, beta, offset)
+            return work(frame.with_cells(cells), dealt[task])
+
+        for batch in batches:
+            ids = batch.column("__task").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1), len(ids)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if end > start:
+                    if task is not None and ids[start] != task:
+                        yield from finish()
+                        parts = []
+                    task = int(ids[start])
+                    parts.append(batch.slice(start, end - start))
+        if parts:
+            yield from finish()
+
+    spread = fit.cells.withColumn("__task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    return spread.repartitionByRange(tasks, "__task").sortWithinPartitions("__task").mapInArrow(run, schema)
+
+
+def integration_points(spark: SparkSession, fit: HierarchicalFit, n_points: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points of the log standard deviations from keyed numbers, and their log weights against the exact marginal."""
+    design = fit.design
+
+    def weigh(system: BlockSystem, own: list) -> Iterator[pa.RecordBatch]:
+        values = []
+        for k in own:
+            point, log_density = design.point(np.random.default_rng([seed, k]))
+            values.append(system.log_marginal(point) - log_density)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(values, pa.float64())], names=["k", "w"])
+
+    tasks = min(n_points, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = _with_system(fit, tasks, range(n_points), weigh, "k int, w double").toArrow()
+    log_weights = np.empty(n_points)
+    log_weights[found.column("k").to_numpy()] = found.column("w").to_numpy()
+    return np.array([design.point(np.random.default_rng([seed, k]))[0] for k in range(n_points)]), log_weights
 
 
 def draw_posterior(
-    spark: SparkSession, fit: HierarchicalFit, n_draws: int = 4000, components: int = 40, seed: int = 1234
+    spark: SparkSession, fit: HierarchicalFit, n_draws: int = 4000, draws_per_point: int = 20, seed: int = 1234
 ) -> DataFrame:
     """Long draws ``(draw, param, i, j, value)`` from the Gaussian mixture.
 
-    Each component takes one draw of the standard deviations and one Cholesky
-    factor; components run as separate tasks with a seed of their own, so a
-    repeated task repeats its numbers.
+    The standard deviations are integrated over ``n_draws / draws_per_point`` points, so their number
+    grows with the draws: points come from keyed numbers, are weighted by the exact Laplace marginal and get draws in
+    proportion. A point's draws have numbers of their own, so a repeated task repeats them.
     """
-    if n_draws % components:
-        raise ValueError("n_draws must be a multiple of components")
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(fit)
-    per_component = n_draws // components
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
-        labels = _parameter_labels(f.layout)
-        root = np.linalg.cholesky(f.log_sigma_cov)
-        for batch in batches:
-            for k in batch.column("id").to_pylist():
-                rng = np.random.default_rng([seed, k])
-                log_sigma = f.log_sigma + root @ rng.standard_normal(len(EFFECTS))
-                _, factor, half = _marginal(f.layout, f.structures, f.hyper, f.information, f.linear, log_sigma)
-                noise = rng.standard_normal((f.layout.size, per_component))
-                theta = np.linalg.solve(factor.T, half[:, None] + noise).T
-                sigma = np.tile(np.exp(log_sigma), (per_component, 1))
-                values = np.hstack([theta, sigma])
-                draws = np.repeat(np.arange(per_component) + k * per_component + 1, values.shape[1])
-                tiled = lambda column: pa.array(list(column) * per_component)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(draws.astype(np.int32)),
-                        tiled(labels[0]),
-                        pa.array(list(labels[1]) * per_component, pa.int32()),
-                        pa.array(list(labels[2]) * per_component, pa.int32()),
-                        pa.array(values.ravel()),
-                    ],
-                    names=["draw", "param", "i", "j", "value"],
-                )
-
-    return spark.range(0, components, 1, components).mapInArrow(
-        sample, "draw int, param string, i int, j int, value double"
-    )
+    points, log_weights = integration_points(spark, fit, max(1, -(-n_draws // draws_per_point)), seed)
+    counts = shares(log_weights, n_draws, float(np.random.default_rng([seed, -1 % 2**32]).random()))
+    first = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    used = [(int(k), points[k], int(counts[k]), int(first[k])) for k in np.flatnonzero(counts)]
+
+    def sample(system: BlockSystem, own: list) -> Iterator[pa.RecordBatch]:
+        names, i, j = _parameter_labels(system.layout)
+        labels = pa.array(names), pa.array(i, pa.int32()), pa.array(j, pa.int32())
+        for k, log_sigma, count, before in own:
+            values = system.draw(log_sigma, np.random.default_rng([seed, k, 1]), count)
+            for d in range(count):
+                row = np.concatenate((values[d], np.exp(log_sigma)))
+                number = pa.array(np.full(len(row), before + d + 1, np.int32))
+                yield pa.RecordBatch.from_arrays([number, *labels, pa.array(row)], names=["draw", "param", "i", "j", "value"])
+
+    tasks = min(len(used), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return _with_system(fit, tasks, used, sample, "draw int, param string, i int, j int, value double")
 
 
 def _parameter_labels(layout: Layout) -> tuple[list, list, list]:
@@ -482,7 +403,7 @@ def fit_random_intercept(
         value = d.log_lik - 0.5 * np.sum(u * u) / s2 - 0.5 * np.sum(np.log1p(s2 * w))
         move = np.linalg.solve(information, gradient)
         move_sigma = float(np.clip(grad_sigma / info_sigma, -0.5, 0.5))
-        if np.max(np.abs(move)) < tolerance and (abs(move_sigma) < 1e-4 or log_sigma < -7.0):
+        if np.max(np.abs(move)) < tolerance and (abs(move_sigma) < 1e-6 or log_sigma < -7.0):
             converged = True
             break
         b, beta, log_sigma = b + move[0], beta + move[1:], max(log_sigma + move_sigma, -7.5)
@@ -500,3 +421,30 @@ def score_random_intercept(
     for value, column in zip(fit.coefficients[1:], covariates):
         eta = eta + float(value) * F.col(f"`{column}`")
     return df.join(effects, area, "left").withColumn(name, logistic(eta)).drop("__u")
+
+
+def random_intercept_scores(fit: RandomInterceptFit, df: DataFrame, covariates: Sequence[str], outcome: str, area: str) -> DataFrame:
+    """``(term, score)``: gradient of the Laplace criterion at the fit, recomputed from the rows.
+
+    Terms are the intercept, the covariates and the log standard deviation. Rows give sums of
+    residuals, weights and third derivatives per area, areas the correction for the curvature of their
+    effect; both are aggregates.
+    """
+    effects = local_table(df.sparkSession, [(a, float(u)) for a, u in zip(fit.areas, fit.effects)], f"`{area}` string, u double")
+    terms = ["intercept", *covariates]
+    x = [F.lit(1.0), *[F.col(f"`{c}`").cast("double") for c in covariates]]
+    scored = score_random_intercept(fit, df, covariates, area, "__p").withColumns({f"__x{k}": v for k, v in enumerate(x)})
+    p = F.col("__p")
+    w = p * (1.0 - p)
+    parts = {"r": F.col(f"`{outcome}`") - p, "w": w, "t": w * (1.0 - 2.0 * p)}
+    sums = [F.sum(v * F.col(f"__x{k}")).alias(f"{name}{k}") for k in range(len(x)) for name, v in parts.items()]
+    by_area = scored.groupBy(area).agg(*sums).join(effects, area)
+    variance = F.lit(fit.sigma**2)
+    curve = F.col("w0") + 1.0 / variance
+    share = variance / (1.0 + variance * F.col("w0"))
+    u = F.col("u")
+    scores = [F.col(f"r{k}") - 0.5 * share * (F.col(f"t{k}") - F.col("t0") * F.col(f"w{k}") / curve) for k in range(len(x))]
+    scores.append(u * u / variance - 0.5 * share * (2.0 * F.col("w0") + F.col("t0") * 2.0 * u / variance / curve))
+    labels = [*terms, "log_sigma"]
+    stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("term"), v.alias("v")) for n, v in zip(labels, scores)]))
+    return by_area.select(stacked.alias("s")).groupBy(F.col("s.term").alias("term")).agg(F.sum("s.v").alias("score"))

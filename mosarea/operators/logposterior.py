@@ -21,7 +21,8 @@ from mosarea.functions.expressions import (
     normal_log_density,
     pc_precision_log_density,
 )
-from mosarea.operators.predict import block_pairs, effect_table, linear_predictor, read_pairs
+from mosarea.operators.predict import DistrictDraws, RowBlock, effect_table, linear_predictor, meet_draws, probabilities, score_rows
+from mosarea.session import cut_lineage
 
 # Prior scales.
 FIXED_SD = 5.0
@@ -42,38 +43,131 @@ def log_likelihood(
 
 
 def log_likelihood_blocks(
+    patterns: DataFrame, draws: DataFrame, n_covariates: int, regions: DataFrame, interaction: str = "adm1_index"
+) -> DataFrame:
+    """Same numbers as :func:`log_likelihood` for many patterns and draws.
+
+    The draws of a district meet its patterns as in post-stratification; a group of
+    patterns gives one partial sum per draw.
+    """
+    rows = cut_lineage(score_rows(patterns, n_covariates, F.col("y"), F.col("n"), "month_idx"))
+    masses = meet_draws(rows, draws, effect_table(draws, regions, interaction), n_covariates, MassSums, "draw int, mass double")
+    return masses.groupBy("draw").agg(F.sum("mass").alias("log_lik"))
+
+
+class MassSums:
+    """Log mass of the patterns of a group per draw."""
+
+    def __init__(self, draws: DistrictDraws):
+        self.draws, self.total = draws, np.zeros(len(draws.draws))
+
+    def add(self, rows: RowBlock, kind: int) -> None:
+        d = self.draws
+        for part, own in rows.pieces(len(d.draws)):
+            eta = part.x @ d.betas[own, 1:].T + d.betas[own, 0] + d.effects[own].T[d.month_positions(part.months)]
+            self.total[own] += part.weights @ eta - part.numbers @ (np.maximum(eta, 0.0) + np.log1p(np.exp(-np.abs(eta))))
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(self.draws.draws.astype(np.int32)), pa.array(self.total)], names=["draw", "mass"])
+
+
+class ResidualSums:
+    """Per draw: residual (successes less their expectation) per month, and times each covariate.
+
+    A row of the result has a month, or the number of a covariate and no month.
+    """
+
+    def __init__(self, draws: DistrictDraws):
+        self.draws = draws
+        self.cells = np.zeros((len(draws.months), len(draws.draws)))
+        self.crossed = np.zeros((draws.betas.shape[1] - 1, len(draws.draws)))
+
+    def add(self, rows: RowBlock, kind: int) -> None:
+        d = self.draws
+        for part, own in rows.pieces(len(d.draws)):
+            at = d.month_positions(part.months)
+            p = probabilities(part.x @ d.betas[own, 1:].T + d.betas[own, 0] + d.effects[own].T[at])
+            residual = part.weights[:, None] - part.numbers[:, None] * p
+            first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+            self.cells[at[first], own] += np.add.reduceat(residual, first, axis=0)
+            self.crossed[:, own] += part.x.T @ residual
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        d = self.draws
+        months = [*map(int, d.months), *[None] * len(self.crossed)]
+        numbers = [*[None] * len(d.months), *range(1, len(self.crossed) + 1)]
+        for month, number, values in zip(months, numbers, (*self.cells, *self.crossed)):
+            n = len(values)
+            columns = [[d.area] * n, [month] * n, [number] * n, d.draws.astype(np.int32), values]
+            types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["adm2_index", "month_idx", "covariate", "draw", "residual"])
+
+
+def log_posterior_gradient(
     patterns: DataFrame,
     draws: DataFrame,
+    edges: DataFrame,
     n_covariates: int,
     regions: DataFrame,
     interaction: str = "adm1_index",
-    block_rows: int = 2000,
-    block_draws: int = 100,
 ) -> DataFrame:
-    """Same numbers as :func:`log_likelihood` for many patterns and draws.
+    """``(draw, param, i, j, gradient)`` of the log posterior in every effect and coefficient.
 
-    Blocks of patterns meet blocks of draws as in post-stratification; a pair
-    gives one partial sum per draw.
+    Effects are the scaled ones, standard deviations are held. Every residual sum of a (district, month) belongs
+    to one parameter of each block, every neighbour pair and every pair of months to two; all are
+    stacked and added up once per parameter.
     """
-    effects = effect_table(draws, regions, interaction)
-    pairs = block_pairs(
-        patterns, draws, effects, n_covariates, F.col("n"), F.col("y"), "month_idx", block_rows, block_draws
+    rows = cut_lineage(score_rows(patterns, n_covariates, F.col("y"), F.col("n"), "month_idx"))
+    schema = "adm2_index int, month_idx int, covariate int, draw int, residual double"
+    sums = meet_draws(rows, draws, effect_table(draws, regions, interaction), n_covariates, ResidualSums, schema)
+    cells = sums.where("covariate is null").groupBy("draw", "adm2_index", "month_idx").agg(F.sum("residual").alias("v"))
+    places = regions.select("adm2_index", F.col(interaction).alias("place")).distinct()
+    none = F.lit(None).cast("int")
+    target = lambda param, i=none, j=none: F.struct(F.lit(param).alias("param"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    area, month = F.col("adm2_index"), F.col("month_idx")
+    belongs = F.array(
+        target("b0"), target("phi", area), target("theta", area), target("nu", month), target("xi", month), target("psi", month, F.col("place"))
     )
-    return pairs.mapInArrow(_block_masses(n_covariates), "draw int, mass double").groupBy("draw").agg(
-        F.sum("mass").alias("log_lik")
+    shared = cells.join(places, "adm2_index").select("draw", F.explode(belongs).alias("p"), "v").select("draw", "p.*", "v")
+    crossed = sums.where("covariate is not null").select(
+        "draw", F.lit("betas").alias("param"), F.col("covariate").alias("i"), none.alias("j"), F.col("residual").alias("v")
+    )
+    return (
+        shared.unionByName(crossed)
+        .unionByName(_prior_gradient(draws, edges))
+        .groupBy("draw", "param", "i", "j")
+        .agg(F.sum("v").alias("gradient"))
     )
 
 
-def _block_masses(n_covariates: int):
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair in read_pairs(batches, n_covariates):
-            eta = pair.base + pair.row_effects()
-            mass = pair.numbers @ eta - pair.weights @ (np.maximum(eta, 0.0) + np.log1p(np.exp(-np.abs(eta))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair.draws.astype(np.int32)), pa.array(mass)], names=["draw", "mass"]
-            )
-
-    return sums
+def _prior_gradient(draws: DataFrame, edges: DataFrame) -> DataFrame:
+    """Stacked terms ``(draw, param, i, j, v)`` of the gradient of the log prior."""
+    sigmas = draws.where(F.col("param").isin(*SIGMAS)).select("draw", F.expr("substring(param, 7)").alias("param"), F.col("value").alias("sigma"))
+    effects = draws.where(~F.col("param").isin("b0", "betas", *SIGMAS)).join(sigmas, ["draw", "param"])
+    scaled = effects.withColumn("s2", F.col("sigma") * F.col("sigma"))
+    term = lambda df, v: df.select("draw", "param", "i", "j", v.alias("v"))
+    value, s2 = F.col("value"), F.col("s2")
+    fixed = term(draws.where(F.col("param").isin("b0", "betas")), -value / (FIXED_SD * FIXED_SD))
+    free = term(scaled.where(F.col("param").isin(*INDEPENDENT)), -value / s2)
+
+    # soft sums to zero: every unit of a block is pulled by the block's sum
+    smooth = scaled.where(F.col("param").isin("phi", "nu"))
+    spread = F.when(F.col("param") == "phi", AREA_SUM_SD).otherwise(MONTH_SUM_SD) * F.col("n")
+    totals = smooth.groupBy("draw", "param").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    pulled = term(smooth.join(totals, ["draw", "param"]), -F.col("total") / (spread * spread) / s2)
+
+    # a difference pulls its two ends towards each other
+    pairs = edges.select(F.lit("phi").alias("param"), F.col("node1").alias("one"), F.col("node2").alias("two"))
+    walk = smooth.where("param = 'nu' and i > 1").select("param", (F.col("i") - 1).alias("one"), F.col("i").alias("two")).distinct()
+    pairs = pairs.unionByName(walk)
+    other = smooth.select("draw", "param", F.col("i").alias("two"), F.col("value").alias("next"))
+    gaps = smooth.join(pairs.withColumnRenamed("one", "i"), ["param", "i"]).join(other, ["draw", "param", "two"])
+    difference = (value - F.col("next")) / s2
+    ends = F.array(F.struct("i", (-difference).alias("v")), F.struct(F.col("two").alias("i"), difference.alias("v")))
+    smoothed = gaps.select("draw", "param", F.explode(ends).alias("e"), "j").select("draw", "param", F.col("e.i").alias("i"), "j", F.col("e.v").alias("v"))
+    start = term(smooth.where("param = 'nu' and i = 1"), -value / s2)
+    return fixed.unionByName(free).unionByName(pulled).unionByName(smoothed).unionByName(start)
 
 
 def log_prior(draws: DataFrame, edges: DataFrame, hyper: str = "pc_precision") -> DataFrame:

@@ -130,15 +130,15 @@ def _weighted(units: DataFrame, w: Column, **values: Column) -> DataFrame:
 def _binomial(units: DataFrame, w: Column, p: Column, keys: Sequence[Column], seed: int) -> DataFrame:
     """Weighted mean of Binomial(w, p) / w, that is all successes over all trials.
 
-    Trials are unfolded next to the row and summed map-side; a weight that is
-    not a whole number is an error.
+    Trials are counted inside the row; a weight that is not a whole number is an error.
     """
     whole = F.when(w == F.floor(w), w.cast("int")).otherwise(
         F.raise_error(F.concat(F.lit("binomial weight is not a whole number: "), w.cast("string")))
     )
-    trials = units.where(w > 0).withColumn("__trial", F.explode(F.sequence(F.lit(1), whole)))
-    hit = F.when(keyed_uniform([*keys, F.col("__trial")], seed) < p, 1.0).otherwise(0.0)
-    return trials.groupBy(*RESULT_KEYS).agg(F.avg(hit).alias("prev"))
+    trials = units.where(w > 0).withColumns({"__w": whole, "__p": p})
+    hit = lambda trial: F.when(keyed_uniform([*keys, trial], seed) < F.col("__p"), 1.0).otherwise(0.0)
+    hits = F.aggregate(F.sequence(F.lit(1), F.col("__w")), F.lit(0.0), lambda sum_, trial: sum_ + hit(trial))
+    return trials.withColumn("__hits", hits).groupBy(*RESULT_KEYS).agg((F.sum("__hits") / F.sum("__w")).alias("prev"))
 
 
 # ------------------------------------------------------------------ estimates
@@ -198,8 +198,6 @@ def mrp_estimate_blocks(
     interaction: str = "adm1_index",
     key: str = "unit_key",
     seed: int = 1234,
-    block_rows: int = 1000,
-    block_draws: int = 50,
     months: DataFrame | None = None,
 ) -> DataFrame:
     """Same numbers as :func:`mrp_estimate` for large frames and many draws.
@@ -209,9 +207,7 @@ def mrp_estimate_blocks(
     effects = effect_table(draws, regions, interaction)
     if months is not None:
         effects = effects.join(months.select("month_idx").distinct(), "month_idx", "left_semi")
-    return _score_in_blocks(
-        cells, draws, effects, n_covariates, response, F.col(weight), key, None, seed, block_rows, block_draws
-    )
+    return _estimate(cells, draws, effects, n_covariates, response, F.col(weight), key, None, seed)
 
 
 def mr_estimate_blocks(
@@ -224,18 +220,19 @@ def mr_estimate_blocks(
     interaction: str = "adm1_index",
     key: str = "unit_key",
     seed: int = 1234,
-    block_rows: int = 2000,
-    block_draws: int = 100,
 ) -> DataFrame:
     """Same numbers as :func:`mr_estimate` for many interviews and draws."""
     w = F.lit(1.0) if weight is None else F.col(weight)
     effects = effect_table(draws, regions, interaction)
-    return _score_in_blocks(
-        interviews, draws, effects, n_covariates, response, w, key, "month_idx", seed, block_rows, block_draws
-    )
+    return _estimate(interviews, draws, effects, n_covariates, response, w, key, "month_idx", seed)
+
 
+#: kinds of rows: their probability counts, or an outcome drawn for each of them
+PATTERN, DRAWN = 1, 2
+SUMS = "adm2_index int, month_idx int, draw int, wp double, wy double, w double"
 
-def _score_in_blocks(
+
+def _estimate(
     rows: DataFrame,
     draws: DataFrame,
     effects: DataFrame,
@@ -245,200 +242,286 @@ def _score_in_blocks(
     key: str,
     month: str | None,
     seed: int,
-    block_rows: int,
-    block_draws: int,
 ) -> DataFrame:
-    """Weighted sums of each pair of blocks, added up per district, month and draw.
-
-    With ``month`` each row counts in its own month only, without it in every
-    month.
-    """
-    if response not in ("pr", "binary"):
-        raise ValueError("blocks support the responses 'pr' and 'binary'")
-    pairs = block_pairs(rows, draws, effects, n_covariates, weight, F.col(key), month, block_rows, block_draws)
-    partial = pairs.mapInArrow(
-        _block_scorer(n_covariates, response == "binary", month is not None, seed),
-        "adm2_index int, month_idx int, draw int, wp double, wy double, w double",
-    )
-    sums = partial.groupBy(*RESULT_KEYS).agg(*[F.sum(c).alias(c) for c in ("wp", "wy", "w")])
-    columns = [(F.col("wp") / F.col("w")).alias("prev")]
-    if response == "binary":
-        columns.append((F.col("wy") / F.col("w")).alias("prev2"))
-    return sums.select(*RESULT_KEYS, *columns)
+    """Weighted sums per district, month and draw.
 
-
-def block_pairs(
-    rows: DataFrame,
-    draws: DataFrame,
-    effects: DataFrame,
-    n_covariates: int,
-    weight: Column,
-    number: Column,
-    month: str | None,
-    block_rows: int,
-    block_draws: int,
-) -> DataFrame:
-    """Every block of rows beside every block of draws of its district.
-
-    Rows of a district are split into blocks by hash and draws into blocks by
-    number; Spark joins the blocks on (district, draw block), and a task then
-    works on one pair as matrices. A row in a month without an effect is an error
-    that names the month. The rows x months x draws table never
-    exists, and a district with a third of all rows is just more blocks.
-    ``number`` is a whole number carried with each row.
+    With ``month`` each row counts in its own month only, without it in every month. Probabilities
+    depend on a row's answers alone: ``prev`` is scored on the pattern cube, which has a row
+    per combination of answers however many rows there are. Drawn outcomes (``prev2`` of
+    ``binary``, ``prev`` of ``binomial``) have a number per row and draw.
     """
-    ship_package(rows.sparkSession)
-    # read twice, for counts and for packing: written once instead of derived twice
-    rows = cut_lineage(rows)
+    if response not in RESPONSES:
+        raise ValueError(f"response must be one of {RESPONSES}")
+    # read for the cube, for counts and for scoring: written once instead of derived every time
+    unit = cut_lineage(score_rows(rows, n_covariates, weight, F.col(key), month))
+    cube = pattern_cube(unit)
+    met = {"pr": cube, "binary": cube.unionByName(unit.withColumn("kind", F.lit(DRAWN))), "binomial": unit.where("w > 0").withColumn("kind", F.lit(DRAWN))}
+    make = lambda pair: PrevalenceSums(pair, response, month is not None, seed)
+    sums = meet_draws(met[response], draws, effects, n_covariates, make, SUMS)
+    total = sums.groupBy(*RESULT_KEYS).agg(*[F.sum(c).alias(c) for c in ("wp", "wy", "w")])
+    ratio = lambda c, name: (F.col(c) / F.col("w")).alias(name)
+    columns = {"pr": [ratio("wp", "prev")], "binary": [ratio("wp", "prev"), ratio("wy", "prev2")], "binomial": [ratio("wy", "prev")]}
+    return total.select(*RESULT_KEYS, *columns[response])
+
+
+def pattern_cube(unit: DataFrame) -> DataFrame:
+    """Weight of every combination of district, month and covariates, as rows to score."""
+    cube = unit.groupBy("adm2_index", "t", "x").agg(F.sum("w").alias("w"))
+    return cube.select("adm2_index", "t", F.lit(0).cast("bigint").alias("k"), "w", "x", F.lit(PATTERN).alias("kind"))
+
+
+def score_rows(rows: DataFrame, n_covariates: int, weight: Column, number: Column, month: str | None) -> DataFrame:
+    """``(adm2_index, t, k, w, x)``: month, whole number, weight and covariates of each row."""
     x = [F.col(f"x{k}").cast("double") for k in range(1, n_covariates + 1)]
     own_month = F.lit(0) if month is None else F.col(month)
-    # one row per district, settled so that the rows are not shuffled to meet it
-    counts = rows.groupBy("adm2_index").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("n_blocks"))
-    unit = F.struct(
+    return rows.select(
+        "adm2_index",
         own_month.cast("int").alias("t"),
         number.cast("bigint").alias("k"),
         weight.cast("double").alias("w"),
-        F.array(*x).alias("x"),
+        F.array(*x).cast("array<double>").alias("x"),
     )
-    packed_rows = (
-        rows.join(settle_dimension(counts), "adm2_index")
-        .withColumn("row_block", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("n_blocks")))
-        .groupBy("adm2_index", "row_block")
-        .agg(F.array_sort(F.collect_list(unit)).alias("c"))
-        .select(
-            "adm2_index",
-            F.col("c.t").alias("row_months"),
-            F.col("c.k").alias("numbers"),
-            F.col("c.w").alias("weights"),
-            F.flatten(F.col("c.x")).alias("x"),
-        )
+
+
+#: rows of a district that one task sees, at least; memory does not depend on it
+GROUP_ROWS = 200_000
+#: cells of rows x draws that are worked on at once: they fit a processor's cache
+CELLS = 1 << 16
+
+
+def meet_draws(rows: DataFrame, draws: DataFrame, effects: DataFrame, n_covariates: int, make, schema: str) -> DataFrame:
+    """What ``make(district's draws)`` gathers from the rows of its district.
+
+    Draws go to rows: a district's draws, whose size is set by calendar and number of draws, are sent to
+    each group of its rows, come first there and stay in memory; the rows stream past them, sorted by month,
+    and move once. A district with a third of all rows is only more groups. ``rows`` are those of
+    :func:`score_rows`, with a column ``kind`` if there are several; they are read twice, once to count them. Those
+    of a district without draws meet nothing. ``make`` returns an object with ``add(rows, kind)`` and
+    ``finish()``, which gives record batches.
+    """
+    ship_package(rows.sparkSession)
+    if "kind" not in rows.columns:
+        rows = rows.withColumn("kind", F.lit(PATTERN))
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy("adm2_index").agg(F.count(F.lit(1)).alias("n"))
+    even = F.lit(4.0 * partitions) / counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
+    groups = settle_dimension(counts.select("adm2_index", F.ceil(F.greatest(F.col("n") / GROUP_ROWS, F.least(even, F.col("n")))).cast("int").alias("groups")))
+    # the hash of the row itself: a repeated task deals the rows out alike
+    part = F.pmod(F.xxhash64("kind", "t", "k", "w", "x"), F.col("groups")).cast("int")
+    no_numbers, no_months = F.array().cast("array<double>"), F.array().cast("array<int>")
+    own_rows = rows.join(groups, "adm2_index").select(
+        "adm2_index", part.alias("part"), "kind", "t", "k", "w", F.col("x").alias("v"), no_numbers.alias("e"), no_months.alias("m")
     )
-    draw_block = F.floor(F.col("draw") / block_draws).cast("int")
-    blocks = draws.select(draw_block.alias("draw_block")).distinct().agg(F.collect_set("draw_block")).scalar()
     beta = F.array(F.col("b0"), *[F.col(f"b{k}") for k in range(1, n_covariates + 1)])
-    one_draw = F.struct("draw", F.col("e.month_idx").alias("m"), F.col("e.effect").alias("e"), beta.alias("b"))
-    packed_draws = (
+    packed = (
         effects.groupBy("adm2_index", "draw")
         .agg(F.array_sort(F.collect_list(F.struct("month_idx", "effect"))).alias("e"))
         .join(coefficient_dimension(draws, n_covariates), "draw")
-        .withColumn("draw_block", draw_block)
-        .groupBy("adm2_index", "draw_block")
-        .agg(F.collect_list(one_draw).alias("d"))
+        .join(groups, "adm2_index")
         .select(
             "adm2_index",
-            "draw_block",
-            F.col("d.draw").alias("draws"),
-            F.when(F.size(F.array_distinct("d.m")) == 1, F.get(F.col("d.m"), 0))
-            .otherwise(F.raise_error(F.lit("draws of one district cover different months")))
-            .alias("months"),
-            F.flatten(F.col("d.e")).alias("effects"),
-            F.flatten(F.col("d.b")).alias("betas"),
+            F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"),
+            F.lit(0).alias("kind"),
+            F.col("draw").cast("int").alias("t"),
+            F.lit(0).cast("bigint").alias("k"),
+            F.lit(0.0).alias("w"),
+            beta.alias("v"),
+            F.col("e.effect").alias("e"),
+            F.col("e.month_idx").cast("array<int>").alias("m"),
         )
     )
-    pairs = packed_rows.withColumn("draw_block", F.explode(blocks)).join(packed_draws, ["adm2_index", "draw_block"])
-    return pairs.select(
-        "adm2_index", "row_months", "numbers", "weights", "x", "draws", "months", "effects", "betas"
-    )
+    both = packed.unionByName(own_rows).repartition(partitions, "adm2_index", "part")
+    return both.sortWithinPartitions("adm2_index", "part", "kind", "t").mapInArrow(_stream(n_covariates, make), schema)
 
 
 @dataclass
-class BlockPair:
-    """Arrays of one pair: rows sorted by month, draws, effects draws x months."""
+class DistrictDraws:
+    """All draws of a district: effects draws x months, coefficients draws x (1 + covariates)."""
 
     area: int
-    row_months: np.ndarray
-    numbers: np.ndarray
-    weights: np.ndarray
     draws: np.ndarray
     months: np.ndarray
     effects: np.ndarray
-    base: np.ndarray
+    betas: np.ndarray
 
-    def row_effects(self) -> np.ndarray:
-        """Effects rows x draws of each row's own month."""
-        at = np.minimum(np.searchsorted(self.months, self.row_months), len(self.months) - 1)
-        unknown = self.row_months[self.months[at] != self.row_months]
+    def month_positions(self, months: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.months, months), len(self.months) - 1)
+        unknown = months[self.months[at] != months]
         if len(unknown):
             raise ValueError(f"the draws of district {self.area} have no effect for month {int(unknown[0])}")
-        return self.effects.T[at]
-
-
-def read_pairs(batches: Iterator[pa.RecordBatch], n_covariates: int) -> Iterator[BlockPair]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            cell = lambda name: batch.column(name)[i].values.to_numpy(zero_copy_only=False)
-            numbers, months, draws = cell("numbers"), cell("months"), cell("draws").astype(np.int64)
-            betas = cell("betas").reshape(len(draws), n_covariates + 1)
-            yield BlockPair(
-                area=batch.column("adm2_index")[i].as_py(),
-                row_months=cell("row_months").astype(np.int64),
-                numbers=numbers,
-                weights=cell("weights"),
-                draws=draws,
-                months=months,
-                effects=cell("effects").reshape(len(draws), len(months)),
-                base=cell("x").reshape(len(numbers), n_covariates) @ betas[:, 1:].T + betas[:, 0],
-            )
+        return at
 
 
-def _mod_prime(x: np.ndarray) -> np.ndarray:
-    """Remainder by the Mersenne prime 2^31 - 1 for values below 2^62."""
-    x = (x & UNIFORM_PRIME) + (x >> 31)
-    x = (x & UNIFORM_PRIME) + (x >> 31)
-    x[x == UNIFORM_PRIME] = 0
-    return x
-
+@dataclass
+class RowBlock:
+    """Rows of one district, ascending by month."""
 
-def uniform_matrix(keys: np.ndarray, month: int | np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
-    """Array form of :func:`keyed_uniform` for the keys (unit, month, draw)."""
-    a, b, c = UNIFORM_MULTIPLIERS[:3]
+    months: np.ndarray
+    numbers: np.ndarray
+    weights: np.ndarray
+    x: np.ndarray
+
+    def pieces(self, n_draws: int) -> Iterator[tuple[RowBlock, slice]]:
+        """Parts of rows beside parts of the draws, ``CELLS`` cells at most or one row and draw."""
+        height = max(1, min(len(self.months), CELLS // 64))
+        width = max(1, CELLS // height)
+        for a in range(0, len(self.months), height):
+            part = RowBlock(*(v[a : a + height] for v in (self.months, self.numbers, self.weights, self.x)))
+            for d in range(0, n_draws, width):
+                yield part, slice(d, min(d + width, n_draws))
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def read_draws(parts: Sequence[pa.RecordBatch], n_covariates: int) -> DistrictDraws:
+    batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    area = batch.column("adm2_index")[0].as_py()
+    if len(np.unique(batch.column("m").value_lengths().to_numpy())) > 1:
+        raise ValueError(f"draws of district {area} cover different months")
+    months = _lists(batch, "m")
+    if np.any(months != months[0]):
+        raise ValueError(f"draws of district {area} cover different months")
+    draws = batch.column("t").to_numpy().astype(np.int64)
+    return DistrictDraws(area, draws, months[0].astype(np.int64), _lists(batch, "e"), _lists(batch, "v").reshape(len(draws), n_covariates + 1))
+
+
+def _stream(n_covariates: int, make):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, draws, work = None, [], None
+        for batch in batches:
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("adm2_index", "part", "kind")])
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                own, kind = tuple(keys[start, :2]), keys[start, 2]
+                if own != group:
+                    if work is not None:
+                        yield from work.finish()
+                    group, draws, work = own, [], None
+                piece = batch.slice(start, end - start)
+                if kind == 0:
+                    draws.append(piece)
+                    continue
+                if work is None and draws:
+                    work, draws = make(read_draws(draws, n_covariates)), []
+                if work is not None:
+                    column = lambda name: piece.column(name).to_numpy(zero_copy_only=False)
+                    x = piece.column("v").flatten().to_numpy(zero_copy_only=False).reshape(piece.num_rows, n_covariates)
+                    work.add(RowBlock(column("t").astype(np.int64), column("k"), column("w"), x), kind)
+        if work is not None:
+            yield from work.finish()
+
+    return run
+
+
+# The rounds of the keyed generator on arrays. Residues are kept below 2^31 + 1, so that products fit.
+def _fold(x: np.ndarray, spare: np.ndarray) -> None:
+    """Twice ``x = (x mod 2^31) + floor(x / 2^31)`` in place: congruent by the Mersenne prime 2^31 - 1."""
+    for _ in range(2):
+        np.right_shift(x, 31, out=spare)
+        np.bitwise_and(x, UNIFORM_PRIME, out=x)
+        np.add(x, spare, out=x)
+
+
+def uniform_matrix(
+    keys: np.ndarray, month: int | np.ndarray, draws: np.ndarray, seed: int, trial: np.ndarray | None = None
+) -> np.ndarray:
+    """Array form of :func:`keyed_uniform` for the keys (unit, month, draw), and the trial if given."""
+    a, b, c, d = UNIFORM_MULTIPLIERS[:4]
     rows = (np.abs(keys) % UNIFORM_PRIME) * a + seed + month * b
-    state = _mod_prime(rows[:, None] + ((np.abs(draws) % UNIFORM_PRIME) * c)[None, :])
+    if trial is not None:
+        rows = rows + trial * d
+    state = rows[:, None] + ((np.abs(draws) % UNIFORM_PRIME) * c)[None, :]
+    spare, square = np.empty_like(state), np.empty_like(state)
+    _fold(state, spare)
     for constant in UNIFORM_ROUNDS:
-        square = _mod_prime(state * state)
-        state = _mod_prime(_mod_prime(_mod_prime(square * square) * state) + constant)
+        np.multiply(state, state, out=square)
+        _fold(square, spare)
+        np.multiply(square, square, out=square)
+        _fold(square, spare)
+        np.multiply(state, square, out=state)
+        _fold(state, spare)
+        np.add(state, constant, out=state)
+        _fold(state, spare)
+    state[state == UNIFORM_PRIME] = 0
     return state / float(UNIFORM_PRIME)
 
 
-def _block_scorer(n_covariates: int, binary: bool, own_month: bool, seed: int):
-    def every_month(pair: BlockPair):
-        wp = np.empty((len(pair.months), len(pair.draws)))
-        wy = np.zeros_like(wp)
-        for t, month in enumerate(pair.months):
-            p = 1.0 / (1.0 + np.exp(-(pair.base + pair.effects[:, t])))
-            wp[t] = pair.weights @ p
-            if binary:
-                wy[t] = pair.weights @ (uniform_matrix(pair.numbers, int(month), pair.draws, seed) < p)
-        return pair.months, wp, wy, np.full(len(pair.months), pair.weights.sum())
-
-    def one_month(pair: BlockPair):
-        found, first = np.unique(pair.row_months, return_index=True)
-        p = 1.0 / (1.0 + np.exp(-(pair.base + pair.row_effects())))
-        w = pair.weights[:, None]
-        wp = np.add.reduceat(w * p, first, axis=0)
-        wy = np.zeros_like(wp)
-        if binary:
-            hit = uniform_matrix(pair.numbers, pair.row_months, pair.draws, seed) < p
-            wy = np.add.reduceat(w * hit, first, axis=0)
-        return found, wp, wy, np.add.reduceat(pair.weights, first)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pair in read_pairs(batches, n_covariates):
-            found, wp, wy, total = one_month(pair) if own_month else every_month(pair)
+def probabilities(eta: np.ndarray) -> np.ndarray:
+    np.negative(eta, out=eta)
+    np.exp(eta, out=eta)
+    np.add(eta, 1.0, out=eta)
+    return np.divide(1.0, eta, out=eta)
+
+
+class PrevalenceSums:
+    """Sums of weight times probability (``wp``) over patterns, and of drawn outcomes (``wy``) over rows, per month and draw."""
+
+    def __init__(self, draws: DistrictDraws, response: str, own_month: bool, seed: int):
+        self.draws, self.response, self.own_month, self.seed = draws, response, own_month, seed
+        shape = len(draws.months), len(draws.draws)
+        self.sums = {PATTERN: np.zeros(shape), DRAWN: np.zeros(shape)}
+        self.weight, self.seen = np.zeros(shape[0]), np.zeros(shape[0], bool)
+
+    def add(self, rows: RowBlock, kind: int) -> None:
+        d, sums = self.draws, self.sums[kind]
+        if self.response == "binomial":
+            whole = rows.weights == np.floor(rows.weights)
+            if not whole.all():
+                raise ValueError(f"binomial weight is not a whole number: {rows.weights[~whole][0]}")
+        at = d.month_positions(rows.months) if self.own_month else slice(None)
+        self.seen[at] = True
+        if kind == PATTERN or self.response == "binomial":  # each weight once
+            if self.own_month:
+                np.add.at(self.weight, at, rows.weights)
+            else:
+                self.weight += rows.weights.sum()
+        for part, own in rows.pieces(len(d.draws)):
+            base = part.x @ d.betas[own, 1:].T + d.betas[own, 0]
+            if self.own_month:
+                at = d.month_positions(part.months)
+                values = self._values(part, base + d.effects[own].T[at], part.months, own, kind)
+                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                sums[at[first], own] += np.add.reduceat(values, first, axis=0)
+            else:
+                for k, month in enumerate(d.months):
+                    sums[k, own] += self._values(part, base + d.effects[own, k], month, own, kind).sum(axis=0)
+
+    def _values(self, part: RowBlock, eta: np.ndarray, month: int | np.ndarray, own: slice, kind: int) -> np.ndarray:
+        p, draws, w = probabilities(eta), self.draws.draws[own], part.weights[:, None]
+        if kind == PATTERN:
+            return w * p
+        if self.response == "binary":
+            return w * (uniform_matrix(part.numbers, month, draws, self.seed) < p)
+        return self._hits(part, p, month, draws)
+
+    def _hits(self, part: RowBlock, p: np.ndarray, month: int | np.ndarray, draws: np.ndarray) -> np.ndarray:
+        """Successes of each row's trials, one trial of all rows at a time: trials are never laid out."""
+        out, trials = np.zeros(p.shape), part.weights.astype(np.int64)
+        month = np.broadcast_to(month, trials.shape)
+        for trial in range(1, int(trials.max(initial=0)) + 1):
+            alive = np.flatnonzero(trials >= trial)
+            out[alive] += uniform_matrix(part.numbers[alive], month[alive], draws, self.seed, np.full(len(alive), trial)) < p[alive]
+        return out
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        d, n = self.draws, len(self.draws.draws)
+        for k in np.flatnonzero(self.seen):
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(wp.size, pair.area, dtype=np.int32)),
-                    pa.array(np.repeat(found, len(pair.draws)).astype(np.int32)),
-                    pa.array(np.tile(pair.draws, len(found)).astype(np.int32)),
-                    pa.array(wp.ravel()),
-                    pa.array(wy.ravel()),
-                    pa.array(np.repeat(total, len(pair.draws))),
+                    pa.array(np.full(n, d.area, np.int32)),
+                    pa.array(np.full(n, d.months[k], np.int32)),
+                    pa.array(d.draws.astype(np.int32)),
+                    pa.array(self.sums[PATTERN][k]),
+                    pa.array(self.sums[DRAWN][k]),
+                    pa.array(np.full(n, self.weight[k])),
                 ],
                 names=["adm2_index", "month_idx", "draw", "wp", "wy", "w"],
             )
 
-    return score
-
 
 def as_face_to_face(interviews: DataFrame, switch: str, variables: Sequence[str]) -> DataFrame:
     """Counterfactual design: the mode switch set to 1 and its products rebuilt."""

@@ -9,14 +9,15 @@ does not grow with the number of sweeps.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from mosarea.operators.aggregates import share_of_total, stacked_groups
-from mosarea.session import cut_lineage
+from mosarea.session import cut_lineage, ship_package
 from mosarea.sources.tables import local_table, settle_dimension
 
 # Tolerance relative to the weight total, and allowed sweeps.
@@ -85,6 +86,20 @@ class _CrossTab:
             expression = expression * _lookup(factor, F.col(f"c{k}"))
         return expression
 
+    def margins_of(self, factors: Sequence[np.ndarray], direction: Sequence[np.ndarray] | None = None) -> np.ndarray:
+        """Totals of every level of every margin, one after the other; with ``direction``, of the
+        weight times the direction's sum over the levels of a cell: second derivatives times that vector."""
+        weight, codes, offset = self.weight(factors), [], 0
+        if direction is not None:
+            weight = weight * sum((_lookup(d, F.col(f"c{k}")) for k, d in enumerate(direction)), F.lit(0.0))
+        for k, target in enumerate(self.targets):
+            codes.append(F.col(f"c{k}") + offset)
+            offset += len(target)
+        found = self.table.select(weight.alias("w"), F.explode(F.array(*codes)).alias("a")).groupBy("a").agg(F.sum("w").alias("w")).toArrow()
+        out = np.zeros(offset)
+        out[found.column("a").to_numpy()] = found.column("w").to_numpy()
+        return out
+
     def sums(self, k: int, factors: Sequence[np.ndarray]) -> np.ndarray:
         rows = self.table.groupBy(f"c{k}").agg(F.sum(self.weight(factors)).alias("s")).collect()
         out = np.zeros(len(self.targets[k]))
@@ -137,16 +152,21 @@ def rake(
 
     ``solver='sweeps'`` runs iterative proportional fitting in margin order, one
     small aggregate per half sweep. ``solver='newton'`` solves the same
-    exponential-tilting equations with second derivatives: one aggregate of
-    two-way margin totals per step, a handful of steps, same fixed point; it
-    keeps a levels x levels matrix on the driver, so very many levels ask for sweeps.
+    exponential-tilting equations with second derivatives, one aggregate for each of a handful of
+    steps, same fixed point; the longest margin may have any number of levels, for the others
+    together the driver keeps a matrix. ``solver='gradients'`` keeps only vectors over the levels of all
+    margins and takes a few aggregates more per step.
     A solver that does not reach the tolerance is an error, unless ``unfinished`` accepts
     the last sweep.
     """
-    if solver not in ("newton", "sweeps"):
+    if solver not in ("newton", "gradients", "sweeps"):
         raise ValueError(f"unknown solver {solver!r}")
+    ship_package(frame.sparkSession)
     tab = _CrossTab(frame, margins, weight)
-    found = _newton(tab, tolerance) if solver == "newton" else _sweeps(tab, tolerance, max_sweeps)
+    if solver == "sweeps":
+        found = _sweeps(tab, tolerance, max_sweeps)
+    else:
+        found = (_newton if solver == "newton" else _gradients)(tab, tolerance)
     if found is None or not (found[2] or unfinished):
         raise RuntimeError(f"raking by {solver} did not reach {tolerance}")
     factors, steps, converged = found
@@ -168,43 +188,110 @@ def _sweeps(tab: _CrossTab, tolerance: float, max_sweeps: int):
 
 
 def _newton(tab: _CrossTab, tolerance: float, max_steps: int = 50):
-    """Damped Newton on log factors; None when it does not reach the tolerance."""
+    """Damped Newton on the log factors of all margins but the longest; None when it does not reach the tolerance.
+
+    Given the other factors, those of the longest margin (districts) follow exactly, level by
+    level, so they are left to the tasks: the cross-tab is written with all cells of a level in one
+    part, and a task returns what the other margins achieve and how that changes, summed
+    over its levels. The driver holds vectors, and a matrix over the levels of the other margins.
+    """
     sizes = [len(t) for t in tab.targets]
-    offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(int)
-    target = np.concatenate(tab.targets)
-    split = lambda v: [v[o : o + s] for o, s in zip(offsets, sizes)]
+    longest = int(np.argmax(sizes))
+    others = [k for k in range(len(sizes)) if k != longest]
+    cuts = np.cumsum([sizes[k] for k in others])
+    wanted = tab.targets[longest]
+    target = np.concatenate([tab.targets[k] for k in others]) if others else np.zeros(0)
+    codes = [(F.col(f"c{k}") + int(cut - sizes[k])).alias(f"s{i}") for i, (k, cut) in enumerate(zip(others, cuts))]
+    partitions = int(tab.table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cut_lineage(tab.table.select(F.col(f"c{longest}").alias("d"), "w0", *codes).repartition(partitions, "d"))
+
+    def evaluate(point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = cells.mapInArrow(_profile(wanted, np.exp(point), len(others)), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+        flat = np.zeros(len(point) * (len(point) + 1))
+        flat[found.column("at").to_numpy()] = found.column("v").to_numpy()
+        return flat[: len(point)], flat[len(point) :].reshape(len(point), len(point))
+
     lam = np.zeros(len(target))
-    codes = F.array(*[F.col(f"c{k}") + int(o) for k, o in enumerate(offsets)])
+    achieved, slope = evaluate(lam)
+    gap = target - achieved
+    for step in range(1, max_steps + 1):
+        if np.max(np.abs(gap), initial=0.0) < tolerance * tab.total:
+            factors = tab.start()
+            for k, part in zip(others, np.split(np.exp(lam), cuts[:-1])):
+                factors[k] = part
+            factors[longest] = wanted / tab.sums(longest, factors)
+            return factors, step - 1, True
+        move = np.linalg.lstsq(slope, gap, rcond=1e-12)[0]
+        size = 1.0
+        while True:
+            trial = lam + size * np.clip(move, -3.0, 3.0)
+            achieved, next_slope = evaluate(trial)
+            next_gap = target - achieved
+            if np.isfinite(next_gap).all() and np.linalg.norm(next_gap) < np.linalg.norm(gap):
+                lam, slope, gap = trial, next_slope, next_gap
+                break
+            size /= 2.0
+            if size < 1e-3:
+                return None
+    return None
 
-    def two_way(point: np.ndarray) -> np.ndarray:
-        pairs = tab.table.select(tab.weight(split(np.exp(point))).alias("w"), codes.alias("g")).select(
-            "w", "g", F.explode("g").alias("a")
-        )
-        rows = (
-            pairs.select("w", "a", F.explode("g").alias("b"))
-            .where(F.col("a") <= F.col("b"))
-            .groupBy("a", "b")
-            .agg(F.sum("w").alias("w"))
-            .collect()
-        )
-        matrix = np.zeros((len(target), len(target)))
-        for a, b, w in rows:
-            matrix[a, b] = matrix[b, a] = w
-        return matrix
 
-    matrix = two_way(lam)
-    gap = target - np.diag(matrix)
+def _profile(wanted: np.ndarray, factors: np.ndarray, n_codes: int):
+    """Achieved totals of the other margins (first ``len(factors)`` places) and their derivatives, with the
+    longest margin met exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        level = table.column("d").to_numpy().astype(np.int64)
+        codes = [table.column(f"s{i}").to_numpy().astype(np.int64) for i in range(n_codes)]
+        weight = table.column("w0").to_numpy().astype(float)
+        for code in codes:
+            weight = weight * factors[code]
+        own, dense = np.unique(level, return_inverse=True)
+        weight = weight * (wanted[own] / np.bincount(dense, weight))[dense]
+        n = len(factors)
+        achieved, slope, by_level = np.zeros(n), np.zeros(n * n), np.zeros((len(own), n))
+        for code in codes:
+            achieved += np.bincount(code, weight, n)
+            np.add.at(by_level, (dense, code), weight)
+            for other in codes:
+                slope += np.bincount(code * n + other, weight, n * n)
+        scaled = by_level / np.where(wanted[own] > 0, wanted[own], 1.0)[:, None]
+        values = np.concatenate((achieved, slope - (by_level.T @ scaled).ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], names=["at", "v"])
+
+    return run
+
+
+def _gradients(tab: _CrossTab, tolerance: float, max_steps: int = 50):
+    """Damped Newton on all log factors without a matrix; None when it does not reach the tolerance.
+
+    The matrix of second derivatives (two-way margin totals) is never formed: conjugate gradients,
+    scaled by the margins themselves, ask for its product with a vector, which is one
+    aggregate over the cross-tab. The driver holds vectors over levels.
+    """
+    cuts = np.cumsum([len(t) for t in tab.targets])[:-1]
+    target = np.concatenate(tab.targets)
+    split = lambda v: np.split(v, cuts)
+    factors = lambda point: split(np.exp(point))
+    lam = np.zeros(len(target))
+    margins = tab.margins_of(factors(lam))
+    gap = target - margins
     for step in range(1, max_steps + 1):
         if np.max(np.abs(gap)) < tolerance * tab.total:
-            return split(np.exp(lam)), step - 1, True
-        move = np.linalg.lstsq(matrix, gap, rcond=1e-12)[0]
+            return factors(lam), step - 1, True
+        product = lambda v, at=factors(lam): tab.margins_of(at, split(v))
+        # a rough direction is enough: what is left over goes into the next step
+        move = _conjugate_gradients(product, gap, margins, accuracy=0.02)
         size = 1.0
         while True:
             trial = lam + size * np.clip(move, -3.0, 3.0)
-            next_matrix = two_way(trial)
-            next_gap = target - np.diag(next_matrix)
-            if np.isfinite(next_gap).all() and np.linalg.norm(next_gap) < np.linalg.norm(gap):
-                lam, matrix, gap = trial, next_matrix, next_gap
+            found = tab.margins_of(factors(trial))
+            if np.isfinite(found).all() and np.linalg.norm(target - found) < np.linalg.norm(gap):
+                lam, margins, gap = trial, found, target - found
                 break
             size /= 2.0
             if size < 1e-3:
@@ -212,6 +299,28 @@ def _newton(tab: _CrossTab, tolerance: float, max_steps: int = 50):
     return None
 
 
+def _conjugate_gradients(product, right: np.ndarray, diagonal: np.ndarray, accuracy: float) -> np.ndarray:
+    """Solves ``product(x) = right``, scaled by the diagonal, until the scaled residual fell by ``accuracy``."""
+    scale = np.where(diagonal > 0, diagonal, 1.0)
+    x, residual = np.zeros_like(right), right.copy()
+    scaled = residual / scale
+    direction, norm = scaled.copy(), float(residual @ scaled)
+    wanted = norm * accuracy**2
+    for _ in range(len(right)):
+        if norm <= wanted:
+            break
+        image = product(direction)
+        curve = float(direction @ image)
+        if curve <= 0.0:
+            break
+        x = x + norm / curve * direction
+        residual = residual - norm / curve * image
+        scaled = residual / scale
+        after = float(residual @ scaled)
+        direction, norm = scaled + after / norm * direction, after
+    return x
+
+
 def _weighted_rows(frame: DataFrame, tab: _CrossTab, factors: Sequence[np.ndarray], weight: str) -> DataFrame:
     """Start weight times the factor of its cross-tab cell, divided by the mean.
 

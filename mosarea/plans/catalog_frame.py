@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mosarea.functions import recode as Rc
-from mosarea.operators import aggregates as A, frame as Fr, geo as G, intervals as I, microdata as Mi, raking as Rk, weights as Wt
+from mosarea.operators import aggregates as A, frame as Fr, geo as G, intervals as I, joins as J, microdata as Mi, raking as Rk, weights as Wt
 from mosarea.plans import views as V
 from mosarea.plans.catalog_basic import CENSUS_GROUPED_SQL, CENSUS_SQL, FRAME_ROWS_SQL, SIZE_SQL, frame_rows
 from mosarea.plans.registry import R, query, r, rounded
@@ -98,8 +98,10 @@ SELECT adm1_name, adm2_name, obs_month, f2f_est, n, sqrt(f2f_est * (1 - f2f_est)
 
 
 def face_direct(spark, sf):
+    """Direct estimate of both face-to-face rounds, stacked."""
     h = V.households(spark, sf).withColumn("adm1_name", F.initcap("adm1_name"))
-    return Wt.direct_unweighted(h.where(F.col("modality") == "f2f"))
+    first, second = (h.where(F.col("survey_round") == k).select("adm1_name", "adm2_name", "obs_month", "fcs") for k in (1, 2))
+    return Wt.direct_unweighted(J.union_by_name(first, second))
 
 
 @query(
@@ -218,30 +220,32 @@ def f2(spark, sf):
     return rounded(stacked)
 
 
-def holes(spark, sf):
-    """Cells of a frame that lacks some strata: a third of the districts lose levels.
+def gappy_cells(spark, sf):
+    """Cells of a survey whose answers leave strata empty: a third of the districts report neither higher education nor homes without a phone.
 
-    Written once: the completion steps read the cells several times.
+    All rows count, under the next answer. Written once: the completion steps read the cells several times.
     """
     gap = F.substring("adm2_name", -1, 1).isin("1", "4", "7")
-    rows = frame_rows(spark, sf).where(~(gap & ((F.col("hhh_edu") == "higher") | (F.col("h_cell") == "no"))))
-    return cut_lineage(Fr.frame_cells(rows))
+    answers = {
+        "hhh_edu": F.when(gap & (F.col("hhh_edu") == "higher"), "secondary").otherwise(F.col("hhh_edu")),
+        "h_cell": F.when(gap & (F.col("h_cell") == "no"), "yes").otherwise(F.col("h_cell")),
+    }
+    return cut_lineage(Fr.frame_cells(frame_rows(spark, sf).withColumns(answers)))
 
 
-HOLES_SQL = CELLS_SQL.replace(
-    "FROM frame_rows", "FROM frame_rows WHERE NOT (substr(adm2_name, -1) IN ('1', '4', '7') AND (hhh_edu = 'higher' OR h_cell = 'no'))"
-)
+GAPPY_SQL = """SELECT * REPLACE (CASE WHEN substr(adm2_name, -1) IN ('1', '4', '7') AND hhh_edu = 'higher' THEN 'secondary' ELSE hhh_edu END AS hhh_edu,
+  CASE WHEN substr(adm2_name, -1) IN ('1', '4', '7') AND h_cell = 'no' THEN 'yes' ELSE h_cell END AS h_cell) FROM frame_rows"""
 PRESENT_SQL = " UNION ALL ".join(f"SELECT DISTINCT adm2_name, '{v}' AS var, {v} AS level FROM cells" for v in Fr.STRATA_VARIABLES)
 MISSING_SQL = """
 SELECT a.adm2_name, l.var, l.level FROM (SELECT DISTINCT adm2_name FROM cells) a CROSS JOIN (SELECT DISTINCT var, level FROM present) l
 EXCEPT SELECT adm2_name, var, level FROM present
 """
-GAP_CTE = {"frame_rows": FRAME_ROWS_SQL, "cells": HOLES_SQL, "present": PRESENT_SQL, "missing": MISSING_SQL}
+GAP_CTE = {"frame_rows": FRAME_ROWS_SQL, "gappy": GAPPY_SQL, "cells": CELLS_SQL.replace("FROM frame_rows", "FROM gappy"), "present": PRESENT_SQL, "missing": MISSING_SQL}
 
 
 @query("f3_missing_strata", with_views("SELECT adm2_name, var, level FROM missing", "v_frame_src", **GAP_CTE))
 def f3(spark, sf):
-    return Fr.missing_strata(holes(spark, sf))
+    return Fr.missing_strata(gappy_cells(spark, sf))
 
 
 def _copies_sql() -> str:
@@ -257,7 +261,7 @@ COMPLETE_SQL = f"SELECT DISTINCT * FROM (SELECT {', '.join(Fr.CELL_KEYS)}, pop_w
 
 
 def completed(spark, sf):
-    frame = holes(spark, sf)
+    frame = gappy_cells(spark, sf)
     return Fr.complete_strata(frame, Fr.missing_strata(frame))
 
 
@@ -278,7 +282,7 @@ def f4(spark, sf):
     ),
 )
 def f5(spark, sf):
-    frame = holes(spark, sf)
+    frame = gappy_cells(spark, sf)
     missing = cut_lineage(Fr.missing_strata(frame))
     before = missing.groupBy("var").agg(F.count(F.lit(1)).alias("n_before"))
     after = Fr.missing_strata(Fr.complete_strata(frame, missing)).groupBy("var").agg(F.count(F.lit(1)).alias("n_after"))
@@ -296,7 +300,7 @@ def f5(spark, sf):
     ),
 )
 def a13(spark, sf):
-    frame = holes(spark, sf)
+    frame = gappy_cells(spark, sf)
     check = A.change_check(frame, Fr.complete_strata(frame, Fr.missing_strata(frame)), "adm1_name", "pop_weight")
     return check.select("adm1_name", r("weight_before", 6).alias("weight_before"), r("weight_after", 6).alias("weight_after"), r("pct_change").alias("pct_change"))
 
@@ -447,7 +451,7 @@ def f7(spark, sf):
 FACE_KEYS = ("adm1_name", "adm2_name", "hh_size_bucket", "h_water_source_2way", "h_toilet_type_2way", "hhh_sex", "hhh_edu", "h_cell")
 FACE_ROWS_SQL = f"""
 SELECT adm1_name, adm2_name, {SIZE_SQL.format('hh_size')} AS hh_size_bucket, CASE WHEN h_water_source IN ('protected', 'piped') THEN 'improved' ELSE 'other' END AS h_water_source_2way,
-  h_toilet_type_2way, hhh_sex, hhh_edu, h_cell FROM v_households WHERE modality = 'f2f'
+  h_toilet_type_2way, hhh_sex, hhh_edu, h_cell FROM v_households WHERE survey_round = 1
 """
 COUNT_FRAME_SQL = f"""
 SELECT {', '.join('c.' + k for k in FACE_KEYS)}, n, n_adm2, prop_adm2, n / n_adm2 * prop_adm2 * 1000 AS pop_weight FROM
@@ -457,7 +461,7 @@ SELECT {', '.join('c.' + k for k in FACE_KEYS)}, n, n_adm2, prop_adm2, n / n_adm
 
 
 def face_frame(spark, sf):
-    h = V.households(spark, sf).where(F.col("modality") == "f2f")
+    h = V.households(spark, sf).where(F.col("survey_round") == 1)
     rows = Rc.recode(h, Rc.WATER_TWO_WAY).withColumn("hh_size_bucket", Rc.size_bucket(F.col("hh_size")))
     return Fr.count_frame(rows, Fr.district_margin(V.matched_names(spark, sf)), FACE_KEYS)
 
@@ -582,6 +586,40 @@ def g1(spark, sf):
     return G.assign_points(V.points(spark, sf), edges(spark, sf), "x", "y").select("pt", "adm2_index")
 
 
+@query(
+    "g1_points_in_rings",
+    with_views(
+        """SELECT p.pt, q.adm2_index FROM v_points p LEFT JOIN (
+          SELECT pt, adm2_index FROM v_points, v_ring_edges WHERE (y1 > y) <> (y2 > y) AND x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+          GROUP BY pt, adm2_index HAVING count(*) % 2 = 1) q ON q.pt = p.pt""",
+        "v_points",
+        "v_ring_edges",
+    ),
+)
+def g1_rings(spark, sf):
+    """Districts with holes and with two parts, one of them inside another district."""
+    rings = G.ring_edges(V.ringed_districts(spark, sf))
+    return G.assign_points(V.points(spark, sf), rings, "x", "y").select("pt", "adm2_index")
+
+
+# The hole of a district is one of its rings that lies in another; its area and moments count against it.
+RING_SUMS_SQL = "SELECT adm2_index, ring_no, sum(x1 * y2 - x2 * y1) AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS mx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS my FROM v_ring_edges GROUP BY 1, 2"
+
+
+@query(
+    "g2_ring_centroids",
+    with_views(
+        f"""SELECT adm2_index, {R('sum(s * mx) / (3 * sum(s * a))')} AS lon, {R('sum(s * my) / (3 * sum(s * a))')} AS lat, n FROM
+        (SELECT *, CASE WHEN ring_no = 2 AND adm2_index % 5 = 1 THEN -1 ELSE 1 END AS s FROM ({RING_SUMS_SQL})) JOIN counts USING (adm2_index) GROUP BY adm2_index, n""",
+        "v_ring_edges",
+        counts="SELECT n_nationkey AS adm2_index, CAST(count(*) AS BIGINT) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
+    ),
+)
+def g2_rings(spark, sf):
+    found = G.centroids(G.ring_edges(V.ringed_districts(spark, sf)))
+    return rounded(found.join(district_counts(spark, sf), "adm2_index").select("adm2_index", "lon", "lat", "n"))
+
+
 # Geometry-only operators are joined to interviews or points, so that the
 # registered query still grows with the data.
 @query(

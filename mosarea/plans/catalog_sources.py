@@ -6,13 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F, types as T
 
-from mosarea.operators import frame as Fr
+from mosarea.operators import aggregates as A
 from mosarea.plans import views as V
-from mosarea.plans.catalog_basic import CENSUS_GROUPED_SQL, CENSUS_SQL
-from mosarea.plans.registry import R, query, r
+from mosarea.plans.catalog_basic import FRAME_ROWS_SQL, frame_rows
+from mosarea.plans.registry import R, query, r, rounded
 from mosarea.plans.views import with_views
 from mosarea.session import shared_folder
-from mosarea.sources import tables as Tb
+from mosarea.sources import draws as Sd, tables as Tb
 
 
 def fresh_path(spark, name):
@@ -50,16 +50,49 @@ def s2(spark, sf):
     return Tb.cast_dates(text, {"day": "dd/MM/yyyy", "bad": "dd/MM/yyyy"}).select("o_orderkey", "day", F.col("bad").isNull().alias("unparsed"))
 
 
-@query("s5_margin_files", with_views(f"SELECT margin AS var, level, {R('freq')} AS freq FROM grouped", census=CENSUS_SQL, grouped=CENSUS_GROUPED_SQL))
+MARGIN_VARIABLES = ("h_cooking_fuel", "h_toilet_type_2way", "h_toilet_type_3way", "h_water_source_2way", "hhh_sex", "hhh_edu", "h_cell", "hh_size_bucket", "adm1_name", "adm2_name")
+MARGINS_SQL = " UNION ALL ".join(f"SELECT '{v}' AS var, {v} AS level, sum(hh_weight) AS w FROM frame_rows GROUP BY 2" for v in MARGIN_VARIABLES)
+
+
+@query(
+    "s5_margin_files",
+    with_views(f"SELECT var, level, {R('w / sum(w) OVER (PARTITION BY var)')} AS freq FROM ({MARGINS_SQL})", "v_frame_src", frame_rows=FRAME_ROWS_SQL),
+)
 def s5(spark, sf):
-    """Margins as JSON lines and as a typed table; both must say the same."""
+    """Margins of all frame variables as JSON lines and as a typed table; both must say the same."""
     path = fresh_path(spark, "margins")
-    census = Fr.census_margins(spark).select("var", "level", "freq")
-    used = F.col("var").isin("h_cooking_fuel", "h_toilet_type_2way", "h_toilet_type_3way", "h_water_source_2way", "hhh_sex", "h_cell")
-    Tb.write_margins(census.where(used), path)
+    rows = frame_rows(spark, sf).select(*MARGIN_VARIABLES, F.col("hh_weight").cast("double").alias("w"))
+    weighed = A.stacked_groups(rows, list(MARGIN_VARIABLES), [], w=F.sum("w"))
+    Tb.write_margins(rounded(A.share_of_total(weighed, "w", "freq", by=["var"]).select("var", "level", "freq")), path)
     typed = Tb.read_table(spark, f"{path}/parquet")
     lines = spark.read.schema(typed.schema).json(f"{path}/json")
-    return typed.join(lines, ["var", "level", "freq"], "left_semi").select("var", "level", r("freq").alias("freq"))
+    same = (typed["var"] == lines["var"]) & typed["level"].eqNullSafe(lines["level"]) & (typed["freq"] == lines["freq"])
+    return typed.join(lines, same, "left_semi").select("var", "level", "freq")
+
+
+CHAINS, WARMUP = 4, 3
+CHAIN_COLUMNS = ["lp__", "b0", "betas.1", "betas.2", "psi.1.1", "psi.2.1"]
+CHAIN_VALUES = {"lp__": "-s_suppkey", "b0": "s_acctbal", "betas.1": "s_nationkey", "betas.2": "s_suppkey * 0.5", "psi.1.1": "s_acctbal - s_nationkey", "psi.2.1": "s_suppkey + 0.25"}
+CHAIN_CELLS_SQL = " UNION ALL ".join(
+    f"SELECT chain, at, '{n.split('.')[0]}' AS param, {', '.join([*n.split('.')[1:], 'NULL', 'NULL'][:2])}, CAST({v} AS DOUBLE) AS value FROM lines" for n, v in CHAIN_VALUES.items() if n != "lp__"
+)
+
+
+@query(
+    "s8_posterior_draws",
+    f"""WITH lines AS (SELECT *, CAST(s_suppkey % {CHAINS} + 1 AS INT) AS chain, row_number() OVER (PARTITION BY s_suppkey % {CHAINS} ORDER BY s_suppkey) - {WARMUP} AS at FROM supplier),
+    lengths AS (SELECT max(at) AS n FROM lines)
+    SELECT chain, CAST(at AS INT) AS iteration, CAST((chain - 1) * n + at AS INT) AS draw, param, i, j, value FROM ({CHAIN_CELLS_SQL}) AS c(chain, at, param, i, j, value), lengths WHERE at > 0""",
+)
+def s8(spark, sf):
+    """One CSV file per chain, one line per iteration, read in file order without the warm-up."""
+    path = fresh_path(spark, "chains")
+    supplier = V.table(spark, sf, "supplier")
+    columns = [F.expr(CHAIN_VALUES[n]).cast("double").alias(n) for n in CHAIN_COLUMNS]
+    for chain in range(CHAINS):
+        own = supplier.where(F.col("s_suppkey") % CHAINS == chain).orderBy("s_suppkey").select(*columns).coalesce(1)
+        own.write.option("header", True).csv(f"{path}/chain-{chain + 1}")
+    return Sd.read_chains(spark, f"{path}/chain-*", CHAIN_COLUMNS, WARMUP)
 
 
 @query("s7_typed_table", with_views("SELECT household_id, adm2_name, obs_month, fcs FROM v_households", "v_households"))

@@ -13,6 +13,7 @@ from mosarea.plans.catalog_frame import (
     FACE_SQL,
     FRAME_CTE,
     MICS_SQL,
+    NEIGHBOURS_SQL,
     PHONE_ROWS_SQL,
     WEIGHTS_SQL,
     Z,
@@ -26,10 +27,13 @@ from mosarea.plans.catalog_model import (
     MODEL_CTE,
     N_JOINT,
     N_PHONE,
+    PATTERNS_SQL,
     PHONE_INTERVIEWS,
+    RANKED_SQL,
     SWITCHED_SQL,
     Study,
     cell_design_sql,
+    eta_sql,
     prevalence_sql,
     units_sql,
 )
@@ -433,7 +437,7 @@ def m3(spark, sf):
 
 def random_intercept_model(h):
     """Face-to-face interviews with education, and the model of phone ownership fitted on them."""
-    face = h.where((F.col("modality") == "f2f") & F.col("hhh_edu").isNotNull())
+    face = h.where((F.col("survey_round") == 1) & F.col("hhh_edu").isNotNull())
     face = ownership_design(face).withColumn("cell", Rc.yes_flag(F.col("h_cell")))
     fit = H.fit_random_intercept(face, RI_NAMES, "cell", "adm2_name")
     if not fit.converged:
@@ -444,7 +448,7 @@ def random_intercept_model(h):
 @query(
     "m3_area_score_equations",
     with_views(
-        "SELECT DISTINCT adm2_name, CAST(0 AS DOUBLE) AS score FROM v_households WHERE modality = 'f2f' AND hhh_edu IS NOT NULL AND h_cell IS NOT NULL",
+        "SELECT DISTINCT adm2_name, CAST(0 AS DOUBLE) AS score FROM v_households WHERE survey_round = 1 AND hhh_edu IS NOT NULL AND h_cell IS NOT NULL",
         "v_households",
     ),
 )
@@ -457,6 +461,51 @@ def m3_score(spark, sf):
     return sums.select("adm2_name", r(F.col("residual") - F.col("pull"), 4).alias("score"))
 
 
+TERMS_SQL = "', '".join(("intercept", *RI_NAMES, "log_sigma"))
+
+
+@query("m3_score_equations", f"SELECT unnest(['{TERMS_SQL}']) AS term, CAST(0 AS DOUBLE) AS score FROM (SELECT count(*) FROM orders)")
+def m3_score_all(spark, sf):
+    """First-order condition of every coefficient and of the standard deviation, per interview and per area."""
+    face, fit = random_intercept_model(V.households(spark, sf))
+    scores = H.random_intercept_scores(fit, face, RI_NAMES, "cell", "adm2_name")
+    size = F.when(F.col("term") == "log_sigma", F.lit(len(fit.areas))).otherwise(face.agg(F.count(F.lit(1))).scalar())
+    return scores.select("term", r(F.col("score") / size, 5).alias("score"))
+
+
+GRADIENT_CTE = {
+    **MODEL_CTE,
+    "patterns": PATTERNS_SQL,
+    "nb": NEIGHBOURS_SQL,
+    "ranked": RANKED_SQL,
+    "resid": f"SELECT rows.*, e.draw, y - n / (1 + exp(-({eta_sql(N_JOINT)}))) AS r FROM patterns rows JOIN effects e ON e.adm2_index = rows.adm2_index AND e.month_idx = rows.month_idx JOIN coefs c ON c.draw = e.draw",
+    "scaled": "SELECT d.*, s.value * s.value AS s2 FROM draws d JOIN draws s ON s.draw = d.draw AND s.param = concat('sigma_', d.param)",
+    "sides": """SELECT x.adm2_index AS one, y.adm2_index AS two FROM (SELECT DISTINCT least(node1, node2) AS a, greatest(node1, node2) AS b FROM nb) JOIN ranked x ON x.k = a JOIN ranked y ON y.k = b
+      UNION ALL SELECT y.adm2_index, x.adm2_index FROM (SELECT DISTINCT least(node1, node2) AS a, greatest(node1, node2) AS b FROM nb) JOIN ranked x ON x.k = a JOIN ranked y ON y.k = b""",
+    "terms": f"""SELECT draw, 'b0' AS param, NULL::INT AS i, NULL::INT AS j, r AS v FROM resid
+      UNION ALL SELECT draw, unnest(['phi', 'theta']), adm2_index, NULL, r FROM resid
+      UNION ALL SELECT draw, unnest(['nu', 'xi']), month_idx, NULL, r FROM resid
+      UNION ALL SELECT draw, 'psi', month_idx, adm1_index, r FROM resid
+      UNION ALL SELECT draw, 'betas', CAST(unnest(range(1, {N_JOINT + 1})) AS INT), NULL, unnest([{', '.join(f'sum(x{k} * r)' for k in range(1, N_JOINT + 1))}]) FROM resid GROUP BY draw
+      UNION ALL SELECT draw, param, i, j, -value / 25 FROM draws WHERE param IN ('b0', 'betas')
+      UNION ALL SELECT draw, param, i, j, -value / s2 FROM scaled WHERE param IN ('theta', 'xi', 'psi')
+      UNION ALL SELECT draw, param, i, j, -sum(value) OVER block / power(CASE param WHEN 'phi' THEN 0.001::DOUBLE ELSE 0.01::DOUBLE END * count(*) OVER block, 2) / s2
+        FROM scaled WHERE param IN ('phi', 'nu') WINDOW block AS (PARTITION BY draw, param)
+      UNION ALL SELECT a.draw, a.param, a.i, a.j, (b.value - a.value) / a.s2 FROM scaled a JOIN sides ON sides.one = a.i JOIN scaled b ON b.draw = a.draw AND b.param = 'phi' AND b.i = sides.two WHERE a.param = 'phi'
+      UNION ALL SELECT draw, param, i, j, (coalesce(lag(value) OVER steps, 0) - value + coalesce(lead(value) OVER steps - value, 0)) / s2 FROM scaled WHERE param = 'nu' WINDOW steps AS (PARTITION BY draw ORDER BY i)""",
+}
+
+
+@query(
+    "m6_log_posterior_gradient",
+    with_views(f"SELECT draw, param, i, j, {R('sum(v)', 6)} AS gradient FROM terms GROUP BY ALL", *D_VIEWS, "v_edges", **GRADIENT_CTE),
+)
+def m6_gradient(spark, sf):
+    """Gradient of the log posterior in every parameter, at every keyed draw."""
+    st = Study(spark, sf)
+    return rounded(Lp.log_posterior_gradient(st.patterns(), st.posterior(), st.neighbour_edges(), N_JOINT, st.regions), 6)
+
+
 def fitted(spark, sf, mode="phone_only"):
     st = Study(spark, sf)
     n = len(De.covariates(mode))
@@ -466,6 +515,41 @@ def fitted(spark, sf, mode="phone_only"):
     return st, fit
 
 
+PARAMETERS_SQL = f"""SELECT 'b0' AS param, NULL::INT AS i, NULL::INT AS j UNION ALL SELECT 'betas', CAST(unnest(range(1, {N_PHONE + 1})) AS INT), NULL
+  UNION ALL SELECT unnest(['phi', 'theta']), CAST(a.range AS INT), NULL FROM range(1, (SELECT ns + 1 FROM dims)::BIGINT) a
+  UNION ALL SELECT unnest(['nu', 'xi']), CAST(t.range AS INT), NULL FROM range(1, (SELECT nt + 1 FROM dims)::BIGINT) t
+  UNION ALL SELECT 'psi', CAST(t.range AS INT), CAST(p.range AS INT) FROM range(1, (SELECT nt + 1 FROM dims)::BIGINT) t, range(1, (SELECT nr + 1 FROM dims)::BIGINT) p"""
+
+
+@query(
+    "m6_mode_score_equations",
+    with_views("SELECT *, CAST(0 AS DOUBLE) AS gradient FROM parameters", *D_VIEWS, **MODEL_CTE, parameters=PARAMETERS_SQL),
+)
+def m6_score(spark, sf):
+    """First-order condition of every parameter at the fitted mode, recomputed from the patterns."""
+    st, fit = fitted(spark, sf)
+    mode = cut_lineage(fit.mode_draws(spark))
+    gradient = Lp.log_posterior_gradient(st.patterns("phone_only"), mode, st.neighbour_edges(), N_PHONE, st.regions)
+    return gradient.select("param", "i", "j", r("gradient", 4).alias("gradient"))
+
+
+@query(
+    "m6_mode_log_posterior",
+    with_views(
+        f"SELECT (SELECT count(*) FROM parameters) + {len(Lp.SIGMAS)} AS n_parameters, CAST(0 AS DOUBLE) AS log_lik_gap, CAST(0 AS DOUBLE) AS log_prior_gap",
+        *D_VIEWS, **MODEL_CTE, parameters=PARAMETERS_SQL,
+    ),
+)
+def m6_at_mode(spark, sf):
+    """The log posterior that the fit reports, against the one that its mode has as a draw."""
+    st, fit = fitted(spark, sf)
+    mode = cut_lineage(fit.mode_draws(spark))
+    found = Lp.log_posterior(st.patterns("phone_only"), mode, st.neighbour_edges(), N_PHONE, st.regions)
+    n = mode.agg(F.count("*")).scalar()
+    gap = lambda name, reported: r(F.col(name) - F.lit(float(reported)), 5).alias(f"{name}_gap")
+    return found.select(n.alias("n_parameters"), gap("log_lik", fit.log_lik), gap("log_prior", fit.log_prior))
+
+
 @query("m6_hierarchical_posterior_summary")
 def m6(spark, sf):
     st, fit = fitted(spark, sf)

@@ -34,8 +34,12 @@ def _choose(column: Column, pairs: dict, other=None) -> Column:
     return expression.otherwise(other) if other is not None else expression
 
 
+# Face-to-face interviews from this day on are the second round; models are fitted on the first.
+SECOND_ROUND = "1998-01-01"
+
+
 def households(spark: SparkSession, sf: str) -> DataFrame:
-    """One interview per order."""
+    """One interview per order; face-to-face interviews are of the first or the second round."""
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer")
     joined = o.join(c, o.o_custkey == c.c_custkey).join(_places(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -72,10 +76,11 @@ def households(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_acctbal") > 1000, "yes").otherwise("no").alias("h_cell"),
         F.when(F.col("o_orderstatus") == "P", "f2f").otherwise("rtm").alias("modality"),
         _choose(F.col("o_orderstatus"), {"F": "RDD", "O": "GeoPoll"}).alias("sample_source"),
+        F.when(F.col("o_orderstatus") == "P", F.when(F.col("o_orderdate") < F.lit(SECOND_ROUND).cast("date"), 1).otherwise(2)).alias("survey_round"),
     )
 
 
-HOUSEHOLDS_SQL = """
+HOUSEHOLDS_SQL = f"""
 SELECT o.o_orderkey AS household_id, o.o_custkey AS respondent_id, r.r_name AS adm1_name, n.n_name AS adm2_name,
   CAST(date_trunc('month', o.o_orderdate) AS DATE) AS obs_month, CAST(date_trunc('week', o.o_orderdate) AS DATE) AS obs_week,
   CAST(o.o_orderdate AS DATE) AS obs_date,
@@ -89,7 +94,8 @@ SELECT o.o_orderkey AS household_id, o.o_custkey AS respondent_id, r.r_name AS a
   CASE WHEN o.o_orderkey % 7 < 4 THEN 'improved' ELSE 'unimproved' END AS h_toilet_type_2way,
   CASE WHEN c.c_acctbal > 1000 THEN 'yes' ELSE 'no' END AS h_cell,
   CASE WHEN o.o_orderstatus = 'P' THEN 'f2f' ELSE 'rtm' END AS modality,
-  CASE o.o_orderstatus WHEN 'F' THEN 'RDD' WHEN 'O' THEN 'GeoPoll' END AS sample_source
+  CASE o.o_orderstatus WHEN 'F' THEN 'RDD' WHEN 'O' THEN 'GeoPoll' END AS sample_source,
+  CASE WHEN o.o_orderstatus = 'P' THEN CASE WHEN o.o_orderdate < DATE '{SECOND_ROUND}' THEN 1 ELSE 2 END END AS survey_round
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 """
@@ -394,6 +400,29 @@ FROM nation CROSS JOIN (SELECT 1 AS k, 0 AS x1, 0 AS y1, 1 AS x2, 0 AS y2 UNION
 """
 
 
+def ringed_districts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same squares with rings: every fifth district lies in two parts, the second in a hole of its neighbour."""
+    n = F.col("n_nationkey")
+    x, y = (n % 5).cast("double"), F.floor(n / 5).cast("double")
+    square = lambda low, high: [(low, low), (high, low), (high, high), (low, high)]
+    ring = lambda shift, corners: F.array(*[F.struct((x + shift + dx).alias("x"), (y + dy).alias("y")) for dx, dy in corners])
+    hole = square(0.25, 0.75)
+    rings = F.when(n % 5 == 0, F.array(ring(0, square(0, 1)), ring(1, hole))).when(n % 5 == 1, F.array(ring(0, square(0, 1)), ring(0, hole)))
+    rings = rings.otherwise(F.array(ring(0, square(0, 1))))
+    return _places(spark, sf).select(n.alias("adm2_index"), "adm1_name", "adm2_name", F.posexplode(rings).alias("p", "ring")).withColumn(
+        "ring_no", F.col("p") + 1
+    )
+
+
+RING_EDGES_SQL = """
+SELECT n_nationkey AS adm2_index, r.ring_no, CAST(n_nationkey % 5 + r.shift + r.low + e.x1 * r.size AS DOUBLE) AS x1, CAST(floor(n_nationkey / 5) + r.low + e.y1 * r.size AS DOUBLE) AS y1,
+  CAST(n_nationkey % 5 + r.shift + r.low + e.x2 * r.size AS DOUBLE) AS x2, CAST(floor(n_nationkey / 5) + r.low + e.y2 * r.size AS DOUBLE) AS y2
+FROM nation JOIN (VALUES (-1, 1, 0, 0::DOUBLE, 1::DOUBLE), (0, 2, 1, 0.25::DOUBLE, 0.5::DOUBLE), (1, 2, 0, 0.25::DOUBLE, 0.5::DOUBLE)) AS r(rest, ring_no, shift, low, size)
+  ON r.rest = -1 OR r.rest = n_nationkey % 5
+CROSS JOIN (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)) AS e(x1, y1, x2, y2)
+"""
+
+
 def cell_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Phone-ownership score per respondent."""
     k = F.col("c_custkey")
@@ -433,6 +462,7 @@ SQL_VIEWS = {
     "v_pop_shares": POPULATION_SHARES_SQL,
     "v_points": POINTS_SQL,
     "v_edges": DISTRICT_EDGES_SQL,
+    "v_ring_edges": RING_EDGES_SQL,
     "v_scores": CELL_SCORES_SQL,
 }
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosarea.functions import expressions as X, nulls as N, recode as Rc
-from mosarea.operators import frame as Fr, geo as G, hierarchical as H, intervals as I, logposterior as Lp, predict as Pr
+from mosarea.operators import blocksolve as B, frame as Fr, geo as G, hierarchical as H, intervals as I, logposterior as Lp, predict as Pr
 from mosarea.operators import raking as Rk, validation as Va, weights as Wt
 from mosarea.sources.tables import local_table
 
@@ -104,7 +104,7 @@ def rake_fixture(spark):
     return frame, margins
 
 
-@pytest.mark.parametrize("solver", ["sweeps", "newton"])
+@pytest.mark.parametrize("solver", ["sweeps", "newton", "gradients"])
 def test_raking_golden(spark, solver):
     frame, margins = rake_fixture(spark)
     done = Rk.rake(frame, margins, weight="w", solver=solver)
@@ -207,7 +207,7 @@ def test_null_score_point_and_islands(spark):
     assert sorted(map(tuple, G.undirected_edges(pairs).collect())) == [(1, 2)]
     assert [r.adm2_index for r in G.islands(d, pairs).collect()] == [3]
     points = local_table(spark, [(1, 0.5, 0.5), (2, 3.0, 3.0), (3, 5.2, 5.9)], "pt int, x double, y double")
-    placed = {r.pt: r.adm2_index for r in G.assign_points(points, edges, "x", "y", cell=0.4).collect()}
+    placed = {r.pt: r.adm2_index for r in G.assign_points(points, edges, "x", "y", square_edges=1).collect()}
     assert placed == {1: 1, 2: None, 3: 3}
     centre = G.centroids(edges).where("adm2_index = 2").first()
     assert (centre.lon, centre.lat) == (1.5, 1.5)
@@ -273,13 +273,21 @@ def test_hierarchical_fit_recovers_parameters(spark, simulation, hyper, interact
     area = fit.mode[s["phi"]] + fit.mode[s["theta"]]
     assert np.corrcoef(area, area_effect)[0, 1] > 0.97
     # at the mode the penalised gradient vanishes
-    prior = H._prior_precision(fit.layout, fit.structures, fit.log_sigma) @ fit.mode
-    assert np.max(np.abs(fit.linear - fit.information @ fit.mode - prior)) < 1e-2
-    draws = H.draw_posterior(spark, fit, n_draws=400, components=8).cache()
+    at_mode = fit.mode_draws(spark)
+    gradient = Lp.log_posterior_gradient(patterns, at_mode, edges, 2, regions, interaction)
+    assert gradient.count() == fit.layout.size
+    assert gradient.agg(F.max(F.abs("gradient"))).first()[0] < 1e-4
+    reported = Lp.log_posterior(patterns, at_mode, edges, 2, regions, hyper, interaction).first()
+    assert reported.log_lik == pytest.approx(fit.log_lik, abs=1e-6) and reported.log_prior == pytest.approx(fit.log_prior, abs=1e-6)
+    draws = H.draw_posterior(spark, fit, n_draws=400, draws_per_point=8).cache()
     assert draws.groupBy("param").count().count() == 12
+    sigmas = draws.where("param = 'sigma_phi'").agg(F.countDistinct("value"), F.count("value"), F.countDistinct("draw")).first()
+    assert sigmas[0] > 25 and sigmas[1:] == (400, 400)
+    fewer = H.draw_posterior(spark, fit, n_draws=100, draws_per_point=8).where("param = 'sigma_phi'").agg(F.countDistinct("value")).first()[0]
+    assert fewer < sigmas[0]
     mean = {r.i: r.m for r in draws.where("param = 'betas'").groupBy("i").agg(F.avg("value").alias("m")).collect()}
     assert mean[1] == pytest.approx(fit.coefficients[1], abs=0.02)
-    again = H.draw_posterior(spark, fit, n_draws=400, components=8)
+    again = H.draw_posterior(spark, fit, n_draws=400, draws_per_point=8)
     assert draws.exceptAll(again).count() == 0
 
 
@@ -338,18 +346,222 @@ def test_weighted_logistic_score_equations(spark, simulation):
     assert {r.k: r.p_cell is None for r in missing.collect()} == {1: True, 2: False}
 
 
-def test_district_inside_another(spark):
-    """Rings of one district are pooled: a second ring inside the first is a hole, a far one another part."""
-    square = lambda x, y, size: [(x, y), (x + size, y), (x + size, y + size), (x, y + size)]
-    rings = [(1, square(0.0, 0.0, 4.0)), (1, square(1.0, 1.0, 2.0)), (2, square(1.0, 1.0, 2.0)), (1, square(6.0, 0.0, 1.0))]
-    districts = spark.createDataFrame(rings, "adm2_index int, ring array<struct<x: double, y: double>>")
-    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 2.0, 2.0), (3, 3.5, 3.5), (4, 6.5, 0.5), (5, 5.0, 0.5)], "pt int, x double, y double")
-    found = G.assign_points(points, G.ring_edges(districts), "x", "y").collect()
-    assert {r["pt"]: r["adm2_index"] for r in found} == {1: 1, 2: 2, 3: 1, 4: 1, 5: None}
+def square_at(x, y, size, turn=1):
+    return [(x, y), (x + size, y), (x + size, y + size), (x, y + size)][::turn]
+
+
+@pytest.mark.parametrize("square_edges", [1, 32])
+def test_district_inside_another(spark, square_edges):
+    """A ring inside the first is a hole, one in the hole is inside again, a far one another part."""
+    rings = [(1, 1, square_at(0.0, 0.0, 4.0)), (1, 2, square_at(1.0, 1.0, 2.0)), (2, 1, square_at(1.0, 1.0, 2.0)), (1, 3, square_at(6.0, 0.0, 1.0)), (1, 4, square_at(1.5, 1.5, 1.0))]
+    districts = spark.createDataFrame(rings, "adm2_index int, ring_no int, ring array<struct<x: double, y: double>>")
+    points = spark.createDataFrame(
+        [(1, 0.5, 0.5), (2, 1.2, 2.0), (3, 3.5, 3.5), (4, 6.5, 0.5), (5, 5.0, 0.5), (6, 2.0, 2.0), (7, None, 1.0), (8, -3.0, 0.5), (9, 0.5, 99.0)], "pt int, x double, y double"
+    )
+    found = {}
+    for r in G.assign_points(points, G.ring_edges(districts), "x", "y", square_edges=square_edges).collect():
+        found.setdefault(r["pt"], set()).add(r["adm2_index"])
+    assert found == {1: {1}, 2: {2}, 3: {1}, 4: {1}, 5: {None}, 6: {1, 2}, 7: {None}, 8: {None}, 9: {None}}
+    empty = G.assign_points(points, G.ring_edges(districts.limit(0)), "x", "y")
+    assert empty.count() == 9 and empty.where("adm2_index is not null").count() == 0
+
+
+def test_hole_counts_against_the_centroid(spark):
+    for turn in (1, -1):
+        rings = [(1, 1, square_at(0.0, 0.0, 4.0)), (1, 2, square_at(2.0, 1.0, 1.0, turn)), (2, 1, square_at(5.0, 0.0, 2.0, turn)), (2, 2, square_at(9.0, 0.0, 2.0))]
+        districts = spark.createDataFrame(rings, "adm2_index int, ring_no int, ring array<struct<x: double, y: double>>")
+        found = {r.adm2_index: (r.lon, r.lat) for r in G.centroids(G.ring_edges(districts)).collect()}
+        assert found[1] == pytest.approx(((16 * 2 - 2.5) / 15, (16 * 2 - 1.5) / 15)) and found[2] == pytest.approx((8.0, 1.0))
+
+
+def test_quadtree_equals_ray_casting(spark):
+    """Detailed borders next to plain ones, squares of many sizes."""
+    rng = np.random.default_rng(4)
+    districts = []
+    for k in range(12):
+        n = 400 if k == 0 else int(rng.integers(3, 9))
+        angles, radius = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(0.3, 1.0, n) * (0.4 if k == 0 else 3.0)
+        x, y = rng.uniform(0, 10, 2)
+        districts.append((k, [(float(x + r * np.cos(a)), float(y + r * np.sin(a))) for a, r in zip(angles, radius)]))
+    edges = G.ring_edges(spark.createDataFrame(districts, "adm2_index int, ring array<struct<x: double, y: double>>"))
+    at = rng.uniform(-2, 12, (1500, 2))
+    points = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(at)], "pt int, x double, y double")
+
+    def inside(ring, x, y):
+        crossed = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+            if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+                crossed = not crossed
+        return crossed
+
+    expected = {(k, d) for k, (x, y) in enumerate(at) for d, ring in districts if inside(ring, x, y)}
+    tree = G.Quadtree(edges, "adm2_index", 8)
+    assert len(tree.levels) > 3
+    found = G.assign_points(points, edges, "x", "y", square_edges=8).where("adm2_index is not null")
+    assert {(r.pt, r.adm2_index) for r in found.collect()} == expected and len(expected) > 400
 
 
 def test_block_scoring_names_a_month_without_effect(spark):
-    pair = Pr.BlockPair(7, np.array([1, 3]), None, None, None, np.array([1, 2, 4]), np.ones((2, 3)), None)
+    draws = Pr.DistrictDraws(7, np.array([1, 2]), np.array([1, 2, 4]), np.ones((2, 3)), np.ones((2, 1)))
     with pytest.raises(ValueError, match="district 7 .* month 3"):
-        pair.row_effects()
-    assert Pr.BlockPair(7, np.array([1, 4]), None, None, None, np.array([1, 2, 4]), np.ones((2, 3)), None).row_effects().shape == (2, 2)
+        draws.month_positions(np.array([1, 3]))
+    assert list(draws.month_positions(np.array([1, 4]))) == [0, 2]
+
+
+# ------------------------------------------------------------ block elimination
+def dense_system(system, log_sigma):
+    """Precision, linear term and value with every parameter in one dense matrix."""
+    layout, c = system.layout, system.cells
+    s, ns, nt = layout.slices(), layout.n_areas, layout.n_months
+    area, month = np.divmod(np.arange(ns * nt), nt)
+    x = np.zeros((ns * nt, layout.size))
+    rows = np.arange(ns * nt)
+    psi = s["psi"].start + np.array(layout.place)[area] * nt + month
+    for column in (np.zeros_like(area), s["phi"].start + area, s["theta"].start + area, s["nu"].start + month, s["xi"].start + month, psi):
+        x[rows, column] = 1.0
+    beta = slice(1, 1 + layout.n_cov)
+    w, wx = c.weight.ravel(), c.weight_x.reshape(-1, layout.n_cov)
+    information = x.T @ (w[:, None] * x)
+    information[:, beta] += x.T @ wx
+    information[beta, :] += (x.T @ wx).T
+    information[beta, beta] += c.weight_xx
+    linear = x.T @ c.work.ravel()
+    linear[beta] += c.work_x
+    prior = np.zeros_like(information)
+    prior[s["fixed"], s["fixed"]] = np.eye(1 + layout.n_cov) / 25.0
+    smooth = {"phi": system.areas, "nu": system.months}
+    for name, value in zip(B.EFFECTS, log_sigma):
+        block = (smooth[name].vectors * smooth[name].values) @ smooth[name].vectors.T if name in smooth else np.eye(layout.sizes()[name])
+        prior[s[name], s[name]] = block * np.exp(-2.0 * value)
+    precision = information + prior
+    value = 0.5 * linear @ np.linalg.solve(precision, linear) - 0.5 * np.linalg.slogdet(precision)[1] + system.log_hyper(log_sigma)
+    return precision, linear, prior, value - sum(layout.sizes()[n] * v for n, v in zip(B.EFFECTS, log_sigma))
+
+
+def random_system(rng, place, n_months, n_cov, hyper="pc_precision"):
+    n_areas = len(place)
+    w = rng.uniform(0.5, 20.0, (n_areas, n_months))
+    w[0, 0] = 0.0  # a cell without interviews
+    share = rng.uniform(0.1, 0.9, (n_areas, n_months, n_cov)) * (w[..., None] > 0)
+    xx = np.einsum("st,stb,stc->bc", w, share, share) + np.diag(np.einsum("st,stb->b", w, share * (1 - share)))
+    cells = B.Cells(w, w[..., None] * share, rng.normal(0, 3, w.shape) * (w > 0), xx, rng.normal(0, 5, n_cov))
+    layout = B.Layout(n_cov, n_areas, n_months, tuple(place))
+    return B.BlockSystem(layout, [(a, a + 1) for a in range(1, n_areas - 1)], hyper, cells)  # the last area has no neighbour
+
+
+@pytest.mark.parametrize("place", [[0, 0, 1, 1, 2], [0, 1, 2, 3, 4], [0, 0, 0, 0, 0]])
+def test_block_elimination_equals_the_dense_system(place):
+    system = random_system(np.random.default_rng(len(set(place))), place, 4, 3)
+    points = [np.log([0.5, 0.4, 0.7, 0.3, 0.2]), np.log([1.5, 0.1, 0.2, 2.0, 0.9]), np.full(5, -3.0)]
+    shifts = []
+    for log_sigma in points:
+        precision, linear, prior, value = dense_system(system, log_sigma)
+        mode = system.mode(log_sigma)
+        assert np.allclose(mode, np.linalg.solve(precision, linear), atol=1e-8)
+        assert system.penalty(mode, log_sigma) == pytest.approx(0.5 * mode @ prior @ mode, rel=1e-8)
+        assert np.allclose(system.layout.offset(mode)[1, 2], mode[0] + mode[system.layout.slices()["phi"]][1] + mode[system.layout.slices()["theta"]][1]
+            + mode[system.layout.slices()["nu"]][2] + mode[system.layout.slices()["xi"]][2] + mode[system.layout.slices()["psi"]][place[1] * 4 + 2])
+        shifts.append(system.log_marginal(log_sigma) - value)
+    assert np.allclose(shifts, shifts[0], atol=1e-7)
+
+
+def test_block_draws_have_the_dense_covariance():
+    system, log_sigma = random_system(np.random.default_rng(5), [0, 0, 1], 2, 1), np.log([0.5, 0.4, 0.7, 0.3, 0.6])
+    precision, linear, _, _ = dense_system(system, log_sigma)
+    covariance = np.linalg.inv(precision)
+    draws = system.draw(log_sigma, np.random.default_rng(1), 40000)
+    scale = np.sqrt(np.diag(covariance))
+    assert np.max(np.abs(draws.mean(axis=0) - covariance @ linear) / scale) < 0.03
+    assert np.max(np.abs(np.cov(draws.T) - covariance) / np.outer(scale, scale)) < 0.03
+    again = system.draw(log_sigma, np.random.default_rng(1), 40000)
+    assert np.array_equal(draws, again)
+
+
+def test_design_follows_a_skew_marginal():
+    """A split normal target is found again, and the weights are then even."""
+    center, up, down = np.array([0.2, -1.0]), np.array([0.5, 0.2]), np.array([0.9, 0.4])
+    target = lambda v: -0.5 * float(np.sum(((v - center) / np.where(v > center, up, down)) ** 2))
+    design = B.Design.around(target, center, h=1e-3)
+    points = [design.point(np.random.default_rng([3, k])) for k in range(4000)]
+    log_weights = np.array([target(p) - q for p, q in points])
+    assert np.std(log_weights) < 1e-6
+    values = np.array([p for p, _ in points])
+    assert np.mean(values[:, 0] > 0.2) == pytest.approx(0.5 / 1.4, abs=0.03)
+    # weights repair a wrong design
+    wide = B.Design(center, np.eye(2), np.array([1.0, 1.0]), np.array([1.0, 1.0]))
+    points = [wide.point(np.random.default_rng([4, k])) for k in range(20000)]
+    w = np.exp([target(p) - q for p, q in points])
+    mean = np.average([p for p, _ in points], axis=0, weights=w)
+    assert np.allclose(mean, center + np.sqrt(2 / np.pi) * (up - down), atol=0.03)
+
+
+def test_draws_are_shared_out_by_weight():
+    counts = B.shares(np.log([0.1, 0.2, 0.7, 1e-9]), 1000, 0.5)
+    assert list(counts) == [100, 200, 700, 0]
+    assert B.shares(np.array([5.0]), 7, 0.99).sum() == 7
+
+
+def test_standard_deviation_at_its_bound_is_an_error(spark, simulation, monkeypatch):
+    _, patterns, regions, edges, *_ = simulation
+    monkeypatch.setattr(H, "LOG_SIGMA", (-1.0, 3.0))
+    with pytest.raises(ValueError, match="xi.* at the bound"):
+        H.fit_hierarchical(patterns, regions, edges, 2, 10)
+
+
+def test_scoring_forms_agree(spark):
+    """Relational and streamed scoring, three responses, weights of one, few and many groups."""
+    rng = np.random.default_rng(2)
+    regions = local_table(spark, [(1, 1), (2, 1), (3, 2)], "adm2_index int, adm1_index int")
+    params = [("b0", None, None), ("betas", 1, None), ("betas", 2, None)]
+    params += [(p, k, None) for p, n in (("phi", 3), ("theta", 3), ("nu", 4), ("xi", 4)) for k in range(1, n + 1)]
+    params += [("psi", t, p) for t in range(1, 5) for p in (1, 2)]
+    draws = local_table(spark, [(d, *p, float(rng.normal(0, 0.5))) for d in range(1, 8) for p in params], "draw int, param string, i int, j int, value double")
+    rows = [(int(rng.choice([1, 1, 1, 2])), int(rng.integers(1, 5)), k, float(rng.integers(0, 4)), float(rng.integers(0, 2)), float(rng.normal())) for k in range(300)]
+    table = spark.createDataFrame(rows, "adm2_index int, month_idx int, unit_key int, w double, x1 double, x2 double")
+    show = lambda df: {tuple(r[k] for k in Pr.RESULT_KEYS): [r[c] for c in df.columns if c.startswith("prev")] for r in df.collect()}
+    for response in Pr.RESPONSES:
+        for both in ((Pr.mr_estimate, Pr.mr_estimate_blocks), (Pr.mrp_estimate, Pr.mrp_estimate_blocks)):
+            frame = table.drop("month_idx") if both[0] is Pr.mrp_estimate else table
+            plain, streamed = (show(f(frame, draws, 2, regions, response, "w")) for f in both)
+            assert plain.keys() == streamed.keys() and len(plain) > 20
+            assert all(np.allclose(plain[k], streamed[k], atol=1e-12, equal_nan=True) for k in plain if plain[k][0] is not None)
+    with pytest.raises(Exception, match="not a whole number"):
+        Pr.mr_estimate_blocks(table.withColumn("w", F.lit(1.5)), draws, 2, regions, "binomial", "w").collect()
+
+
+def test_random_intercept_scores_notice_a_wrong_coefficient(spark, simulation):
+    import dataclasses
+
+    data, *_ = simulation
+    named = data.select(F.concat(F.lit("a"), F.lpad(F.col("adm2_index").cast("string"), 2, "0")).alias("area"), "x1", "x2", "y")
+    fit = H.fit_random_intercept(named, ["x1", "x2"], "y", "area")
+    scores = lambda f: {r.term: r.score for r in H.random_intercept_scores(f, named, ["x1", "x2"], "y", "area").collect()}
+    at_fit = scores(fit)
+    assert set(at_fit) == {"intercept", "x1", "x2", "log_sigma"}
+    assert max(abs(at_fit[t]) for t in ("intercept", "x1", "x2")) < 40000 * 1e-6 and abs(at_fit["log_sigma"]) < 12 * 5e-5
+    for k, term in enumerate(("intercept", "x1", "x2")):
+        moved = dataclasses.replace(fit, coefficients=fit.coefficients + 0.01 * np.eye(3)[k])
+        assert abs(scores(moved)[term]) > 40000 * 1e-4
+    assert abs(scores(dataclasses.replace(fit, sigma=fit.sigma * 1.05))["log_sigma"]) > 12 * 1e-2
+
+
+@pytest.mark.parametrize("solver", ["newton", "gradients"])
+def test_raking_at_many_levels(spark, solver):
+    """5,000 districts: the driver holds vectors over levels, margins are met to the tolerance."""
+    districts, answers = 5000, 4
+    frame = spark.range(districts * answers * 2).select(
+        F.format_string("d%05d", F.col("id") % districts).alias("d"),
+        (F.floor(F.col("id") / districts) % answers).cast("string").alias("a"),
+        F.floor(F.col("id") / (districts * answers)).cast("string").alias("s"),
+        (1 + F.col("id") * 7919 % 13).cast("double").alias("pop_weight"),
+    )
+    margin = lambda v, f: Rk.Margin((v,), frame.select(v).distinct().withColumn("freq", f))
+    wanted = [
+        margin("d", 1.0 + F.crc32("d") % 7),
+        margin("a", 1.0 + F.col("a").cast("double")),
+        margin("s", F.when(F.col("s") == "0", 0.3).otherwise(0.7)),
+    ]
+    done = Rk.rake(frame, wanted, solver=solver)
+    check = Rk.raking_check(done.weighted, wanted)
+    assert done.converged and check.agg(F.max(F.abs("diff"))).first()[0] < 1e-9 and check.count() == districts + answers + 2
+    assert done.weighted.agg(F.avg("pop_weight")).first()[0] == pytest.approx(1.0)

@@ -84,6 +84,24 @@ def test_chain_files(spark, tmp_path):
     assert Dr.chain_summary(Dr.named_parameters(draws, ("b0",), [])).count() == 2
 
 
+def test_chains_in_one_reading(spark, tmp_path):
+    """Chains by file name, iterations by line, whatever the tasks read; unequal chains are an error."""
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for chain in (1, 2, 3):
+        lines = "\n".join(f"{-k},0.5,{chain * 1000 + k},2,3,4,5" for k in range(200))
+        (tmp_path / f"chain-{chain}.csv").write_text("# settings\n" + ",".join(HEADER) + "\n" + lines + "\n# elapsed\n")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        draws = Sd.read_chains(spark, str(tmp_path), HEADER, warmup=50, keep=("b0",))
+        rows = draws.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {(r.chain, r.iteration, r.draw): r.value for r in rows} == {(c, k, (c - 1) * 150 + k): c * 1000 + 49 + k for c in (1, 2, 3) for k in range(1, 151)}
+    (tmp_path / "chain-3.csv").write_text(",".join(HEADER) + "\n" + "\n".join("1,1,1,1,1,1,1" for _ in range(60)) + "\n")
+    with pytest.raises(Exception, match="different length"):
+        Sd.read_chains(spark, str(tmp_path), HEADER, warmup=50).collect()
+
+
 def test_row_numbers_follow_the_file(spark, tmp_path):
     path = tmp_path / "n.csv"
     path.write_text("v\n" + "\n".join(str(k) for k in range(20000)) + "\n")
