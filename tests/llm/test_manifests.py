@@ -174,7 +174,7 @@ def test_manifest_of_several_rounds(spark):
     names = {r.tree: r.source for r in manifest.trees.collect()}
     logs = {}
     for r in manifest.log().collect():
-        assert levels[names[r.tree]][r.level][r.index] == r.digest
+        assert levels[names[r.tree]][r.level][r["index"]] == r.digest
         logs.setdefault(names[r.tree], []).append(r.position)
     assert all(sorted(logs[g]) == list(range(sum(map(len, levels[g])))) for g in levels)
 
