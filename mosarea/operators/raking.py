@@ -216,6 +216,8 @@ def _newton(tab: _CrossTab, tolerance: float, max_steps: int = 50):
     gap = target - achieved
     for step in range(1, max_steps + 1):
         if np.max(np.abs(gap), initial=0.0) < tolerance * tab.total:
+            # the slope is at hand: one more step squares what error is left
+            lam = lam + np.linalg.lstsq(slope, gap, rcond=1e-12)[0]
             factors = tab.start()
             for k, part in zip(others, np.split(np.exp(lam), cuts[:-1])):
                 factors[k] = part

@@ -74,15 +74,15 @@ CHAINS, WARMUP = 4, 3
 CHAIN_COLUMNS = ["lp__", "b0", "betas.1", "betas.2", "psi.1.1", "psi.2.1"]
 CHAIN_VALUES = {"lp__": "-s_suppkey", "b0": "s_acctbal", "betas.1": "s_nationkey", "betas.2": "s_suppkey * 0.5", "psi.1.1": "s_acctbal - s_nationkey", "psi.2.1": "s_suppkey + 0.25"}
 CHAIN_CELLS_SQL = " UNION ALL ".join(
-    f"SELECT chain, at, '{n.split('.')[0]}' AS param, {', '.join([*n.split('.')[1:], 'NULL', 'NULL'][:2])}, CAST({v} AS DOUBLE) AS value FROM lines" for n, v in CHAIN_VALUES.items() if n != "lp__"
+    f"SELECT chain, pos, '{n.split('.')[0]}' AS param, {', '.join([*n.split('.')[1:], 'NULL', 'NULL'][:2])}, CAST({v} AS DOUBLE) AS value FROM lines" for n, v in CHAIN_VALUES.items() if n != "lp__"
 )
 
 
 @query(
     "s8_posterior_draws",
-    f"""WITH lines AS (SELECT *, CAST(s_suppkey % {CHAINS} + 1 AS INT) AS chain, row_number() OVER (PARTITION BY s_suppkey % {CHAINS} ORDER BY s_suppkey) - {WARMUP} AS at FROM supplier),
-    lengths AS (SELECT max(at) AS n FROM lines)
-    SELECT chain, CAST(at AS INT) AS iteration, CAST((chain - 1) * n + at AS INT) AS draw, param, i, j, value FROM ({CHAIN_CELLS_SQL}) AS c(chain, at, param, i, j, value), lengths WHERE at > 0""",
+    f"""WITH lines AS (SELECT *, CAST(s_suppkey % {CHAINS} + 1 AS INT) AS chain, row_number() OVER (PARTITION BY s_suppkey % {CHAINS} ORDER BY s_suppkey) - {WARMUP} AS pos FROM supplier),
+    lengths AS (SELECT max(pos) AS n FROM lines)
+    SELECT chain, CAST(pos AS INT) AS iteration, CAST((chain - 1) * n + pos AS INT) AS draw, param, i, j, value FROM ({CHAIN_CELLS_SQL}) AS c(chain, pos, param, i, j, value), lengths WHERE pos > 0""",
 )
 def s8(spark, sf):
     """One CSV file per chain, one line per iteration, read in file order without the warm-up."""
