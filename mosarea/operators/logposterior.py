@@ -21,7 +21,7 @@ from mosarea.functions.expressions import (
     normal_log_density,
     pc_precision_log_density,
 )
-from mosarea.operators.predict import DistrictDraws, RowBlock, effect_table, linear_predictor, meet_draws, probabilities, score_rows
+from mosarea.operators.predict import DistrictDraws, RowBlock, linear_predictor, meet_draws, packed_draws, probabilities, score_rows
 from mosarea.session import cut_lineage
 
 # Prior scales.
@@ -51,7 +51,7 @@ def log_likelihood_blocks(
     patterns gives one partial sum per draw.
     """
     rows = cut_lineage(score_rows(patterns, n_covariates, F.col("y"), F.col("n"), "month_idx"))
-    masses = meet_draws(rows, draws, effect_table(draws, regions, interaction), n_covariates, MassSums, "draw int, mass double")
+    masses = meet_draws(rows, packed_draws(draws, n_covariates, regions, interaction), n_covariates, MassSums, "draw int, mass double")
     return masses.groupBy("draw").agg(F.sum("mass").alias("log_lik"))
 
 
@@ -120,7 +120,7 @@ def log_posterior_gradient(
     """
     rows = cut_lineage(score_rows(patterns, n_covariates, F.col("y"), F.col("n"), "month_idx"))
     schema = "adm2_index int, month_idx int, covariate int, draw int, residual double"
-    sums = meet_draws(rows, draws, effect_table(draws, regions, interaction), n_covariates, ResidualSums, schema)
+    sums = meet_draws(rows, packed_draws(draws, n_covariates, regions, interaction), n_covariates, ResidualSums, schema)
     cells = sums.where("covariate is null").groupBy("draw", "adm2_index", "month_idx").agg(F.sum("residual").alias("v"))
     places = regions.select("adm2_index", F.col(interaction).alias("place")).distinct()
     none = F.lit(None).cast("int")

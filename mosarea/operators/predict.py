@@ -75,6 +75,33 @@ def effect_table(draws: DataFrame, regions: DataFrame, interaction: str = "adm1_
     )
 
 
+def packed_draws(
+    draws: DataFrame, n_covariates: int, regions: DataFrame, interaction: str = "adm1_index", months: DataFrame | None = None
+) -> DataFrame:
+    """``(adm2_index, draw, v, e, m)``: coefficients, and effects with their months, as arrays.
+
+    The same effects as :func:`effect_table`, one row per district and draw: month effects and interactions
+    are packed before they meet the districts.
+    """
+    if interaction not in INTERACTIONS:
+        raise ValueError(f"interaction must be one of {INTERACTIONS}")
+    timed = draws.where(F.col("param").isin("nu", "xi", "psi"))
+    if months is not None:
+        timed = timed.join(months.select(F.col("month_idx").alias("i")).distinct(), "i", "left_semi")
+    month = timed.where("param <> 'psi'").groupBy("draw", "i").agg(F.sum("value").alias("value"))
+    pack = lambda df, *keys: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("a"))
+    monthly = pack(month, "draw").select("draw", F.col("a.i").alias("m"), F.col("a.value").alias("month"))
+    psi = pack(timed.where("param = 'psi'"), "draw", "j").select("draw", F.col("j").alias("__place"), F.col("a.i").alias("pm"), F.col("a.value").alias("psi"))
+    area = draws.where(F.col("param").isin("phi", "theta")).groupBy("draw", F.col("i").alias("adm2_index")).agg(F.sum("value").alias("area"))
+    places = regions.select("adm2_index", F.col(interaction).alias("__place")).distinct()
+    beta = F.array(F.col("b0"), *[F.col(f"b{k}") for k in range(1, n_covariates + 1)])
+    shared = monthly.join(coefficient_table(draws, n_covariates), "draw").select("draw", "m", "month", beta.alias("v"))
+    met = area.join(places, "adm2_index").join(psi, ["draw", "__place"]).join(shared, "draw")
+    effect = F.transform(F.arrays_zip("month", "psi"), lambda x: F.col("area") + x["month"] + x["psi"])
+    known = F.when(F.col("m") == F.col("pm"), effect).otherwise(F.raise_error(F.lit("draws cover different months in nu, xi and psi")).cast("array<double>"))
+    return met.select("adm2_index", "draw", "v", known.alias("e"), F.col("m").cast("array<int>").alias("m"))
+
+
 def fixed_part(n_covariates: int) -> Column:
     eta = F.col("b0")
     for k in range(1, n_covariates + 1):
@@ -204,10 +231,8 @@ def mrp_estimate_blocks(
 
     With ``months`` (a table of ``month_idx``) only those are scored.
     """
-    effects = effect_table(draws, regions, interaction)
-    if months is not None:
-        effects = effects.join(months.select("month_idx").distinct(), "month_idx", "left_semi")
-    return _estimate(cells, draws, effects, n_covariates, response, F.col(weight), key, None, seed)
+    packed = packed_draws(draws, n_covariates, regions, interaction, months)
+    return _estimate(cells, packed, n_covariates, response, F.col(weight), key, None, seed)
 
 
 def mr_estimate_blocks(
@@ -223,8 +248,8 @@ def mr_estimate_blocks(
 ) -> DataFrame:
     """Same numbers as :func:`mr_estimate` for many interviews and draws."""
     w = F.lit(1.0) if weight is None else F.col(weight)
-    effects = effect_table(draws, regions, interaction)
-    return _estimate(interviews, draws, effects, n_covariates, response, w, key, "month_idx", seed)
+    packed = packed_draws(draws, n_covariates, regions, interaction)
+    return _estimate(interviews, packed, n_covariates, response, w, key, "month_idx", seed)
 
 
 #: kinds of rows: their probability counts, or an outcome drawn for each of them
@@ -234,8 +259,7 @@ SUMS = "adm2_index int, month_idx int, draw int, wp double, wy double, w double"
 
 def _estimate(
     rows: DataFrame,
-    draws: DataFrame,
-    effects: DataFrame,
+    packed: DataFrame,
     n_covariates: int,
     response: str,
     weight: Column,
@@ -257,7 +281,7 @@ def _estimate(
     cube = pattern_cube(unit)
     met = {"pr": cube, "binary": cube.unionByName(unit.withColumn("kind", F.lit(DRAWN))), "binomial": unit.where("w > 0").withColumn("kind", F.lit(DRAWN))}
     make = lambda pair: PrevalenceSums(pair, response, month is not None, seed)
-    sums = meet_draws(met[response], draws, effects, n_covariates, make, SUMS)
+    sums = meet_draws(met[response], packed, n_covariates, make, SUMS)
     total = sums.groupBy(*RESULT_KEYS).agg(*[F.sum(c).alias(c) for c in ("wp", "wy", "w")])
     ratio = lambda c, name: (F.col(c) / F.col("w")).alias(name)
     columns = {"pr": [ratio("wp", "prev")], "binary": [ratio("wp", "prev"), ratio("wy", "prev2")], "binomial": [ratio("wy", "prev")]}
@@ -289,8 +313,8 @@ GROUP_ROWS = 200_000
 CELLS = 1 << 16
 
 
-def meet_draws(rows: DataFrame, draws: DataFrame, effects: DataFrame, n_covariates: int, make, schema: str) -> DataFrame:
-    """What ``make(district's draws)`` gathers from the rows of its district.
+def meet_draws(rows: DataFrame, packed: DataFrame, n_covariates: int, make, schema: str) -> DataFrame:
+    """What ``make(district's draws)`` gathers from the rows of its district; ``packed`` is from :func:`packed_draws`.
 
     Draws go to rows: a district's draws, whose size is set by calendar and number of draws, are sent to
     each group of its rows, come first there and stay in memory; the rows stream past them, sorted by month,
@@ -305,32 +329,26 @@ def meet_draws(rows: DataFrame, draws: DataFrame, effects: DataFrame, n_covariat
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = rows.groupBy("adm2_index").agg(F.count(F.lit(1)).alias("n"))
     even = F.lit(4.0 * partitions) / counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1))).scalar()
-    groups = settle_dimension(counts.select("adm2_index", F.ceil(F.greatest(F.col("n") / GROUP_ROWS, F.least(even, F.col("n")))).cast("int").alias("groups")))
+    # one row per district, so that the rows are not shuffled to meet it
+    groups = F.broadcast(counts.select("adm2_index", F.ceil(F.greatest(F.col("n") / GROUP_ROWS, F.least(even, F.col("n")))).cast("int").alias("groups")))
     # the hash of the row itself: a repeated task deals the rows out alike
     part = F.pmod(F.xxhash64("kind", "t", "k", "w", "x"), F.col("groups")).cast("int")
     no_numbers, no_months = F.array().cast("array<double>"), F.array().cast("array<int>")
     own_rows = rows.join(groups, "adm2_index").select(
         "adm2_index", part.alias("part"), "kind", "t", "k", "w", F.col("x").alias("v"), no_numbers.alias("e"), no_months.alias("m")
     )
-    beta = F.array(F.col("b0"), *[F.col(f"b{k}") for k in range(1, n_covariates + 1)])
-    packed = (
-        effects.groupBy("adm2_index", "draw")
-        .agg(F.array_sort(F.collect_list(F.struct("month_idx", "effect"))).alias("e"))
-        .join(coefficient_dimension(draws, n_covariates), "draw")
-        .join(groups, "adm2_index")
-        .select(
-            "adm2_index",
-            F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"),
-            F.lit(0).alias("kind"),
-            F.col("draw").cast("int").alias("t"),
-            F.lit(0).cast("bigint").alias("k"),
-            F.lit(0.0).alias("w"),
-            beta.alias("v"),
-            F.col("e.effect").alias("e"),
-            F.col("e.month_idx").cast("array<int>").alias("m"),
-        )
+    own_draws = packed.join(groups, "adm2_index").select(
+        "adm2_index",
+        F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"),
+        F.lit(0).alias("kind"),
+        F.col("draw").cast("int").alias("t"),
+        F.lit(0).cast("bigint").alias("k"),
+        F.lit(0.0).alias("w"),
+        "v",
+        "e",
+        "m",
     )
-    both = packed.unionByName(own_rows).repartition(partitions, "adm2_index", "part")
+    both = own_draws.unionByName(own_rows).repartition(partitions, "adm2_index", "part")
     return both.sortWithinPartitions("adm2_index", "part", "kind", "t").mapInArrow(_stream(n_covariates, make), schema)
 
 
