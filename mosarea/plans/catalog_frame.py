@@ -100,7 +100,7 @@ SELECT adm1_name, adm2_name, obs_month, f2f_est, n, sqrt(f2f_est * (1 - f2f_est)
 def face_direct(spark, sf):
     """Direct estimate of both face-to-face rounds, stacked."""
     h = V.households(spark, sf).withColumn("adm1_name", F.initcap("adm1_name"))
-    first, second = (h.where(F.col("survey_round") == k).select("adm1_name", "adm2_name", "obs_month", "fcs") for k in (1, 2))
+    first, second = (h.where(k).select("adm1_name", "adm2_name", "obs_month", "fcs") for k in (V.first_round(), V.second_round()))
     return Wt.direct_unweighted(J.union_by_name(first, second))
 
 
@@ -451,7 +451,7 @@ def f7(spark, sf):
 FACE_KEYS = ("adm1_name", "adm2_name", "hh_size_bucket", "h_water_source_2way", "h_toilet_type_2way", "hhh_sex", "hhh_edu", "h_cell")
 FACE_ROWS_SQL = f"""
 SELECT adm1_name, adm2_name, {SIZE_SQL.format('hh_size')} AS hh_size_bucket, CASE WHEN h_water_source IN ('protected', 'piped') THEN 'improved' ELSE 'other' END AS h_water_source_2way,
-  h_toilet_type_2way, hhh_sex, hhh_edu, h_cell FROM v_households WHERE survey_round = 1
+  h_toilet_type_2way, hhh_sex, hhh_edu, h_cell FROM v_households WHERE {V.FIRST_ROUND_SQL}
 """
 COUNT_FRAME_SQL = f"""
 SELECT {', '.join('c.' + k for k in FACE_KEYS)}, n, n_adm2, prop_adm2, n / n_adm2 * prop_adm2 * 1000 AS pop_weight FROM
@@ -461,7 +461,7 @@ SELECT {', '.join('c.' + k for k in FACE_KEYS)}, n, n_adm2, prop_adm2, n / n_adm
 
 
 def face_frame(spark, sf):
-    h = V.households(spark, sf).where(F.col("survey_round") == 1)
+    h = V.households(spark, sf).where(V.first_round())
     rows = Rc.recode(h, Rc.WATER_TWO_WAY).withColumn("hh_size_bucket", Rc.size_bucket(F.col("hh_size")))
     return Fr.count_frame(rows, Fr.district_margin(V.matched_names(spark, sf)), FACE_KEYS)
 

@@ -65,7 +65,7 @@ class Study:
         h = Rc.recode(h, Rc.WATER_TWO_WAY).withColumn("hh_size_bucket", Rc.size_bucket(F.col("hh_size")))
         self.phone = h.where(F.col("modality") == "rtm")
         # the second face-to-face round is held out: it only validates
-        self.face = h.where((F.col("modality") == "f2f") & (F.col("survey_round") == 1))
+        self.face = h.where(V.first_round())
 
     @cached_property
     def surveyed(self):
@@ -164,10 +164,10 @@ DESIGN_CTE = {
     "base": f"""SELECT h.*, CASE WHEN h.h_water_source IN ('protected', 'piped') THEN 1 ELSE 0 END AS wat, {SIZE_SQL.format('h.hh_size')} AS bucket,
       CASE WHEN modality = 'rtm' THEN s.p_cell ELSE CASE WHEN h_cell = 'yes' THEN CAST(1 AS DOUBLE) ELSE 0 END END AS p_cell
       FROM v_households h JOIN v_scores s ON s.respondent_id = h.respondent_id
-      WHERE fcs IS NOT NULL AND (modality = 'rtm' OR survey_round = 1) AND adm2_name IN (SELECT adm2_name FROM v_households WHERE survey_round = 1)""",
+      WHERE fcs IS NOT NULL AND (modality = 'rtm' OR {V.FIRST_ROUND_SQL}) AND adm2_name IN (SELECT adm2_name FROM v_households WHERE {V.FIRST_ROUND_SQL})""",
     "months": "SELECT obs_month, CAST(row_number() OVER (ORDER BY obs_month) AS INT) AS month_idx FROM (SELECT DISTINCT obs_month FROM base)",
-    "places": """SELECT adm1_name, adm2_name, CAST(dense_rank() OVER (ORDER BY adm2_name) AS INT) AS adm2_index, CAST(dense_rank() OVER (ORDER BY adm1_name) AS INT) AS adm1_index
-      FROM (SELECT DISTINCT adm1_name, adm2_name FROM v_households WHERE survey_round = 1)""",
+    "places": f"""SELECT adm1_name, adm2_name, CAST(dense_rank() OVER (ORDER BY adm2_name) AS INT) AS adm2_index, CAST(dense_rank() OVER (ORDER BY adm1_name) AS INT) AS adm1_index
+      FROM (SELECT DISTINCT adm1_name, adm2_name FROM v_households WHERE {V.FIRST_ROUND_SQL})""",
     "d0": """SELECT household_id, base.adm1_name, base.adm2_name, base.obs_month, base.hhh_edu, adm2_index, adm1_index, month_idx, modality, sample_source, CASE WHEN fcs < 28 THEN 1 ELSE 0 END AS poor, CAST(fcs AS DOUBLE) / 112 AS fcs_scaled, p_cell AS x1,
       CAST(modality = 'f2f' AS INT) AS f, CAST(hhh_sex = 'F' AS INT) AS c1, CAST(bucket = '3-4' AS INT) AS c2, CAST(bucket = '5-6' AS INT) AS c3, CAST(bucket = '7+' AS INT) AS c4,
       CAST(hhh_edu = 'primary' AS INT) AS c5, CAST(hhh_edu = 'secondary' AS INT) AS c6, CAST(hhh_edu = 'higher' AS INT) AS c7, wat AS c8, CAST(h_toilet_type_2way = 'improved' AS INT) AS c9

@@ -70,7 +70,7 @@ def s5(spark, sf):
     return typed.join(lines, same, "left_semi").select("var", "level", "freq")
 
 
-CHAINS, WARMUP = 4, 3
+CHAINS, WARMUP = 2, 3
 CHAIN_COLUMNS = ["lp__", "b0", "betas.1", "betas.2", "psi.1.1", "psi.2.1"]
 CHAIN_VALUES = {"lp__": "-s_suppkey", "b0": "s_acctbal", "betas.1": "s_nationkey", "betas.2": "s_suppkey * 0.5", "psi.1.1": "s_acctbal - s_nationkey", "psi.2.1": "s_suppkey + 0.25"}
 CHAIN_CELLS_SQL = " UNION ALL ".join(

@@ -437,7 +437,7 @@ def m3(spark, sf):
 
 def random_intercept_model(h):
     """Face-to-face interviews with education, and the model of phone ownership fitted on them."""
-    face = h.where((F.col("survey_round") == 1) & F.col("hhh_edu").isNotNull())
+    face = h.where(V.first_round() & F.col("hhh_edu").isNotNull())
     face = ownership_design(face).withColumn("cell", Rc.yes_flag(F.col("h_cell")))
     fit = H.fit_random_intercept(face, RI_NAMES, "cell", "adm2_name")
     if not fit.converged:
@@ -448,7 +448,7 @@ def random_intercept_model(h):
 @query(
     "m3_area_score_equations",
     with_views(
-        "SELECT DISTINCT adm2_name, CAST(0 AS DOUBLE) AS score FROM v_households WHERE survey_round = 1 AND hhh_edu IS NOT NULL AND h_cell IS NOT NULL",
+        f"SELECT DISTINCT adm2_name, CAST(0 AS DOUBLE) AS score FROM v_households WHERE {V.FIRST_ROUND_SQL} AND hhh_edu IS NOT NULL AND h_cell IS NOT NULL",
         "v_households",
     ),
 )

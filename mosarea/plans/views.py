@@ -36,10 +36,19 @@ def _choose(column: Column, pairs: dict, other=None) -> Column:
 
 # Face-to-face interviews from this day on are the second round; models are fitted on the first.
 SECOND_ROUND = "1998-01-01"
+FIRST_ROUND_SQL = f"(modality = 'f2f' AND obs_date < DATE '{SECOND_ROUND}')"
+
+
+def first_round() -> Column:
+    return (F.col("modality") == "f2f") & (F.col("obs_date") < F.lit(SECOND_ROUND).cast("date"))
+
+
+def second_round() -> Column:
+    return (F.col("modality") == "f2f") & (F.col("obs_date") >= F.lit(SECOND_ROUND).cast("date"))
 
 
 def households(spark: SparkSession, sf: str) -> DataFrame:
-    """One interview per order; face-to-face interviews are of the first or the second round."""
+    """One interview per order."""
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer")
     joined = o.join(c, o.o_custkey == c.c_custkey).join(_places(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -76,11 +85,10 @@ def households(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_acctbal") > 1000, "yes").otherwise("no").alias("h_cell"),
         F.when(F.col("o_orderstatus") == "P", "f2f").otherwise("rtm").alias("modality"),
         _choose(F.col("o_orderstatus"), {"F": "RDD", "O": "GeoPoll"}).alias("sample_source"),
-        F.when(F.col("o_orderstatus") == "P", F.when(F.col("o_orderdate") < F.lit(SECOND_ROUND).cast("date"), 1).otherwise(2)).alias("survey_round"),
     )
 
 
-HOUSEHOLDS_SQL = f"""
+HOUSEHOLDS_SQL = """
 SELECT o.o_orderkey AS household_id, o.o_custkey AS respondent_id, r.r_name AS adm1_name, n.n_name AS adm2_name,
   CAST(date_trunc('month', o.o_orderdate) AS DATE) AS obs_month, CAST(date_trunc('week', o.o_orderdate) AS DATE) AS obs_week,
   CAST(o.o_orderdate AS DATE) AS obs_date,
@@ -94,8 +102,7 @@ SELECT o.o_orderkey AS household_id, o.o_custkey AS respondent_id, r.r_name AS a
   CASE WHEN o.o_orderkey % 7 < 4 THEN 'improved' ELSE 'unimproved' END AS h_toilet_type_2way,
   CASE WHEN c.c_acctbal > 1000 THEN 'yes' ELSE 'no' END AS h_cell,
   CASE WHEN o.o_orderstatus = 'P' THEN 'f2f' ELSE 'rtm' END AS modality,
-  CASE o.o_orderstatus WHEN 'F' THEN 'RDD' WHEN 'O' THEN 'GeoPoll' END AS sample_source,
-  CASE WHEN o.o_orderstatus = 'P' THEN CASE WHEN o.o_orderdate < DATE '{SECOND_ROUND}' THEN 1 ELSE 2 END END AS survey_round
+  CASE o.o_orderstatus WHEN 'F' THEN 'RDD' WHEN 'O' THEN 'GeoPoll' END AS sample_source
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 """

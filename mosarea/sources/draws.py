@@ -30,7 +30,7 @@ def read_chains(spark: SparkSession, path: str, columns: list[str], warmup: int,
     described = local_table(spark, [(s, *parse_draw_column(n)) for n, s in safe.items()], "column string, param string, i int, j int")
     kept = long.join(described, "column").withColumn("iteration", (F.col("iteration") - warmup).cast("int"))
     lengths = kept.groupBy("chain").agg(F.max("iteration").alias("n"))
-    length = lengths.agg(F.when(F.min("n") == F.max("n"), F.max("n")).otherwise(F.raise_error(F.lit("chains of different length")).cast("int"))).scalar()
+    length = lengths.agg(F.when(F.min("n").eqNullSafe(F.max("n")), F.max("n")).otherwise(F.raise_error(F.lit("chains of different length")).cast("int"))).scalar()
     draw = ((F.col("chain") - 1) * length + F.col("iteration")).cast("int")
     return kept.select("chain", "iteration", draw.alias("draw"), "param", "i", "j", "value")
 
