@@ -100,7 +100,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = tokencount.count_tokens(
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"]
     )
-    return counted.select("doc_id", f"{RESULT}.n_bytes", f"{RESULT}.n_tokens", (F.col(f"{RESULT}.n_tokens") > 512).alias("over_limit"))
+    over = F.col(f"{RESULT}.n_tokens") > 512
+    return counted.select("doc_id", f"{RESULT}.n_bytes", f"{RESULT}.n_tokens", over.alias("over_limit"), f"{RESULT}.n_chunks", f"{RESULT}.n_widened")
 
 
 @_query("op6_personal_data")

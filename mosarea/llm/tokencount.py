@@ -1,16 +1,13 @@
-"""Exact token counts of whole texts, huge ones by overlapping chunks.
-
-Texts of up to ``huge`` bytes are cut at places where the tokenizer's own splitting
-always cuts: before a single space that follows a character which is surely not
-white space. What lies between (one word with its space, mostly) is encoded once
-per worker and then looked up.
-
-A huge text is encoded by the library in overlapping chunks with offsets. Two
-neighbours are spliced at a place that both split at: from such a place on, the
-splitting reads the same characters in both, so all tokens after it agree. The
-last split of the left chunk is not trusted, since its text is cut off, and a chunk
-never ends inside what may become a special string. If no common
-place is found, the overlap is doubled, up to the whole rest of the text.
+"""Exact token counts of whole texts by overlapping chunks.
+
+A text of up to ``chunk`` characters is encoded by the library at once. A longer one is
+encoded in overlapping chunks with offsets. Two neighbours are spliced at a place that
+both split at: from such a place on, the splitting reads the same characters in both, so
+all tokens after it agree. The last split of the left chunk is not trusted, since its text
+is cut off, and a chunk never ends inside what may become a special string. If no common
+place is found, the overlap is doubled; if the whole left chunk has none, the chunk is.
+What the right chunk has after the common place is the next left chunk, so that only
+overlaps are encoded twice.
 """
 
 from __future__ import annotations
@@ -23,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from mosarea.llm.maps import map_texts
-from mosarea.llm.memo import PieceMemo
-from mosarea.llm.words import NOT_BLANK, span_hashes
+from mosarea.llm.spans import row_texts
 
-HUGE_BYTES = 1 << 16
-CHUNK_CHARS = 1 << 14
-OVERLAP_CHARS = 256
+CHUNK_CHARS = 1024
+OVERLAP_CHARS = 64
 
-COUNTS = T.StructType([T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
+COUNTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_tokens", "n_chunks", "n_widened")])
 
 
 @lru_cache(maxsize=4)
@@ -61,94 +56,74 @@ def _begun(tail: str, special: list[str]) -> int:
     return max((n for s in special for n in range(1, min(len(s), len(tail) + 1)) if tail.endswith(s[:n])), default=0)
 
 
-def count_spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
-    """Tokens of ``text``, encoding at most ``chunk`` characters at once where alignment allows."""
+def count_spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[int, int, int]:
+    """Tokens of ``text``, chunks spliced and overlaps widened; encodes about ``chunk`` characters at once where alignment allows."""
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    chunk = max(chunk, 4 * max(map(len, special), default=1))
-    total, low = 0, 0  # tokens and characters settled so far; `low` is a common place
-    while True:
-        high = low + chunk
-        if high >= len(text):
-            return total + int(chunk_splits(tokenizer, text[low:])[1][-1])
-        high -= _begun(text[max(low, high - max(map(len, special), default=0)) : high], special)
-        left, before = chunk_splits(tokenizer, text[low:high])
+    longest = max(map(len, special), default=1)
+    chunk = max(chunk, 4 * longest)
+
+    def end(low: int, high: int) -> int:
+        return len(text) if high >= len(text) else high - _begun(text[max(low, high - longest) : high], special)
+
+    total, low, chunks, widened = 0, 0, 1, 0  # tokens and characters settled so far; `low` is a common place
+    high = end(0, chunk)
+    left, before = chunk_splits(tokenizer, text[:high])
+    while high < len(text):
+        # the last split is cut off; the last place is the end
+        trusted = left[:-2]
+        trusted = trusted[trusted > low]
         width = overlap
         while True:
             back = max(high - width, low + 1)
-            right, _ = chunk_splits(tokenizer, text[back : min(high + chunk, len(text))])
-            # the first place of the right chunk is where it was cut; the last of the left one is its end
-            trusted = left[:-2] if len(left) > 2 else left[:0]
-            common = np.intersect1d(trusted + low, right[1:-1] + back, assume_unique=False)
-            common = common[common > low]
-            if len(common):
-                place = int(common[-1])
-                total += int(before[np.searchsorted(left, place - low)])
-                low = place
-                break
-            if back == low + 1:  # nothing to align in this chunk: read further
-                chunk *= 2
+            reach = end(back, high + chunk)
+            right, after = chunk_splits(tokenizer, text[back:reach])
+            right += back
+            common = np.intersect1d(trusted, right[1:-1])  # the first place of the right chunk is where it was cut
+            if len(common) or back == low + 1:
                 break
             width *= 2
-
-
-def safe_cuts(data: np.ndarray) -> np.ndarray:
-    """Whether a piece may begin at each byte: a single space after an ASCII
-    non-blank, or after a two-byte letter from U+00C0 on, none of which is white space."""
-    cut = np.zeros(len(data), bool)
-    if len(data) < 2:
-        return cut
-    before = data[:-1]
-    solid = (before < 0x80) & (before > 0x20) & (before != 0x7F)
-    if len(data) > 2:
-        lead = np.concatenate((np.zeros(1, np.uint8), data[:-2]))
-        solid |= (before >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)
-    cut[1:] = (data[1:] == 0x20) & solid
-    after = np.concatenate((NOT_BLANK[data[1:]], [False]))
-    return cut & after
-
-
-def counter(path: str, huge: int = HUGE_BYTES, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
-    """Function from a slice of texts to its byte and token counts."""
+            widened += 1
+        if len(common):
+            place = int(common[-1])
+            total += int(before[np.searchsorted(left, place)] - before[np.searchsorted(left, low)])
+            low, high, left, before = place, reach, right, after
+            chunks += 1
+        else:  # nothing to align in this chunk: read further
+            chunk *= 2
+            widened += 1
+            high = end(low, low + chunk)
+            left, before = chunk_splits(tokenizer, text[low:high])
+            left += low
+    return total + int(before[-1] - before[np.searchsorted(left, low)]), chunks, widened
+
+
+def counter(path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
+    """Function from a slice of texts to its byte and token counts, chunks and widened overlaps."""
     tokenizer = load_tokenizer(path)
-    memo = _memo(path)
 
     def run(data: np.ndarray, offsets: np.ndarray, part: pa.RecordBatch) -> list[pa.Array]:
-        sizes = np.diff(offsets).astype(np.int64)
-        tokens = np.zeros(len(sizes), np.int64)
-        large = sizes > huge
-        for row in np.flatnonzero(large):
-            text = data[offsets[row] : offsets[row + 1]].tobytes().decode()
-            tokens[row] = count_spliced(tokenizer, text, chunk, overlap)
-        if not large.all():
-            begin = safe_cuts(data)
-            begin[offsets[:-1][sizes > 0]] = True
-            starts = np.flatnonzero(begin)
-            ends = np.append(starts[1:], len(data))
-            row = np.searchsorted(offsets, starts, "right") - 1
-            small = ~large[row]
-            starts, ends, row = starts[small], ends[small], row[small]
-            at = memo.find(data, starts, ends, span_hashes(data, starts, ends))
-            tokens += np.bincount(row, memo.lengths[at], len(sizes)).astype(np.int64)
-        return [pa.array(sizes), pa.array(tokens)]
+        texts = list(row_texts(data, offsets))
+        found = np.ones((3, len(texts)), np.int64)
+        found[2] = 0
+        long = np.array([len(t) > chunk for t in texts], bool)
+        short = np.flatnonzero(~long)
+        found[0, short] = [len(e) for e in tokenizer.encode_batch_fast([texts[r] for r in short], add_special_tokens=False)]
+        for row in np.flatnonzero(long):
+            found[:, row] = count_spliced(tokenizer, texts[row], chunk, overlap)
+        return [pa.array(c) for c in (np.diff(offsets).astype(np.int64), *found)]
 
     return run
 
 
-@lru_cache(maxsize=4)
-def _memo(path: str) -> PieceMemo:
-    tokenizer = load_tokenizer(path)
-    return PieceMemo(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], keep_ids=False)
-
-
 def count_tokens(
-    documents: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, huge: int = HUGE_BYTES,
-    chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS,
+    documents: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
 ) -> DataFrame:
-    """Columns ``keep`` and ``__result`` with ``n_bytes`` (UTF-8) and ``n_tokens``.
+    """Columns ``keep`` and ``__result`` with ``n_bytes`` (UTF-8), ``n_tokens``, ``n_chunks`` and ``n_widened``.
 
     ``path`` is a byte-level BPE tokenizer file, present on every executor. Counts are
     those of the library on the whole text, special strings inside texts taken as it
-    does by default. Null is the empty text, with no bytes and no tokens. Rows are
+    does by default; ``n_chunks`` is 1 where nothing was spliced, ``n_widened`` counts overlaps and
+    chunks that were doubled. Null is the empty text, with no bytes and no tokens. Rows are
     independent: repeated ids and ties play no part. No shuffle.
     """
-    return map_texts(documents, text, COUNTS, lambda: counter(path, huge, chunk, overlap), keep)
+    return map_texts(documents, text, COUNTS, lambda: counter(path, chunk, overlap), keep)
