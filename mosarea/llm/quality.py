@@ -4,7 +4,8 @@ A classifier reads each document alone and gives evidence, a log likelihood rati
 Sites speak as well: the good share of a host is shrunk towards the global share, and that
 of a path towards its host, each by a strength estimated from the spread between groups
 (method of moments). A sparse site stays at its prior, a rich one is itself. The posterior of
-a document is its evidence added to the prior of its path.
+a document is its evidence added to the prior of its path, from which its own share is left
+out: a document does not vouch for itself.
 
 Site shares are grouped sums over all documents. Only the classifier is fitted on a bounded
 sample of labelled rows.
@@ -12,6 +13,8 @@ sample of labelled rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from mosarea.llm.maps import RESULT, map_texts, ragged
 from mosarea.llm.words import NOT_BLANK, find_words
 from mosarea.session import cut_lineage
+from mosarea.sources.tables import settle_dimension
 
 #: most labelled rows that fit the classifier; 14 numbers each
 MOST_LABELLED = 50_000
@@ -156,25 +160,43 @@ def _strength(groups: DataFrame, prior: Column) -> float:
     return float(f"{min(max(strength, 1.0), STRONGEST):.9g}")
 
 
-def site_priors(scored: DataFrame) -> DataFrame:
-    """``host, path, prior`` from documents with ``host``, ``path`` and ``p`` (whole millionths).
+@dataclass
+class Sites:
+    """Sums of predicted shares by path and host, and what shrinks them."""
+
+    table: DataFrame  # host, path, n, s, host_n, host_s; sums in whole millionths
+    total: tuple[int, int]  # documents and sum
+    strengths: tuple[float, float]  # of the global share for a host, of a host for a path
+
+    def prior(self, n: Column, s: Column, host_n: Column, host_s: Column, own: Column | None = None) -> Column:
+        """Prior of a path; without the document whose share (millionths) is ``own``."""
+        one, share = (F.lit(0), F.lit(0)) if own is None else (F.lit(1), own)
+        unit = F.lit(float(UNIT))
+        others = F.lit(self.total[0]) - one
+        center = F.when(others > 0, (F.lit(self.total[1]) - share) / unit / others).otherwise(0.5)
+        k1, k2 = map(F.lit, self.strengths)
+        host_mean = ((host_s - share) / unit + k1 * center) / (host_n - one + k1)
+        prior = ((s - share) / unit + k2 * host_mean) / (n - one + k2)
+        return F.round(F.greatest(F.least(prior, F.lit(1 - 1e-6)), F.lit(1e-6)), 9)
+
+
+def count_sites(scored: DataFrame) -> Sites:
+    """From documents with ``host``, ``path`` and ``p`` (whole millionths).
 
-    Three numbers reach the driver: the global share and the two strengths.
+    Two sums and two strengths reach the driver.
     """
-    unit, square = F.lit(float(UNIT)), F.lit(float(UNIT) ** 2)
     paths = cut_lineage(
-        scored.groupBy("host", "path").agg(
-            F.count("*").alias("n"), (F.sum("p") / unit).alias("s"), (F.sum(F.col("p") * F.col("p")).cast("double") / square).alias("q")
-        )
+        scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
     )
     hosts = cut_lineage(paths.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]))
-    share = hosts.agg(F.round(F.sum("s") / F.sum("n"), 9)).first()[0] or 0.5
-    k1 = _strength(hosts, F.lit(share))
-    hosts = hosts.select("host", ((F.col("s") + k1 * share) / (F.col("n") + k1)).alias("host_mean"))
-    inside = cut_lineage(paths.join(hosts, "host"))
-    k2 = _strength(inside, F.col("host_mean"))
-    prior = (F.col("s") + k2 * F.col("host_mean")) / (F.col("n") + k2)
-    return inside.select("host", "path", F.round(F.greatest(F.least(prior, F.lit(1 - 1e-6)), F.lit(1e-6)), 9).alias("prior"))
+    n, s = hosts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("s"), F.lit(0))).first()
+    shares = [F.col("n"), (F.col("s") / float(UNIT)).alias("s"), (F.col("q") / float(UNIT) ** 2).alias("q")]
+    center = s / UNIT / n if n else 0.5
+    k1 = _strength(hosts.select(*shares), F.lit(center))
+    table = cut_lineage(paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s")), "host"))
+    host_mean = (F.col("host_s") / float(UNIT) + k1 * center) / (F.col("host_n") + k1)
+    k2 = _strength(table.select(*shares, host_mean.alias("host_mean")), F.col("host_mean"))
+    return Sites(table.drop("q"), (n, s), (k1, k2))
 
 
 def classify(
@@ -193,9 +215,12 @@ def classify(
     """Columns ``keep`` and ``__evidence``, ``__prior``, ``__posterior``, ``__good``.
 
     ``label`` is positive for good documents; rows with a null label or id are not used, repeated
-    ones count each. A null host or path is a site of its own. A text without words (null, empty or
+    ones count each. ``__prior`` leaves the document's own share out; one alone in its host
+    has the share of all others. A null host or path is a site of its own. A text without words (null, empty or
     blank) is never good. Without labels of both kinds there is no evidence and sites
     decide nothing. Ties at the threshold are good. Empty tables give an empty table.
+    The table of sites is measured as it is written: within the session's broadcast limit it is sent to
+    the documents, a larger one meets them by shuffle, where a hot site is split by the skew join.
     """
     keep = list(documents.columns if keep is None else keep)
     site = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in (host, path)]
@@ -208,29 +233,17 @@ def classify(
     evidence = F.when(F.col(RESULT)["n_words"] > 0, _evidence(weights)).otherwise(-30.0)
     shift = float(np.log(share / (1 - share)))
     p = F.round(F.lit(UNIT) / (1 + F.exp(-(evidence + shift)))).cast("long")
-    sites = cut_lineage(site_priors(measured.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p"))))
+    sites = count_sites(measured.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p")))
 
     # texts are measured again rather than written: reading is cheaper than shuffling them by id
     full = measured if light else map_texts(sited, text, FOUND, lambda: measure, carried)
-    judged = _with_prior(full, sites)
+    known = settle_dimension(sites.table.select(*[F.col(c).alias(f"__{c}") for c in sites.table.columns]))
+    judged = full.join(known, ["__host", "__path"])
+    prior = sites.prior(*[F.col(f"__{c}") for c in ("n", "s", "host_n", "host_s")], p)
     posterior = F.lit(1.0) / (1 + F.exp(-(F.col("__evidence") + _logit(F.col("__prior")))))
     return (
-        judged.withColumn("__evidence", evidence)
+        judged.withColumns({"__evidence": evidence, "__prior": prior})
         .withColumn("__posterior", posterior)
         .withColumn("__good", (F.col(RESULT)["n_words"] > 0) & (F.col("__posterior") >= threshold))
         .select(*[F.col(f"`{c}`") for c in keep], "__evidence", "__prior", "__posterior", "__good")
     )
-
-
-#: bytes of a row of the site table in a hash table, generously
-SITE_BYTES = 400
-
-
-def _with_prior(documents: DataFrame, sites: DataFrame) -> DataFrame:
-    """Adds ``__prior``. A site table within the session's broadcast limit is sent to the documents;
-    a larger one meets them by shuffle, where a hot site is split by the skew join."""
-    limit = documents.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    small = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("prior").alias("__prior"))
-    if sites.count() * SITE_BYTES <= limit:
-        small = F.broadcast(small)
-    return documents.join(small, ["__host", "__path"])

@@ -32,12 +32,68 @@ def test_quality_on_held_out_labels(spark):
 
 def test_sparse_sites_shrink_to_the_global_share(spark):
     rows = [("=a", "=a/1", 900_000)] * 400 + [("=b", "=b/1", 100_000)] * 400 + [("=a", "=a/2", 100_000), ("=c", "=c/1", 100_000)]
-    priors = {r.path: r.prior for r in quality.site_priors(spark.createDataFrame(rows, "host string, path string, p long")).collect()}
+    sites = quality.count_sites(spark.createDataFrame(rows, "host string, path string, p long"))
+    priors = {r.path: r.prior for r in sites.table.select("path", sites.prior(*map(F.col, ("n", "s", "host_n", "host_s"))).alias("prior")).collect()}
     assert abs(priors["=a/1"] - 0.9) < 0.02 and abs(priors["=b/1"] - 0.1) < 0.02
     assert 0.1 < priors["=c/1"] < 0.52
     assert priors["=a/2"] > priors["=c/1"]  # its host is good
 
 
+def left_out_priors(rows):
+    """Priors of (host, path, share) rows by the method of moments, each from all other rows."""
+
+    def strength(groups, center_of):
+        n = sum(len(v) for v in groups.values())
+        s = sum(map(sum, groups.values()))
+        inside = sum(sum((x - sum(v) / len(v)) ** 2 for x in v) for v in groups.values())
+        apart = sum(len(v) * (sum(v) / len(v) - center_of(g)) ** 2 for g, v in groups.items())
+        within = inside / max(n - len(groups), 1)
+        between = (apart - (len(groups) - 1) * within) / max(n - sum(len(v) ** 2 for v in groups.values()) / n, 1)
+        return min(max(s / n * (1 - s / n) / between - 1 if between > 1e-12 else 1e6, 1), 1e6)
+
+    paths, hosts = {}, {}
+    for host, path, p in rows:
+        paths.setdefault((host, path), []).append(p)
+        hosts.setdefault(host, []).append(p)
+    n, total = len(rows), sum(r[2] for r in rows)
+    k1 = strength(hosts, lambda h: total / n)
+    k2 = strength(paths, lambda g: (sum(hosts[g[0]]) + k1 * total / n) / (len(hosts[g[0]]) + k1))
+    out = []
+    for host, path, p in rows:
+        center = (total - p) / (n - 1) if n > 1 else 0.5
+        mean = (sum(hosts[host]) - p + k1 * center) / (len(hosts[host]) - 1 + k1)
+        out.append((sum(paths[host, path]) - p + k2 * mean) / (len(paths[host, path]) - 1 + k2))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 3, 400])
+def test_priors_leave_the_document_out(spark, n):
+    rnd = random.Random(n)
+    rows = []
+    for _ in range(n):
+        host = int(rnd.paretovariate(0.7)) % 40
+        rows.append((f"h{host}", f"p{rnd.randrange(3)}", rnd.randrange(1, 1_000_000) // (1 + host % 3)))
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, host string, path string, p long")
+    sites = quality.count_sites(table)
+    prior = sites.prior(*map(F.col, ("n", "s", "host_n", "host_s")), F.col("p"))
+    found = [r.prior for r in table.join(sites.table, ["host", "path"]).select("k", prior.alias("prior")).orderBy("k").collect()]
+    expected = left_out_priors([(h, q, p / 1_000_000) for h, q, p in rows])
+    assert len(found) == n and all(abs(x - min(max(y, 1e-6), 1 - 1e-6)) < 1e-7 for x, y in zip(found, expected))
+
+
+def test_a_document_alone_in_its_site_has_the_share_of_the_others(spark):
+    """Its prior does not move with its own evidence."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    rows = [(k, ("good words here, and more. " if k % 2 else "#x@ %% &&& ") * (3 + k), f"s{k}", "en") for k in range(20)]
+    priors = []
+    for last in ("good words here, and more. " * 9, "#x@ %% &&& " * 9):
+        table = spark.createDataFrame([*rows, (99, last, "alone", "en")], "doc_id long, text string, source string, lang string")
+        judged = {r.doc_id: r for r in quality.classify(table, labels, *sites(), keep=["doc_id"]).collect()}
+        priors.append(judged[99]["__prior"])
+        assert abs(judged[99]["__evidence"]) > 1
+    assert abs(priors[0] - priors[1]) < 1e-9
+
+
 def test_quality_edges(spark, edge_documents, clashing):
     labels = spark.createDataFrame([(0, 1), (3, 0), (20, None), (None, 1), (21, 1), (21, 1)], "doc_id long, quality int").withColumn("x", F.lit(1))
     for table in (edge_documents, clashing):
