@@ -7,8 +7,9 @@ jumps over a whole window. Where the shift is zero, the bucket of that suffix bl
 lists the patterns to try: first word hash, all word hashes, then the bytes.
 
 The search moves all cursors of a slice of texts at once. Patterns are sent to the
-tasks in blocks of at most ``block_windows``; documents pass one block after the
-other inside the same stage, so they are read once and never shuffled.
+executors' disks in blocks of at most ``block_windows``. Documents are read once, in one Arrow
+step, and never shuffled: a worker takes a stretch of texts, splits it into words once, and
+passes it through one block of patterns after the other, with one block in memory.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mosarea.llm.maps import RESULT, map_texts, ragged
-from mosarea.llm.words import ALPHANUMERIC, U64, Words, find_words
+from mosarea.llm.words import ALPHANUMERIC, SLICE_BYTES, U64, Words, find_words
 
 WINDOW = 13
 #: most windows in the tables sent to every task at once; about 60 MB
 BLOCK_WINDOWS = 200_000
+#: bytes of text that pass a block of patterns before it is read again, where there are several
+STRETCH_BYTES = 16 << 20
 CURSOR_SPAN = 256
 
 _A, _B = U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB)
@@ -161,23 +164,35 @@ def _pattern_blocks(benchmark: DataFrame, item: str, text: str, window: int, mos
     yield list(names), [make_table(n, w) for n, w in windows.items()]
 
 
-def scan(names: list[str], tables: list[Table], data: np.ndarray, offsets: np.ndarray) -> list:
-    """Per row: words, hit ranges and names of the items found."""
-    words = find_words(data, offsets, ALPHANUMERIC)
-    found = [(table, *occurrences(table, words)) for table in tables]
-    spans: dict[int, list] = {}
-    items: dict[int, set[int]] = {}
-    for table, begin, pattern in found:
-        rows = np.searchsorted(words.first, begin, "right") - 1
-        for row, b, p in zip(rows.tolist(), begin.tolist(), pattern.tolist()):
-            b -= int(words.first[row])
-            spans.setdefault(row, []).append((b, b + table.length))
-            items.setdefault(row, set()).update(table.items[table.item_limits[p] : table.item_limits[p + 1]].tolist())
-    return [
-        words.counts(),
-        [_merge(np.array(spans[r], np.int64)) if r in spans else np.empty((0, 2), np.int64) for r in range(words.rows)],
-        [sorted(names[i] for i in items[r]) if r in items else [] for r in range(words.rows)],
-    ]
+class Hits:
+    """Hit ranges and item names of a slice of texts, block of patterns by block."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.words = find_words(data, offsets, ALPHANUMERIC)
+        self.spans: dict[int, np.ndarray] = {}
+        self.items: dict[int, set[str]] = {}
+
+    def search(self, names: list[str], tables: list[Table]) -> None:
+        new: dict[int, list[tuple[int, int]]] = {}
+        for table in tables:
+            begin, pattern = occurrences(table, self.words)
+            rows = np.searchsorted(self.words.first, begin, "right") - 1
+            for row, b, p in zip(rows.tolist(), begin.tolist(), pattern.tolist()):
+                b -= int(self.words.first[row])
+                new.setdefault(row, []).append((b, b + table.length))
+                found = table.items[table.item_limits[p] : table.item_limits[p + 1]].tolist()
+                self.items.setdefault(row, set()).update(names[i] for i in found)
+        for row, spans in new.items():
+            known = self.spans.get(row, np.empty((0, 2), np.int64))
+            self.spans[row] = _merge(np.concatenate((known, np.array(spans, np.int64))))
+
+    def columns(self) -> list[pa.Array]:
+        rows = range(self.words.rows)
+        found = [self.spans.get(r, np.empty((0, 2), np.int64)) for r in rows]
+        limits = np.concatenate(([0], np.cumsum([2 * len(s) for s in found])))
+        flat = np.concatenate([s.ravel() for s in found]) if found else np.empty(0, np.int64)
+        items = [sorted(self.items.get(r, ())) for r in rows]
+        return [pa.array(self.words.counts().astype(np.int64)), ragged(pa.array(flat.astype(np.int32)), limits), pa.array(items, pa.list_(pa.string()))]
 
 
 def find_contamination(
@@ -198,38 +213,27 @@ def find_contamination(
     with A-Z lower-cased. Null or empty texts have no words and no hits; an item without words
     is never found; a null item id is the empty name; repeated items count once; repeated
     documents are judged each. An empty benchmark finds nothing.
+
+    The benchmark passes the driver row by row, which holds one block of its patterns at a time;
+    all blocks lie on the executors' disks until the result has been used.
     """
     keep = list(documents.columns if keep is None else keep)
-    out = None
     context = documents.sparkSession.sparkContext
-    for names, tables in _pattern_blocks(benchmark, item_id, item_text, window, block_windows):
-        sent = context.broadcast((names, tables))
-        out = _pass(documents, out, text, keep, sent)
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(RESULT))
-
-
-def _pass(documents: DataFrame, before: DataFrame | None, text: str, keep: list[str], sent) -> DataFrame:
-    """One block of patterns; results of the blocks ``before`` are merged in."""
-    first = before is None
-    source = documents if first else before.drop("__before").withColumnRenamed(RESULT, "__before")
+    sent = [context.broadcast(block) for block in _pattern_blocks(benchmark, item_id, item_text, window, block_windows)]
+    several = len(sent) > 1
 
     def make():
-        names, tables = sent.value
-
         def run(data: np.ndarray, offsets: np.ndarray, part: pa.RecordBatch) -> list[pa.Array]:
-            counts, spans, items = scan(names, tables, data, offsets)
-            if not first:
-                old = part.column(part.schema.get_field_index("__before")).to_pylist()
-                spans = [_merge(np.concatenate((np.array(o["hit_spans"], np.int64).reshape(-1, 2), s))) for o, s in zip(old, spans)]
-                items = [sorted({*o["item_ids"], *i}) for o, i in zip(old, items)]
-            limits = np.concatenate(([0], np.cumsum([2 * len(s) for s in spans])))
-            flat = np.concatenate([s.ravel() for s in spans]) if spans else np.empty(0, np.int64)
-            return [pa.array(counts.astype(np.int64)), ragged(pa.array(flat.astype(np.int32)), limits), pa.array(items, pa.list_(pa.string()))]
+            hits = Hits(data, offsets)
+            for block in sent:
+                hits.search(*block.value)
+                if several and getattr(block, "_path", None):
+                    vars(block).pop("_value", None)  # read from its file again for the next stretch
+            return hits.columns()
 
         return run
 
-    carried = [*keep, *([text] if text not in keep else []), *([] if first else ["__before"])]
-    return map_texts(source, text, FOUND, make, keep=carried)
+    return map_texts(documents, text, FOUND, make, keep=keep, most=STRETCH_BYTES if several else SLICE_BYTES)
 
 
 def n_hit(result: Column) -> Column:

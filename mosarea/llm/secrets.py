@@ -1,9 +1,9 @@
 """Secrets in texts, told apart from copied examples by who owns them.
 
 Each task finds candidates in whole texts. The hash of a candidate's value is then
-counted over the corpus by distinct owners and repositories: a value seen with several owners
-is a widely copied example; one that belongs to a single owner and does not look made
-up is reported as live. The values themselves are never shuffled, only hashes.
+counted over the corpus by distinct owners and repositories: a value seen with several owners,
+or copied over many repositories of one, is a widely copied example; one that belongs to a single
+owner, stays in few of its repositories and does not look made up is reported as live. The values themselves are never shuffled, only hashes.
 """
 
 from __future__ import annotations
@@ -83,12 +83,19 @@ def _scan(data: np.ndarray, offsets: np.ndarray, part: pa.RecordBatch) -> list[p
 
 
 def find_secrets(
-    documents: DataFrame, owner: F.Column, repository: F.Column, doc_id: str = "doc_id", text: str = "text", most_owners: int = 1
+    documents: DataFrame,
+    owner: F.Column,
+    repository: F.Column,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    most_owners: int = 1,
+    most_repositories: int = 2,
 ) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, base_sha256, candidates, spans, ownership`` of every row.
 
     ``candidates`` are the base spans; ``spans`` has them and a span ``live`` on the value of each
-    candidate that looks real and has at most ``most_owners`` distinct owners in the corpus.
+    candidate that looks real and has at most ``most_owners`` distinct owners and ``most_repositories``
+    distinct repositories (of an owner) in the corpus.
     ``ownership`` gives, per distinct candidate hash of the row, its numbers of owners and repositories.
     Null text is empty and has no spans; a null owner or repository is one of its own;
     repeated rows are repeated in the result and add no owner. Other columns are not read.
@@ -115,7 +122,7 @@ def find_secrets(
         .groupBy("row").agg(F.collect_list(F.struct("value_hash", "owners", "repositories")).alias("ownership"))
     )
     full = scanned.join(judged, "row", "left")
-    few = F.transform(F.filter("ownership", lambda o: o["owners"] <= most_owners), lambda o: o["value_hash"])
+    few = F.transform(F.filter("ownership", lambda o: (o["owners"] <= most_owners) & (o["repositories"] <= most_repositories)), lambda o: o["value_hash"])
     live = F.transform(
         F.filter("candidates", lambda c: c["plausible"] & F.array_contains(few, c["value_hash"])),
         lambda c: F.struct(c["value_start"].alias("start"), c["end"].alias("end"), F.lit("live").alias("kind")),

@@ -174,6 +174,37 @@ def test_secrets(spark):
     assert secrets.find_secrets(table.limit(0), F.col("owner"), F.col("repo")).count() == 0
 
 
+@pytest.mark.parametrize("most_owners,most_repositories", [(1, 2), (1, 1), (2, 3)])
+def test_live_secrets_equal_brute_force(spark, most_owners, most_repositories):
+    """Added spans: plausible values with few owners and few repositories, from the base spans of a plain search."""
+    rnd = random.Random(8)
+    values = ["".join(rnd.choice("abcdef0123456789Z") for _ in range(rnd.choice((9, 33)))) for _ in range(40)] + ["aaaaaaaa1", "abcdefghij"]
+    rows = []
+    for k in range(300):
+        value = values[int(rnd.paretovariate(0.6)) % len(values)]
+        body = "é " * rnd.randrange(3) + rnd.choice(("token=", "'api_key': '", "")) + value + rnd.choice(("", " AKIA" + value.upper() + "QQQQQQQQQQQQ", " x" * 9000))
+        rows.append((k % 290, body, rnd.choice(("o1", "o2", None)) if k % 3 else "o1", f"r{rnd.randrange(4)}"))
+    places, found = {}, []
+    for _, text, owner, repo in rows:
+        own = []
+        for s, kind, e in base_of(text):
+            start = s + re.match(r"(?i)[a-z_]+[\"']? *[:=] *[\"']?", text[s:e]).end() if kind == "assign" else s
+            own.append((start, e, text[start:e]))
+            places.setdefault(text[start:e], set()).add((owner or "", repo))
+        found.append(own)
+    expected = []
+    for (doc, *_), own in zip(rows, found):
+        live = {
+            (s, e) for s, e, v in own
+            if len({o for o, _ in places[v]}) <= most_owners and len(places[v]) <= most_repositories and len(set(v)) >= 6 and re.search("[0-9]", v)
+        }
+        expected.append((doc, sorted(live)))
+    table = spark.createDataFrame(rows, "doc_id long, text string, owner string, repo string")
+    result = secrets.find_secrets(table, F.col("owner"), F.col("repo"), most_owners=most_owners, most_repositories=most_repositories)
+    assert any(live for _, live in expected) and not all(live for _, live in expected)
+    rows_equal([(r.doc_id, sorted((s.start, s.end) for s in r.spans if s.kind == "live")) for r in result.collect()], expected)
+
+
 # --- personal data
 
 PERSONAL = [
@@ -271,6 +302,20 @@ def test_decontamination(spark, edge_documents, clashing, block):
         rows_equal([(r[0], r[1], r[2], tuple(r[3]), r[4]) for r in rows], expected)
 
 
+def test_decontamination_in_many_blocks(spark, edge_documents):
+    """Fifty blocks of patterns are one pass over the documents, and a worker holds one block."""
+    rnd = random.Random(4)
+    long = edge_documents.where("doc_id = 4").first().text.split(" ")
+    items = [(k, " ".join(long[p : p + 20])) for k, p in enumerate(rnd.randrange(11000) for _ in range(60))] + [(900, "one"), (None, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_contamination(edge_documents, benchmark, block_windows=8)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    result = F.col(RESULT)
+    rows = found.select("doc_id", result["n_words"], decontam.n_hit(result), result["item_ids"], decontam.contaminated(result)).collect()
+    rows_equal([(r[0], r[1], r[2], tuple(r[3]), r[4]) for r in rows], decontaminated([(r.doc_id, r.text) for r in edge_documents.collect()], items))
+
+
 def test_decontamination_of_empty_tables(spark, edge_documents):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_contamination(edge_documents, nothing).where(decontam.contaminated(F.col(RESULT))).count() == 0
