@@ -169,11 +169,27 @@ def test_pruning_passes_over_documents(spark):
     counts = np.diff(searcher.limits)
     idf[counts.argmin()] = 8.0
     ids, scores = searcher.search(searcher.terms, idf, 5)
-    full = Searcher(_read(shard), 30.0)
-    docs, every = full._score(np.arange(len(full.entry) - 1), np.repeat(idf, np.diff(full.term_entry)))
-    best = sorted(zip(-every, full.ids[docs]))[:5]
+    every = np.zeros(2000)
+    np.add.at(every, searcher.docs, np.rint(searcher.weight * np.repeat(idf, counts) * 1_000_000))
+    best = sorted(zip(-every, searcher.ids))[:5]
     assert [(-int(s), int(i)) for s, i in best] == list(zip(scores.tolist(), ids.tolist()))
     assert searcher.pivots < 1000
+    # with a floor that ties reach, all that reach it stay
+    for floor in (int(scores[-1]), int(scores[-1]) + 1):
+        above = [(-int(s), int(i)) for s, i in best if -s >= floor]
+        ids_2, scores_2 = searcher.search(searcher.terms, idf, 5, floor)
+        assert list(zip(scores_2.tolist(), ids_2.tolist())) == above
+
+
+def test_ties_over_many_shards(spark, monkeypatch):
+    """Of equal scores the smaller ids are the best, wherever they lie; rows out follow queries, not shards."""
+    monkeypatch.setattr(bm25, "SHARD_DOCUMENTS", 16)
+    rows = [((k * 377) % 800, "same words in every row" if k % 3 else f"same word{k % 5}") for k in range(800)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    queries = documents.where("doc_id % 100 = 0")
+    found = bm25.top_k(documents, queries, k=9).collect()
+    expected = brute_top(rows, [r for r in rows if r[0] % 100 == 0], 9)
+    assert sorted((r.query_id, r["rank"], r.doc_id) for r in found) == sorted(e[:3] for e in expected)
 
 
 def test_search_of_empty_tables(spark):
