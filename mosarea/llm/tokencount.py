@@ -36,19 +36,19 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def chunk_splits(tokenizer, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Places where a split begins, and tokens before each; the length of the text is the last place."""
-    encoding = tokenizer.encode(text, add_special_tokens=False)
-    begins, words = encoding.offsets, encoding.word_ids
-    places, before = [], []
-    last: object = ()
-    for k, word in enumerate(words):
+def _splits(encoding, base: int, first: int, end: int) -> dict[int, int]:
+    """Places from the token ``first`` to the character ``end`` where a split begins, and tokens before each."""
+    places, last = {}, encoding.token_to_word(first - 1) if first else None
+    for k in range(first, len(encoding)):
+        place = base + encoding.token_to_chars(k)[0]
+        if place >= end:
+            break
+        word = encoding.token_to_word(k)
         # a special token has no word; it stands alone
         if word is None or word != last:
-            places.append(begins[k][0])
-            before.append(k)
-        last = () if word is None else word
-    return np.array([*places, len(text)], np.int64), np.array([*before, len(words)], np.int64)
+            places[place] = k
+        last = word
+    return places
 
 
 def _begun(tail: str, special: list[str]) -> int:
@@ -65,36 +65,39 @@ def count_spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int =
     def end(low: int, high: int) -> int:
         return len(text) if high >= len(text) else high - _begun(text[max(low, high - longest) : high], special)
 
-    total, low, chunks, widened = 0, 0, 1, 0  # tokens and characters settled so far; `low` is a common place
-    high = end(0, chunk)
-    left, before = chunk_splits(tokenizer, text[:high])
+    def encode(low: int, high: int):
+        return tokenizer.encode(text[low:high], add_special_tokens=False)
+
+    # tokens settled so far, characters settled (a common place) and its token in the left chunk
+    total, low, token, chunks, widened = 0, 0, 0, 1, 0
+    base, high = 0, end(0, chunk)
+    left = encode(0, high)
     while high < len(text):
-        # the last split is cut off; the last place is the end
-        trusted = left[:-2]
-        trusted = trusted[trusted > low]
         width = overlap
         while True:
             back = max(high - width, low + 1)
             reach = end(back, high + chunk)
-            right, after = chunk_splits(tokenizer, text[back:reach])
-            right += back
-            common = np.intersect1d(trusted, right[1:-1])  # the first place of the right chunk is where it was cut
-            if len(common) or back == low + 1:
+            right = encode(back, reach)
+            trusted = _splits(left, base, max(left.char_to_token(back - base) or 0, token + 1), high)
+            starts = _splits(right, back, 1, high)  # its first place is where it was cut
+            if trusted:
+                del trusted[max(trusted)]  # the last split is cut off
+            common = trusted.keys() & starts.keys()
+            if common or back == low + 1:
                 break
             width *= 2
             widened += 1
-        if len(common):
-            place = int(common[-1])
-            total += int(before[np.searchsorted(left, place)] - before[np.searchsorted(left, low)])
-            low, high, left, before = place, reach, right, after
+        if common:
+            place = max(common)
+            total += trusted[place] - token
+            low, token, base, high, left = place, starts[place], back, reach, right
             chunks += 1
         else:  # nothing to align in this chunk: read further
             chunk *= 2
             widened += 1
-            high = end(low, low + chunk)
-            left, before = chunk_splits(tokenizer, text[low:high])
-            left += low
-    return total + int(before[-1] - before[np.searchsorted(left, low)]), chunks, widened
+            base, token, high = low, 0, end(low, low + chunk)
+            left = encode(low, high)
+    return total + len(left) - token, chunks, widened
 
 
 def counter(path: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
