@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mosarea.functions import expressions as X, nulls as N, recode as Rc
 from mosarea.operators import blocksolve as B, frame as Fr, geo as G, hierarchical as H, intervals as I, logposterior as Lp, predict as Pr
 from mosarea.operators import raking as Rk, validation as Va, weights as Wt
+from mosarea.session import cut_lineage
 from mosarea.sources.tables import local_table
 
 
@@ -565,3 +566,43 @@ def test_raking_at_many_levels(spark, solver):
     check = Rk.raking_check(done.weighted, wanted)
     assert done.converged and check.agg(F.max(F.abs("diff"))).first()[0] < 1e-9 and check.count() == districts + answers + 2
     assert done.weighted.agg(F.avg("pop_weight")).first()[0] == pytest.approx(1.0)
+
+
+def keyed_draws(spark, n_draws, n_areas, n_months, n_places):
+    """Draws unfolded from few numbers: their plan looks as small as the numbers."""
+    sizes = {"b0": 0, "betas": 2, "phi": n_areas, "theta": n_areas, "nu": n_months, "xi": n_months}
+    rows = [(p, None if n == 0 else k, None) for p, n in sizes.items() for k in range(1, max(n, 1) + 1)]
+    rows += [("psi", k, j) for k in range(1, n_months + 1) for j in range(1, n_places + 1)]
+    index = local_table(spark, rows, "param string, i int, j int")
+    one = index.agg(F.collect_list(F.struct("param", "i", "j"))).scalar()
+    draws = spark.range(1, n_draws + 1).select(F.col("id").cast("int").alias("draw"), F.explode(one).alias("s")).select("draw", "s.*")
+    value = F.sin(F.col("draw") * 0.7 + F.coalesce("i", F.lit(0)) * 1.3 + F.coalesce("j", F.lit(0)) * 0.9 + F.ascii(F.substring("param", 2, 1))) * 0.5
+    return cut_lineage(draws.withColumn("value", value))
+
+
+def test_draws_do_not_pass_the_driver(spark):
+    """Draws come from few suppliers, so the plan takes them for small: no join may send them to all."""
+    draws = keyed_draws(spark, 200, 4, 3, 2)
+    regions = local_table(spark, [(1, 1), (2, 1), (3, 2), (4, 2)], "adm2_index int, adm1_index int")
+    packed = Pr.packed_draws(draws, 2, regions)
+    assert packed._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin") <= 1  # the districts
+    unfolded = packed.select("adm2_index", "draw", F.explode(F.arrays_zip("m", "e")).alias("x")).select("adm2_index", F.col("x.m").alias("month_idx"), "draw", F.round("x.e", 9).alias("effect"))
+    effects = Pr.effect_table(draws, regions).select("adm2_index", "month_idx", "draw", F.round("effect", 9).alias("effect"))
+    assert packed.count() == 800 and effects.count() == 2400
+    assert unfolded.exceptAll(effects).isEmpty()
+
+
+def test_few_rows_meet_shares_of_the_draws(spark):
+    draws = keyed_draws(spark, 500, 4, 3, 2)
+    regions = local_table(spark, [(1, 1), (2, 1), (3, 2), (4, 2)], "adm2_index int, adm1_index int")
+    rows = local_table(spark, [(a, m, float(a + m), float(m), 10 * a + m) for a in (1, 2, 3) for m in (1, 3)], "adm2_index int, month_idx int, x1 double, x2 double, unit_key int")
+    unit = Pr.score_rows(rows, 2, F.lit(1.0), F.col("unit_key"), "month_idx")
+    packed = Pr.packed_draws(draws, 2, regions)
+    make = lambda found: Pr.PrevalenceSums(found, "pr", True, 1234)
+    sums = Pr.meet_draws(unit, packed, Pr.draw_count(draws), 2, make, Pr.SUMS)
+    # each district's draws are dealt out once, in several shares
+    assert sums.count() == sums.select("adm2_index", "month_idx", "draw").distinct().count() == 3 * 2 * 500
+    blocks = Pr.mr_estimate_blocks(rows, draws, 2, regions, response="binary")
+    plain = Pr.mr_estimate(rows, draws, 2, regions, response="binary")
+    shown = lambda df: df.select("adm2_index", "month_idx", "draw", F.round("prev", 9).alias("prev"), F.round("prev2", 9).alias("prev2"))
+    assert blocks.count() == 3000 and shown(blocks).exceptAll(shown(plain)).isEmpty()
