@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,14 @@ def test_copies_of_one_key_are_ordered_in_blocks(spark, monkeypatch):
         links.setdefault(r.chain, []).append(r.bytes)
     assert max(map(sum, links.values())) <= 1000 and len(links) <= 2 * sum(sizes) // 1000 + 2
     assert all(len(x) == 1 for x in links.values() if 600 in x)
+
+
+def test_terms_are_looked_up_once_a_shard():
+    shard = {"ids": [5, 6], "lengths": [2, 1], "terms": [3, 9], "limits": [0, 2, 3], "docs": [0, 1, 0], "tfs": [1, 1, 1]}
+    searcher = bm25.Searcher({k: np.array(v, bm25._DTYPES[k]) for k, v in shard.items()}, 1.5)
+    every, idf = np.array([1, 3, 9, 12], np.uint64), np.array([1.0, 0.5, 2.0, 1.0])
+    places = searcher.places(every)
+    assert places.tolist() == [-1, 0, 1, -1]
+    for some in ([0, 1], [1, 2], [0, 3], [2]):
+        found, plain = searcher.search_places(places[some], idf[some], 2), searcher.search(every[some], idf[some], 2)
+        assert [x.tolist() for x in found] == [x.tolist() for x in plain]
