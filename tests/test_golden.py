@@ -606,3 +606,31 @@ def test_few_rows_meet_shares_of_the_draws(spark):
     plain = Pr.mr_estimate(rows, draws, 2, regions, response="binary")
     shown = lambda df: df.select("adm2_index", "month_idx", "draw", F.round("prev", 9).alias("prev"), F.round("prev2", 9).alias("prev2"))
     assert blocks.count() == 3000 and shown(blocks).exceptAll(shown(plain)).isEmpty()
+
+
+def test_settled_draws_serve_several_models(spark):
+    """Packed once for the chosen months; each model takes its leading coefficients and packs nothing again."""
+    draws = keyed_draws(spark, 50, 4, 3, 2)
+    regions = local_table(spark, [(1, 1), (2, 1), (3, 2), (4, 2)], "adm2_index int, adm1_index int")
+    months = local_table(spark, [(1,), (3,)], "month_idx int")
+    settled = Pr.settle_draws(draws, 2, regions, months=months)
+    # a key twice, a weight of zero, a district with a single row
+    rows = local_table(
+        spark,
+        [(a, m, float(a + m), float(m), u, float(u % 3)) for a in (1, 2) for m in (1, 3) for u in (7, 7, 9, 11)] + [(3, 1, 0.5, -1.0, 4, 2.0)],
+        "adm2_index int, month_idx int, x1 double, x2 double, unit_key int, w double",
+    )
+    cells = rows.where("month_idx = 1").drop("month_idx")
+    shown = lambda df: df.select("adm2_index", "month_idx", "draw", F.round("prev", 9).alias("prev"), F.round("prev2", 9).alias("prev2"))
+    for n in (1, 2):
+        shared = Pr.mr_estimate_blocks(rows, settled, n, regions, weight="w")
+        plain = Pr.mr_estimate(rows, draws, n, regions, weight="w")
+        assert shared.count() == 5 * 50 and shown(shared).exceptAll(shown(plain)).isEmpty()
+        assert "param#" not in shared._jdf.queryExecution().optimizedPlan().toString()
+        shared = Pr.mrp_estimate_blocks(cells, settled, n, regions, weight="w")
+        plain = Pr.mrp_estimate(cells, draws, n, regions, weight="w").join(months, "month_idx", "left_semi")
+        assert shared.count() == 3 * 2 * 50 and shown(shared).exceptAll(shown(plain)).isEmpty()
+    with pytest.raises(ValueError, match="settled"):
+        Pr.mr_estimate_blocks(rows, settled, 3, regions)
+    with pytest.raises(ValueError, match="months"):
+        Pr.mrp_estimate_blocks(cells, settled, 2, regions, months=months)
