@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from mosarea.llm.memo import release_memos
 from mosarea.llm.words import SLICE_BYTES, slices
 from mosarea.session import ship_package
 
@@ -25,11 +26,13 @@ def map_texts(
     make: Callable[[], TextFunction],
     keep: Sequence[str] | None = None,
     most: int = SLICE_BYTES,
+    pieces: bool = False,
 ) -> DataFrame:
     """Columns ``keep`` (default: all) and one struct ``__result`` of ``fields``.
 
     ``make`` runs once per task and returns the function that sees whole texts,
-    at most ``most`` bytes or one row at a time. Null texts come as empty ones.
+    at most ``most`` bytes or one row at a time. Null texts come as empty ones. Memos of
+    pieces that earlier tasks left in the worker go first, unless the function uses them (``pieces``).
     """
     ship_package(df.sparkSession)
     keep = list(df.columns if keep is None else keep)
@@ -40,6 +43,8 @@ def map_texts(
     result_type = to_arrow_type(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not pieces:
+            release_memos()
         function = make()
         for batch in batches:
             for part, data, offsets in slices(batch, "__text", most):

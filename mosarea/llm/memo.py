@@ -7,9 +7,11 @@ that a whole slice of texts is answered by one search.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from mosarea.llm.words import U64
 
@@ -67,3 +69,28 @@ class PieceMemo:
         ends = np.cumsum(n)
         places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - n), n)
         return self.ids[places], n
+
+
+#: memos that the tasks of one worker share
+_SHARED: dict[object, PieceMemo] = {}
+
+
+def shared_memo(key: object, make: Callable[[], PieceMemo]) -> PieceMemo:
+    """The worker's memo for ``key``; kept from task to task until :func:`release_memos`."""
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
+def release_memos() -> None:
+    """Let all shared memos go, and give what is free back to the system.
+
+    A worker outlives its stage: tasks of other stages, which look no piece up, call this first.
+    """
+    if not _SHARED:
+        return
+    _SHARED.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+    if trim is not None:
+        trim(0)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mosarea.llm.maps import RESULT, map_texts, ragged
-from mosarea.llm.memo import PieceMemo
+from mosarea.llm.memo import PieceMemo, shared_memo
 from mosarea.llm.tokencount import load_tokenizer
 from mosarea.llm.words import NOT_BLANK, find_words
 from mosarea.session import cut_lineage, ship_package
@@ -48,10 +48,12 @@ PIECE = T.StructType(
 PIECES = T.StructType([T.StructField("doc_tokens", T.LongType()), T.StructField("pieces", T.ArrayType(PIECE))])
 
 
-@lru_cache(maxsize=4)
 def _memo(path: str) -> PieceMemo:
-    tokenizer = load_tokenizer(path)
-    return PieceMemo(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+    def make() -> PieceMemo:
+        tokenizer = load_tokenizer(path)
+        return PieceMemo(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    return shared_memo(path, make)
 
 
 def tokenize(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +99,7 @@ def cut_documents(documents: DataFrame, path: str, text: str, keep: list[str], c
 
         return run
 
-    cut = map_texts(documents, text, PIECES, make, keep)
+    cut = map_texts(documents, text, PIECES, make, keep, pieces=True)
     return cut.select(*[F.col(f"`{c}`") for c in keep], F.col(RESULT)["doc_tokens"].alias("doc_tokens"), F.inline(F.col(RESULT)["pieces"]))
 
 

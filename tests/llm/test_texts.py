@@ -320,3 +320,26 @@ def test_decontamination_of_empty_tables(spark, edge_documents):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_contamination(edge_documents, nothing).where(decontam.contaminated(F.col(RESULT))).count() == 0
     assert decontam.find_contamination(edge_documents.limit(0), nothing).count() == 0
+
+
+def test_pieces_do_not_outlive_their_stage(spark):
+    """Workers serve one stage after the other: only functions that use the pieces of earlier tasks find them."""
+    from pyspark.sql import types as T
+
+    from mosarea.llm.maps import map_texts
+
+    def make():
+        import pyarrow as pa
+        from mosarea.llm import memo, packing
+
+        before = len(memo._SHARED)
+        packing._memo(WORD)
+        return lambda data, offsets, part: [pa.array([before] * (len(offsets) - 1), pa.int64())]
+
+    WORD = WORD_BPE
+    docs = spark.createDataFrame([("a b",), (None,)], "text string").coalesce(1)
+    fields = T.StructType([T.StructField("held", T.LongType())])
+    held = lambda **how: [r[0] for r in map_texts(docs, "text", fields, make, [], **how).select(f"{RESULT}.held").collect()]
+    found = [held(pieces=True) for _ in range(12)]
+    assert [1, 1] in found
+    assert [held() for _ in range(12)] == [[0, 0]] * 12
