@@ -36,24 +36,39 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _splits(encoding, base: int, first: int, end: int) -> dict[int, int]:
-    """Places from the token ``first`` to the character ``end`` where a split begins, and tokens before each."""
-    places, last = {}, encoding.token_to_word(first - 1) if first else None
-    for k in range(first, len(encoding)):
-        place = base + encoding.token_to_chars(k)[0]
+def _begins(encoding, k: int) -> bool:
+    """Whether a split begins at token ``k``; a special token has no word and stands alone."""
+    word = encoding.token_to_word(k)
+    return word is None or k == 0 or word != encoding.token_to_word(k - 1)
+
+
+def _last_common(left, base: int, first: int, end: int, right, back: int) -> tuple[int, int] | None:
+    """Tokens of both chunks at the last place where both split: in the left one from the token ``first`` to the character ``end``.
+
+    Read from the end, so that mostly one split is looked at. The last split of the left chunk is cut off and the first
+    place of the right one is where it was cut: neither counts.
+    """
+    cut_off = True
+    for k in range(len(left) - 1, first - 1, -1):
+        if not _begins(left, k):
+            continue
+        place = base + left.token_to_chars(k)[0]
         if place >= end:
+            continue
+        if cut_off:
+            cut_off = False
+            continue
+        if place <= back:
             break
-        word = encoding.token_to_word(k)
-        # a special token has no word; it stands alone
-        if word is None or word != last:
-            places[place] = k
-        last = word
-    return places
+        start = right.char_to_token(place - back)
+        if start and right.token_to_chars(start)[0] == place - back and _begins(right, start):
+            return k, start
+    return None
 
 
 def _begun(tail: str, special: list[str]) -> int:
     """Characters at the end of a chunk that may be the beginning of a special string."""
-    return max((n for s in special for n in range(1, min(len(s), len(tail) + 1)) if tail.endswith(s[:n])), default=0)
+    return max((n for s in special if s[:1] in tail for n in range(1, min(len(s), len(tail) + 1)) if tail.endswith(s[:n])), default=0)
 
 
 def count_spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[int, int, int]:
@@ -78,19 +93,15 @@ def count_spliced(tokenizer, text: str, chunk: int = CHUNK_CHARS, overlap: int =
             back = max(high - width, low + 1)
             reach = end(back, high + chunk)
             right = encode(back, reach)
-            trusted = _splits(left, base, max(left.char_to_token(back - base) or 0, token + 1), high)
-            starts = _splits(right, back, 1, high)  # its first place is where it was cut
-            if trusted:
-                del trusted[max(trusted)]  # the last split is cut off
-            common = trusted.keys() & starts.keys()
+            common = _last_common(left, base, max(left.char_to_token(back - base) or 0, token + 1), high, right, back)
             if common or back == low + 1:
                 break
             width *= 2
             widened += 1
         if common:
-            place = max(common)
-            total += trusted[place] - token
-            low, token, base, high, left = place, starts[place], back, reach, right
+            settled, start = common
+            total += settled - token
+            low, token, base, high, left = base + left.token_to_chars(settled)[0], start, back, reach, right
             chunks += 1
         else:  # nothing to align in this chunk: read further
             chunk *= 2

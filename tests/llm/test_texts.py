@@ -51,6 +51,32 @@ def test_splicing_equals_the_library(chunk, overlap):
     assert widened > 0  # alignment failed at first somewhere
 
 
+def test_splicing_looks_at_few_splits():
+    library, asked = tokencount.load_tokenizer(BYTE_BPE), []
+
+    class Counted:
+        def __init__(self, encoding):
+            self.encoding = encoding
+
+        def __len__(self):
+            return len(self.encoding)
+
+        def __getattr__(self, name):
+            asked.append(name)
+            return getattr(self.encoding, name)
+
+    class Tokenizer:
+        get_added_tokens_decoder = library.get_added_tokens_decoder
+
+        def encode(self, text, **options):
+            return Counted(library.encode(text, **options))
+
+    text = "a few words of one text, then others; " * 100
+    count, chunks, widened = tokencount.count_spliced(Tokenizer(), text)
+    assert (count, widened) == (len(library.encode(text, add_special_tokens=False)), 0)
+    assert chunks > 3 and len(asked) <= 20 * chunks  # not a question per token of an overlap
+
+
 # --- packing
 
 def check_packing(rows, packed):
