@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mosarea.llm.maps import RESULT, map_texts, ragged
-from mosarea.llm.memo import PieceMemo, shared_memo
+from mosarea.llm.memo import PieceMemo, release_memos, shared_memo
 from mosarea.llm.tokencount import load_tokenizer
 from mosarea.llm.words import NOT_BLANK, find_words
 from mosarea.session import cut_lineage, ship_package
@@ -35,6 +35,8 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_PIECES = 20_000
 GROUP_TOKENS = 8 << 20
+#: words the library encodes in one call
+ENCODED_AT_ONCE = 4096
 #: sequences put together at a time
 BLOCK_SEQUENCES = 256
 
@@ -51,7 +53,12 @@ PIECES = T.StructType([T.StructField("doc_tokens", T.LongType()), T.StructField(
 def _memo(path: str) -> PieceMemo:
     def make() -> PieceMemo:
         tokenizer = load_tokenizer(path)
-        return PieceMemo(lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+        def encode(texts: list[str]) -> list[list[int]]:
+            parts = (texts[k : k + ENCODED_AT_ONCE] for k in range(0, len(texts), ENCODED_AT_ONCE))
+            return [e.ids for part in parts for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+        return PieceMemo(encode)
 
     return shared_memo(path, make)
 
@@ -215,18 +222,20 @@ def pack_sequences(
     )
     kind, part_type, arrow_schema = id_type(path, end_id), to_arrow_type(part), pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
-    def pack(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
+    def pack(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the pieces of words that tokenizing held are not looked up here; sequences leave block by block
+        release_memos()
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         # the same order after a retry, and with it the same sequences
-        table = table.sort_by("row")
-        length = table.column("length").to_numpy()
+        by_row = np.argsort(table.column("row").to_numpy())
+        length = table.column("length").to_numpy()[by_row]
         sequence, offset = pack_lengths(length, capacity)
         order = np.lexsort((offset, sequence))
         first = np.searchsorted(sequence[order], np.arange(sequence.max() + 2))
-        batches = []
         for low in range(0, len(first) - 1, BLOCK_SEQUENCES):
             limits = first[low : low + BLOCK_SEQUENCES + 1]
             rows = order[limits[0] : limits[-1]]
-            own = table.take(pa.array(rows))
+            own = table.take(pa.array(by_row[rows]))
             flat = np.frombuffer(b"".join(own.column("ids").to_pylist()), kind)
             n = np.add.reduceat(length[rows], limits[:-1] - limits[0])
             ends = np.concatenate(([0], np.cumsum(padded_length(n, capacity))))
@@ -240,16 +249,14 @@ def pack_sequences(
                 ragged(pa.array(ids), ends),
                 ragged(parts, limits - limits[0]),
             ]
-            batches.append(pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema)], schema=arrow_schema))
-        return pa.Table.from_batches(batches, arrow_schema)
+            yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow_schema)], schema=arrow_schema)
 
     if then is None:
         return dealt.groupBy("group").applyInArrow(pack, schema)
     made, function = then(schema)
-    made_arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in made])
 
-    def pack_then(key: tuple[pa.Scalar], table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(function(pack(key, table).to_batches())), made_arrow)
+    def pack_then(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(pack(key, batches))
 
     return dealt.groupBy("group").applyInArrow(pack_then, made)
 

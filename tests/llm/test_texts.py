@@ -369,3 +369,27 @@ def test_pieces_do_not_outlive_their_stage(spark):
     found = [held(pieces=True) for _ in range(12)]
     assert [1, 1] in found
     assert [held() for _ in range(12)] == [[0, 0]] * 12
+
+
+def test_packing_holds_one_block_at_a_time(spark):
+    """The task of a group hands its sequences on block by block, and lets the pieces of tokenizing go first."""
+    from pyspark.sql import types as T
+
+    def then(packed):
+        import pyarrow as pa
+
+        def run(batches):
+            from mosarea.llm import memo
+
+            whole = hasattr(batches, "__len__")
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([len(memo._SHARED)]), pa.array([whole])], names=made.names)
+
+        made = T.StructType([T.StructField("n", T.LongType()), T.StructField("held", T.LongType()), T.StructField("whole", T.BooleanType())])
+        return made, run
+
+    table = spark.range(1200).selectExpr("id AS doc_id", "repeat(concat('a', id % 7, ' '), 3000) AS text").coalesce(1)
+    blocks = [r for _ in range(4) for r in packing.pack_sequences(table, WORD_BPE, then=then).collect()]
+    assert len(blocks) >= 8 and max(r.n for r in blocks) == packing.BLOCK_SEQUENCES
+    assert {(r.held, r.whole) for r in blocks} == {(0, False)}
