@@ -634,3 +634,32 @@ def test_settled_draws_serve_several_models(spark):
         Pr.mr_estimate_blocks(rows, settled, 3, regions)
     with pytest.raises(ValueError, match="months"):
         Pr.mrp_estimate_blocks(cells, settled, 2, regions, months=months)
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_likelihood_of_joined_rows(spark, odd):
+    """The sums of the plain join for any draws and patterns, without a row per pattern and draw in the plan."""
+    from mosarea.functions.expressions import bernoulli_logit_log_mass
+
+    draws = keyed_draws(spark, 40, 4, 3, 2)
+    regions = local_table(spark, [(1, 1), (2, 1), (3, 2), (4, 2)], "adm2_index int, adm1_index int")
+    rows = [(a, m, a + 0.5, float(m), 4.0, float(m - 1)) for a in (1, 2, 3) for m in (1, 2, 3)] + [(1, 2, 0.5, -1.0, 2.5, 1.0)] * 2
+    if odd:
+        rows += [(None, 1, 1.0, 1.0, 2.0, 1.0), (1, None, 1.0, 1.0, 2.0, 1.0), (1, 1, None, 1.0, 2.0, 1.0), (2, 1, 1.0, 1.0, None, 1.0), (2, 1, 1.0, 1.0, 2.0, None)]
+        rows += [(2, 9, 1.0, 1.0, 2.0, 1.0), (7, 1, 1.0, 1.0, 2.0, 1.0)]
+        is_ = lambda draw, param, i=None: (F.col("draw") == draw) & (F.col("param") == param) & (F.lit(True) if i is None else F.col("i") == i)
+        gone = is_(1, "b0") | is_(2, "betas", 1) | is_(3, "nu", 2) | (is_(3, "xi", 2)) | is_(4, "psi", 1) | is_(5, "phi", 2) | is_(5, "theta", 2) | is_(6, "b0") | is_(6, "betas") | is_(7, "psi")
+        gone |= F.col("draw") == 8
+        null = is_(9, "psi", 1) | is_(10, "b0") | is_(11, "nu", 3) | is_(11, "xi", 3) | is_(12, "phi", 1)
+        draws = draws.where(~gone).withColumn("value", F.when(~null, F.col("value")))
+        repeated = draws.where("draw in (13, 14) or (draw = 15 and param = 'psi' and i = 2)").withColumn("value", F.col("value") + 0.25)
+        loose = draws.where("draw = 16").withColumn("draw", F.lit(None).cast("int")).unionByName(draws.where("draw = 17 and param = 'psi'").withColumn("i", F.lit(None).cast("int")))
+        draws = cut_lineage(draws.unionByName(repeated).unionByName(repeated.where("draw = 14")).unionByName(loose))
+    patterns = local_table(spark, rows, "adm2_index int, month_idx int, x1 double, x2 double, n double, y double")
+    eta = Pr.linear_predictor(patterns, draws, 2, regions)
+    plain = eta.groupBy("draw").agg(F.sum(bernoulli_logit_log_mass(F.col("y"), F.col("n"), F.col("eta"))).alias("log_lik"))
+    found = Lp.log_likelihood(patterns, draws, 2, regions)
+    shown = lambda df: {r.draw: r.log_lik if r.log_lik is None else round(r.log_lik, 8) for r in df.collect()}
+    assert found.columns == plain.columns and shown(found) == shown(plain)
+    assert len(shown(plain)) == (37 if odd else 40)
+    assert "month_idx" not in found._jdf.queryExecution().optimizedPlan().toString()
