@@ -663,3 +663,28 @@ def test_likelihood_of_joined_rows(spark, odd):
     assert found.columns == plain.columns and shown(found) == shown(plain)
     assert len(shown(plain)) == (37 if odd else 40)
     assert "month_idx" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("response", ["pr", "binary", "binomial"])
+def test_poststratification_of_joined_rows(spark, response):
+    """The numbers of the plain join for draws with missing months and nulls, without a row per cell and draw in the plan."""
+    draws = keyed_draws(spark, 30, 4, 3, 2)
+    regions = local_table(spark, [(1, 1), (2, 1), (3, 2), (4, 2)], "adm2_index int, adm1_index int")
+    is_ = lambda draw, param, i=None: (F.col("draw") == draw) & (F.col("param") == param) & (F.lit(True) if i is None else F.col("i") == i)
+    gone = is_(1, "b0") | is_(3, "nu", 2) | is_(3, "xi", 2) | is_(4, "psi", 1) | is_(5, "phi", 2) | is_(5, "theta", 2) | is_(6, "b0") | is_(6, "betas") | is_(7, "psi")
+    null = is_(9, "psi", 1) | is_(10, "b0") | is_(11, "nu", 3) | is_(11, "xi", 3) | is_(12, "phi", 1)
+    draws = cut_lineage(draws.where(~gone).withColumn("value", F.when(~null, F.col("value"))))
+    rows = [(a, a + 0.5 * u, float(u) - 2, 10 * u + a, float(u)) for a in (1, 2) for u in (1, 2, 3)] + [(1, 0.5, 1.0, 12, 2.0)] * 2
+    rows += [(None, 1.0, 1.0, 3, 1.0), (1, None, 1.0, 4, 3.0), (1, 1.0, 1.0, None, 2.0), (1, 1.0, 1.0, 5, None), (2, 1.0, 1.0, 6, 0.0), (3, 1.0, 1.0, 6, None), (4, None, 1.0, 6, 2.0)]
+    cells = local_table(spark, rows, "adm2_index int, x1 double, x2 double, unit_key int, w double")
+    joined = cells.join(Pr.effect_table(draws, regions), "adm2_index").join(Pr.coefficient_table(draws, 2), "draw")
+    units = joined.withColumn("p", X.logistic(Pr.fixed_part(2) + F.col("effect")))
+    plain = Pr.aggregate_draws(units, response, "unit_key", "w", 1234)
+    found = Pr.mrp_estimate(cells, draws, 2, regions, response, weight="w")
+    shown = lambda df: sorted(tuple(v if v is None or isinstance(v, int) else round(v, 9) for v in r) for r in df.fillna(-1.0).collect())
+    assert found.columns == plain.columns and shown(found) == shown(plain) and found.count() > 200
+    assert "unit_key" not in found._jdf.queryExecution().optimizedPlan().toString()
+    if response == "pr":
+        twice = draws.unionByName(draws.where("draw = 20 and param = 'psi' and i = 1"))
+        with pytest.raises(Exception, match="twice"):
+            Pr.mrp_estimate(cells, twice, 2, regions, response, weight="w").collect()
