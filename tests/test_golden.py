@@ -688,3 +688,26 @@ def test_poststratification_of_joined_rows(spark, response):
         twice = draws.unionByName(draws.where("draw = 20 and param = 'psi' and i = 1"))
         with pytest.raises(Exception, match="twice"):
             Pr.mrp_estimate(cells, twice, 2, regions, response, weight="w").collect()
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_units_summarised_over_draws(spark, odd):
+    """What the rows of unit and draw give when grouped, for repeated units and any draws, without those rows in the plan."""
+    draws = keyed_draws(spark, 40, 4, 3, 2)
+    regions = local_table(spark, [(1, 1), (2, 1), (3, 2), (4, 2)], "adm2_index int, adm1_index int")
+    rows = [(u, 1 + u % 3, 1 + u // 3 % 3, float(u % 2), u % 5 - 2.5) for u in range(30)] + [(5, 1, 1, 0.0, 0.5), (6, 1, 1, 0.0, 0.5), (6, 1, 1, 0.0, 0.5), (None, 1, 2, 0.0, 0.5)]
+    if odd:
+        rows += [(40, None, 1, 1.0, 1.0), (41, 1, None, 1.0, 1.0), (42, 1, 1, None, 1.0), (43, 2, 9, 1.0, 1.0), (44, 7, 1, 1.0, 1.0), (5, 1, 1, None, 1.0), (45, 4, 1, 2.0, 1.0)]
+        is_ = lambda draw, param, i: (F.col("draw") == draw) & (F.col("param") == param) & (F.col("i") == i)
+        gone = is_(3, "nu", 2) | is_(3, "xi", 2) | is_(4, "psi", 1) | is_(5, "phi", 2) | is_(5, "theta", 2) | (F.col("draw") == 8) | (F.col("param").isin("phi", "theta") & (F.col("i") == 3))
+        null = is_(9, "psi", 1) | is_(10, "betas", 1) | is_(11, "nu", 3) | is_(11, "xi", 3) | (F.col("param").isin("phi", "theta") & (F.col("i") == 4))
+        draws = draws.where(~gone).withColumn("value", F.when(~null, F.col("value")))
+        draws = cut_lineage(draws.unionByName(draws.where("draw in (13, 14) or (draw = 15 and param = 'psi' and i = 2)").withColumn("value", F.col("value") + 0.25)))
+    units = local_table(spark, rows, "household_id long, adm2_index int, month_idx int, x1 double, x2 double")
+    plain = Pr.predict_units(units, draws, 2, regions).groupBy("household_id").agg(F.count("p"), F.sum("p"), F.min("p"), F.max("p"))
+    once = Pr.predict_units(units, draws, 2, regions, summary=True)
+    found = once.groupBy("household_id").agg(F.sum("n"), F.sum("total"), F.min("low"), F.max("high"))
+    shown = lambda df: {r[0]: tuple(v if v is None else round(v, 9) for v in r[1:]) for r in df.collect()}
+    assert shown(found) == shown(plain)
+    assert once.columns == ["household_id", "adm2_index", "month_idx", "n", "total", "low", "high"]
+    assert once.count() == (27 if odd else 34)
