@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -711,3 +712,45 @@ def test_units_summarised_over_draws(spark, odd):
     assert shown(found) == shown(plain)
     assert once.columns == ["household_id", "adm2_index", "month_idx", "n", "total", "low", "high"]
     assert once.count() == (27 if odd else 34)
+
+
+def test_factored_exponentials_equal_plain_sums():
+    """Masses and unit summaries by products of exponentials; large exponents, gaps in chains and rows in several blocks are as exact."""
+    rng = np.random.default_rng(5)
+    n_draws, months = 150, np.array([2, 3, 7])
+    x = rng.integers(0, 2, (900, 4)).astype(float)
+    at = np.sort(rng.integers(0, 3, 900))
+    n, betas, effects = rng.integers(1, 40, 900), rng.normal(0, 2, (n_draws, 5)), rng.normal(0, 2, (n_draws, 3))
+    betas[3, 0], betas[70, 0], effects[90, 1] = 400.0, -250.0, -900.0  # sums of exponents beyond what a product can hold
+    y = rng.integers(0, n + 1).astype(float)
+    eta = x @ betas[:, 1:].T + betas[:, 0] + effects.T[at]
+    mass = (y[:, None] * eta - n[:, None] * np.logaddexp(0.0, eta)).sum(axis=0)
+    draws = Pr.JoinedDraws(1, np.arange(n_draws), months, effects, betas)
+    blocks = lambda numbers, x: [Pr.RowBlock(months[at][k : k + 250], numbers[k : k + 250], y[k : k + 250], x[k : k + 250]) for k in range(0, 900, 250)]
+    for sums, given in ((Lp.MassSums(draws), blocks(n, x)), (Lp.JoinedMassSums(draws), blocks(n * 0, np.column_stack([x, n])))):
+        for block in given:
+            sums.add(block, Lp.WHOLE)
+        assert np.allclose(pa.Table.from_batches(sums.finish())["mass"].to_numpy(), mass, rtol=1e-13)
+    p = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
+    units = Pr.UnitSums(draws)
+    for block in blocks(np.arange(900), x):
+        units.add(block, Pr.COMPLETE)
+    found = pa.Table.from_batches(units.finish()).sort_by("k")
+    assert (found["n"].to_numpy() == n_draws).all()
+    for name, value in (("total", p.sum(axis=1)), ("low", p.min(axis=1)), ("high", p.max(axis=1))):
+        assert np.allclose(found[name].to_numpy(), value, rtol=1e-12, atol=1e-300)
+
+
+def test_rows_with_the_same_answers_share_their_exponentials(monkeypatch):
+    """One exponential per combination of answers and draw, and one logarithm per chain of rows: neither follows the rows."""
+    counted = []
+    for name in ("exp", "log"):
+        original = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda v, *a, _f=original, **k: (counted.append(np.size(v)), _f(v, *a, **k))[1])
+    rng, rows, n_draws = np.random.default_rng(6), 20_000, 20
+    x, at = rng.integers(0, 2, (rows, 3)).astype(float), np.sort(rng.integers(0, 4, rows))
+    draws = Pr.DistrictDraws(1, np.arange(n_draws), np.arange(4), rng.normal(size=(n_draws, 4)), rng.normal(size=(n_draws, 4)))
+    sums = Lp.MassSums(draws)
+    sums.add(Pr.RowBlock(at, np.ones(rows, np.int64), np.ones(rows), x), Pr.PATTERN)
+    list(sums.finish())
+    assert sum(counted) < rows * n_draws / 10
